@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
+from .simhash_dedup import fingerprint_hex, simhash_components
 from .suffix_dedup import suffix_dedup
 
 
@@ -24,5 +25,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_suffix_dedup": op2_suffix_dedup}
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each of ``documents``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash_components(docs).select(F.col("id").alias("doc_id"), fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op8_simhash_dedup": op8_simhash_dedup,
+}
 ORACLE_SQL: dict[str, str] = {}
