@@ -8,10 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
+from .packing import pack_documents
 from .simhash_dedup import fingerprint_hex, simhash_components
 from .suffix_dedup import suffix_dedup
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer files lie."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into sequences of at most 2048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, ranks=tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of ``documents`` that strings of 400 bytes found elsewhere cover are removed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -32,6 +45,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
