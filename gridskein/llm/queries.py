@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
+from .language_id import fit_language_model, identify_languages
 from .packing import pack_documents
 from .simhash_dedup import fingerprint_hex, simhash_components
 from .suffix_dedup import suffix_dedup
@@ -38,6 +39,15 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each of ``documents``, by a model that three in four of them (by id) teach."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = fit_language_model(docs.filter(~held_out))
+    texts = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return identify_languages(texts, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each of ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,6 +57,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op7_language_id": op7_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
