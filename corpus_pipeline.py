@@ -1,10 +1,62 @@
-"""The corpus pipeline: language ID, near-dedup, suffix-array dedup, decontamination, packing."""
+"""The corpus pipeline: language ID, near-dedup, suffix-array dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
+it kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridskein.llm._common import keyed, materialise, table
+from gridskein.llm.decontamination import find_contamination
+from gridskein.llm.language_id import fit_language_model, identify_languages
+from gridskein.llm.packing import pack_documents
+from gridskein.llm.queries import tokenizer_path
+from gridskein.llm.simhash_dedup import simhash_components
+from gridskein.llm.suffix_dedup import suffix_dedup
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any language (``und``: null texts, texts without letters) go."""
+    found = identify_languages(docs, fit_language_model(docs))
+    return found.filter("lang_pred <> 'und'").select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the row with the least doc_id stays (of repeated rows, one)."""
+    rows = simhash_components(docs.select("doc_id", "text"))
+    stay = rows.filter("__id = first_id AND __th = first_th").select("__id", "__th").distinct()
+    kept = keyed(docs, "doc_id", "text").join(stay, ["__id", "__th"], "left_semi")
+    return kept.dropDuplicates(["__id", "__th"]).select(*docs.columns)
+
 
-STAGES: list = []
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by strings of 400 bytes that occur elsewhere go; broken characters at a cut become U+FFFD."""
+    found = suffix_dedup(docs)
+    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
+    found = found.withColumn("text", text)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    return find_contamination(docs, table(spark, sf_dir, "benchmark")).filter(F.size("overlaps") == 0).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, in sequences of at most 2048 tokens."""
+    return pack_documents(docs, tokenizer_path(), capacity=2048, ranks=tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("simhash_dedup", keep_one_of_near_copies),
+    ("suffix_dedup", cut_repeated_passages),
+    ("decontamination", drop_contaminated),
+    ("best_fit_packing", pack),
+]
 
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -12,11 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each one's result is written and read again."""
-    from gridskein.llm._common import materialise, table
-
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
+from .decontamination import find_contamination
 from .language_id import fit_language_model, identify_languages
 from .packing import pack_documents
 from .simhash_dedup import fingerprint_hex, simhash_components
@@ -54,10 +55,19 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(docs).select(F.col("id").alias("doc_id"), fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of ``documents`` with ``benchmark`` items; documents without any have no row."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = found.select("doc_id", F.explode("overlaps").alias("o"))
+    return found.select("doc_id", F.col("o.item").alias("item_id"), *[f"o.{c}" for c in ("windows", "covered", "share", "start", "stop")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
