@@ -13,6 +13,7 @@ from .language_id import fit_language_model, identify_languages
 from .packing import pack_documents
 from .simhash_dedup import fingerprint_hex, simhash_components
 from .suffix_dedup import suffix_dedup
+from .warc import archive_captures
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -63,11 +64,28 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("o.item").alias("item_id"), *[f"o.{c}" for c in ("windows", "covered", "share", "start", "stop")])
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` written to WARC archives and read back through their merged index."""
+    found = archive_captures(table(spark, sf_dir, "pages"))
+    return found.select(F.col("capture").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_warc": op10_warc,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        o AS (SELECT d, max(page_id) AS owner FROM p GROUP BY d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST((CAST('0x' || substr(d, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) // CAST(pow(32, 3 - i % 4) AS BIGINT)) % 32 AS BIGINT) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> owner THEN owner END AS refers_to
+        FROM p JOIN o USING (d)""",
 }
-ORACLE_SQL: dict[str, str] = {}
