@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ._common import table
 from .decontamination import find_contamination
+from .html_extract import extract_main_text
 from .language_id import fit_language_model, identify_languages
 from .packing import pack_documents
 from .simhash_dedup import fingerprint_hex, simhash_components
@@ -41,6 +42,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all ``pages``."""
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each of ``documents``, by a model that three in four of them (by id) teach."""
     docs = table(spark, sf_dir, "documents")
@@ -73,6 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op7_language_id": op7_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_decontamination": op9_decontamination,
