@@ -62,11 +62,3 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.withColumns(
         {"__id": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), "__th": F.xxhash64(F.col(f"`{text_col}`"))}
     )
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, or with underscores before it if the frame has such a column already."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name

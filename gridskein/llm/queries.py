@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
+from .chat import link_quotations
 from .decontamination import find_contamination
 from .html_extract import extract_main_text
 from .language_id import fit_language_model, identify_languages
+from .media import image_features, sniff_media, store_texts
 from .packing import pack_documents
 from .simhash_dedup import fingerprint_hex, simhash_components
 from .suffix_dedup import suffix_dedup
@@ -48,6 +50,20 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op4_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts of ``documents`` stored as images of undeclared type, recognised, read back and described."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
+    stored = store_texts(docs).drop("text")
+    found = sniff_media(stored).withColumn("media", F.when(F.col("sniffed_type") == "image/png", F.col("media"))).drop("carved", "type_ok")
+    read = image_features(found)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "sniffed_type")
+
+
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` in reply order, without quotes."""
+    return link_quotations(table(spark, sf_dir, "conversations")).select("conv_id", "thread", "turn", "role", "reply_to", "n_quoted", "n_linked", "text")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each of ``documents``, by a model that three in four of them (by id) teach."""
     docs = table(spark, sf_dir, "documents")
@@ -81,12 +97,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_html_extraction": op3_html_extraction,
+    "op4_media_sniffing": op4_media_sniffing,
+    "op5_quotation_linking": op5_quotation_linking,
     "op7_language_id": op7_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_quotation_linking": r"""
+        WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, string_split(text, chr(10)) AS ls FROM conversations),
+        l AS (SELECT conv_id, turn, unnest(ls) AS x FROM m),
+        q AS (SELECT conv_id, turn, length(regexp_replace(regexp_extract(x, '^[ \t]*(?:>[ \t]?)+'), '[^>]', '', 'g')) AS level,
+                     trim(regexp_replace(lower(regexp_replace(x, '^[ \t]*(?:>[ \t]?)+', '')), '[ \t\r\x0B\f]+', ' ', 'g')) AS line FROM l),
+        own AS (SELECT DISTINCT conv_id, turn, line FROM q WHERE level = 0 AND line <> ''),
+        quo AS (SELECT conv_id, turn, line, count(*) AS n FROM q WHERE level = 1 AND line <> '' GROUP BY ALL),
+        hit AS (SELECT quo.conv_id, quo.turn, quo.line, any_value(quo.n) AS n, max(own.turn) AS original
+                FROM quo JOIN own ON own.conv_id = quo.conv_id AND own.line = quo.line AND own.turn < quo.turn GROUP BY ALL),
+        per AS (SELECT conv_id, turn, original, sum(n) AS n FROM hit GROUP BY ALL),
+        rep AS (SELECT conv_id, turn, CAST(arg_max(original, (n, original)) AS BIGINT) AS reply_to, CAST(sum(n) AS BIGINT) AS n_linked FROM per GROUP BY ALL),
+        up AS (SELECT conv_id, turn, reply_to AS root FROM rep
+               UNION SELECT up.conv_id, up.turn, rep.reply_to FROM up JOIN rep ON rep.conv_id = up.conv_id AND rep.turn = up.root),
+        top AS (SELECT conv_id, turn, min(root) AS thread FROM up GROUP BY ALL),
+        cnt AS (SELECT conv_id, turn, count(*) FILTER (level > 0 AND line <> '') AS n_quoted FROM q GROUP BY ALL)
+        SELECT m.conv_id, coalesce(top.thread, m.turn) AS thread, m.turn, m.role, rep.reply_to, CAST(coalesce(cnt.n_quoted, 0) AS BIGINT) AS n_quoted,
+               coalesce(rep.n_linked, 0) AS n_linked,
+               regexp_replace(array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)), '^(?:[ \t\r]*\n)+|(?:\n[ \t\r]*)+$', '', 'g') AS text
+        FROM m LEFT JOIN rep USING (conv_id, turn) LEFT JOIN top USING (conv_id, turn) LEFT JOIN cnt USING (conv_id, turn)""",
     "op10_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         o AS (SELECT d, max(page_id) AS owner FROM p GROUP BY d)
