@@ -12,6 +12,7 @@ from .chat import link_quotations
 from .decontamination import find_contamination
 from .html_extract import extract_main_text
 from .language_id import fit_language_model, identify_languages
+from .lm_scoring import score_documents, train_language_model
 from .media import image_features, sniff_media, store_texts
 from .packing import pack_documents
 from .simhash_dedup import fingerprint_hex, simhash_components
@@ -64,6 +65,14 @@ def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotations(table(spark, sf_dir, "conversations")).select("conv_id", "thread", "turn", "role", "reply_to", "n_quoted", "n_linked", "text")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of each of ``documents``, by a model that nine in ten of them (by id) teach."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 10 == 0).alias("held_out"), "text")
+    model = train_language_model(docs.filter("NOT held_out"))
+    scored = score_documents(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each of ``documents``, by a model that three in four of them (by id) teach."""
     docs = table(spark, sf_dir, "documents")
@@ -99,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_media_sniffing": op4_media_sniffing,
     "op5_quotation_linking": op5_quotation_linking,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_language_id": op7_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_decontamination": op9_decontamination,
