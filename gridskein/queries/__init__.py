@@ -1,8 +1,12 @@
 """Registered queries of the gridded-data operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import fields
+
+_MODULES = (fields,)
+QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["deriv_ddx"](spark, sf_dir)
+    """Total deformation on the whole cube."""
+    return QUERIES["diag_def_total"](spark, sf_dir)
