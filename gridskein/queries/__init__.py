@@ -1,8 +1,8 @@
 """Registered queries of the gridded-data operators, with their SQL."""
 
-from . import fields, series
+from . import fields, objects, series
 
-_MODULES = (fields, series)
+_MODULES = (fields, series, objects)
 QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL: dict = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
 

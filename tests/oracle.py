@@ -8,6 +8,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 DATA = os.environ.get("GRIDSKEIN_DATA", "/root/testdata")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,7 +28,7 @@ def _plain(frame):
     frame = frame[sorted(frame.columns)]
     rows = []
     for row in frame.itertuples(index=False, name=None):
-        rows.append(tuple(None if v is None or v != v else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v) for v in row))
+        rows.append(tuple(None if v is None or v is pd.NA or v != v else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v) for v in row))
     return sorted(rows, key=repr)
 
 
