@@ -193,7 +193,7 @@ def _text_rows(names: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, runs in zip(batch["__html"].to_pylist(), batch["runs"].to_pylist(), strict=True):
+            for html, runs in zip(batch["__html"].to_pylist(), batch["__runs"].to_pylist(), strict=True):
                 gone = {k for r in runs or () for k in range(r["a"], r["b"])}
                 texts.append("\n".join(t for k, (t, z) in enumerate(page_blocks(html or "")) if z and k not in gone))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(texts, pa.string())], [*names, "main_text"])
@@ -229,7 +229,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     repeated = counts.join(sizes, "host").select("host", "gram", (F.col("n") >= least(ANY_SHARE)).alias("common"), (F.col("out") >= least(OUTSIDE_SHARE)).alias("template")).filter("common OR template")
     open_ = streams.select("__id", "__th", "host", F.explode("grams").alias("g")).filter("g.zone > 0").select("__id", "__th", "host", "g.*")
     found = open_.join(repeated, ["host", "gram"]).filter("template OR zone = 1 AND common")
-    found = materialise(found.groupBy("__id", "__th").agg(F.collect_set(F.struct("a", "b")).alias("runs")), "boilerplate")
+    found = materialise(found.groupBy("__id", "__th").agg(F.collect_set(F.struct("a", "b")).alias("__runs")), "boilerplate")
     small = F.broadcast(found) if found.count() <= broadcast_rows else found
-    joined = rows.join(small, ["__id", "__th"], "left").select(*[F.col(f"`{c}`") for c in names], html.alias("__html"), "runs")
+    joined = rows.join(small, ["__id", "__th"], "left").select(*[F.col(f"`{c}`") for c in names], html.alias("__html"), "__runs")
     return joined.mapInArrow(_text_rows(names), ", ".join([*kinds, "main_text string"]))

@@ -189,6 +189,10 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
 def label_texts(texts: list[str | None], model: LanguageModel, penalty: float = PENALTY):
     """(language, score, spans) of each text; spans are (start, stop, language) in code points."""
     plain = [t or "" for t in texts]
+    names, shares = ["und"] * len(texts), np.zeros(len(texts))
+    spans: list[list] = [[] for _ in texts]
+    if not model.languages:
+        return names, shares, spans
     parts = []
     for begin, part in _parts(plain):
         text, first, last, script, buckets = _words(part)
@@ -199,9 +203,7 @@ def label_texts(texts: list[str | None], model: LanguageModel, penalty: float =
             some = fits.any(axis=1, keepdims=True)
             score = np.where(some, np.where(fits, score, score.min(axis=1, keepdims=True) - 50), 0)
             parts.append((text + begin, first, last, score, some[:, 0]))
-    names, shares = ["und"] * len(texts), np.zeros(len(texts))
-    spans: list[list] = [[] for _ in texts]
-    if not parts or not model.languages:
+    if not parts:
         return names, shares, spans
     text, first, last, score, some = (np.concatenate(c) for c in zip(*parts, strict=True))
     states = viterbi(score.astype(np.float32), np.bincount(text, minlength=len(texts)), penalty)

@@ -223,7 +223,7 @@ def _keep(names: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed = [], []
-            lists = batch["spans"]
+            lists = batch["__spans"]
             flat, offsets = lists.flatten(), np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]
             starts, ends = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("s", "e"))
             for k, v in enumerate(_views(batch["__t"])):
@@ -283,8 +283,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.drop("kept", "removed")
     names = docs.columns
     runs = repeated_runs(docs, id_col, text_col, length, hot).distinct()
-    spans = materialise(runs.groupBy("__id", "__th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    spans = materialise(runs.groupBy("__id", "__th").agg(F.collect_list(F.struct("s", "e")).alias("__spans")), "spans")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     joined = keyed(docs, id_col, text_col).join(spans, ["__id", "__th"], "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").cast("binary").alias("__t"), "spans")
+    joined = joined.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").cast("binary").alias("__t"), "__spans")
     return joined.mapInArrow(_keep(names), ", ".join([*kinds, "kept binary", "removed array<struct<start:long,stop:long>>"]))
