@@ -13,18 +13,23 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x))
 
 
+def _clipped(x: Column) -> Column:
+    """x within [-1, 1]; NULL stays (greatest and least alone would pass over it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
+
+
 def dist_sphere(lon1, lat1, lon2, lat2, r: float = 6.37e6) -> Column:
     """Great-circle distance by the spherical law of cosines, clipped to its domain."""
     a, b = F.radians(_c(lat1)), F.radians(_c(lat2))
     x = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(_c(lon2)) - F.radians(_c(lon1)))
-    return r * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
+    return r * F.acos(_clipped(x))
 
 
 def haversine(lon1, lat1, lon2, lat2, r: float = 6371.0) -> Column:
     """Great-circle distance by haversines."""
     a, b = F.radians(_c(lat1)), F.radians(_c(lat2))
     s, t = F.sin((b - a) / 2), F.sin(F.radians(_c(lon2) - _c(lon1)) / 2)
-    return 2 * r * F.asin(F.sqrt(F.least(F.lit(1.0), s * s + F.cos(a) * F.cos(b) * t * t)))
+    return 2 * r * F.asin(_clipped(F.sqrt(s * s + F.cos(a) * F.cos(b) * t * t)))
 
 
 def great_circle_distance(r, lon1, lat1, lon2, lat2) -> Column:
@@ -52,7 +57,7 @@ def go_on_sphere(lon0, lat0, x, y, r: float = 6366.2e3) -> tuple[Column, Column]
     d, lat = F.hypot(_c(x), _c(y)) / r, F.radians(_c(lat0))
     course = F.atan2(_c(x), _c(y))
     z = F.sin(lat) * F.cos(d) + F.cos(lat) * F.sin(d) * F.cos(course)
-    lat1 = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z)))
+    lat1 = F.asin(_clipped(z))
     lon1 = F.radians(_c(lon0)) + F.atan2(F.sin(course) * F.sin(d) * F.cos(lat), F.cos(d) - F.sin(lat) * F.sin(lat1))
     return F.degrees(lon1), F.degrees(lat1)
 
