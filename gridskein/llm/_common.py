@@ -1,16 +1,13 @@
-"""Shared helpers: reading tables, materialising intermediate results, row keys."""
+"""Shared helpers: reading tables, row keys, and the library's storage of intermediate results."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Frees a finished query's shuffle files; what is materialised needs them no more.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..storage import materialise, shared_dir
+
+__all__ = ["keyed", "materialise", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,42 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (as in tests) a temporary one is set.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = spark.sparkContext.getCheckpointDir()
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="gridskein-")
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf.rstrip("/")
-
-
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
-def materialise(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridskein/{what}-{uuid.uuid4().hex}"
-    with _setting(spark, _CLEANUP, "true"):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Add ``__id`` and ``__th``: together they tell rows apart that differ in id or text.
 
