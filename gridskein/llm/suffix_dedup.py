@@ -34,7 +34,7 @@ CHUNK = 1 << 16
 #: Bytes of a longer text handled at a time.
 PIECE = 1 << 20
 #: Members of a bucket that one task gathers; larger ones are spread by window.
-HOT = 1000
+HOT = 250
 
 _ANCHOR = "__id string, __th long, x long, lo long, hi long, h long, f long"
 
@@ -202,8 +202,8 @@ def _refine(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            for s in range(0, batch.num_rows, 1000):
-                part = batch.slice(s, 1000)
+            for s in range(0, batch.num_rows, HOT):
+                part = batch.slice(s, HOT)
                 last = part["h"][part.num_rows - 1]
                 h = part["h"].to_numpy()
                 cut = int(np.searchsorted(h, last.as_py()))
