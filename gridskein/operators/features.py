@@ -18,6 +18,7 @@ from ..functions.sphere_geometry import dist_sphere
 from ..grid import Grid, ratio
 from . import kernels
 from .derivatives import ddx, ddx2, ddxy, ddy, ddy2, ddz
+from .filters import smooth_xy
 
 
 def per_slice(g: Grid, cube: DataFrame, kernel: Callable[[dict[str, np.ndarray]], pd.DataFrame], schema: str, by: tuple[str, ...] = ("t",)) -> DataFrame:
@@ -374,16 +375,33 @@ def _km(p, q):
     return 6371 * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
 
 
-def frontal_volume(g: Grid, cube: DataFrame, tfp: str, threshold: float = DEFAULTS.tfp_large, min_size: float = DEFAULTS.minsize) -> DataFrame:
-    """(t, label, k, j, i): components, over levels, of strong gradients of the thermal front parameter that are large enough."""
-    x, y = ddx(g, tfp), ddy(g, tfp)
-    strong = cube.withColumn("__m", F.sqrt(x * x + y * y) > threshold)
-    labels = label_connected_3d(g, strong, "__m")
+def _steep(g: Grid, v: str, threshold: float):
+    x, y = ddx(g, v), ddy(g, v)
+    return F.sqrt(x * x + y * y) > threshold
+
+
+def _large_volumes(g: Grid, cube: DataFrame, strong, mountain: str | None, min_size: float) -> DataFrame:
+    strong = strong if mountain is None else strong & ~F.coalesce(F.col(mountain).cast("boolean"), F.lit(False))
+    labels = label_connected_3d(g, cube.withColumn("__m", strong), "__m")
     area = cube.select("j", "i", (F.col("dx") * F.abs("dy") / 4).alias("area")).distinct()
     large = label_extents(labels, area).filter(F.col("size") >= min_size * g.nz)
     return labels.join(large.select("t", "label"), ["t", "label"], "left_semi").select("t", "label", "k", "j", "i")
 
 
+def frontal_volume(g: Grid, cube: DataFrame, tfp: str, threshold: float = DEFAULTS.tfp_large, min_size: float = DEFAULTS.minsize, mountain: str | None = None) -> DataFrame:
+    """(t, label, k, j, i): components, over levels, of strong gradients of the thermal front parameter that are large enough; none where ``mountain`` is true."""
+    return _large_volumes(g, cube, _steep(g, tfp, threshold), mountain, min_size)
+
+
+def frontal_volume_small(
+    g: Grid, cube: DataFrame, tfp: str, smoothed: str | None = None, large: float = DEFAULTS.tfp_large, small: float = DEFAULTS.tfp_small, min_size: float = DEFAULTS.minsize, mountain: str | None = None, passes: int = DEFAULTS.nsmooth
+) -> DataFrame:
+    """As ``frontal_volume`` for fine grids: the gradient exceeds ``small``, and that of the smoothed field (``smoothed``, or made here) exceeds ``large``."""
+    if smoothed is None:
+        smoothed, cube = "__smooth", smooth_xy(g, cube, tfp, passes, out="__smooth")
+    return _large_volumes(g, cube, _steep(g, tfp, small) & _steep(g, smoothed, large), mountain, min_size)
+
+
 def dist_from_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
     """(t, j, i, distance in m) from each cell (j, i, lat, lon) to the nearest of a mask (t, j, i) in the same slice.
 
@@ -418,6 +436,39 @@ def irrotational_wind(g: Grid, cube: DataFrame, u: str, v: str, lats: list[float
     return joined.withColumns({"u_irr": ddx(g, "chi"), "v_irr": ddy(g, "chi")}).drop("chi")
 
 
+def helmholtz_wind(g: Grid, cube: DataFrame, u: str, v: str, lats: list[float], degree: int) -> DataFrame:
+    """(t, j, i, vor, div, psi, chi, u_rot, v_rot, u_irr, v_irr): vorticity and divergence by harmonics up to a degree, stream function and velocity potential, and the two winds that they make."""
+    lat = np.asarray(lats, float)
+
+    def kernel(a):
+        fields = dict(zip(("vor", "div"), kernels.vorticity_divergence(a["u"], a["v"], lat, degree), strict=True))
+        for kind, source, x, y, turn in (("psi", "vor", "v_rot", "u_rot", -1.0), ("chi", "div", "u_irr", "v_irr", 1.0)):
+            c = kernels.inverse_laplacian(kernels.harmonics(fields[source], lat, degree))
+            fields[kind] = kernels.synthesis(c, lat, g.nx)
+            fields[x], along_y = kernels.gradient(c, lat, g.nx)
+            fields[y] = turn * along_y
+        j, i = np.indices(fields["vor"].shape)
+        names = ("vor", "div", "psi", "chi", "u_rot", "v_rot", "u_irr", "v_irr")
+        return pd.DataFrame({"j": j.ravel().astype("int32"), "i": i.ravel().astype("int32"), **{n: fields[n].ravel() for n in names}})
+
+    schema = "j int, i int, vor double, div double, psi double, chi double, u_rot double, v_rot double, u_irr double, v_irr double"
+    return per_slice(g, cube.select("t", "j", "i", F.col(u).alias("u"), F.col(v).alias("v")), kernel, schema)
+
+
+def spectral_regrid(g: Grid, cube: DataFrame, v: str, lats: list[float], degree: int, new_lats: list[float], new_nx: int, shift: float = 0.0) -> DataFrame:
+    """(t, j, i, v) on another grid around the globe, by harmonics up to a degree; ``shift`` moves its columns east, in its own cells (0.5: half-way between)."""
+    lat, new = np.asarray(lats, float), np.asarray(new_lats, float)
+
+    def kernel(a):
+        c = kernels.harmonics(a[v], lat, degree)
+        c = c * np.exp(2j * np.pi * np.arange(degree + 1) * shift / new_nx)[:, None]
+        out = kernels.synthesis(c, new, new_nx)
+        j, i = np.indices(out.shape)
+        return pd.DataFrame({"j": j.ravel().astype("int32"), "i": i.ravel().astype("int32"), v: out.ravel()})
+
+    return per_slice(g, cube.select("t", "j", "i", v), kernel, f"j int, i int, {v} double")
+
+
 def def_3d(g: Grid, cube: DataFrame, u: str, v: str, w: str) -> DataFrame:
     """(t, k, j, i, max, mid, min): eigenvalues of the symmetric velocity gradient without its divergence (uses dz)."""
     names = {f"{c}{d}": f(g, n) for c, n in (("u", u), ("v", v), ("w", w)) for d, f in (("x", ddx), ("y", ddy), ("z", ddz))}

@@ -391,3 +391,71 @@ def inverse_laplacian(c: np.ndarray, radius: float = 6.37e6) -> np.ndarray:
     """Coefficients of the field whose Laplacian is given."""
     n = np.arange(c.shape[1])
     return c * np.where(n > 0, -(radius**2) / np.maximum(n * (n + 1), 1), 0.0)
+
+
+def gradient(c: np.ndarray, lats: np.ndarray, nx: int, radius: float = 6.37e6) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient (east, north) of coefficients' field, exact for each harmonic; at the poles its component east is zero."""
+    degree = c.shape[1] - 1
+    phi = np.radians(lats)
+    cos = np.cos(phi)
+    inverse = np.where(np.abs(cos) > 1e-9, 1 / np.where(cos == 0, 1, cos), 0.0)
+    m, n = np.arange(degree + 1)[:, None], np.arange(degree + 2)[None, :]
+    p = legendre(degree + 1, np.sin(phi))[: degree + 1]
+    e = np.sqrt(np.maximum(n**2 - m**2, 0) / np.maximum(4 * n**2 - 1, 1))
+    slope = -n[:, :-1, None] * e[:, 1:, None] * p[:, 1:]
+    slope[:, 1:] += (n[:, 1:-1, None] + 1) * e[:, 1:-1, None] * p[:, :-2]
+    basis = np.exp(2j * np.pi * m * np.arange(nx) / nx) * np.where(m > 0, 2.0, 1.0)
+    north = np.einsum("mn,mnl,mx->lx", c, slope, basis, optimize=True).real
+    return synthesis(1j * m * c, lats, nx) * inverse[:, None] / radius, north * inverse[:, None] / radius
+
+
+def vorticity_divergence(u: np.ndarray, v: np.ndarray, lats: np.ndarray, degree: int, radius: float = 6.37e6) -> tuple[np.ndarray, np.ndarray]:
+    """Vorticity and divergence of a wind whose components times cos(lat) have harmonics up to a degree; missing wind is none."""
+    cos = np.cos(np.radians(lats))[:, None]
+    inverse = np.where(np.abs(cos) > 1e-9, 1 / np.where(cos == 0, 1, cos), 0.0)
+    (ux, uy), (vx, vy) = (gradient(harmonics(np.nan_to_num(w) * cos, lats, degree + 1), lats, u.shape[1], radius) for w in (u, v))
+    return (vx - uy) * inverse, (ux + vy) * inverse
+
+
+def gaussian_latitudes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Latitudes in degrees, from south to north, and weights of Gaussian quadrature."""
+    x, w = np.polynomial.legendre.leggauss(n)
+    return np.degrees(np.arcsin(x)), w
+
+
+def multigrid(operator, b: np.ndarray, cycles: int = 20, before: int = 2, after: int = 2, tolerance: float = 1e-12) -> tuple[np.ndarray, float]:
+    """Solution of operator(x, level) = b on a doubly periodic grid by V-cycles, and the squared residual.
+
+    ``operator`` applies the discretised operator on a grid that is 2**level times
+    coarser.  Damped Jacobi sweeps smooth; the diagonal comes from the operator
+    on an impulse, so it must be the same for all cells.  Grids halve while both
+    sizes are even.
+    """
+    def diagonal(shape, level: int) -> float:
+        impulse = np.zeros(shape)
+        impulse[0, 0] = 1.0
+        return float(operator(impulse, level)[0, 0])
+
+    def cycle(x, rhs, level: int):
+        scale = 0.8 / diagonal(rhs.shape, level)
+        halves = not any(size % 2 or size < 4 for size in rhs.shape)
+        for _ in range(before if halves else 50):
+            x = x + scale * (rhs - operator(x, level))
+        if not halves:
+            return x
+        r = rhs - operator(x, level)
+        coarse = sum(w * np.roll(r, s, (0, 1)) for w, s in ((0.25, (0, 0)), *((0.125, s) for s in NEAR4), *((0.0625, s) for s in NEAR8[4:])))[::2, ::2]
+        fix = np.repeat(np.repeat(cycle(np.zeros_like(coarse), coarse, level + 1), 2, axis=0), 2, axis=1)
+        fix[1::2] = (fix[1::2] + np.roll(fix, -1, axis=0)[1::2]) / 2
+        fix[:, 1::2] = (fix[:, 1::2] + np.roll(fix, -1, axis=1)[:, 1::2]) / 2
+        x = x + fix
+        for _ in range(after):
+            x = x + scale * (rhs - operator(x, level))
+        return x
+
+    x = np.zeros_like(b)
+    for _ in range(cycles):
+        x = cycle(x, b, 0)
+        if float(((b - operator(x, 0)) ** 2).sum()) <= tolerance:
+            break
+    return x, float(((b - operator(x, 0)) ** 2).sum())

@@ -14,6 +14,7 @@ from ..operators import diagnostics as dg
 from ..operators import features as ft
 from ..operators import tendencies as tn
 from ..operators import tracking as tk
+from ..operators import wave_breaking as wb
 from ..operators.filters import smooth_xy
 from ..storage import materialise, shared_dir
 from ..streaming import session_aggregate, track_stream, windowed_aggregate
@@ -67,7 +68,23 @@ _add("conn_connect_4d_from_3d", lambda s, d: ft.connect_in_time(_labels(s, d)),
     UNION ALL SELECT 'death', t, label, NULL FROM y, z WHERE t < hi AND NOT EXISTS (SELECT 1 FROM x WHERE x.t = y.t AND x.label = y.label)""")
 _add("conn_mask_minimum_connect", lambda s, d: ft.mask_minimum_connect(GRID, cube(s, d), "u", cube(s, d).filter("u > 5").select("t", "j", "i"), 3.5),
      BASE + _LABELS.replace("u > 3.5", "u >= 3.5") + "SELECT t, j, i FROM l WHERE (t, label) IN (SELECT t, label FROM l JOIN s0 USING (t, j, i) WHERE u > 5)")
-_add("conn_label_connected_3d", lambda s, d: ft.label_connected_3d(GRID_Z, cube_z(s, d).withColumn("m", F.col("u") > 4), "m"))
+
+
+def _labels_3d_sql(stages: list[dict[str, str]], where: str) -> str:
+    """CTE l3 (t, k, j, i, label, area) of components that touch in any direction; ids have x outermost."""
+    return stages_sql(stages, True).replace("WITH ", "WITH RECURSIVE ", 1) + f""", m3 AS (SELECT t, k, j, i, dx * dy / 4 AS area, (i * 10 + j) * 5 + k AS id FROM s{len(stages)} WHERE {where}),
+    e3 AS (SELECT a.t, a.id AS a, b.id AS b FROM m3 a JOIN m3 b ON a.t = b.t AND a.id <> b.id AND abs(a.k - b.k) <= 1 AND abs(a.j - b.j) <= 1 AND (a.i - b.i + 65) % 64 <= 2),
+    r3 AS (SELECT t, id, id AS root FROM m3 UNION SELECT e3.t, e3.b, r3.root FROM r3 JOIN e3 ON e3.t = r3.t AND e3.a = r3.id),
+    f3 AS (SELECT t, id, min(root) AS root FROM r3 GROUP BY ALL),
+    l3 AS (SELECT t, k, j, i, area, CAST(dense_rank() OVER (PARTITION BY t ORDER BY root) AS INTEGER) AS label FROM f3 JOIN m3 USING (t, id))
+    """
+
+
+_SMOOTHED = "{0} + (({0}[e] - 2 * {0} + {0}[w]) + CASE WHEN j > 0 AND j < 9 THEN {0}[n] - 2 * {0} + {0}[s] ELSE 0 END) / 6"
+_SLOPE = "sqrt(pow(({0}[e] - {0}[w]) / dx, 2) + pow(({0}[n] - {0}[s]) / dy, 2))"
+_add("conn_label_connected_3d", lambda s, d: ft.label_connected_3d(GRID_Z, cube_z(s, d).withColumn("m", F.col("u") > 4), "m"), _labels_3d_sql([], "u > 4") + "SELECT t, k, j, i, label FROM l3")
+_add("conn_frontalvolume_smallscale", lambda s, d: ft.frontal_volume_small(GRID_Z, GRID_Z.slices(cube_z(s, d)), "u", large=2e-6, small=1.2e-5, min_size=4e10),
+     _labels_3d_sql([{"u1": _SMOOTHED.format("u"), "g": _SLOPE.format("u")}, {"u2": _SMOOTHED.format("u1")}, {"g2": _SLOPE.format("u2")}], "g > 1.2e-5 AND g2 > 2e-6") + "SELECT t, label, k, j, i FROM l3 WHERE (t, label) IN (SELECT t, label FROM l3 GROUP BY t, label HAVING sum(area) >= 2e11)")
 _add("conn_frontalvolume", lambda s, d: ft.frontal_volume(GRID_Z, GRID_Z.slices(cube_z(s, d)), "u", 1e-6, 1e10))
 _add("conn_atmospheric_river", lambda s, d: ft.atmospheric_river(GRID, cube(s, d), "u", "v", 3.0, 1000.0))
 _add("conn_dist_from_mask", lambda s, d: rounded(ft.dist_from_mask(_cells(s), cube(s, d).filter("u > 6").select("t", "j", "i")), {"distance": 1e-6}),
@@ -205,11 +222,14 @@ _add("cyc_cyclone_clusters", lambda s, d: tk.cyclone_clusters(_storms(s, d), tk.
     r AS (SELECT id, id AS root FROM ids UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id) SELECT id, min(root) AS cluster FROM r GROUP BY id""")
 _add("cyc_block_by_grad_rev", lambda s, d: tk.block_by_grad_rev(GRID, dg.block_indicator(GRID, _smooth(s, d), "u", 5, 3), "block", (20.0, 70.0), min_steps=2))
 _BI = {"b": "CASE WHEN j >= 5 AND j < 45 THEN (" + " + ".join(f"u[{'s' * k}]" for k in range(1, 6)) + " - (" + " + ".join(f"u[{'n' * k}]" for k in range(1, 6)) + ")) / 5 END"}
+_add("cyc_rwb_by_contour", lambda s, d: wb.rwb_by_contour(GRID, _smooth(s, d).withColumn("pt", 330 + F.col("lat") / 2 + 8 * F.col("u")), "pt", LATS, LONS, "PT", 21))
 _add("diag_block_indicator", lambda s, d: rounded(dg.block_indicator(GRID, GRID.slices(cube(s, d)), "u", 5, 2), {"block": 1}), stages_sql([_BI, {"block": "CASE WHEN j >= 5 AND j < 45 THEN coalesce((b[ww] + b[w] + b + b[e] + b[ee]) / 5, 0) ELSE 0 END"}]) + "\n" + rounded_sql({"block": 1}, "s2"))
 
 # Spectra, eigenvalues and the rest of the levels' operators.
 _add("sphere_trunc_triangular", lambda s, d: rounded(ft.spectral_truncation(GRID, cube(s, d).select("t", "j", "i", "u"), "u", LATS, 12), {"u": 1}))
 _add("sphere_sh_synthesis_ilaplace", lambda s, d: rounded(ft.spectral_truncation(GRID, cube(s, d).select("t", "j", "i", "u"), "u", LATS, 12, True), {"u": 1e-12}))
+_add("sphere_helmholtz_wind", lambda s, d: rounded(ft.helmholtz_wind(GRID, cube(s, d), "u", "v", LATS, 12), {"vor": 1e5, "div": 1e5, "psi": 1e-6, "chi": 1e-6, "u_rot": 1, "v_rot": 1, "u_irr": 1, "v_irr": 1}))
+_add("sphere_regrid", lambda s, d: rounded(ft.spectral_regrid(GRID, cube(s, d).select("t", "j", "i", "u"), "u", LATS, 12, [-60.0 + 5 * k for k in range(25)], 72), {"u": 1}))
 _add("sphere_irot_wind", lambda s, d: rounded(ft.irrotational_wind(GRID, GRID.slices(cube(s, d)), "u", "v", LATS, 12), {"u_irr": 1, "v_irr": 1}))
 _add("filter_fill_nan", lambda s, d: rounded(ft.fill_nan(GRID, cube(s, d).withColumn("u", F.when(F.col("v").between(-1, 1), None).otherwise(F.col("u"))), "u"), {"u": 1}))
 _add("diag_def_3d", lambda s, d: rounded(ft.def_3d(GRID_Z, GRID_Z.slices(cube_z(s, d)), "u", "v", "w"), {"e_max": 1e6, "e_mid": 1e6, "e_min": 1e6}, ("t", "k", "j", "i")))

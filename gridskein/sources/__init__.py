@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .netcdf import netcdf_axes, read_netcdf
+
+__all__ = ["Catalogue", "Variable", "format_level", "instantaneous", "level_kind", "level_value", "netcdf_axes", "parse_level", "parse_time_unit", "read_arrays", "read_netcdf", "save_composites", "save_fields"]
 
 @dataclass(frozen=True)
 class Variable:
@@ -139,15 +142,6 @@ def read_arrays(spark: SparkSession, path: str, names: tuple[str, ...] = ("t", "
     return found.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
-def read_netcdf(spark: SparkSession, path: str):
-    """Needs the optional netCDF4 library."""
-    try:
-        import netCDF4  # noqa: F401
-    except ImportError as error:
-        raise NotImplementedError("netCDF files need the netCDF4 library; convert them to Parquet or .npz") from error
-    raise NotImplementedError("convert netCDF files to Parquet or .npz first")
-
-
 def parse_time_unit(value: Column, unit: str) -> Column:
     """Timestamps of numbers 'seconds|minutes|hours|days since <date>'."""
     m = re.fullmatch(r"(second|minute|hour|day)s? since (.+)", unit.strip())
