@@ -113,21 +113,16 @@ _add("line_normalize_lines", lambda s, d: rounded(ft.normalize_lines(GRID, _draw
     """ + rounded_sql({"density": 1e9}, "(SELECT t, j, i, sum(sqrt(pow(dx * di / 2, 2) + pow(dy * dj / 2, 2)) / 2 / (dx * dy / 4)) AS density FROM h JOIN c ON c.j = cy AND c.i = CAST(cx AS INTEGER) % 64 GROUP BY ALL)"))
 
 
-def _few(s, d):
-    few = cube(s, d).filter("t < 4")
-    return _fields(smooth_xy(GRID, smooth_xy(GRID, GRID.slices(few), "u", 3), "v", 3))
-
-
 def _line_out(lines):
     return lines.select(*[c for c in lines.columns if c in ("t", "type", "line_id", "pt")], F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "payload")
 
 
-_add("line_jetaxis", lambda s, d: _line_out(plans.jet_axes(GRID, _few(s, d), "u", "v", _cells(s), COARSE)))
-_add("line_jetaxis_ff_thres", lambda s, d: _line_out(plans.jet_axes_by_speed(GRID, _few(s, d), "u", "v", _cells(s), COARSE)))
-_add("line_frontline_at_maxcurv", lambda s, d: _line_out(plans.front_lines(GRID, _few(s, d), "th", "u", "v", _cells(s), True, COARSE)))
-_add("line_frontline_at_maxgrad", lambda s, d: _line_out(plans.front_lines(GRID, _few(s, d), "th", "u", "v", _cells(s), False, Config(frint_thres=1.0, frspd_thres=0.0))))
+_add("line_jetaxis", lambda s, d: _line_out(plans.jet_axes(GRID, _smooth(s, d), "u", "v", _cells(s), COARSE)))
+_add("line_jetaxis_ff_thres", lambda s, d: _line_out(plans.jet_axes_by_speed(GRID, _smooth(s, d), "u", "v", _cells(s), COARSE)))
+_add("line_frontline_at_maxcurv", lambda s, d: _line_out(plans.front_lines(GRID, _smooth(s, d), "th", "u", "v", _cells(s), True, COARSE)))
+_add("line_frontline_at_maxgrad", lambda s, d: _line_out(plans.front_lines(GRID, _smooth(s, d), "th", "u", "v", _cells(s), False, Config(frint_thres=1.0, frspd_thres=0.0))))
 for _kind, _name in (("convergence", "convline"), ("vorticity", "vorline"), ("deformation", "defline")):
-    _add(f"line_{_name}", lambda s, d, k=_kind: _line_out(plans.wind_lines(GRID, _few(s, d), "u", "v", _cells(s), k, COARSE)))
+    _add(f"line_{_name}", lambda s, d, k=_kind: _line_out(plans.wind_lines(GRID, _smooth(s, d), "u", "v", _cells(s), k, COARSE)))
 
 # Contours and events.
 
@@ -166,12 +161,12 @@ _add("event_track_events", lambda s, d: tk.track_events(_points(s, d).filter(_fe
     SELECT event, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS label FROM f""")
 
 # Lows and tracks.
-_add("cyc_cyclone_by_contour", lambda s, d: ft.cyclone_by_contour(GRID, _few(s, d), "msl", "oro", COARSE).select("t", "id", "lat", "lon", "lowest", "outer", "size", F.size("cells").alias("n")))
-_add("cyc_precip_blobs", lambda s, d: ft.precip_blobs(GRID, _few(s, d), "rain", 500.0).select("t", "id", "lat", "lon", "peak", "size", F.size("cells").alias("n")))
+_add("cyc_cyclone_by_contour", lambda s, d: ft.cyclone_by_contour(GRID, _smooth(s, d), "msl", "oro", COARSE).select("t", "id", "lat", "lon", "lowest", "outer", "size", F.size("cells").alias("n")))
+_add("cyc_precip_blobs", lambda s, d: ft.precip_blobs(GRID, _smooth(s, d), "rain", 500.0).select("t", "id", "lat", "lon", "peak", "size", F.size("cells").alias("n")))
 
 
 def _attributed(s, d):
-    c = _few(s, d)
+    c = _smooth(s, d)
     blobs = ft.precip_blobs(GRID, c, "rain", 500.0)
     masks = c.filter("u > 1.5").select("t", F.lit("A").alias("name"), "j", "i").unionByName(c.filter("u < -1.5").select("t", F.lit("B").alias("name"), "j", "i"))
     return ft.attribute_to_features(blobs, masks, c, "rain")
