@@ -86,20 +86,27 @@ def log_probabilities(p: dict[str, np.ndarray], states: np.ndarray, ids: np.ndar
         back = prob @ p["wc"].T
     order = np.argsort(cls, kind="stable")
     cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    order = order[: cuts[-1]]  # rare words have no further part
+    sorted_states, words = states[order], ids[order] % CLASS_SIZE
+    more, more_back = np.zeros(len(order)), np.zeros_like(sorted_states)
     for k in range(CLASSES):
-        at = order[cuts[k] : cuts[k + 1]]
-        if not len(at):
+        at = slice(cuts[k], cuts[k + 1])
+        m = cuts[k + 1] - cuts[k]
+        if not m:
             continue
         own = slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
-        logits = states[at] @ p["ww"][own].T + p["bw"][own]
+        logits = sorted_states[at] @ p["ww"][own].T + p["bw"][own]
         prob, norm = _softmax(logits)
-        word = ids[at] - k * CLASS_SIZE
-        out[at] += logits[np.arange(len(at)), word] - norm
+        here = np.arange(m), words[at]
+        more[at] = logits[here] - norm
         if grads is not None:
-            prob[np.arange(len(at)), word] -= 1
-            grads["ww"][own] += prob.T @ states[at]
+            prob[here] -= 1
+            grads["ww"][own] += prob.T @ sorted_states[at]
             grads["bw"][own] += prob.sum(axis=0)
-            back[at] += prob @ p["ww"][own]
+            more_back[at] = prob @ p["ww"][own]
+    out[order] += more
+    if grads is not None:
+        back[order] += more_back
     return out, back
 
 
@@ -135,30 +142,35 @@ class Trainer:
         p, u, steps = self.p, UNITS, ids.shape[1]
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         h, states, cache = self.h, [], []
+        used, resets = ids.T.ravel(), fresh.any(axis=0)
+        x = (p["embed"][used] @ p["wx"] + p["b"]).reshape(steps, len(h), 3 * u)
         for t in range(steps):
-            h = np.where(fresh[:, t, None], 0, h).astype(np.float32)
+            if resets[t]:
+                h = np.where(fresh[:, t, None], np.float32(0), h)
             states.append(h)
-            x = p["embed"][ids[:, t]] @ p["wx"] + p["b"]
-            z, r, c, gc, new = _step(p, x, h)
+            z, r, c, gc, new = _step(p, x[t], h)
             cache.append((z, r, c, gc, h))
             h = new
         self.h = h
         every, good = np.concatenate(states), real.T.ravel()
         back = np.zeros_like(every)
-        _, back[good] = log_probabilities(p, every[good], ids.T.ravel()[good], grads)
+        _, back[good] = log_probabilities(p, every[good], used[good], grads)
         dh = np.zeros_like(h)
         gates = np.empty((steps, len(h), 3 * u), np.float32)
+        inner = np.empty_like(gates)
+        back = back.reshape(steps, len(h), u)
         for t in range(steps - 1, -1, -1):
             z, r, c, gc, h = cache[t]
             dz = dh * (h - c) * z * (1 - z)
             dc = dh * (1 - z) * (1 - c * c)
             dr = dc * gc * r * (1 - r)
-            gates[t] = np.concatenate([dz, dr, dc], axis=1)
-            inner = np.concatenate([dz, dr, dc * r], axis=1)
-            grads["wh"] += h.T @ inner
-            dh = (dh * z + inner @ p["wh"].T) * ~fresh[:, t, None] + back[t * len(h) : (t + 1) * len(h)] * ~fresh[:, t, None]
+            gates[t, :, :u], gates[t, :, u : 2 * u], gates[t, :, 2 * u :] = dz, dr, dc
+            inner[t, :, : 2 * u], inner[t, :, 2 * u :] = gates[t, :, : 2 * u], dc * r
+            dh = dh * z + inner[t] @ p["wh"].T + back[t]
+            if resets[t]:
+                dh *= ~fresh[:, t, None]
         rows = gates.reshape(-1, 3 * u)
-        used = ids.T.ravel()
+        grads["wh"] += every.T @ inner.reshape(-1, 3 * u)
         grads["b"] += rows.sum(axis=0)
         grads["wx"] += p["embed"][used].T @ rows
         np.add.at(grads["embed"], used, rows @ p["wx"].T)

@@ -11,9 +11,8 @@ document from its first token to its last.
 Scale: word counts are summed with map-side combination under 64-bit hashes.
 The TOP most frequent words, a fixed number, go to all tasks; scoring needs a
 shuffle for the remaining words only, which aren't frequent, so no key is hot.
-The recurrent weights are trained on the whole texts of a fixed share of the
-training documents (SHARE; more input, more training), part by part, and
-averaged; the weights have a fixed size.
+The recurrent weights are trained on the whole texts of all training documents,
+part by part, and averaged; the weights have a fixed size.
 """
 
 from __future__ import annotations
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 from . import _gru
 from ._common import materialise
 
-#: Most frequent words that all tasks hold; share of the training documents that train the recurrent weights.
-TOP, SHARE = 100_000, 1 / 8
+#: Most frequent words that all tasks hold.
+TOP = 100_000
 #: Different words a task counts before it passes them on, words a worker remembers, documents scored side by side.
 FLUSH, REMEMBER, SIDE = 200_000, 400_000, 5_000
 #: Added to every count.
@@ -157,7 +156,7 @@ def _score_rows(names: list[str], top: np.ndarray, counts: np.ndarray, weights:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """All counts (a table h, rare, n), the top words of it, the weights, and sums: tokens, distinct words, log10 of the rare classes' totals."""
+    """All counts (a table h, rare, n), the top words of it, the weights, and sums: tokens, distinct words, log10 of the rare classes' totals, tokens that trained the weights."""
 
     table: DataFrame
     top: np.ndarray
@@ -166,14 +165,15 @@ class LanguageModel:
     tokens: int
     distinct: int
     rare_norms: np.ndarray
+    trained: int
 
 
 def _bytes_of(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
     return docs.select(*more, F.col(f"`{text_col}`").cast("string").cast("binary").alias("__t"))
 
 
-def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, top: int = TOP) -> LanguageModel:
-    """Counts over all of ``docs`` (null texts: empty); recurrent weights from the share of them that a hash of id and text picks."""
+def train_language_model(docs: DataFrame, text_col: str = "text", top: int = TOP) -> LanguageModel:
+    """Counts over all of ``docs`` (null texts: empty), which train the recurrent weights too."""
     counted = _bytes_of(docs, text_col).mapInArrow(_count_rows, "h long, rare int, n long")
     counted = materialise(counted.groupBy("h").agg(F.first("rare").alias("rare"), F.sum("n").alias("n")), "counts")
     sizes = counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect()
@@ -199,11 +199,10 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     tokens = int(frequent.sum() + rare[:, 0].sum())
     distinct = int((frequent > 0).sum() + rare[:, 1].sum())
     start = _gru.flat(_gru.initial(frequent, rare[:, 0]))
-    chosen = docs.filter(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    trained = _bytes_of(chosen, text_col).mapInArrow(_train_rows(hashes, counts, start), "k long, w double")
+    trained = _bytes_of(docs, text_col).mapInArrow(_train_rows(hashes, counts, start), "k long, w double")
     summed = trained.groupBy("k").agg(F.sum("w").alias("w")).toPandas().sort_values("k")["w"].to_numpy()
     weights = (summed[:-1] / summed[-1]).astype(np.float32) if len(summed) else start
-    return LanguageModel(counted, hashes, counts, weights, tokens, distinct, np.log10(rare[:, 0] + ADD * (rare[:, 1] + 1)))
+    return LanguageModel(counted, hashes, counts, weights, tokens, distinct, np.log10(rare[:, 0] + ADD * (rare[:, 1] + 1)), int(summed[-1]) if len(summed) else 0)
 
 
 def score_documents(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from gridskein.llm import lm_scoring
 from gridskein.queries import QUERIES
 
 from .oracle import DATA
@@ -13,3 +14,9 @@ FEATURES = "line_jetaxis line_jetaxis_ff_thres line_frontline_at_maxcurv line_fr
 @pytest.mark.parametrize("name", FEATURES)
 def test_features_of_all_slices(spark, name):
     assert {r.t for r in QUERIES[name](spark, SF).select("t").distinct().collect()} == set(range(10))
+
+
+def test_all_training_documents_train_the_weights(spark):
+    docs = spark.createDataFrame([(k, f"a b{k % 7} c {k}") for k in range(200)], "doc_id long, text string").repartition(3)
+    model = lm_scoring.train_language_model(docs)
+    assert model.trained == model.tokens == 1000
