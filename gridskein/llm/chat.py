@@ -5,7 +5,8 @@ their start).  Quoted passages are normalised (lower case, white space) and
 hashed line by line and joined with the messages of the same conversation that
 have such a line of their own; a quoted line belongs to the latest earlier one.
 A message replies to the message that most of its outermost quoted lines belong
-to, the latest of those with most.  Replies make threads; a conversation in reply
+to, the latest of those with most; with ``nested``, lines of deeper levels are
+linked too and decide where none of the levels above finds an original.  Replies make threads; a conversation in reply
 order has its threads by their first turns and each thread's messages by turn,
 without the quotes.
 
@@ -44,18 +45,18 @@ def normalised(line: Column) -> Column:
 
 
 def _latest_earlier(lines: DataFrame) -> DataFrame:
-    """For each quoted line (conv, turn, hash) the latest earlier turn that has it as its own."""
+    """For each quoted line (conv, turn, level, hash) the latest earlier turn that has it as its own."""
     own = lines.filter("level = 0").select("conv", "hash", "turn").distinct()
-    quoted = lines.filter("level = 1").groupBy("conv", "hash", "turn").agg(F.count(F.lit(1)).alias("n"))
+    quoted = lines.filter("level > 0").groupBy("conv", "hash", "turn", "level").agg(F.count(F.lit(1)).alias("n"))
     own = own.join(quoted.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
-    marked = own.select("conv", "hash", "turn", F.col("turn").alias("own"), F.lit(0).cast("long").alias("n"))
-    marked = marked.unionByName(quoted.select("conv", "hash", "turn", F.lit(None).cast("long").alias("own"), "n"))
+    marked = own.select("conv", "hash", "turn", F.lit(0).cast("long").alias("level"), F.col("turn").alias("own"), F.lit(0).cast("long").alias("n"))
+    marked = marked.unionByName(quoted.select("conv", "hash", "turn", "level", F.lit(None).cast("long").alias("own"), "n"))
     marked = marked.withColumn("block", F.floor(F.col("turn") / BLOCK))
     before = Window.partitionBy("conv", "hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = marked.groupBy("conv", "hash", "block").agg(F.max("own").alias("own")).withColumn("carried", F.max("own").over(before)).drop("own")
     within = Window.partitionBy("conv", "hash", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = marked.withColumn("latest", F.max("own").over(within)).filter("n > 0").join(carried, ["conv", "hash", "block"])
-    return found.select("conv", "turn", "n", F.coalesce("latest", "carried").alias("original")).filter("original IS NOT NULL")
+    return found.select("conv", "turn", "level", "n", F.coalesce("latest", "carried").alias("original")).filter("original IS NOT NULL")
 
 
 def _threads(replies: DataFrame) -> DataFrame:
@@ -69,13 +70,14 @@ def _threads(replies: DataFrame) -> DataFrame:
         links = materialise(moved.select("conv", "turn", F.coalesce("next", "root").alias("root")), "threads")
 
 
-def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
+def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", nested: bool = False) -> DataFrame:
     """All columns of ``messages`` with the text's quotes taken out, and reply_to, thread, n_quoted, n_linked.
 
     reply_to is the turn of the message replied to (null: none found), thread the
     turn that its thread begins with (its own for a message that replies to none),
     n_quoted the number of its quoted lines that aren't blank, n_linked those of
-    level 1 that were found in earlier messages.  Sorted by conversation, thread
+    level 1 (with ``nested`` of every level) that were found in earlier messages.
+    With ``nested``, reply_to comes from the least level that finds an original.  Sorted by conversation, thread
     and turn this is the reply-ordered conversation.  Own lines keep their text;
     blank lines at either end of what is left go.  Null texts stay null and null
     conversations or turns are in no thread (thread null).  Rows that repeat
@@ -88,10 +90,12 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     text = F.col(f"`{text_col}`").cast("string")
     base = messages.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").cast("long").alias("turn"), text.alias("text")).filter("conv IS NOT NULL AND turn IS NOT NULL")
     lines = base.select("conv", "turn", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.select("conv", "turn", quote_level(F.col("line")).alias("level"), normalised(unquoted(F.col("line"))).alias("line")).filter("line <> '' AND level < 2")
+    lines = lines.select("conv", "turn", quote_level(F.col("line")).alias("level"), normalised(unquoted(F.col("line"))).alias("line")).filter("line <> ''")
+    if not nested:
+        lines = lines.filter("level < 2")
     lines = lines.select("conv", "turn", "level", F.md5("line").alias("hash"))
-    found = _latest_earlier(lines).groupBy("conv", "turn", "original").agg(F.sum("n").alias("n"))
-    replies = found.groupBy("conv", "turn").agg(F.max_by("original", F.struct("n", "original")).alias("reply_to"), F.sum("n").alias("n_linked"))
+    found = _latest_earlier(lines).groupBy("conv", "turn", "level", "original").agg(F.sum("n").alias("n"))
+    replies = found.groupBy("conv", "turn").agg(F.max_by("original", F.struct(-F.col("level"), "n", "original")).alias("reply_to"), F.sum("n").alias("n_linked"))
     replies = materialise(replies, "replies")
     links = replies.join(_threads(replies), ["conv", "turn"]).select(F.col("conv").alias(conv), F.col("turn").alias(turn), "reply_to", "n_linked", "thread")
     split = F.split(text, "\n")

@@ -62,7 +62,7 @@ def op4_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations`` in reply order, without quotes."""
-    return link_quotations(table(spark, sf_dir, "conversations")).select("conv_id", "thread", "turn", "role", "reply_to", "n_quoted", "n_linked", "text")
+    return link_quotations(table(spark, sf_dir, "conversations"), nested=True).select("conv_id", "thread", "turn", "role", "reply_to", "n_quoted", "n_linked", "text")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

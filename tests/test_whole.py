@@ -1,8 +1,12 @@
 """Queries read their whole tables."""
 
+import collections
+import random
+
 import pytest
 
-from gridskein.llm import lm_scoring
+from gridskein.llm import chat, lm_scoring
+from gridskein.llm import queries as llm
 from gridskein.queries import QUERIES
 
 from .oracle import DATA
@@ -20,3 +24,36 @@ def test_all_training_documents_train_the_weights(spark):
     docs = spark.createDataFrame([(k, f"a b{k % 7} c {k}") for k in range(200)], "doc_id long, text string").repartition(3)
     model = lm_scoring.train_language_model(docs)
     assert model.trained == model.tokens == 1000
+
+
+def _links(messages):
+    """{(conv, turn): (reply_to, n_linked)} by brute force; messages are (conv, turn, role, text)."""
+    out = {}
+    for conv, turn, _, text in messages:
+        votes = collections.defaultdict(collections.Counter)
+        for line in text.split("\n"):
+            mark = line.replace(" ", "")
+            level, plain = len(mark) - len(mark.lstrip(">")), line.lstrip("> ").lower().strip()
+            earlier = [t for c, t, _, x in messages if c == conv and t < turn and plain in [y.lower().strip() for y in x.split("\n") if not y.startswith(">")]]
+            if level and plain and earlier:
+                votes[level][max(earlier)] += 1
+        reply = max((n, t) for t, n in votes[min(votes)].items())[1] if votes else None
+        out[conv, turn] = reply, sum(sum(v.values()) for v in votes.values())
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_nested_quotes_are_linked(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    rng = random.Random(4)
+    # The second conversation's turn 3 quotes nested text only; its turn 4's level 1 original is in no message.
+    messages = [(8, 1, "user", "alpha"), (8, 2, "user", "beta"), (8, 3, "user", "> > alpha\nyes"), (8, 4, "user", "> gone\n>> beta\n>> beta\n> > > alpha"), (8, 5, "user", "> alpha\n>> beta\n>> beta")]
+    for turn in range(12):
+        marks = [rng.choice(["", "> ", ">> ", "> > > "]) for _ in range(4)]
+        messages.append((9, turn, "user", "\n".join(f"{m}line {rng.randint(0, 15)}" for m in marks)))
+    spark.createDataFrame(messages, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = llm.op5_quotation_linking(spark, str(tmp_path)).collect()
+    found = {(r.conv_id, r.turn): (r.reply_to, r.n_linked) for r in rows}
+    assert found == _links(messages)
+    assert [found[8, k][0] for k in (3, 4, 5)] == [1, 2, 1]
+    assert {r.turn: r.thread for r in rows if r.conv_id == 8} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 1}
