@@ -3,6 +3,8 @@
 import collections
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from gridskein.llm import chat, lm_scoring
@@ -57,3 +59,63 @@ def test_nested_quotes_are_linked(spark, tmp_path, monkeypatch, block):
     assert found == _links(messages)
     assert [found[8, k][0] for k in (3, 4, 5)] == [1, 2, 1]
     assert {r.turn: r.thread for r in rows if r.conv_id == 8} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 1}
+
+
+def _places():
+    """Event ids, users, seconds, longitudes and latitudes of all events, as the queries place them."""
+    e = pd.read_parquet(f"{SF}/events.parquet").sort_values("event_id")
+    s = e["ts"].astype("datetime64[us]").astype("int64").to_numpy() // 1_000_000
+    user = e["user_id"].to_numpy()
+    return e["event_id"].to_numpy(), user, s, (user * 7.0 + s / 86400) % 360, user % 60 + e["value"].astype(float).to_numpy() / 100
+
+
+def _km(lat, lon, lats, lons):
+    a, b = np.radians(lat), np.radians(lats)
+    return 2 * 6371 * np.arcsin(np.sqrt(np.minimum(1, np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lons - lon) / 2) ** 2)))
+
+
+def _groups(nodes, pairs):
+    """{node: least node of its component}."""
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            root[n] = n = root[root[n]]
+        return n
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_all_events_are_tracked(spark):
+    event, user, s, lon, lat = _places()
+    pairs = [(event[k], event[n]) for k in range(len(event)) for n in np.flatnonzero((s > s[k]) & (s - s[k] <= 86400) & (_km(lat[k], lon[k], lat, lon) < 60))]
+    groups = _groups(event.tolist(), pairs)
+    rank = {g: k for k, g in enumerate(sorted(set(groups.values())))}
+    assert user.max() >= 12 and len(rank) < len(event)
+    assert {r.event: r.label for r in QUERIES["event_track_events_whole"](spark, SF).collect()} == {e: rank[g] for e, g in groups.items()}
+
+
+def test_all_cyclones_are_linked(spark, tmp_path):
+    # 40 and more are users that the queries with SQL leave out.
+    rows = [(60 * u + k, 1704067200 + 3600 * (6 * k + u), u, float(10 * (k % 3))) for u in (1, 2, 41, 46, 97) for k in range(30)]
+    frame = spark.createDataFrame(rows, "event_id long, s long, user_id long, value double")
+    frame.selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "'x' AS event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    event, s, user, value = map(np.array, zip(*rows, strict=True))
+    lon, lat = (user * 7.0 + s / 86400) % 360 % 40, 40 + (user % 60 + value / 100) / 4
+    radius = lambda x: 0.13 / (2 * 7.29e-5 * np.sin(np.radians(np.abs(x))))
+    near = collections.defaultdict(set)
+    for k in range(len(rows)):
+        for n in np.flatnonzero((user != user[k]) & (np.abs(s - s[k]) <= 129600) & (_km(lat[k], lon[k], lat, lon) / radius((lat[k] + lat) / 2) <= 1)):
+            near[int(user[k]), int(user[n])].add((int(s[k]), lat[k], lon[k]))
+    ends = {ab: (min(p), max(p)) for ab, p in near.items() if len(p) >= 2}
+    way = {ab: float(_km(*x[1:], *y[1:]) / radius((x[1] + y[1]) / 2)) for ab, (x, y) in ends.items()}
+    both = [(a, b) for a, b in ends if a < b and (b, a) in ends]
+    want = {(a, b): (way[a, b] + way[b, a] >= 3) + 2 * (sum(ends[x][1][0] - ends[x][0][0] for x in ((a, b), (b, a))) >= 2 * 48 * 3600) for a, b in both}
+    want = {ab: link for ab, link in want.items() if link}
+    assert {(r.a, r.b): r.link for r in QUERIES["cyc_connect_cyclones_whole"](spark, str(tmp_path)).collect()} == want
+    assert any(b >= 40 for _, b in want)
+    clusters = _groups(sorted(set(user.tolist())), [ab for ab, link in want.items() if link in (1, 3)])
+    assert {r.id: r.cluster for r in QUERIES["cyc_cyclone_clusters_whole"](spark, str(tmp_path)).collect()} == clusters
