@@ -1,17 +1,17 @@
-"""Main text of HTML pages by structure and a suffix array of each host.
+"""Main text of HTML pages by structure and hashes of block runs that a host repeats.
 
 A page's token stream is its blocks (paragraphs, list items, headings) in page
-order.  The streams of a host together have a suffix array: every suffix is
-sorted on its first blocks, as many as have ``words`` words, so suffixes that
-begin with the same long substring meet.  What a share of the host's distinct
-pages (and PAGES of them at least) repeat is boilerplate where the markup
-leaves it open:
+order.  Every suffix of a stream is hashed on its first blocks, as many as have
+``words`` words, so suffixes of a host that begin with the same long substring
+meet; suffixes with fewer words aren't looked at.  What enough of the host's
+distinct pages (PAGES at least) repeat is boilerplate where the markup leaves it
+open:
 
 * on pages with an article (``article`` or ``main``), the article's blocks stay,
   unless a substring covers them that half of the host's pages have outside
   their articles (a notice that some templates put into the article);
 * on pages without one, all blocks stay but those that a substring covers which
-  a fifth of the host's pages have.
+  PAGES of the host's pages have, however many pages the host has.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments go by their markup in any case.  Pages with equal streams are
@@ -40,8 +40,8 @@ from ._common import keyed, materialise
 
 #: Words of a long substring, pages that make it boilerplate, rows that may be broadcast.
 WORDS, PAGES, BROADCAST_ROWS = 8, 3, 50_000
-#: Shares of a host's distinct pages: that have a substring outside articles, that have it at all.
-OUTSIDE_SHARE, ANY_SHARE = 0.5, 0.2
+#: Share of a host's distinct pages that have a substring outside articles.
+OUTSIDE_SHARE = 0.5
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -225,10 +225,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     once = distinct.select("host", F.explode(F.array_distinct(F.transform("grams", lambda g: F.struct(g["gram"].alias("gram"), (g["zone"] == 0).alias("out"))))).alias("g"))
     counts = once.groupBy("host", "g.gram").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("g.out").cast("long")).alias("out")).filter(F.col("n") >= min_pages)
     sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
-    least = lambda share: F.greatest(F.lit(min_pages), share * F.col("size"))
-    repeated = counts.join(sizes, "host").select("host", "gram", (F.col("n") >= least(ANY_SHARE)).alias("common"), (F.col("out") >= least(OUTSIDE_SHARE)).alias("template")).filter("common OR template")
+    least = F.greatest(F.lit(min_pages), OUTSIDE_SHARE * F.col("size"))
+    repeated = counts.join(sizes, "host").select("host", "gram", (F.col("out") >= least).alias("template"))
     open_ = streams.select("__id", "__th", "host", F.explode("grams").alias("g")).filter("g.zone > 0").select("__id", "__th", "host", "g.*")
-    found = open_.join(repeated, ["host", "gram"]).filter("template OR zone = 1 AND common")
+    found = open_.join(repeated, ["host", "gram"]).filter("template OR zone = 1")
     found = materialise(found.groupBy("__id", "__th").agg(F.collect_set(F.struct("a", "b")).alias("__runs")), "boilerplate")
     small = F.broadcast(found) if found.count() <= broadcast_rows else found
     joined = rows.join(small, ["__id", "__th"], "left").select(*[F.col(f"`{c}`") for c in names], html.alias("__html"), "__runs")

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from gridskein.llm import chat, lm_scoring
+from gridskein.llm import chat, html_extract, lm_scoring
 from gridskein.llm import queries as llm
 from gridskein.queries import QUERIES
 
@@ -119,3 +119,12 @@ def test_all_cyclones_are_linked(spark, tmp_path):
     assert any(b >= 40 for _, b in want)
     clusters = _groups(sorted(set(user.tolist())), [ab for ab, link in want.items() if link in (1, 3)])
     assert {r.id: r.cluster for r in QUERIES["cyc_cyclone_clusters_whole"](spark, str(tmp_path)).collect()} == clusters
+
+
+def test_boilerplate_is_counted_in_pages(spark):
+    notice = "please note that this shop is closed on all public holidays"
+    pages = [(k, f"http://a.example/{k}", f"<p>first text {k} of this page with its own words</p>{f'<p>{notice}</p>' if k < 4 else ''}<p>last text {k} of this page with its own words</p>") for k in range(40)]
+    pages += [(100 + k, f"http://b.example/{k}", f"<p>text {k} of this page</p><p>{notice}</p>") for k in range(2)]
+    found = html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id for r in found if notice in r.main_text} == {100, 101}
+    assert all(f"first text {r.page_id} of" in r.main_text and f"last text {r.page_id} of" in r.main_text for r in found if r.page_id < 100)
