@@ -36,15 +36,25 @@ def qgram_buckets(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def bucket_at(buckets: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Identifiers of length ``length`` (Q or more) at some positions, refined from the q-gram buckets."""
+def _part_size(length: int) -> int:
+    """The largest power of two times Q below a length (Q at least): two such parts cover a string of it."""
     half = Q
     while half * 2 < length:
         half *= 2
+    return half
+
+
+def half_ids(buckets: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of the two overlapping parts of strings of ``length`` bytes (Q or more) at some positions."""
+    half = _part_size(length)
+    return bucket_at(buckets, at, half), bucket_at(buckets, at + (length - half), half)
+
+
+def bucket_at(buckets: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Identifiers of length ``length`` (Q or more) at some positions, refined from the q-gram buckets."""
     if length <= Q:
         return buckets[at]
-    level = 6 + (half // Q).bit_length()
-    return _pair(bucket_at(buckets, at, half), bucket_at(buckets, at + (length - half), half), level)
+    return _pair(*half_ids(buckets, at, length), 6 + (_part_size(length) // Q).bit_length())
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:

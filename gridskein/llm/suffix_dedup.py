@@ -3,18 +3,26 @@
 Method: bucket-pointer refinement, spread over a cluster.  Only *anchors* get
 into the suffix array: of all q-grams of a window of ``length`` bytes the
 leftmost with the least bucket identifier, so equal windows have anchors at
-equal offsets and none is missed.  Initial buckets hold the anchors with equal
-q-grams.  A bucket is refined by the identifiers of the anchors' whole contexts
-(made of the identifiers at later offsets); buckets of one member are done, and
-so are contexts that occur twice.  What remains is refined by sorting on the
-identifiers of a window's parts at later offsets, window by window.  Every level
-reuses the identifiers of the level before it.
+equal offsets and none is missed.  An anchor stands for a run of windows, and
+the bytes of that run are its context.
+
+Each level splits runs of windows into shorter ones and sorts them into buckets
+by the identifier of the *core*, the bytes that all windows of a run share.  A
+run alone in its bucket has no repeated window and is done; runs with equal
+contexts are repeated as a whole and done too.  What remains goes to the next
+level, which reuses the identifiers of the level before:
+
+1. whole runs, then their halves left and right of the middle (identifiers of
+   later and earlier offsets, made in the scan that finds the anchors);
+2. an eighth of a half;
+3. single windows.
+
+Contexts are compared by two 64-bit identifiers of different strings.
 
 Scale: one scan of the texts yields an anchor for about 150 bytes; all shuffles
-but two move anchors, not texts.  Equal contexts are counted with map-side
-combination, so thousands of copies cost no more than two.  A bucket with more
-than ``HOT`` different contexts isn't gathered: its windows are counted one by
-one under their own identifiers, which spreads it over all tasks.
+but two move anchors, not texts.  Every level only counts: no bucket is gathered
+in a task, copies are combined before each shuffle, and a level adds a fixed
+number of rows for a run that is open, whatever the bucket's size.
 """
 
 from __future__ import annotations
@@ -27,16 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import keyed, materialise
-from ._repeat_kernel import Q, anchors, bucket_at
+from ._repeat_kernel import Q, anchors, bucket_at, half_ids, qgram_buckets
 
 #: Bytes of text handled at a time (the arrays then fit a processor's cache).
 CHUNK = 1 << 16
 #: Bytes of a longer text handled at a time.
 PIECE = 1 << 20
-#: Members of a bucket that one task gathers; larger ones are spread by window.
-HOT = 250
+#: Parts of half a run of windows at the second level.
+PARTS = 8
+#: Runs of windows that a task expands at a time.
+RUNS = 1000
 
-_ANCHOR = "__id string, __th long, x long, lo long, hi long, h long, f long"
+_ANCHOR = "__id string, __th long, x long, lo long, hi long, h long, f long, a long, b long"
+_BODY = "__id string, __th long, x long, s long, e long, settled boolean, body binary"
+_PART = "__id string, __th long, x long, settled boolean, of long, s long, e long"
 
 
 def _binary(column: pa.Array) -> pa.Array:
@@ -55,28 +67,39 @@ def _views(column: pa.Array) -> list[np.ndarray]:
     return [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _context(buckets, text_lo, text_hi, x, length):
-    """Identifiers of the contexts that decide an anchor's windows (all bytes that a window with it can have)."""
-    lo, hi = np.maximum(text_lo, x - (length - Q)), np.minimum(text_hi, x + length)
-    f = bucket_at(buckets, lo, length) * np.uint64(0x9E3779B97F4A7C15)
-    f ^= bucket_at(buckets, hi - length, length)
-    f ^= f >> np.uint64(31)
-    return f * np.uint64(0xBF58476D1CE4E5B9) + ((x - lo) * 4096 + (hi - lo)).astype(np.uint64)
+def _mix(*ids: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(ids[0])
+    for k in ids:
+        out = (out ^ k) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def _contexts(buckets, x, lo, hi, length):
+    """For anchors: identifiers of the context, and the buckets of the left and the right half (with masks: there is none)."""
+    first, last = half_ids(buckets, lo, length), half_ids(buckets, hi, length)
+    f = _mix(*first, *last, (x - lo).astype(np.uint64), (hi - lo).astype(np.uint64))
+    half = (length - Q) // 2
+    end = len(buckets) - 1 + Q
+    a = _mix(*half_ids(buckets, np.maximum(x - half, 0), half + Q))
+    b = ~_mix(*half_ids(buckets, np.minimum(x, end - (length - half + 1)), length - half + 1))
+    no_a, no_b = x - lo < half, x - hi >= half
+    a[no_a], b[no_b] = 0, 0
+    return f, a, b, no_a, no_b
 
 
 def _text_anchors(views: list[np.ndarray], length: int):
-    """(text, x, lo, hi, h, f) of all anchors of some texts; positions are the texts' own."""
+    """(text, x, lo, hi, h, f, a, b, no a, no b) of all anchors of some texts; positions are the texts' own."""
     out, group, size = [], [], 0
 
     def flush():
         if not group:
             return
         ends = np.cumsum([len(views[k]) for k in group])
-        begins = np.r_[0, ends[:-1]]
         buckets, text, x, lo, hi = anchors(np.concatenate([views[k] for k in group]), ends, length)
         if len(x):
-            f = _context(buckets, begins[text], ends[text], x, length)
-            out.append((np.array(group)[text], x - begins[text], lo - begins[text], hi - begins[text], buckets[x], f))
+            begin = np.r_[0, ends[:-1]][text]
+            out.append((np.array(group)[text], x - begin, lo - begin, hi - begin, buckets[x], *_contexts(buckets, x, lo, hi, length)))
         group.clear()
 
     for k, v in enumerate(views):
@@ -89,15 +112,13 @@ def _text_anchors(views: list[np.ndarray], length: int):
             group.append(k)
             size += len(v)
             continue
-        parts = []
-        for s in range(0, len(v) - length + 1, PIECE):
-            a, b = max(0, s - length), min(len(v), s + PIECE + 3 * length)
-            buckets, _, x, lo, hi = anchors(v[a:b], np.array([b - a]), length, s - a, s - a + PIECE)
-            f = _context(buckets, -a, len(v) - a, x, length) if len(x) else np.zeros(0, np.uint64)
-            parts.append((x + a, lo + a, hi + a, buckets[x], f))
-        x, lo, hi, h, f = (np.concatenate(p) for p in zip(*parts, strict=True))
-        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])  # a piece's end may split an anchor's windows
-        out.append((np.full(len(first), k), x[first], lo[first], hi[np.r_[first[1:] - 1, len(x) - 1]], h[first], f[first]))
+        for s in range(0, len(v) - Q + 1, PIECE):  # a piece has the anchors in it, with all their windows
+            a, b = max(0, s - length), min(len(v), s + PIECE + length)
+            buckets, _, x, lo, hi = anchors(v[a:b], np.array([b - a]), length)
+            own = (x >= s - a) & (x < s - a + PIECE)
+            x, lo, hi = x[own], lo[own], hi[own]
+            if len(x):
+                out.append((np.full(len(x), k), x + a, lo + a, hi + a, buckets[x], *_contexts(buckets, x, lo, hi, length)))
     flush()
     return out
 
@@ -105,116 +126,67 @@ def _text_anchors(views: list[np.ndarray], length: int):
 def _anchor_rows(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, x, lo, hi, h, f in _text_anchors(_views(batch["__t"]), length):
+            for text, x, lo, hi, h, f, a, b, no_a, no_b in _text_anchors(_views(batch["__t"]), length):
                 at = pa.array(text)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["__id"].take(at), batch["__th"].take(at), pa.array(x), pa.array(lo), pa.array(hi), pa.array(h.view(np.int64)), pa.array(f.view(np.int64))],
-                    ["__id", "__th", "x", "lo", "hi", "h", "f"],
-                )
+                ids = [pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(a.view(np.int64), mask=no_a), pa.array(b.view(np.int64), mask=no_b)]
+                columns = [batch["__id"].take(at), batch["__th"].take(at), pa.array(x), pa.array(lo), pa.array(hi), *ids]
+                yield pa.RecordBatch.from_arrays(columns, ["__id", "__th", "x", "lo", "hi", "h", "f", "a", "b"])
 
     return rows
 
 
-def _window_ids(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of a window's two overlapping parts, each refined from the buckets of its q-grams."""
-    from ._repeat_kernel import qgram_buckets
-
-    buckets = qgram_buckets(data)
-    half = Q
-    while half * 2 < length:
-        half *= 2
-    return bucket_at(buckets, starts, half), bucket_at(buckets, starts + (length - half), half)
-
-
-def _context_rows(length: int, hot: int):
-    """Joined rows (text, contexts) to contexts, or for hot buckets to windows."""
+def _body_rows(length: int):
+    """Joined rows (text, open runs) to runs with their bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            views, lists = _views(batch["__t"]), batch["contexts"]
+            views, lists = _views(batch["__t"]), batch["runs"]
             flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy()
             doc = np.repeat(np.arange(len(views)), sizes)
-            x, lo, hi, h, n, m = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "lo", "hi", "h", "n", "m"))
-            cold = np.flatnonzero(m <= hot)
-            if len(cold):
-                at = pa.array(doc[cold])
-                bodies = [views[doc[k]][lo[k] : hi[k] + length].tobytes() for k in cold]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[cold]), pa.array(n[cold]), batch["__id"].take(at), batch["__th"].take(at), pa.array((lo - x)[cold]), pa.array(lo[cold]), pa.array(bodies, pa.binary())],
-                    ["h", "n", "__id", "__th", "o", "lo", "body"],
-                )
-            warm = np.flatnonzero(m > hot)
-            for s in range(0, len(warm), 2000):
-                part = warm[s : s + 2000]
-                bodies = [views[doc[k]][lo[k] : hi[k] + length] for k in part]
-                begin = np.cumsum([0, *map(len, bodies)])[:-1]
-                w = (hi - lo)[part] + 1
-                which = np.repeat(np.arange(len(part)), w)
-                step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-                left, right = _window_ids(np.concatenate(bodies), begin[which] + step, length)
-                k = part[which]
-                key = left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(27)))
-                key = key * np.uint64(0x94D049BB133111EB) + h[k].view(np.uint64) + (x[k] - lo[k] - step).astype(np.uint64)
-                at = pa.array(doc[k])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(n[k]), batch["__id"].take(at), batch["__th"].take(at), pa.nulls(len(k), pa.int64()), pa.array(lo[k] + step), pa.nulls(len(k), pa.binary())],
-                    ["h", "n", "__id", "__th", "o", "lo", "body"],
-                )
+            s, e = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("s", "e"))
+            for k in range(0, len(doc), RUNS):
+                part = slice(k, k + RUNS)
+                at = pa.array(doc[part])
+                bodies = [views[d][i : j + length].tobytes() for d, i, j in zip(doc[part], s[part], e[part], strict=True)]
+                more = [flat.field(c).slice(k, len(bodies)) for c in ("x", "s", "e", "settled")]
+                yield pa.RecordBatch.from_arrays([batch["__id"].take(at), batch["__th"].take(at), *more, pa.array(bodies, pa.binary())], ["__id", "__th", "x", "s", "e", "settled", "body"])
 
     return rows
 
 
-def _refine(length: int):
-    """Rows sorted by bucket to the repeated windows of contexts that occur once, as byte runs."""
+def _split_rows(length: int, single: bool):
+    """Rows (run, body) to rows of shorter runs s to e: identifiers u, v of their bytes and, but for single windows, of the core."""
+    width = 1 if single else -(-((length - Q) // 2) // PARTS)
 
-    def bucket_runs(table: pa.Table) -> pa.RecordBatch:
-        h, n, o, lo = (table[c].to_numpy() for c in ("h", "n", "o", "lo"))
-        bodies = _views(table["body"].combine_chunks())
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bodies = _views(batch["body"])
+        x, s, e = (batch[c].to_numpy() for c in ("x", "s", "e"))
         sizes = np.array([len(b) for b in bodies])
-        w = sizes - length + 1
-        begin = np.cumsum(sizes) - sizes
-        which = np.repeat(np.arange(len(w)), w)
-        step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        left, right = _window_ids(np.concatenate(bodies), begin[which] + step, length)
-        rank = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
-        # Sort on the identifier at the windows' start; only shared buckets are sorted on, at the later offset.
-        place = (rank[which] * (4 * length) + (o[which] + step + 2 * length)).astype(np.uint64)
-        alive = np.arange(len(which))
-        for ids in (left + place * np.uint64(0x9E3779B97F4A7C15), right + place * np.uint64(0x9E3779B97F4A7C15)):
-            _, inverse, counts = np.unique(ids[alive], return_inverse=True, return_counts=True)
-            alive = alive[counts[inverse] > 1]
-        if len(alive):  # windows equal in both parts
-            pair = np.stack([left[alive], right[alive], place[alive]], axis=1)
-            order = np.lexsort(pair.T)
-            same = (pair[order][1:] == pair[order][:-1]).all(axis=1)
-            alive = np.sort(alive[order[np.r_[same, False] | np.r_[False, same]]])
-        alive = alive[n[which[alive]] == 1]
-        at, start = which[alive], lo[which[alive]] + step[alive]
-        new = np.r_[True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)][: len(at)]
-        first = np.flatnonzero(new)
-        final = np.r_[first[1:] - 1, len(at) - 1][: len(first)]
-        rows = pa.array(at[first])
-        return pa.RecordBatch.from_arrays(
-            [table["__id"].combine_chunks().take(rows), table["__th"].combine_chunks().take(rows), pa.array(start[first]), pa.array(start[final] + length)],
-            ["__id", "__th", "s", "e"],
-        )
+        # Parts by the anchor's offset in the window: x - e to x - s.
+        least, most = (x - e) // width, (x - s) // width
+        n = most - least + 1
+        of = np.repeat(np.arange(len(n)), n)
+        part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + least[of]
+        first, last = np.maximum(x[of] - part * width - (width - 1), s[of]), np.minimum(x[of] - part * width, e[of])
+        buckets = qgram_buckets(np.concatenate(bodies))
+        shift = (np.cumsum(sizes) - sizes - s)[of]  # from a text's positions to those of the joined bodies
+        u, v = half_ids(buckets, first + shift, length)
+        columns = {c: batch[c].take(pa.array(of)) for c in ("__id", "__th", "x", "settled")}
+        columns |= {"of": pa.array(s[of]), "s": pa.array(first), "e": pa.array(last)}
+        if not single:
+            place = ((x[of] - first) * 4096 + (last - first)).astype(np.uint64)
+            final = half_ids(buckets, last + shift, length)
+            u, v = _mix(u, final[0], place), _mix(v, final[1], place)
+            # All windows of the part have the bytes from its latest possible start to its earliest possible end.
+            core = _mix(*half_ids(buckets, x[of] - part * width + shift, length - width + 1), part.astype(np.uint64))
+            columns["core"] = pa.array(core.view(np.int64))
+        columns |= {"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))}
+        return pa.RecordBatch.from_pydict(columns)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for s in range(0, batch.num_rows, HOT):
-                part = batch.slice(s, HOT)
-                last = part["h"][part.num_rows - 1]
-                h = part["h"].to_numpy()
-                cut = int(np.searchsorted(h, last.as_py()))
-                if cut or (held and held[-1]["h"][0] != last):
-                    held.append(part.slice(0, cut))
-                    yield bucket_runs(pa.Table.from_batches([b for b in held if b.num_rows]))
-                    held = [part.slice(cut)]
-                else:
-                    held.append(part)
-        if held:
-            yield bucket_runs(pa.Table.from_batches(held))
+            for k in range(0, batch.num_rows, RUNS):
+                yield split(batch.slice(k, RUNS))
 
     return rows
 
@@ -246,28 +218,48 @@ def _keep(names: list[str]):
     return rows
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = HOT) -> DataFrame:
+def _shared(runs: DataFrame, key: str) -> DataFrame:
+    """Buckets of several different contexts, one of which at least isn't known to be repeated."""
+    return runs.groupBy(key).agg(F.count(F.lit(1)).alias("m"), F.bool_and("settled").alias("done")).filter("m > 1 AND NOT done").select(key)
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
     """Byte runs [s, e) of the documents, keyed as ``keyed`` does, whose windows of ``length`` bytes occur elsewhere."""
     if length < 2 * Q:
         raise ValueError(f"length must be at least {2 * Q}")
     texts = keyed(docs, id_col, text_col).select("__id", "__th", F.col(f"`{text_col}`").cast("string").cast("binary").alias("__t"))
     found = materialise(texts.filter(F.octet_length("__t") >= length).mapInArrow(_anchor_rows(length), _ANCHOR), "anchors")
-    # Refinement of the q-gram buckets by whole contexts; copies are combined before the shuffle.
-    contexts = found.groupBy("h", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__id", "__th", "x", "lo", "hi")).alias("r"))
-    buckets = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")).filter("m > 1 OR most > 1")
-    contexts = materialise(contexts.join(buckets.select("h", "m"), "h").select("h", "f", "n", "m", "r.*"), "contexts")
-    whole = found.join(contexts.filter("n > 1").select("h", "f"), ["h", "f"]).select("__id", "__th", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    open_ = contexts.filter("m > 1").groupBy("__id", "__th").agg(F.collect_list(F.struct("x", "lo", "hi", "h", "n", "m")).alias("contexts"))
-    bodies = materialise(texts.join(open_, ["__id", "__th"]).mapInArrow(_context_rows(length, hot), "h long, n long, __id string, __th long, o long, lo long, body binary"), "bodies")
-    runs = "__id string, __th long, s long, e long"
-    cold = bodies.filter("body IS NOT NULL").repartition("h").sortWithinPartitions("h").mapInArrow(_refine(length), runs)
-    windows = bodies.filter("body IS NULL")
-    shared = windows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    warm = windows.filter("n = 1").join(shared, "h").select("__id", "__th", F.col("lo").alias("s"), (F.col("lo") + length).alias("e"))
-    return whole.unionByName(cold).unionByName(warm)
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = HOT) -> DataFrame:
+    place = ["__id", "__th", "s", "e"]
+
+    # Level 1: whole contexts (equal ones are repeated), then their halves.
+    contexts = found.groupBy("h", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__id", "__th", "x", "lo", "hi", "a", "b")).alias("r"))
+    contexts = materialise(contexts.select("h", "f", (F.col("n") > 1).alias("settled"), "r.*"), "contexts")
+    whole = found.join(contexts.filter("settled").select("h", "f"), ["h", "f"]).select("__id", "__th", F.col("lo").alias("s"), F.col("hi").alias("e"))
+    middle = F.col("x") - (length - Q) // 2
+    left = F.struct(F.col("a").alias("core"), F.col("lo").alias("s"), F.least("hi", middle).alias("e"))
+    right = F.struct(F.col("b").alias("core"), F.greatest(F.col("lo"), middle + 1).alias("s"), F.col("hi").alias("e"))
+    halves = contexts.select("__id", "__th", "x", "settled", F.explode(F.array(left, right)).alias("half")).select("__id", "__th", "x", "settled", "half.*").filter("core IS NOT NULL")
+    open_ = halves.join(_shared(halves, "core"), "core").groupBy("__id", "__th").agg(F.collect_list(F.struct("x", "s", "e", "settled")).alias("runs"))
+    bodies = materialise(texts.join(open_, ["__id", "__th"]).mapInArrow(_body_rows(length), _BODY), "bodies")
+
+    # Level 2: parts of halves.
+    parts = materialise(bodies.mapInArrow(_split_rows(length, single=False), f"{_PART}, core long, u long, v long"), "parts")
+    kinds = parts.groupBy("core", "u", "v").agg(F.count(F.lit(1)).alias("n"), F.bool_or("settled").alias("settled"), F.min(F.struct("__id", "__th", "x", "of", "s", "e")).alias("r"))
+    kinds = materialise(kinds.select("core", "u", "v", (F.col("settled") | (F.col("n") > 1)).alias("settled"), "r.*"), "kinds")
+    partly = parts.filter("NOT settled").join(kinds.filter("settled").select("u", "v"), ["u", "v"]).select(place)
+    open_ = kinds.join(_shared(kinds, "core"), "core").select("__id", "__th", "x", "of", F.col("s").alias("ps"), F.col("e").alias("pe"), F.col("settled").alias("pt"))
+
+    # Level 3: single windows.
+    open_ = open_.join(bodies.select("__id", "__th", F.col("s").alias("of"), "body"), ["__id", "__th", "of"])
+    body = F.substr("body", F.col("ps") - F.col("of") + 1, F.col("pe") - F.col("ps") + length)
+    open_ = open_.select("__id", "__th", "x", F.col("ps").alias("s"), F.col("pe").alias("e"), F.col("pt").alias("settled"), body.alias("body"))
+    windows = materialise(open_.mapInArrow(_split_rows(length, single=True), f"{_PART}, u long, v long"), "windows")
+    several = windows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u", "v")
+    single = windows.filter("NOT settled").join(several, ["u", "v"]).select(place)
+    return whole.unionByName(partly).unionByName(single).withColumn("e", F.col("e") + length)
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
     """All columns of ``docs``, and ``kept`` (binary: the text's bytes without the removed ones) and ``removed`` (array of byte runs).
 
     A byte is removed if a string of ``length`` bytes that covers it also starts
@@ -282,7 +274,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.drop("kept", "removed")
     names = docs.columns
-    runs = repeated_runs(docs, id_col, text_col, length, hot).distinct()
+    runs = repeated_runs(docs, id_col, text_col, length).distinct()
     spans = materialise(runs.groupBy("__id", "__th").agg(F.collect_list(F.struct("s", "e")).alias("__spans")), "spans")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     joined = keyed(docs, id_col, text_col).join(spans, ["__id", "__th"], "left")

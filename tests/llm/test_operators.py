@@ -88,17 +88,30 @@ def _removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "hot"), [(64, 1000), (100, 3), (70, 0)])
-def test_suffix_dedup(spark, length, hot):
+@pytest.mark.parametrize("length", [64, 100, 70, 131])
+def test_suffix_dedup(spark, length):
     rng = random.Random(length)
     word = lambda n: "".join(rng.choice("abcdeé ") for _ in range(n))
     shared = [word(rng.randint(60, 300)) for _ in range(6)]
     texts = [None, "", "x" * 500, "ab" * 300, word(50)] + [word(rng.randint(0, 200)) + rng.choice(shared)[rng.randint(0, 30) :] + word(90) + rng.choice(shared) for _ in range(40)]
     texts += texts[5:8]
-    rows = {r.spans: r for r in suffix_dedup.suffix_dedup(_docs(spark, texts), length=length, hot=hot).collect()}
+    rows = {r.spans: r for r in suffix_dedup.suffix_dedup(_docs(spark, texts), length=length).collect()}
     assert [(bytes(rows[k].kept), len(rows[k].removed)) for k in range(len(texts))] == _removed(texts, length)
 
 
+def test_suffix_dedup_one_bucket(spark):
+    """Contexts that share one q-gram, or all but a byte, in one bucket."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = word(45), word(220)
+    texts = [word(rng.randint(80, 120)) + line + word(rng.randint(80, 120)) for _ in range(150)]
+    for _ in range(150):
+        at = rng.randrange(220)
+        texts.append(word(30) + passage[:at] + rng.choice("XYZ") + passage[at + 1 :] + word(30))
+    rows = {r.spans: r for r in suffix_dedup.suffix_dedup(_docs(spark, texts), length=100).collect()}
+    assert [(bytes(rows[k].kept), len(rows[k].removed)) for k in range(len(texts))] == _removed(texts, 100)
+
+
 def test_suffix_dedup_long_text_in_pieces(spark, monkeypatch):
     rng = random.Random(5)
     shared = "".join(rng.choice("abcdef") for _ in range(900))
