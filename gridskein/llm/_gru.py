@@ -8,7 +8,9 @@ import numpy as np
 CLASSES, CLASS_SIZE, RARE, UNITS = 32, 64, 32, 16
 VOCABULARY = CLASSES * CLASS_SIZE
 #: Streams trained side by side, tokens of a backpropagation window, step size.
-LANES, WINDOW, RATE = 32, 16, 0.01
+LANES, WINDOW, RATE = 256, 16, 0.02
+#: Rows of logits handled at a time (they then fit a processor's cache), and tokens whose probabilities are found together.
+ROWS, SCORED = 2048, 50_000
 
 #: Order of the parameters in a flat vector.
 SHAPES = {
@@ -51,63 +53,110 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _step(p, x, h):
-    """Gates and next state; x has the inputs' part of all gates."""
+    """Gates, candidate, its recurrent part and the next state; x has the inputs' part of all gates."""
     u = UNITS
     g = h @ p["wh"]
     zr = _sigmoid(x[:, : 2 * u] + g[:, : 2 * u])
-    z, r = zr[:, :u], zr[:, u:]
-    c = np.tanh(x[:, 2 * u :] + r * g[:, 2 * u :])
-    return z, r, c, g[:, 2 * u :], c + z * (h - c)
-
-
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = x.max(axis=1, keepdims=True)
-    e = np.exp(x - top)
-    s = e.sum(axis=1, keepdims=True)
-    return e / s, (np.log(s) + top)[:, 0]
-
-
-def log_probabilities(p: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log-probability of each id (of a rare word: of its class) after each state; with ``grads``, those of the loss are added and the states' returned."""
-    n = len(ids)
-    cls = np.where(ids < VOCABULARY, ids // CLASS_SIZE, ids - VOCABULARY + CLASSES)
-    logits = states @ p["wc"] + p["bc"]
-    prob, norm = _softmax(logits)
-    out = (logits[np.arange(n), cls] - norm).astype(np.float64)
-    back = None
-    if grads is not None:
-        prob[np.arange(n), cls] -= 1
-        grads["wc"] += states.T @ prob
-        grads["bc"] += prob.sum(axis=0)
-        back = prob @ p["wc"].T
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    order = order[: cuts[-1]]  # rare words have no further part
-    sorted_states, words = states[order], ids[order] % CLASS_SIZE
-    more, more_back = np.zeros(len(order)), np.zeros_like(sorted_states)
-    for k in range(CLASSES):
-        at = slice(cuts[k], cuts[k + 1])
-        m = cuts[k + 1] - cuts[k]
-        if not m:
-            continue
-        own = slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
-        logits = sorted_states[at] @ p["ww"][own].T + p["bw"][own]
-        prob, norm = _softmax(logits)
-        here = np.arange(m), words[at]
-        more[at] = logits[here] - norm
-        if grads is not None:
-            prob[here] -= 1
-            grads["ww"][own] += prob.T @ sorted_states[at]
-            grads["bw"][own] += prob.sum(axis=0)
-            more_back[at] = prob @ p["ww"][own]
-    out[order] += more
-    if grads is not None:
-        back[order] += more_back
-    return out, back
+    inner = g[:, 2 * u :]
+    c = zr[:, u:] * inner
+    c += x[:, 2 * u :]
+    np.tanh(c, out=c)
+    new = h - c
+    new *= zr[:, :u]
+    new += c
+    return zr, c, inner, new
+
+
+def _with_ones(states: np.ndarray) -> np.ndarray:
+    return np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)
+
+
+def _classes_of(ids: np.ndarray) -> np.ndarray:
+    return np.where(ids < VOCABULARY, ids // CLASS_SIZE, ids - VOCABULARY + CLASSES)
+
+
+class _Output:
+    """The two softmax layers as matrices with the bias as last row, for states with a last one."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.layers = [(slice(None), np.concatenate([p["wc"], p["bc"][None]]))]
+        every = np.concatenate([p["ww"].T, p["bw"][None]])
+        self.layers += [(k, np.ascontiguousarray(every[:, k * CLASS_SIZE : (k + 1) * CLASS_SIZE])) for k in range(CLASSES)]
+        classes = _classes_of(np.arange(VOCABULARY + RARE))
+        self.targets = self.layers[0][1].T[classes]  # an id's logits, summed: its class and, in it, itself
+        self.targets[:VOCABULARY] += every.T
+        # States lie in (-1, 1): whether no exponential can overflow, nor all of a row underflow.
+        reach = [np.abs(w[:-1]).sum(axis=0) for _, w in self.layers]
+        self.tame = [bool((w[-1] + r).max() < 60 and (w[-1] - r).max() > -60) for (_, w), r in zip(self.layers, reach, strict=True)]
+
+    def blocks(self, cls: np.ndarray):
+        """(layer, its matrix, tame, rows) for rows sorted by class."""
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))  # rare words have no second layer
+        for (k, w), tame in zip(self.layers, self.tame, strict=True):
+            first, last = (0, len(cls)) if isinstance(k, slice) else (cuts[k], cuts[k + 1])
+            for a in range(first, last, ROWS):
+                yield k, w, tame, slice(a, min(a + ROWS, last))
+
+
+def _exponentials(states: np.ndarray, w: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray | float]:
+    e = states @ w
+    top = 0.0
+    if not tame:
+        top = e.max(axis=1)
+        e -= top[:, None]
+    return np.exp(e, out=e), top
+
+
+def log_probabilities(p: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each id (of a rare word: of its class) after each state."""
+    ids = np.asarray(ids).astype(np.int16)
+    order = np.argsort(ids, kind="stable")
+    ids, states, layers = ids[order], _with_ones(states[order]), _Output(p)
+    found = np.einsum("ij,ij->i", states, layers.targets[ids]).astype(np.float64)
+    for _, w, tame, at in layers.blocks(_classes_of(ids)):
+        e, top = _exponentials(states[at], w, tame)
+        found[at] -= np.log(e @ np.ones(e.shape[1], e.dtype)) + top
+    out = np.empty(len(ids))
+    out[order] = found
+    return out
+
+
+def add_gradients(p: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray, grads: dict[str, np.ndarray]) -> np.ndarray:
+    """Add the gradients of the loss to those of the output's parameters; rows are sorted by id.  Returns the states' gradients."""
+    u, layers, cls = UNITS, _Output(p), _classes_of(ids)
+    states = _with_ones(states)
+    back = -layers.targets[ids][:, :u]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    sums, own = np.add.reduceat(states, first, axis=0), ids[first]
+    outer = np.zeros((CLASSES + RARE, u + 1), states.dtype)
+    np.subtract.at(outer, cls[first], sums)
+    grads["wc"] += outer[:, :u].T
+    grads["bc"] += outer[:, u]
+    frequent = own < VOCABULARY
+    grads["ww"][own[frequent]] -= sums[frequent, :u]
+    grads["bw"][own[frequent]] -= sums[frequent, u]
+    for k, w, tame, at in layers.blocks(cls):
+        e, _ = _exponentials(states[at], w, tame)
+        ends = e @ np.concatenate([w[:u].T, np.ones((w.shape[1], 1), w.dtype)], axis=1)
+        total = ends[:, u:]
+        back[at] += ends[:, :u] / total
+        more = (states[at] / total).T @ e
+        if isinstance(k, slice):
+            grads["wc"] += more[:u]
+            grads["bc"] += more[u]
+        else:
+            inside = slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
+            grads["ww"][inside] += more[:u].T
+            grads["bw"][inside] += more[u]
+    return back
 
 
 class Trainer:
@@ -117,7 +166,6 @@ class Trainer:
         self.p = {k: v.copy() for k, v in p.items()}
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
-        self.h = np.zeros((lanes, UNITS), np.float32)
         self.lanes, self.window, self.rate, self.steps, self.seen = lanes, window, rate, 0, 0
 
     def train(self, docs: list[np.ndarray]) -> None:
@@ -125,60 +173,78 @@ class Trainer:
         sizes = np.array([len(d) for d in docs])
         if not sizes.sum():
             return
-        stream = np.concatenate(docs)
+        stream = np.concatenate(docs).astype(np.int16)
         fresh = np.zeros(len(stream), bool)
         fresh[np.cumsum(sizes) - sizes] = True
-        length = -(-len(stream) // self.lanes)
-        pad = length * self.lanes - len(stream)
-        real = np.r_[np.ones(len(stream), bool), np.zeros(pad, bool)].reshape(self.lanes, length)
-        ids = np.r_[stream, np.zeros(pad, stream.dtype)].reshape(self.lanes, length)
-        fresh = np.r_[fresh, np.zeros(pad, bool)].reshape(self.lanes, length)
-        self.h[:] = 0
+        lanes = min(self.lanes, -(-len(stream) // self.window))
+        length = -(-len(stream) // lanes)
+        pad = length * lanes - len(stream)
+        ids = np.r_[stream, np.full(pad, -1, np.int16)].reshape(lanes, length).T.copy()
+        fresh = np.r_[fresh, np.zeros(pad, bool)].reshape(lanes, length).T.copy()
+        self.h = np.zeros((lanes, UNITS), self.p["wh"].dtype)
         for t in range(0, length, self.window):
-            self._update(ids[:, t : t + self.window], fresh[:, t : t + self.window], real[:, t : t + self.window])
+            self._update(ids[t : t + self.window], fresh[t : t + self.window])
         self.seen += len(stream)
 
-    def _update(self, ids, fresh, real) -> None:
-        p, u, steps = self.p, UNITS, ids.shape[1]
+    def _update(self, ids, fresh) -> None:
+        """A window of all lanes (steps, lanes); ids of -1 are padding."""
+        p, u = self.p, UNITS
+        steps, lanes = ids.shape
+        kind = p["wh"].dtype
         grads = {k: np.zeros_like(v) for k, v in p.items()}
-        h, states, cache = self.h, [], []
-        used, resets = ids.T.ravel(), fresh.any(axis=0)
-        x = (p["embed"][used] @ p["wx"] + p["b"]).reshape(steps, len(h), 3 * u)
+        h, resets = self.h, fresh.any(axis=1)
+        inputs = p["embed"] @ p["wx"]
+        inputs += p["b"]
+        x = inputs[ids]
+        states = np.empty((steps, lanes, u), kind)
+        cache = []
         for t in range(steps):
             if resets[t]:
-                h = np.where(fresh[:, t, None], np.float32(0), h)
-            states.append(h)
-            z, r, c, gc, new = _step(p, x[t], h)
-            cache.append((z, r, c, gc, h))
+                h = np.where(fresh[t][:, None], kind.type(0), h)
+            states[t] = h
+            zr, c, inner, new = _step(p, x[t], h)
+            cache.append((zr, c, inner))
             h = new
         self.h = h
-        every, good = np.concatenate(states), real.T.ravel()
-        back = np.zeros_like(every)
-        _, back[good] = log_probabilities(p, every[good], used[good], grads)
+        every, used = states.reshape(-1, u), ids.ravel()
+        order = np.argsort(used, kind="stable")
+        order = order[np.searchsorted(used[order], 0) :]
+        sorted_ids = used[order]
+        back = np.zeros((steps * lanes, u), kind)
+        back[order] = add_gradients(p, every[order], sorted_ids, grads)
+        back = back.reshape(steps, lanes, u)
         dh = np.zeros_like(h)
-        gates = np.empty((steps, len(h), 3 * u), np.float32)
-        inner = np.empty_like(gates)
-        back = back.reshape(steps, len(h), u)
+        gates = np.empty((steps, lanes, 3 * u), kind)
+        inner_rows = np.empty_like(gates)
         for t in range(steps - 1, -1, -1):
-            z, r, c, gc, h = cache[t]
-            dz = dh * (h - c) * z * (1 - z)
-            dc = dh * (1 - z) * (1 - c * c)
-            dr = dc * gc * r * (1 - r)
-            gates[t, :, :u], gates[t, :, u : 2 * u], gates[t, :, 2 * u :] = dz, dr, dc
-            inner[t, :, : 2 * u], inner[t, :, 2 * u :] = gates[t, :, : 2 * u], dc * r
-            dh = dh * z + inner[t] @ p["wh"].T + back[t]
+            zr, c, inner = cache[t]
+            slope = zr * (1 - zr)
+            dc = dh * (1 - zr[:, :u])
+            dc *= 1 - c * c
+            dz = states[t] - c
+            dz *= dh
+            gates[t, :, :u] = dz * slope[:, :u]
+            gates[t, :, u : 2 * u] = dc * inner * slope[:, u:]
+            gates[t, :, 2 * u :] = dc
+            inner_rows[t, :, : 2 * u] = gates[t, :, : 2 * u]
+            inner_rows[t, :, 2 * u :] = dc * zr[:, u:]
+            dh = dh * zr[:, :u]
+            dh += inner_rows[t] @ p["wh"].T
+            dh += back[t]
             if resets[t]:
-                dh *= ~fresh[:, t, None]
-        rows = gates.reshape(-1, 3 * u)
-        grads["wh"] += every.T @ inner.reshape(-1, 3 * u)
-        grads["b"] += rows.sum(axis=0)
-        grads["wx"] += p["embed"][used].T @ rows
-        np.add.at(grads["embed"], used, rows @ p["wx"].T)
-        self._adam(grads, max(1, int(good.sum())))
+                dh[fresh[t]] = 0
+        grads["wh"] += every.T @ inner_rows.reshape(-1, 3 * u)
+        # Words' inputs: summed by word, then through the embedding.
+        first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
+        sums, words = np.add.reduceat(gates.reshape(-1, 3 * u)[order], first, axis=0), sorted_ids[first]
+        grads["b"] += sums.sum(axis=0)
+        grads["wx"] += p["embed"][words].T @ sums
+        grads["embed"][words] += sums @ p["wx"].T
+        self._adam(grads, max(1, len(order)))
 
     def _adam(self, grads, n: int) -> None:
         self.steps += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / n
         scale = min(1.0, 1.0 / max(norm, 1e-9)) / n
         one, two = 1 - 0.9**self.steps, 1 - 0.99**self.steps
         for k, g in grads.items():
@@ -188,28 +254,28 @@ class Trainer:
             self.p[k] -= self.rate * (self.m[k] / one) / (np.sqrt(self.v[k] / two) + 1e-6)
 
 
-def score(p: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray, window: int = 32) -> np.ndarray:
-    """Natural log-likelihood of whole documents, the state carried from window to window; ``ids`` are theirs in turn."""
+def score(p: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Natural log-likelihood of whole documents, the state carried from token to token; ``ids`` are theirs in turn."""
     begin = np.cumsum(sizes) - sizes
     order = np.argsort(-sizes, kind="stable")
     begin, ends = begin[order], sizes[order]
     longest = int(ends[0]) if len(ends) else 0
     running = len(ends) - np.searchsorted(ends[::-1], np.arange(longest), side="right")
     inputs = p["embed"] @ p["wx"] + p["b"]
-    h = np.zeros((len(ends), UNITS), np.float32)
+    h = np.zeros((len(ends), UNITS), p["wh"].dtype)
     total = np.zeros(len(ends))
     states, targets, rows = [], [], []
     held = 0
     for t in range(longest):
         n = running[t]
         own = ids[begin[:n] + t]
-        states.append(h[:n].copy())
+        states.append(h[:n])
         targets.append(own)
         rows.append(np.arange(n))
-        h[:n] = _step(p, inputs[own], h[:n])[-1]
+        h = _step(p, inputs[own], h[:n])[-1]
         held += n
-        if held >= 20_000 or (t + 1) % (window * 64) == 0 or t == longest - 1:
-            found, _ = log_probabilities(p, np.concatenate(states), np.concatenate(targets))
+        if held >= SCORED or t == longest - 1:
+            found = log_probabilities(p, np.concatenate(states), np.concatenate(targets))
             total += np.bincount(np.concatenate(rows), found, minlength=len(ends))
             states, targets, rows, held = [], [], [], 0
     out = np.empty(len(ends))

@@ -11,12 +11,15 @@ document from its first token to its last.
 Scale: word counts are summed with map-side combination under 64-bit hashes.
 The TOP most frequent words, a fixed number, go to all tasks; scoring needs a
 shuffle for the remaining words only, which aren't frequent, so no key is hot.
-The recurrent weights are trained on the whole texts of all training documents,
-part by part, and averaged; the weights have a fixed size.
+Texts are encoded once, two bytes a token; training and scoring read that.  The
+recurrent weights are trained on the whole texts of all training documents, in
+shards of about ``SHARD`` tokens dealt and ordered by content (the weights don't
+depend on how files are split), and averaged; they have a fixed size.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,8 +35,10 @@ from ._common import materialise
 
 #: Most frequent words that all tasks hold.
 TOP = 100_000
-#: Different words a task counts before it passes them on, words a worker remembers, documents scored side by side.
-FLUSH, REMEMBER, SIDE = 200_000, 400_000, 5_000
+#: Different words a task counts before it passes them on, and words a worker remembers.
+FLUSH, REMEMBER = 200_000, 200_000
+#: Tokens encoded, trained on or scored at a time (a longer document is taken alone), and tokens of a training shard.
+TOKENS, SHARD = 1_000_000, 4_000_000
 #: Added to every count.
 ADD = 0.1
 
@@ -56,6 +61,18 @@ def words_of(text: bytes | None) -> list[bytes]:
     return words
 
 
+def _in_groups(sizes: Iterator[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of items with no more than ``limit`` in all, or one item."""
+    first, have, k = 0, 0, 0
+    for k, size in enumerate(sizes):
+        if have and have + size > limit:
+            yield first, k
+            first, have = k, 0
+        have += size
+    if have:
+        yield first, k + 1
+
+
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -73,50 +90,88 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-class _Coder:
-    """Codes of words, with their hash, model id and count (-1: not among the top words)."""
+class _Coder(dict):
+    """Codes of words, and for each code its hash, model id and count (-1: not among the top words)."""
 
     def __init__(self, top: np.ndarray, counts: np.ndarray):
+        super().__init__()
         self.top = {h: k for k, h in enumerate(top.tolist())}  # in order of count
         self.counts = counts.tolist()
-        self.clear()
+        self.forget()
 
-    def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.hashes: list[int] = []
-        self.ids: list[int] = []
-        self.known: list[int] = []
+    def forget(self) -> None:
+        self.clear()
+        self.hashes, self.ids, self.known = array("q"), array("h"), array("q")
 
-    def _code(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> int:
         h = _hash(word)
         rank = self.top.get(h, -1)
         self.hashes.append(h)
         self.ids.append(rank if 0 <= rank < _gru.VOCABULARY else _gru.VOCABULARY + _rare_class(word))
         self.known.append(self.counts[rank] if rank >= 0 else -1)
-        self.codes[word] = len(self.codes)
-        return self.codes[word]
-
-    def encode(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all tokens and the documents' lengths."""
-        if len(self.codes) > REMEMBER:
-            self.clear()
-        get, new, out = self.codes.get, self._code, []
-        for words in docs:
-            codes = list(map(get, words))
-            if None in codes:
-                codes = [new(w) if (c := get(w)) is None else c for w in words]
-            out.append(np.array(codes, np.int64))
-        return np.concatenate(out) if out else np.zeros(0, np.int64), np.array(list(map(len, docs)), np.int64)
-
-
-def _train_rows(top: np.ndarray, counts: np.ndarray, start: np.ndarray):
+        self[word] = code = len(self)
+        return code
+
+    def encode(self, text: bytes | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
+def _encode_rows(names: list[str], top: np.ndarray, counts: np.ndarray, rare_norms: np.ndarray):
+    tail_kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _Coder(top, counts)
+
+        def encoded(batch: pa.RecordBatch, codes: list[np.ndarray]) -> pa.RecordBatch:
+            sizes = np.array([len(c) for c in codes], np.int64)
+            n, doc, codes = len(sizes), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.concatenate(codes)
+            known_of = np.array(coder.known, np.int64)
+            log_of = np.where(known_of >= 0, np.log10(np.maximum(known_of, 0) + ADD), 0)
+            ids_of = np.array(coder.ids, np.int16)
+            # A rare word's own share of its class: its count now or, for the tail, after the join.
+            rare_of = np.where(ids_of >= _gru.VOCABULARY, log_of - rare_norms[np.maximum(ids_of - _gru.VOCABULARY, 0)], 0)
+            base, own = np.bincount(doc, log_of[codes], minlength=n), np.bincount(doc, rare_of[codes], minlength=n)
+            sums = np.bincount(doc, (known_of > 0)[codes], minlength=n).astype(np.int64)
+            tail = np.flatnonzero((known_of < 0)[codes])
+            pair, times = np.unique(doc[tail] * np.int64(len(known_of)) + codes[tail], return_counts=True)
+            at, code = np.divmod(pair, len(known_of))
+            parts = pa.StructArray.from_arrays([pa.array(np.array(coder.hashes, np.int64)[code]), pa.array(times)], ["h", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(n + 1)), pa.int32()), parts).cast(tail_kind)
+            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64) * 2
+            ids = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids_of[codes])]).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(sizes), pa.array(sums), pa.array(base), pa.array(own), ids, lists], [*names, "__n", "__known", "__base", "__own", "__ids", "__tail"])
+
+        for batch in batches:
+            codes, first, have = [], 0, 0
+            for k, text in enumerate(batch["__t"]):
+                codes.append(coder.encode(text.as_py()))
+                have += len(codes[-1])
+                if have >= TOKENS or k + 1 == batch.num_rows:
+                    yield encoded(batch.slice(first, len(codes)), codes)
+                    codes, first, have = [], k + 1, 0
+                    if len(coder) > REMEMBER:
+                        coder.forget()
+
+    return rows
+
+
+def _ids_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.int16) for x in column]
+
+
+def _train_rows(start: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, trainer = _Coder(top, counts), _gru.Trainer(_gru.unflat(start))
+        trainer, held, have = _gru.Trainer(_gru.unflat(start)), [], 0
         for batch in batches:
-            for s in range(0, batch.num_rows, 1000):
-                codes, sizes = coder.encode([words_of(t.as_py()) for t in batch["__t"].slice(s, 1000)])
-                ids = np.array(coder.ids, np.int64)[codes]
-                trainer.train(np.split(ids, np.cumsum(sizes)[:-1]))
+            for ids in _ids_of(batch["__ids"]):
+                held.append(ids)
+                have += len(ids)
+                if have >= TOKENS:
+                    trainer.train(held)
+                    held, have = [], 0
+        if held:
+            trainer.train(held)
         if trainer.seen:
             weights = _gru.flat(trainer.p).astype(np.float64) * trainer.seen
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(weights) + 1)), pa.array(np.r_[weights, trainer.seen])], ["k", "w"])
@@ -124,71 +179,65 @@ def _train_rows(top: np.ndarray, counts: np.ndarray, start: np.ndarray):
     return rows
 
 
-def _score_rows(names: list[str], top: np.ndarray, counts: np.ndarray, weights: np.ndarray, rare_norms: np.ndarray):
-    tail_kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
-
+def _score_rows(names: list[str], weights: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, model = _Coder(top, counts), _gru.unflat(weights)
-        for whole in batches:
-            for s in range(0, whole.num_rows, SIDE):
-                batch = whole.slice(s, SIDE)
-                codes, sizes = coder.encode([words_of(t.as_py()) for t in batch["__t"]])
-                n, doc = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
-                ids, known = np.array(coder.ids, np.int64)[codes], np.array(coder.known, np.int64)[codes]
-                found = known >= 0
-                log_count = np.log10(np.maximum(known, 0) + ADD)
-                base = np.bincount(doc, log_count * found, minlength=n)
-                sums = np.bincount(doc, found & (known > 0), minlength=n).astype(np.int64)
-                value = _gru.score(model, ids, sizes) / np.log(10)
-                # A rare word's own share of its class: its count now or, for the tail, after the join.
-                rare = ids >= _gru.VOCABULARY
-                value += np.bincount(doc, np.where(rare, log_count * found - rare_norms[np.maximum(ids - _gru.VOCABULARY, 0)], 0), minlength=n)
-                tail = np.flatnonzero(~found)
-                pair, times = np.unique(doc[tail] * (len(coder.hashes) + 1) + codes[tail], return_counts=True)
-                at, code = np.divmod(pair, len(coder.hashes) + 1)
-                parts = pa.StructArray.from_arrays([pa.array(np.array(coder.hashes, np.int64)[code]), pa.array(times)], ["h", "n"])
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(n + 1)), pa.int32()), parts).cast(tail_kind)
-                columns = [batch.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes), pa.array(sums), pa.array(base), pa.array(value), lists], [*names, "__n", "__known", "__base", "__score", "__tail"])
+        model = _gru.unflat(weights)
+        for batch in batches:
+            sizes = batch["__n"].to_numpy()
+            for a, b in _in_groups(sizes, TOKENS):
+                value = _gru.score(model, np.concatenate(_ids_of(batch["__ids"].slice(a, b - a))), sizes[a:b]) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in names), pa.array(value)], [*names, "__score"])
 
     return rows
 
 
 @dataclass(frozen=True)
-class LanguageModel:
-    """All counts (a table h, rare, n), the top words of it, the weights, and sums: tokens, distinct words, log10 of the rare classes' totals, tokens that trained the weights."""
+class Vocabulary:
+    """All counts (a table h, rare, n), the top words of it, and sums: tokens, distinct words, tokens of frequent words and of rare classes, log10 of the latters' totals."""
 
     table: DataFrame
     top: np.ndarray
     counts: np.ndarray
-    weights: np.ndarray
     tokens: int
     distinct: int
+    frequent: np.ndarray
+    rare: np.ndarray
     rare_norms: np.ndarray
+
+
+@dataclass(frozen=True)
+class LanguageModel:
+    """The words, the recurrent weights and the number of tokens that trained them."""
+
+    words: Vocabulary
+    weights: np.ndarray
     trained: int
 
+    @property
+    def tokens(self) -> int:
+        return self.words.tokens
+
 
 def _bytes_of(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
     return docs.select(*more, F.col(f"`{text_col}`").cast("string").cast("binary").alias("__t"))
 
 
-def train_language_model(docs: DataFrame, text_col: str = "text", top: int = TOP) -> LanguageModel:
-    """Counts over all of ``docs`` (null texts: empty), which train the recurrent weights too."""
+def count_words(docs: DataFrame, text_col: str = "text", top: int = TOP) -> Vocabulary:
+    """Counts of all words of ``docs`` (null texts: empty)."""
     counted = _bytes_of(docs, text_col).mapInArrow(_count_rows, "h long, rare int, n long")
     counted = materialise(counted.groupBy("h").agg(F.first("rare").alias("rare"), F.sum("n").alias("n")), "counts")
     sizes = counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect()
     least, have = 1 << 62, 0
-    for row in sizes:  # the count from which on there are no more than `top` words
+    for row in sizes:  # the count from which on there are no more than `top` words, or those counted 100,000 times
         if have + row["m"] > top and have:
             break
         least, have = row["n"], have + row["m"]
-    best = counted.filter(F.col("n") >= least).select("h", "rare", "n").toPandas()
     end = _hash(_END)
-    best["end"] = best["h"] == end
-    best = best.sort_values(["end", "n", "h"], ascending=[False, False, True]).head(top)
+    is_end = F.col("h") == end
+    best = counted.filter((F.col("n") >= least) | is_end).orderBy(F.desc(is_end), F.desc("n"), "h").limit(top).select("h", "rare", "n").toPandas()
     hashes, counts = best["h"].to_numpy(np.int64), best["n"].to_numpy(np.int64)
-    if not len(hashes) or hashes[0] != end:  # no training document
-        hashes, counts = np.r_[np.int64(end), hashes], np.r_[np.int64(0), counts]
+    if not len(hashes):  # no training document
+        hashes, counts = np.array([end], np.int64), np.zeros(1, np.int64)
     frequent = np.zeros(_gru.VOCABULARY)
     frequent[: min(len(counts), _gru.VOCABULARY)] = counts[: _gru.VOCABULARY]
     rare = np.zeros((_gru.RARE, 2))
@@ -196,13 +245,60 @@ def train_language_model(docs: DataFrame, text_col: str = "text", top: int = TOP
         rare[row["rare"]] = row["n"], row["m"]
     model_words = best.iloc[: _gru.VOCABULARY]
     np.subtract.at(rare, model_words["rare"].to_numpy(int), np.stack([model_words["n"], np.ones(len(model_words))], axis=1))
-    tokens = int(frequent.sum() + rare[:, 0].sum())
-    distinct = int((frequent > 0).sum() + rare[:, 1].sum())
-    start = _gru.flat(_gru.initial(frequent, rare[:, 0]))
-    trained = _bytes_of(docs, text_col).mapInArrow(_train_rows(hashes, counts, start), "k long, w double")
+    tokens, distinct = int(frequent.sum() + rare[:, 0].sum()), int((frequent > 0).sum() + rare[:, 1].sum())
+    return Vocabulary(counted, hashes, counts, tokens, distinct, frequent, rare[:, 0], np.log10(rare[:, 0] + ADD * (rare[:, 1] + 1)))
+
+
+def encode_documents(docs: DataFrame, words: Vocabulary, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """The ``columns`` (None: all) of ``docs`` with each text's model ids and what counts say of it, in columns that begin with ``__``; written to the shared folder."""
+    names = docs.columns if columns is None else columns
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in names]).schema]
+    ddl = ", ".join([*kinds, "__n long, __known long, __base double, __own double, __ids binary, __tail array<struct<h:long,n:long>>"])
+    encoded = _bytes_of(docs, text_col, *[F.col(f"`{c}`") for c in names]).mapInArrow(_encode_rows(names, words.top, words.counts, words.rare_norms), ddl)
+    return materialise(encoded.withColumn("__row", F.monotonically_increasing_id()), "encoded")
+
+
+def train_on_encoded(encoded: DataFrame, words: Vocabulary) -> LanguageModel:
+    """Train the recurrent weights on all of the encoded documents."""
+    start = _gru.flat(_gru.initial(words.frequent, words.rare))
+    shards = max(1, -(-words.tokens // SHARD))
+    content = F.xxhash64("__ids")
+    dealt = encoded.select("__ids", content.alias("__h")).repartition(shards, "__h").sortWithinPartitions("__h").select("__ids")
+    trained = dealt.mapInArrow(_train_rows(start), "k long, w double")
     summed = trained.groupBy("k").agg(F.sum("w").alias("w")).toPandas().sort_values("k")["w"].to_numpy()
-    weights = (summed[:-1] / summed[-1]).astype(np.float32) if len(summed) else start
-    return LanguageModel(counted, hashes, counts, weights, tokens, distinct, np.log10(rare[:, 0] + ADD * (rare[:, 1] + 1)), int(summed[-1]) if len(summed) else 0)
+    if not len(summed):
+        return LanguageModel(words, start, 0)
+    return LanguageModel(words, (summed[:-1] / summed[-1]).astype(np.float32), int(summed[-1]))
+
+
+def score_encoded(encoded: DataFrame, model: LanguageModel) -> DataFrame:
+    """Scores of encoded documents: their columns without the encoding, and those of ``score_documents``."""
+    names = [c for c in encoded.columns if c not in ("__n", "__known", "__base", "__own", "__ids", "__tail", "__row")]
+    keep = [*names, "__n", "__known", "__base", "__own", "__row"]
+    kinds = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
+    scored = encoded.select(*[F.col(f"`{c}`") for c in keep], "__ids").mapInArrow(_score_rows(keep, model.weights), f"{kinds}, __score double")
+    tail = encoded.select("__row", F.explode("__tail").alias("t")).select("__row", "t.h", F.col("t.n").alias("n"))
+    counts = model.words.table.select("h", F.col("n").alias("c"))
+    tail = tail.join(counts, "h", "left").groupBy("__row").agg(
+        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + ADD)).alias("__more"),
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("__seen"),
+    )
+    joined = scored.join(tail, "__row", "left")
+    more = F.coalesce("__more", F.lit(0.0))
+    norm = float(np.log10(model.words.tokens + ADD * (model.words.distinct + 1)))
+    return joined.select(
+        *[F.col(f"`{c}`") for c in names],
+        F.col("__n").alias("n_tokens"),
+        (F.col("__known") + F.coalesce("__seen", F.lit(0))).alias("n_known"),
+        (F.col("__base") + more - F.col("__n") * norm).alias("base_score"),
+        (F.col("__score") + F.col("__own") + more).alias("score"),
+    )
+
+
+def train_language_model(docs: DataFrame, text_col: str = "text", top: int = TOP) -> LanguageModel:
+    """A model of ``docs`` (null texts: empty): counts and recurrent weights come from all of them."""
+    words = count_words(docs, text_col, top)
+    return train_on_encoded(encode_documents(docs, words, text_col, []), words)
 
 
 def score_documents(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -216,25 +312,4 @@ def score_documents(docs: DataFrame, model: LanguageModel, text_col: str = "text
     unknown and the model is uniform.
     """
     docs = docs.drop("n_tokens", "n_known", "base_score", "score")
-    names = docs.columns
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    ddl = ", ".join([*kinds, "__n long, __known long, __base double, __score double, __tail array<struct<h:long,n:long>>"])
-    frame = _bytes_of(docs, text_col, *[F.col(f"`{c}`") for c in names])
-    scored = frame.mapInArrow(_score_rows(names, model.top, model.counts, model.weights, model.rare_norms), ddl)
-    scored = materialise(scored.withColumn("__row", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("__row", F.explode("__tail").alias("t")).select("__row", "t.h", F.col("t.n").alias("n"))
-    counts = model.table.select("h", F.col("n").alias("c"))
-    tail = tail.join(counts, "h", "left").groupBy("__row").agg(
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + ADD)).alias("__more"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("__seen"),
-    )
-    joined = scored.drop("__tail").join(tail, "__row", "left")
-    more = F.coalesce("__more", F.lit(0.0))
-    norm = float(np.log10(model.tokens + ADD * (model.distinct + 1)))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in names],
-        F.col("__n").alias("n_tokens"),
-        (F.col("__known") + F.coalesce("__seen", F.lit(0))).alias("n_known"),
-        (F.col("__base") + more - F.col("__n") * norm).alias("base_score"),
-        (F.col("__score") + more).alias("score"),
-    )
+    return score_encoded(encode_documents(docs, model.words, text_col), model)

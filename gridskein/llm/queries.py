@@ -12,7 +12,7 @@ from .chat import link_quotations
 from .decontamination import find_contamination
 from .html_extract import extract_main_text
 from .language_id import fit_language_model, identify_languages
-from .lm_scoring import score_documents, train_language_model
+from .lm_scoring import count_words, encode_documents, score_encoded, train_on_encoded
 from .media import image_features, sniff_media, store_texts
 from .packing import pack_documents
 from .simhash_dedup import fingerprint_hex, simhash_components
@@ -68,8 +68,9 @@ def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of each of ``documents``, by a model that nine in ten of them (by id) teach."""
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 10 == 0).alias("held_out"), "text")
-    model = train_language_model(docs.filter("NOT held_out"))
-    scored = score_documents(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    words = count_words(docs.filter("NOT held_out"))
+    encoded = encode_documents(docs, words, columns=["doc_id", "held_out"])
+    scored = score_encoded(encoded, train_on_encoded(encoded.filter("NOT held_out"), words)).withColumn("train_tokens", F.lit(words.tokens).cast("long"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -259,7 +259,6 @@ def test_gradients():
             self.grads = grads
 
     trainer = Kept(p, lanes=1, window=24)
-    trainer.h = trainer.h.astype(float)
     trainer.train(docs)
     loss = lambda q: -_gru.score(q, ids, sizes).sum()
     for name in _gru.SHAPES:
@@ -275,10 +274,41 @@ def test_class_factored_softmax_sums_to_one():
     rng = np.random.default_rng(1)
     p = {k: rng.normal(size=s) for k, s in _gru.SHAPES.items()}
     every = np.arange(_gru.VOCABULARY + _gru.RARE)
-    found, _ = _gru.log_probabilities(p, np.tile(rng.normal(size=_gru.UNITS), (len(every), 1)), every)
+    found = _gru.log_probabilities(p, np.tile(rng.normal(size=_gru.UNITS), (len(every), 1)), every)
     assert np.isclose(np.exp(found).sum(), 1)
 
 
+def test_scores_by_plain_loops():
+    """The recurrent score, one token and one unit at a time."""
+    rng = np.random.default_rng(3)
+    p = {k: rng.normal(size=s) * 0.4 for k, s in _gru.SHAPES.items()}
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    docs = [rng.integers(0, _gru.VOCABULARY + _gru.RARE, n) for n in (9, 1, 40, 3)]
+    u, sigmoid = _gru.UNITS, lambda v: 1 / (1 + math.exp(-v))
+    for doc, got in zip(docs, _gru.score(p, np.concatenate(docs), np.array([len(d) for d in docs])), strict=True):
+        h, total = [0.0] * u, 0.0
+        for word in doc.tolist():
+            cls = word // _gru.CLASS_SIZE if word < _gru.VOCABULARY else word - _gru.VOCABULARY + _gru.CLASSES
+            logits = [sum(h[i] * float(p["wc"][i, c]) for i in range(u)) + float(p["bc"][c]) for c in range(_gru.CLASSES + _gru.RARE)]
+            total += logits[cls] - math.log(sum(map(math.exp, logits)))
+            if word < _gru.VOCABULARY:
+                inside = range(cls * _gru.CLASS_SIZE, (cls + 1) * _gru.CLASS_SIZE)
+                logits = {w: sum(h[i] * float(p["ww"][w, i]) for i in range(u)) + float(p["bw"][w]) for w in inside}
+                total += logits[word] - math.log(sum(map(math.exp, logits.values())))
+            x = [sum(float(p["embed"][word, i]) * float(p["wx"][i, g]) for i in range(u)) + float(p["b"][g]) for g in range(3 * u)]
+            g = [sum(h[i] * float(p["wh"][i, g]) for i in range(u)) for g in range(3 * u)]
+            z, r = ([sigmoid(x[k + o] + g[k + o]) for k in range(u)] for o in (0, u))
+            c = [math.tanh(x[2 * u + k] + r[k] * g[2 * u + k]) for k in range(u)]
+            h = [(1 - z[k]) * c[k] + z[k] * h[k] for k in range(u)]
+        assert math.isclose(got, total, rel_tol=1e-4)
+
+
+def test_lm_weights_do_not_depend_on_file_splits(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text")
+    one, many = (lm_scoring.train_language_model(d) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert np.array_equal(one.weights, many.weights) and one.trained == one.tokens == many.trained
+
+
 def test_lm_scoring(spark):
     import pandas as pd
 
