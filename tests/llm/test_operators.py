@@ -503,9 +503,47 @@ def test_pipeline(spark):
         if name == "language_id":
             assert len(a) == len(b)
         if name == "suffix_dedup":
-            want = _removed(a["text"].tolist(), 400)
+            want = _removed(a["text"].tolist(), corpus_pipeline.PASSAGE)
             assert [b["text"][k] for k in a.index] == [w[0].decode("utf-8", "replace") for w in want]
         if name == "simhash_dedup":
             assert 0 < len(b) < len(a)
     packed = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(docs.toPandas()["doc_id"])
+
+
+def test_pipeline_cuts_planted_passages(spark):
+    """Passages of 51 to 120 words that two documents share go; documents without any stay as they are."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    own = [r.text for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("text").collect()]
+    words = [w for t in own if t for w in t.split(" ")]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages = [prose(rng.randint(51, 120)) for _ in range(60)]
+    rows = [(k, f"{prose(80)} {p} {prose(80)}") for k, p in enumerate(passages * 2)] + [(1000 + k, prose(300)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    after = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()}
+    caught = [passages[k % 60] not in after[k] for k in range(120)]
+    assert sum(caught) >= 0.95 * 120 and all(after[k] == t for k, t in rows if k >= 1000)
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_with_odd_tables(spark, stage):
+    """Nulls, repeated rows, empty tables, a missing n_chars and columns named like the operators' results."""
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    long = "This is one long text that has letters. " * 20
+    row = lambda k, text: (k, text, "en", "p", "k", "r", "o", 7)
+    rows = [row(1, None), row(2, ""), row(None, long), row(None, long), row(3, "Short text."), row(4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, Kept string, removed string, overlaps string, __id long")
+    got = run(spark, docs, f"{DATA}/sf0.001")
+    assert got.schema.names == docs.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+    found = got.collect()
+    assert {(r.lang_pred, r["Kept"], r.removed, r.overlaps, r["__id"]) for r in found} == {("p", "k", "r", "o", 7)}
+    ids = sorted((r.doc_id or 0) for r in found)
+    assert ids == {"language_id": [0, 0, 3], "simhash_dedup": [0, 1, 3], "suffix_dedup": [0, 0, 1, 2, 3, 4], "decontamination": [0, 0, 1, 2, 3, 4]}[name]
+    if name == "suffix_dedup":
+        assert [r.text for r in found if r.doc_id in (1, 2)] == [None, ""] or [r.text for r in found if r.doc_id in (1, 2)] == ["", None]
+        assert all(len(r.text) < len(long) for r in found if r.doc_id is None)
+    assert run(spark, docs.limit(0), f"{DATA}/sf0.001").count() == 0
