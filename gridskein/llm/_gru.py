@@ -8,21 +8,34 @@ import numpy as np
 CLASSES, CLASS_SIZE, RARE, UNITS = 32, 64, 32, 16
 VOCABULARY = CLASSES * CLASS_SIZE
 #: Streams trained side by side, tokens of a backpropagation window, step size.
-LANES, WINDOW, RATE = 256, 16, 0.02
+LANES, WINDOW, RATE = 512, 16, 0.02
 #: Rows of logits handled at a time (they then fit a processor's cache), and tokens whose probabilities are found together.
 ROWS, SCORED = 2048, 50_000
 
-#: Order of the parameters in a flat vector.
+#: Order of the parameters in a flat vector.  Output layers have their bias as last row; ``ww`` has one for each class.
 SHAPES = {
     "embed": (VOCABULARY + RARE, UNITS),
     "wx": (UNITS, 3 * UNITS),
     "wh": (UNITS, 3 * UNITS),
     "b": (3 * UNITS,),
-    "wc": (UNITS, CLASSES + RARE),
-    "bc": (CLASSES + RARE,),
-    "ww": (VOCABULARY, UNITS),
-    "bw": (VOCABULARY,),
+    "wc": (UNITS + 1, CLASSES + RARE),
+    "ww": (CLASSES, UNITS + 1, CLASS_SIZE),
 }
+SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+
+
+def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Views of a flat vector."""
+    p, at = {}, 0
+    for k, s in SHAPES.items():
+        n = int(np.prod(s))
+        p[k] = values[at : at + n].reshape(s)
+        at += n
+    return p
+
+
+def flat(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in SHAPES])
 
 
 def initial(counts: np.ndarray, rare: np.ndarray) -> dict[str, np.ndarray]:
@@ -33,22 +46,9 @@ def initial(counts: np.ndarray, rare: np.ndarray) -> dict[str, np.ndarray]:
     p["wc"] *= 0
     by_class = counts.reshape(CLASSES, CLASS_SIZE)
     totals = np.r_[by_class.sum(axis=1), rare] + 0.5
-    p["bc"] = np.log(totals / totals.sum()).astype(np.float32)
+    p["wc"][UNITS] = np.log(totals / totals.sum())
     inside = by_class + 0.01
-    p["bw"] = np.log(inside / inside.sum(axis=1, keepdims=True)).ravel().astype(np.float32)
-    return p
-
-
-def flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in SHAPES])
-
-
-def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
-    p, at = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        p[k] = values[at : at + n].reshape(s).astype(np.float32)
-        at += n
+    p["ww"][:, UNITS] = np.log(inside / inside.sum(axis=1, keepdims=True))
     return p
 
 
@@ -84,35 +84,43 @@ def _classes_of(ids: np.ndarray) -> np.ndarray:
 
 
 class _Output:
-    """The two softmax layers as matrices with the bias as last row, for states with a last one."""
+    """The two softmax layers."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.layers = [(slice(None), np.concatenate([p["wc"], p["bc"][None]]))]
-        every = np.concatenate([p["ww"].T, p["bw"][None]])
-        self.layers += [(k, np.ascontiguousarray(every[:, k * CLASS_SIZE : (k + 1) * CLASS_SIZE])) for k in range(CLASSES)]
-        classes = _classes_of(np.arange(VOCABULARY + RARE))
-        self.targets = self.layers[0][1].T[classes]  # an id's logits, summed: its class and, in it, itself
-        self.targets[:VOCABULARY] += every.T
-        # States lie in (-1, 1): whether no exponential can overflow, nor all of a row underflow.
-        reach = [np.abs(w[:-1]).sum(axis=0) for _, w in self.layers]
-        self.tame = [bool((w[-1] + r).max() < 60 and (w[-1] - r).max() > -60) for (_, w), r in zip(self.layers, reach, strict=True)]
+        self.outer, self.inner = p["wc"], p["ww"]
+        self.tame = self._is_tame(self.outer), self._is_tame(self.inner)
+
+    @staticmethod
+    def _is_tame(w: np.ndarray) -> bool:
+        """States lie in (-1, 1): whether no exponential of a logit can overflow, nor all of a row underflow."""
+        reach, bias = np.abs(w[..., :-1, :]).sum(axis=-2), w[..., -1, :]
+        return bool((bias + reach).max() < 60 and (bias - reach).max(axis=-1).min() > -60)
+
+    def targets(self) -> np.ndarray:
+        """For each id the weights of its logits, summed: its class and, in it, itself."""
+        t = self.outer.T[_classes_of(np.arange(VOCABULARY + RARE))]
+        t[:VOCABULARY] += self.inner.transpose(0, 2, 1).reshape(VOCABULARY, -1)
+        return t
 
     def blocks(self, cls: np.ndarray):
-        """(layer, its matrix, tame, rows) for rows sorted by class."""
-        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))  # rare words have no second layer
-        for (k, w), tame in zip(self.layers, self.tame, strict=True):
-            first, last = (0, len(cls)) if isinstance(k, slice) else (cuts[k], cuts[k + 1])
-            for a in range(first, last, ROWS):
-                yield k, w, tame, slice(a, min(a + ROWS, last))
+        """(class or None for the outer layer, its matrix, tame, rows) for rows sorted by class."""
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()  # rare words have no second layer
+        for a in range(0, len(cls), ROWS):
+            yield None, self.outer, self.tame[0], slice(a, a + ROWS)
+        for k in range(CLASSES):
+            for a in range(cuts[k], cuts[k + 1], ROWS):
+                yield k, self.inner[k], self.tame[1], slice(a, min(a + ROWS, cuts[k + 1]))
 
 
-def _exponentials(states: np.ndarray, w: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray | float]:
+def _exponentials(states: np.ndarray, w: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials of the logits less a number, their sums, and that number."""
     e = states @ w
     top = 0.0
     if not tame:
         top = e.max(axis=1)
         e -= top[:, None]
-    return np.exp(e, out=e), top
+    np.exp(e, out=e)
+    return e, e @ np.ones(e.shape[1], e.dtype), top
 
 
 def log_probabilities(p: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -120,10 +128,10 @@ def log_probabilities(p: dict[str, np.ndarray], states: np.ndarray, ids: np.ndar
     ids = np.asarray(ids).astype(np.int16)
     order = np.argsort(ids, kind="stable")
     ids, states, layers = ids[order], _with_ones(states[order]), _Output(p)
-    found = np.einsum("ij,ij->i", states, layers.targets[ids]).astype(np.float64)
+    found = np.einsum("ij,ij->i", states, layers.targets()[ids]).astype(np.float64)
     for _, w, tame, at in layers.blocks(_classes_of(ids)):
-        e, top = _exponentials(states[at], w, tame)
-        found[at] -= np.log(e @ np.ones(e.shape[1], e.dtype)) + top
+        _, total, top = _exponentials(states[at], w, tame)
+        found[at] -= np.log(total) + top
     out = np.empty(len(ids))
     out[order] = found
     return out
@@ -131,31 +139,20 @@ def log_probabilities(p: dict[str, np.ndarray], states: np.ndarray, ids: np.ndar
 
 def add_gradients(p: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray, grads: dict[str, np.ndarray]) -> np.ndarray:
     """Add the gradients of the loss to those of the output's parameters; rows are sorted by id.  Returns the states' gradients."""
-    u, layers, cls = UNITS, _Output(p), _classes_of(ids)
+    cls = _classes_of(ids)
+    places = np.where(ids < VOCABULARY, ids % CLASS_SIZE, 0)
+    back = np.zeros_like(states)
     states = _with_ones(states)
-    back = -layers.targets[ids][:, :u]
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    sums, own = np.add.reduceat(states, first, axis=0), ids[first]
-    outer = np.zeros((CLASSES + RARE, u + 1), states.dtype)
-    np.subtract.at(outer, cls[first], sums)
-    grads["wc"] += outer[:, :u].T
-    grads["bc"] += outer[:, u]
-    frequent = own < VOCABULARY
-    grads["ww"][own[frequent]] -= sums[frequent, :u]
-    grads["bw"][own[frequent]] -= sums[frequent, u]
-    for k, w, tame, at in layers.blocks(cls):
-        e, _ = _exponentials(states[at], w, tame)
-        ends = e @ np.concatenate([w[:u].T, np.ones((w.shape[1], 1), w.dtype)], axis=1)
-        total = ends[:, u:]
-        back[at] += ends[:, :u] / total
-        more = (states[at] / total).T @ e
-        if isinstance(k, slice):
-            grads["wc"] += more[:u]
-            grads["bc"] += more[u]
-        else:
-            inside = slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
-            grads["ww"][inside] += more[:u].T
-            grads["bw"][inside] += more[u]
+    for k, w, tame, at in _Output(p).blocks(cls):
+        own = states[at]
+        e, total, _ = _exponentials(own, w, tame)
+        e[np.arange(len(e)), (cls if k is None else places)[at]] -= total
+        share = np.reciprocal(total)[:, None]
+        g = grads["wc"] if k is None else grads["ww"][k]
+        g += (own * share).T @ e
+        e = e @ w[:-1].T
+        e *= share
+        back[at] += e
     return back
 
 
@@ -163,9 +160,9 @@ class Trainer:
     """Trains on streams of documents: windows follow each other in a lane and hand their state on."""
 
     def __init__(self, p: dict[str, np.ndarray], lanes: int = LANES, window: int = WINDOW, rate: float = RATE):
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        self.values = flat(p)
+        self.p = unflat(self.values)
+        self.m, self.v = np.zeros_like(self.values), np.zeros_like(self.values)
         self.lanes, self.window, self.rate, self.steps, self.seen = lanes, window, rate, 0, 0
 
     def train(self, docs: list[np.ndarray]) -> None:
@@ -181,7 +178,7 @@ class Trainer:
         pad = length * lanes - len(stream)
         ids = np.r_[stream, np.full(pad, -1, np.int16)].reshape(lanes, length).T.copy()
         fresh = np.r_[fresh, np.zeros(pad, bool)].reshape(lanes, length).T.copy()
-        self.h = np.zeros((lanes, UNITS), self.p["wh"].dtype)
+        self.h = np.zeros((lanes, UNITS), self.values.dtype)
         for t in range(0, length, self.window):
             self._update(ids[t : t + self.window], fresh[t : t + self.window])
         self.seen += len(stream)
@@ -190,19 +187,19 @@ class Trainer:
         """A window of all lanes (steps, lanes); ids of -1 are padding."""
         p, u = self.p, UNITS
         steps, lanes = ids.shape
-        kind = p["wh"].dtype
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
-        h, resets = self.h, fresh.any(axis=1)
+        kind = self.values.dtype
+        flat_grads = np.zeros_like(self.values)
+        grads = unflat(flat_grads)
+        h, resets = self.h, fresh.any(axis=1).tolist()
         inputs = p["embed"] @ p["wx"]
         inputs += p["b"]
-        x = inputs[ids]
         states = np.empty((steps, lanes, u), kind)
         cache = []
         for t in range(steps):
             if resets[t]:
                 h = np.where(fresh[t][:, None], kind.type(0), h)
             states[t] = h
-            zr, c, inner, new = _step(p, x[t], h)
+            zr, c, inner, new = _step(p, inputs[ids[t]], h)
             cache.append((zr, c, inner))
             h = new
         self.h = h
@@ -214,44 +211,50 @@ class Trainer:
         back[order] = add_gradients(p, every[order], sorted_ids, grads)
         back = back.reshape(steps, lanes, u)
         dh = np.zeros_like(h)
-        gates = np.empty((steps, lanes, 3 * u), kind)
-        inner_rows = np.empty_like(gates)
+        # Gradients of both gates, of the candidate, and of its recurrent part.
+        gates = np.empty((steps, lanes, 4 * u), kind)
         for t in range(steps - 1, -1, -1):
             zr, c, inner = cache[t]
-            slope = zr * (1 - zr)
-            dc = dh * (1 - zr[:, :u])
+            g = gates[t]
+            dzr, dc = g[:, : 2 * u], g[:, 2 * u : 3 * u]
+            np.multiply(dh, 1 - zr[:, :u], out=dc)
             dc *= 1 - c * c
-            dz = states[t] - c
-            dz *= dh
-            gates[t, :, :u] = dz * slope[:, :u]
-            gates[t, :, u : 2 * u] = dc * inner * slope[:, u:]
-            gates[t, :, 2 * u :] = dc
-            inner_rows[t, :, : 2 * u] = gates[t, :, : 2 * u]
-            inner_rows[t, :, 2 * u :] = dc * zr[:, u:]
-            dh = dh * zr[:, :u]
-            dh += inner_rows[t] @ p["wh"].T
+            np.subtract(states[t], c, out=dzr[:, :u])
+            dzr[:, :u] *= dh
+            np.multiply(dc, inner, out=dzr[:, u:])
+            np.multiply(dc, zr[:, u:], out=g[:, 3 * u :])
+            dh *= zr[:, :u]
+            dzr *= zr - zr * zr
+            dh += dzr @ p["wh"][:, : 2 * u].T
+            dh += g[:, 3 * u :] @ p["wh"][:, 2 * u :].T
             dh += back[t]
             if resets[t]:
                 dh[fresh[t]] = 0
-        grads["wh"] += every.T @ inner_rows.reshape(-1, 3 * u)
-        # Words' inputs: summed by word, then through the embedding.
+        rows = gates.reshape(-1, 4 * u)
+        grads["wh"][:, : 2 * u] = every.T @ rows[:, : 2 * u]
+        grads["wh"][:, 2 * u :] = every.T @ rows[:, 3 * u :]
+        rows = rows[:, : 3 * u]
+        grads["b"][:] = rows.sum(axis=0)
+        grads["wx"][:] = p["embed"][used].T @ rows
         first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-        sums, words = np.add.reduceat(gates.reshape(-1, 3 * u)[order], first, axis=0), sorted_ids[first]
-        grads["b"] += sums.sum(axis=0)
-        grads["wx"] += p["embed"][words].T @ sums
-        grads["embed"][words] += sums @ p["wx"].T
-        self._adam(grads, max(1, len(order)))
+        grads["embed"][sorted_ids[first]] = np.add.reduceat((rows @ p["wx"].T)[order], first, axis=0)
+        self._adam(flat_grads, max(1, len(order)))
 
-    def _adam(self, grads, n: int) -> None:
+    def _adam(self, g: np.ndarray, n: int) -> None:
         self.steps += 1
-        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / n
-        scale = min(1.0, 1.0 / max(norm, 1e-9)) / n
-        one, two = 1 - 0.9**self.steps, 1 - 0.99**self.steps
-        for k, g in grads.items():
-            g *= scale
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.p[k] -= self.rate * (self.m[k] / one) / (np.sqrt(self.v[k] / two) + 1e-6)
+        norm = np.sqrt(float(np.vdot(g, g))) / n
+        g *= min(1.0, 1.0 / max(norm, 1e-9)) / n
+        self.m += 0.1 * (g - self.m)
+        g *= g
+        g -= self.v
+        g *= 0.01
+        self.v += g
+        np.divide(self.v, 1 - 0.99**self.steps, out=g)
+        np.sqrt(g, out=g)
+        g += 1e-6
+        np.divide(self.m, g, out=g)
+        g *= self.rate / (1 - 0.9**self.steps)
+        self.values -= g
 
 
 def score(p: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -37,8 +37,8 @@ from ._common import materialise
 TOP = 100_000
 #: Different words a task counts before it passes them on, and words a worker remembers.
 FLUSH, REMEMBER = 200_000, 200_000
-#: Tokens encoded, trained on or scored at a time (a longer document is taken alone), and tokens of a training shard.
-TOKENS, SHARD = 1_000_000, 4_000_000
+#: Tokens encoded or trained on at a time, tokens scored side by side (a longer document is taken alone), and tokens of a training shard.
+TOKENS, SIDE, SHARD = 1_000_000, 4_000_000, 4_000_000
 #: Added to every count.
 ADD = 0.1
 
@@ -173,7 +173,7 @@ def _train_rows(start: np.ndarray):
         if held:
             trainer.train(held)
         if trainer.seen:
-            weights = _gru.flat(trainer.p).astype(np.float64) * trainer.seen
+            weights = trainer.values.astype(np.float64) * trainer.seen
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(weights) + 1)), pa.array(np.r_[weights, trainer.seen])], ["k", "w"])
 
     return rows
@@ -184,7 +184,7 @@ def _score_rows(names: list[str], weights: np.ndarray):
         model = _gru.unflat(weights)
         for batch in batches:
             sizes = batch["__n"].to_numpy()
-            for a, b in _in_groups(sizes, TOKENS):
+            for a, b in _in_groups(sizes, SIDE):
                 value = _gru.score(model, np.concatenate(_ids_of(batch["__ids"].slice(a, b - a))), sizes[a:b]) / np.log(10)
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in names), pa.array(value)], [*names, "__score"])
 

@@ -256,7 +256,7 @@ def test_gradients():
 
     class Kept(_gru.Trainer):
         def _adam(self, grads, n):
-            self.grads = grads
+            self.grads = _gru.unflat(grads)
 
     trainer = Kept(p, lanes=1, window=24)
     trainer.train(docs)
@@ -289,11 +289,11 @@ def test_scores_by_plain_loops():
         h, total = [0.0] * u, 0.0
         for word in doc.tolist():
             cls = word // _gru.CLASS_SIZE if word < _gru.VOCABULARY else word - _gru.VOCABULARY + _gru.CLASSES
-            logits = [sum(h[i] * float(p["wc"][i, c]) for i in range(u)) + float(p["bc"][c]) for c in range(_gru.CLASSES + _gru.RARE)]
+            logits = [sum(h[i] * float(p["wc"][i, c]) for i in range(u)) + float(p["wc"][u, c]) for c in range(_gru.CLASSES + _gru.RARE)]
             total += logits[cls] - math.log(sum(map(math.exp, logits)))
             if word < _gru.VOCABULARY:
                 inside = range(cls * _gru.CLASS_SIZE, (cls + 1) * _gru.CLASS_SIZE)
-                logits = {w: sum(h[i] * float(p["ww"][w, i]) for i in range(u)) + float(p["bw"][w]) for w in inside}
+                logits = {w: sum(h[i] * float(p["ww"][cls, i, w % _gru.CLASS_SIZE]) for i in range(u)) + float(p["ww"][cls, u, w % _gru.CLASS_SIZE]) for w in inside}
                 total += logits[word] - math.log(sum(map(math.exp, logits.values())))
             x = [sum(float(p["embed"][word, i]) * float(p["wx"][i, g]) for i in range(u)) + float(p["b"][g]) for g in range(3 * u)]
             g = [sum(h[i] * float(p["wh"][i, g]) for i in range(u)) for g in range(3 * u)]
