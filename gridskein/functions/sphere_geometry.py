@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,3 +72,25 @@ def coriolis(lat) -> Column:
 def rossby_radius(lat, n: float = 0.013, h: float = 10.0) -> Column:
     """Rossby radius in km, from stability and depth (km)."""
     return ratio(F.lit(n * h), 2 * 7.29e-5 * F.sin(F.radians(F.abs(_c(lat)))))
+
+
+def _tile(lon: Column, band: Column, km: float, shift: int = 0) -> Column:
+    """Key of the tile of a longitude in a latitude band, or of one beside it."""
+    angle = km / 6371.0
+    least = F.cos(F.radians(F.least(F.lit(90.0), F.greatest(*[F.abs((band + k) * math.degrees(angle) - 90) for k in (-1, 2)]))))
+    # No two points this near, one of them in the band, are further apart in longitude.
+    reach = F.when(least <= math.sin(angle / 2), 360.0).otherwise(F.degrees(2 * F.asin(F.least(F.lit(1.0), math.sin(angle / 2) / least))))
+    n = F.greatest(F.lit(1), F.floor(360 / (reach * (1 + 1e-9))))
+    at = F.floor(F.pmod(lon, F.lit(360.0)) / 360 * n) + shift
+    return band.cast("long") * (1 << 32) + F.pmod(at, n)
+
+
+def tile_of(lon, lat, km: float) -> Column:
+    """Key of the tile of a point; tiles are so large that points up to ``km`` apart lie in neighbouring ones."""
+    return _tile(_c(lon), F.floor((_c(lat) + 90) / math.degrees(km / 6371.0)), km)
+
+
+def tiles_near(lon, lat, km: float) -> Column:
+    """Keys of a point's tile and those beside it (nine at most, poles and date line included), to be exploded."""
+    band = F.floor((_c(lat) + 90) / math.degrees(km / 6371.0))
+    return F.array_distinct(F.array(*[_tile(_c(lon), band + b, km, k) for b in (-1, 0, 1) for k in (-1, 0, 1)]))

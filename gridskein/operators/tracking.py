@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sphere_geometry import direction_on_sphere, dist_sphere, haversine, rossby_radius
+from ..functions.sphere_geometry import direction_on_sphere, dist_sphere, haversine, rossby_radius, tile_of, tiles_near
 from ..grid import Grid, ratio
 from ..storage import materialise
 from .components import connected_components
@@ -270,19 +270,30 @@ def cyclone_clusters(points: DataFrame, links: DataFrame, kinds: tuple[int, ...]
 def track_events(events: DataFrame, cells: DataFrame | None = None, hours: float = 24.0, overlap: float = 0.0, distance: float | None = None) -> DataFrame:
     """(event, date, label): events (event, date, lon, lat) linked in time, by overlap of their cells (event, j, i, area) or distance (km) of their centres.
 
-    Labels are dense from 0 in order of a group's least event.
+    Events meet by blocks of time and by tiles of the distance, or by shared cells. Labels are dense from 0 in order of a group's least event.
     """
     width = int(hours * 3600)
     e = events.withColumn("s", F.unix_timestamp("date")).withColumn("__b", F.floor(F.col("s") / width))
-    a = e.select("__b", F.col("event").alias("a"), F.col("s").alias("s1"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
-    b = e.select(F.explode(F.array(F.col("__b") - 1, F.col("__b"))).alias("__b"), F.col("event").alias("b"), F.col("s").alias("s2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    pairs = a.join(b, "__b").filter((F.col("s2") > F.col("s1")) & (F.col("s2") - F.col("s1") <= width))
+    first = [F.col("event").alias("a"), F.col("s").alias("s1"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1")]
+    second = [F.col("event").alias("b"), F.col("s").alias("s2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2")]
+    blocks = F.array(F.col("__b") - 1, F.col("__b"))
+    if distance is not None:
+        a = e.select("__b", tile_of("lon", "lat", distance).alias("__tile"), *first)
+        b = e.select(F.explode(blocks).alias("__b"), tiles_near("lon", "lat", distance).alias("__tiles"), *second).withColumn("__tile", F.explode("__tiles")).drop("__tiles")
+        pairs = a.join(b, ["__b", "__tile"])
+    else:
+        # Events that share a cell, at steps close in time.
+        keyed = e.select("event", "s", "__b").join(cells.select("event", "j", "i"), "event")
+        a = keyed.select("__b", "j", "i", F.col("event").alias("a"), F.col("s").alias("s1"))
+        b = keyed.select(F.explode(blocks).alias("__b"), "j", "i", F.col("event").alias("b"), F.col("s").alias("s2"))
+        pairs = a.join(b, ["__b", "j", "i"])
+    pairs = pairs.filter((F.col("s2") > F.col("s1")) & (F.col("s2") - F.col("s1") <= width))
     if distance is not None:
         links = pairs.filter(haversine("lon1", "lat1", "lon2", "lat2") < distance).select("a", "b")
     else:
         area = cells.groupBy("event").agg(F.sum("area").alias("size"))
         first, second = cells.select(F.col("event").alias("a"), "j", "i", "area"), cells.select(F.col("event").alias("b"), "j", "i")
-        common = pairs.select("a", "b").join(first, "a").join(second, ["b", "j", "i"]).groupBy("a", "b").agg(F.sum("area").alias("both"))
+        common = pairs.select("a", "b").distinct().join(first, "a").join(second, ["b", "j", "i"]).groupBy("a", "b").agg(F.sum("area").alias("both"))
         sizes = common.join(area.select(F.col("event").alias("a"), F.col("size").alias("s1")), "a").join(area.select(F.col("event").alias("b"), F.col("size").alias("s2")), "b")
         links = sizes.filter(F.col("both") / (F.col("s1") + F.col("s2") - F.col("both")) > overlap).select("a", "b")
     roots = connected_components(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))

@@ -101,11 +101,12 @@ _add("line_find_maxloc", lambda s, d: rounded(ft.find_maxloc(GRID, GRID.slices(c
 
 
 def _drawn(s, d):
-    """Some lines whose points follow the field."""
-    return cube(s, d).filter("j < 8 AND i < 30").select("t", F.col("j").alias("line_id"), F.col("i").alias("pt"), (F.col("i") * 2.0 + F.col("j") * 0.3).alias("x"), (5.0 * F.col("j") + 3 + F.col("u") * 0.1).alias("y"))
+    """A line for each row, with a point for each cell that follows the field, kept inside the grid."""
+    y = F.least(F.lit(49.0), F.greatest(F.lit(0.0), F.col("j") + F.col("u") * 0.1))
+    return cube(s, d).select("t", F.col("j").alias("line_id"), F.col("i").alias("pt"), (F.col("i") + F.col("j") * 0.3).alias("x"), y.alias("y"))
 
 
-_DRAWN = f"WITH {CUBE_SQL}, d AS (SELECT t, j AS line_id, i AS pt, i * 2.0::DOUBLE + j * 0.3::DOUBLE AS x, 5.0::DOUBLE * j + 3 + u * 0.1::DOUBLE AS y FROM s0 WHERE j < 8 AND i < 30)\n"
+_DRAWN = f"WITH {CUBE_SQL}, d AS (SELECT t, j AS line_id, i AS pt, i + j * 0.3::DOUBLE AS x, least(49.0::DOUBLE, greatest(0.0::DOUBLE, j + u * 0.1::DOUBLE)) AS y FROM s0)\n"
 _add("line_mask_lines", lambda s, d: ft.mask_lines(GRID, _drawn(s, d)), _DRAWN + "SELECT DISTINCT t, CAST(round(y) AS INTEGER) AS j, CAST(round(x) AS INTEGER) % 64 AS i FROM d")
 _add("line_normalize_lines", lambda s, d: rounded(ft.normalize_lines(GRID, _drawn(s, d), _cells(s)), {"density": 1e9}), _DRAWN + """, g AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM d WINDOW w AS (PARTITION BY t, line_id ORDER BY pt)),
     h AS (SELECT t, least(abs(x - x0), 64 - abs(x - x0)) AS di, abs(y - y0) AS dj, unnest([round(x), round(x0)]) AS cx, unnest([round(y), round(y0)]) AS cy FROM g WHERE x0 IS NOT NULL),
@@ -113,18 +114,6 @@ _add("line_normalize_lines", lambda s, d: rounded(ft.normalize_lines(GRID, _draw
     """ + rounded_sql({"density": 1e9}, "(SELECT t, j, i, sum(sqrt(pow(dx * di / 2, 2) + pow(dy * dj / 2, 2)) / 2 / (dx * dy / 4)) AS density FROM h JOIN c ON c.j = cy AND c.i = CAST(cx AS INTEGER) % 64 GROUP BY ALL)"))
 
 
-def _drawn_whole(s, d):
-    """A line for each row, with a point for each cell, kept inside the grid."""
-    y = F.least(F.lit(49.0), F.greatest(F.lit(0.0), F.col("j") + F.col("u") * 0.1))
-    return cube(s, d).select("t", F.col("j").alias("line_id"), F.col("i").alias("pt"), (F.col("i") + F.col("j") * 0.3).alias("x"), y.alias("y"))
-
-
-_AS_DRAWN = "i * 2.0::DOUBLE + j * 0.3::DOUBLE AS x, 5.0::DOUBLE * j + 3 + u * 0.1::DOUBLE AS y FROM s0 WHERE j < 8 AND i < 30"
-_WHOLE = "i + j * 0.3::DOUBLE AS x, least(49.0::DOUBLE, greatest(0.0::DOUBLE, j + u * 0.1::DOUBLE)) AS y FROM s0"
-_add("line_mask_lines_whole", lambda s, d: ft.mask_lines(GRID, _drawn_whole(s, d)), ORACLE_SQL["line_mask_lines"].replace(_AS_DRAWN, _WHOLE))
-_add("line_normalize_lines_whole", lambda s, d: rounded(ft.normalize_lines(GRID, _drawn_whole(s, d), _cells(s)), {"density": 1e9}), ORACLE_SQL["line_normalize_lines"].replace(_AS_DRAWN, _WHOLE))
-
-
 def _line_out(lines):
     return lines.select(*[c for c in lines.columns if c in ("t", "type", "line_id", "pt")], F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "payload")
 
@@ -166,15 +155,11 @@ def _points(s, d):
 
 _PT = """WITH RECURSIVE p AS (SELECT event_id AS event, user_id, CAST(ts AS TIMESTAMP) AS date, epoch_us(ts) // 1000000 AS s, ((user_id * 7.0::DOUBLE + (epoch_us(ts) // 1000000) / 86400.0::DOUBLE) % 360) AS lon, user_id % 60 + value / 100 AS lat, value FROM events)"""
 _HAV = "2 * 6371 * asin(sqrt(least(1, pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))))"
-_few_events = "user_id < 12"
-_add("event_track_events", lambda s, d: tk.track_events(_points(s, d).filter(_few_events), None, 24.0, 0.0, 60.0).select("event", "label"), _PT + f""", q AS (SELECT * FROM p WHERE {_few_events}),
+_add("event_track_events", lambda s, d: tk.track_events(_points(s, d), None, 24.0, 0.0, 60.0).select("event", "label"), _PT + f""", q AS (SELECT * FROM p),
     e AS (SELECT a.event AS a, b.event AS b FROM q a JOIN q b ON b.s > a.s AND b.s - a.s <= 86400 AND {_HAV.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 60), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r AS (SELECT event, event AS root FROM q UNION SELECT u.b, least(r.root, u.b) FROM r JOIN u ON u.a = r.event), f AS (SELECT event, min(root) AS root FROM r GROUP BY ALL)
     SELECT event, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS label FROM f""")
 
-#: All events; the self-join is too slow in SQL.
-_add("event_track_events_whole", lambda s, d: tk.track_events(_points(s, d), None, 24.0, 0.0, 60.0).select("event", "label"))
-
 # Lows and tracks.
 _add("cyc_cyclone_by_contour", lambda s, d: ft.cyclone_by_contour(GRID, _smooth(s, d), "msl", "oro", COARSE).select("t", "id", "lat", "lon", "lowest", "outer", "size", F.size("cells").alias("n")))
 _add("cyc_precip_blobs", lambda s, d: ft.precip_blobs(GRID, _smooth(s, d), "rain", 500.0).select("t", "id", "lat", "lon", "peak", "size", F.size("cells").alias("n")))
@@ -216,16 +201,12 @@ _add("cyc_trackinfo", lambda s, d: rounded(tk.filter_tracks(tk.aggregate_trackin
     """ + rounded_sql(_SC, "z", ("track_id", "closed", "keep")))
 
 
-def _storms_whole(s, d):
-    return _points(s, d).select(F.col("user_id").alias("id"), F.lit("N").alias("hemis"), F.col("date").alias("ts"), F.pmod("lon", F.lit(40.0)).alias("lon"), (F.lit(40.0) + F.col("lat") / 4).alias("lat"))
-
-
 def _storms(s, d):
-    return _storms_whole(s, d).filter("id < 40")
+    return _points(s, d).select(F.col("user_id").alias("id"), F.lit("N").alias("hemis"), F.col("date").alias("ts"), F.pmod("lon", F.lit(40.0)).alias("lon"), (F.lit(40.0) + F.col("lat") / 4).alias("lat"))
 
 
 _ROSS = "(0.13::DOUBLE / (2 * 7.29e-5 * sin(radians(abs({0})))))"
-_CL = _PT + f""", q AS (SELECT user_id AS id, s, lon % 40 AS lon, 40 + lat / 4 AS lat FROM p WHERE user_id < 40),
+_CL = _PT + f""", q AS (SELECT user_id AS id, s, lon % 40 AS lon, 40 + lat / 4 AS lat FROM p),
     n AS (SELECT DISTINCT a.id AS a, b.id AS b, a.s, a.lat, a.lon FROM q a JOIN q b ON a.id <> b.id AND abs(a.s - b.s) <= 129600 AND {_HAV.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} / {_ROSS.format('((a.lat + b.lat) / 2)')} <= 1),
     g AS (SELECT a, b, count(*) AS n, min(s) AS s0, max(s) AS s1, arg_min(lat, s) AS la0, arg_min(lon, s) AS lo0, arg_max(lat, s) AS la1, arg_max(lon, s) AS lo1 FROM n GROUP BY a, b HAVING count(*) >= 2),
     o AS (SELECT a, b, {_HAV.format('la0', 'lo0', 'la1', 'lo1')} / {_ROSS.format('((la0 + la1) / 2)')} AS way, (s1 - s0) / 3600 AS tm FROM g),
@@ -234,8 +215,6 @@ _CL = _PT + f""", q AS (SELECT user_id AS id, s, lon % 40 AS lon, 40 + lat / 4 A
 _add("cyc_connect_cyclones", lambda s, d: tk.connect_cyclones(_storms(s, d)), _CL + "SELECT a, b, link FROM lk WHERE link > 0")
 _add("cyc_cyclone_clusters", lambda s, d: tk.cyclone_clusters(_storms(s, d), tk.connect_cyclones(_storms(s, d)), (1, 3)), _CL + """, u AS (SELECT a, b FROM lk WHERE link IN (1, 3) UNION SELECT b, a FROM lk WHERE link IN (1, 3)), ids AS (SELECT DISTINCT id FROM q),
     r AS (SELECT id, id AS root FROM ids UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id) SELECT id, min(root) AS cluster FROM r GROUP BY id""")
-_add("cyc_connect_cyclones_whole", lambda s, d: tk.connect_cyclones(_storms_whole(s, d)))
-_add("cyc_cyclone_clusters_whole", lambda s, d: tk.cyclone_clusters(_storms_whole(s, d), tk.connect_cyclones(_storms_whole(s, d)), (1, 3)))
 _add("cyc_block_by_grad_rev", lambda s, d: tk.block_by_grad_rev(GRID, dg.block_indicator(GRID, _smooth(s, d), "u", 5, 3), "block", (20.0, 70.0), min_steps=2))
 _BI = {"b": "CASE WHEN j >= 5 AND j < 45 THEN (" + " + ".join(f"u[{'s' * k}]" for k in range(1, 6)) + " - (" + " + ".join(f"u[{'n' * k}]" for k in range(1, 6)) + ")) / 5 END"}
 _add("cyc_rwb_by_contour", lambda s, d: wb.rwb_by_contour(GRID, _smooth(s, d).withColumn("pt", 330 + F.col("lat") / 2 + 8 * F.col("u")), "pt", LATS, LONS, "PT", 21))

@@ -72,16 +72,13 @@ def _patterns(s, d):
 _RS = BASE + ", ts AS (SELECT p.t + 1 AS n, c.t, sum(c.u * p.v) AS ts FROM s0 c JOIN s0 p ON p.j = c.j AND p.i = c.i AND p.t < 2 GROUP BY ALL)\n"
 _add("stat_regress_series", lambda s, d: rounded(st.regress(cube(s, d), "u", "u", _patterns(s, d))[0], {"ts": 1e-2}, ("n", "t")), _RS + rounded_sql({"ts": 1e-2}, "ts", ("n", "t")))
 _add("stat_regress", lambda s, d: rounded(st.regress(cube(s, d), "u", "u", _patterns(s, d))[1], {"res": 1e-4}, ("n", "j", "i")), _RS + rounded_sql({"res": 1e-4}, "(SELECT n, j, i, sum(ts * u) AS res FROM s0 JOIN ts USING (t) GROUP BY ALL)", ("n", "j", "i")))
-_add("stat_kernel_average_2d", lambda s, d: rounded(st.kernel_average(cube(s, d).filter("t = 0 AND u > 2").select(F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), F.col("v").alias("z")), cube(s, d).filter("t = 0").select("j", "i", F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y")), 1.5, 2.0), {"density": 1, "average": 1}, KEYS), BASE + """
-    , w AS (SELECT c.j, c.i, exp(-(pow((c.i - p.i) / 1.5::DOUBLE, 2) + pow((c.j - p.j) / 2.0::DOUBLE, 2)) / 2) AS w, p.v AS z FROM s0 c JOIN s0 p ON p.t = 0 AND p.u > 2 AND abs(c.i - p.i) <= 6 AND abs(c.j - p.j) <= 8 WHERE c.t = 0),
+_add("stat_kernel_average_2d", lambda s, d: rounded(st.kernel_average(cube(s, d).filter("u > 2").select(F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), F.col("v").alias("z")), cube(s, d).select("j", "i", F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y")).distinct(), 1.5, 2.0), {"density": 1, "average": 1}, KEYS), BASE + """
+    , w AS (SELECT c.j, c.i, exp(-(pow((c.i - p.i) / 1.5::DOUBLE, 2) + pow((c.j - p.j) / 2.0::DOUBLE, 2)) / 2) AS w, p.v AS z FROM s0 c JOIN s0 p ON p.u > 2 AND abs(c.i - p.i) <= 6 AND abs(c.j - p.j) <= 8 WHERE c.t = 0),
     a AS (SELECT j, i, sum(w) AS density, sum(w * z) / sum(w) AS av FROM w GROUP BY j, i), m AS (SELECT max(density) AS top FROM a)
     SELECT j, i, CASE WHEN density >= 0.001::DOUBLE * top THEN round(density, 6) END AS density, CASE WHEN density >= 0.001::DOUBLE * top THEN round(av, 6) + 0.0::DOUBLE END AS average FROM a, m""")
 _add("stat_percentile_thresholds", lambda s, d: st.percentile_thresholds(table(s, d, "events").withColumn("value", F.col("value").cast("double")), "value", 0.05, 0.95), "SELECT quantile_disc(value, 0.05) AS lower, quantile_disc(value, 0.95) AS upper FROM events")
 _add("stat_mask_insignificant", lambda s, d: rounded(cube(s, d).join(st.basic(cube(s, d), "u"), list(KEYS)).withColumn("r", st.mask_insignificant(F.col("u"), F.col("mean"), F.col("stddev"), 1.5)), {"r": 1}), BASE + ", m AS (SELECT j, i, avg(u) AS a, stddev_samp(u) AS sd FROM s0 GROUP BY j, i)\n" + rounded_sql({"r": 1}, "(SELECT t, j, i, CASE WHEN abs(u - a) >= 1.5 * sd THEN u END AS r FROM s0 JOIN m USING (j, i))"))
 
-#: The same over the points of all slices.
-_add("stat_kernel_average_2d_whole", lambda s, d: rounded(st.kernel_average(cube(s, d).filter("u > 2").select(F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), F.col("v").alias("z")), cube(s, d).select("j", "i", F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y")).distinct(), 1.5, 2.0), {"density": 1, "average": 1}, KEYS), ORACLE_SQL["stat_kernel_average_2d"].replace("p.t = 0 AND p.u > 2", "p.u > 2"))
-
 # Time intervals.
 EV = "WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS ts, event_type, value FROM events)"
 
@@ -210,28 +207,15 @@ _add("interp_vert_by_coord", lambda s, d: rounded(fl.vert_by_coord(GRID_Z, cube_
 
 
 def _places(s, d):
-    return cube(s, d).filter("i % 8 = 3").select("t", F.col("j"), (F.col("i") + 0.25 * (F.col("j") % 5)).alias("x"))
+    return cube(s, d).select("t", "j", (F.col("i") + 0.25 * (F.col("j") % 5)).alias("x"))
 
 
-_add("interp_by_idx_1d", lambda s, d: rounded(fl.at_index(GRID, cube(s, d), "u", _places(s, d)), {"u": 1}, ("t", "j", "x")), BASE + ", p AS (SELECT t, j, i + 0.25::DOUBLE * (j % 5) AS x FROM s0 WHERE i % 8 = 3)\n" + rounded_sql({"u": 1}, "(SELECT p.t, p.j, p.x, CASE WHEN x = floor(x) THEN a.u ELSE (1 - (x - floor(x))) * a.u + (x - floor(x)) * b.u END AS u FROM p LEFT JOIN s0 a ON a.t = p.t AND a.j = p.j AND a.i = floor(x) LEFT JOIN s0 b ON b.t = p.t AND b.j = p.j AND b.i = floor(x) + 1)", ("t", "j", "x")))
+_add("interp_by_idx_1d", lambda s, d: rounded(fl.at_index(GRID, cube(s, d), "u", _places(s, d)), {"u": 1}, ("t", "j", "x")), BASE + ", p AS (SELECT t, j, i + 0.25::DOUBLE * (j % 5) AS x FROM s0)\n" + rounded_sql({"u": 1}, "(SELECT p.t, p.j, p.x, CASE WHEN x = floor(x) THEN a.u ELSE (1 - (x - floor(x))) * a.u + (x - floor(x)) * b.u END AS u FROM p LEFT JOIN s0 a ON a.t = p.t AND a.j = p.j AND a.i = floor(x) LEFT JOIN s0 b ON b.t = p.t AND b.j = p.j AND b.i = floor(x) + 1)", ("t", "j", "x")))
 
 
 def _spots(s, d):
-    return cube(s, d).filter("i % 8 = 3").select("t", (F.col("j") + 0.5).alias("y"), (F.col("i") + 0.25 * (F.col("j") % 4)).alias("x"))
-
-
-_add("interp_at_position", lambda s, d: rounded(fl.at_position(cube(s, d), "u", _spots(s, d)), {"u": 1}, ("t", "y", "x")), BASE + ", p AS (SELECT t, j + 0.5::DOUBLE AS y, i + 0.25::DOUBLE * (j % 4) AS x FROM s0 WHERE i % 8 = 3)\n" + rounded_sql({"u": 1}, """(SELECT p.t, p.y, p.x, CASE WHEN x = floor(x) THEN 0.5 * a.u + 0.5 * c.u ELSE 0.5 * ((1 - (x - floor(x))) * a.u + (x - floor(x)) * b.u) + 0.5 * ((1 - (x - floor(x))) * c.u + (x - floor(x)) * e.u) END AS u FROM p
-    LEFT JOIN s0 a ON a.t = p.t AND a.j = floor(y) AND a.i = floor(x) LEFT JOIN s0 b ON b.t = p.t AND b.j = floor(y) AND b.i = floor(x) + 1 LEFT JOIN s0 c ON c.t = p.t AND c.j = floor(y) + 1 AND c.i = floor(x) LEFT JOIN s0 e ON e.t = p.t AND e.j = floor(y) + 1 AND e.i = floor(x) + 1)""", ("t", "y", "x")))
-
-
-def _all_places(s, d):
-    return cube(s, d).select("t", "j", (F.col("i") + 0.25 * (F.col("j") % 5)).alias("x"))
-
-
-def _all_spots(s, d):
     return cube(s, d).select("t", (F.col("j") + 0.5).alias("y"), (F.col("i") + 0.25 * (F.col("j") % 4)).alias("x"))
 
 
-#: The same at places in all cells.
-_add("interp_by_idx_1d_whole", lambda s, d: rounded(fl.at_index(GRID, cube(s, d), "u", _all_places(s, d)), {"u": 1}, ("t", "j", "x")), ORACLE_SQL["interp_by_idx_1d"].replace(" WHERE i % 8 = 3", ""))
-_add("interp_at_position_whole", lambda s, d: rounded(fl.at_position(cube(s, d), "u", _all_spots(s, d)), {"u": 1}, ("t", "y", "x")), ORACLE_SQL["interp_at_position"].replace(" WHERE i % 8 = 3", ""))
+_add("interp_at_position", lambda s, d: rounded(fl.at_position(cube(s, d), "u", _spots(s, d)), {"u": 1}, ("t", "y", "x")), BASE + ", p AS (SELECT t, j + 0.5::DOUBLE AS y, i + 0.25::DOUBLE * (j % 4) AS x FROM s0)\n" + rounded_sql({"u": 1}, """(SELECT p.t, p.y, p.x, CASE WHEN x = floor(x) THEN 0.5 * a.u + 0.5 * c.u ELSE 0.5 * ((1 - (x - floor(x))) * a.u + (x - floor(x)) * b.u) + 0.5 * ((1 - (x - floor(x))) * c.u + (x - floor(x)) * e.u) END AS u FROM p
+    LEFT JOIN s0 a ON a.t = p.t AND a.j = floor(y) AND a.i = floor(x) LEFT JOIN s0 b ON b.t = p.t AND b.j = floor(y) AND b.i = floor(x) + 1 LEFT JOIN s0 c ON c.t = p.t AND c.j = floor(y) + 1 AND c.i = floor(x) LEFT JOIN s0 e ON e.t = p.t AND e.j = floor(y) + 1 AND e.i = floor(x) + 1)""", ("t", "y", "x")))

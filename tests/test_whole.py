@@ -1,14 +1,11 @@
 """Queries read their whole tables."""
 
 import collections
-import random
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from gridskein.llm import chat, html_extract, lm_scoring
-from gridskein.llm import queries as llm
 from gridskein.queries import QUERIES
 
 from .oracle import DATA
@@ -22,45 +19,6 @@ def test_features_of_all_slices(spark, name):
     assert {r.t for r in QUERIES[name](spark, SF).select("t").distinct().collect()} == set(range(10))
 
 
-def test_all_training_documents_train_the_weights(spark):
-    docs = spark.createDataFrame([(k, f"a b{k % 7} c {k}") for k in range(200)], "doc_id long, text string").repartition(3)
-    model = lm_scoring.train_language_model(docs)
-    assert model.trained == model.tokens == 1000
-
-
-def _links(messages):
-    """{(conv, turn): (reply_to, n_linked)} by brute force; messages are (conv, turn, role, text)."""
-    out = {}
-    for conv, turn, _, text in messages:
-        votes = collections.defaultdict(collections.Counter)
-        for line in text.split("\n"):
-            mark = line.replace(" ", "")
-            level, plain = len(mark) - len(mark.lstrip(">")), line.lstrip("> ").lower().strip()
-            earlier = [t for c, t, _, x in messages if c == conv and t < turn and plain in [y.lower().strip() for y in x.split("\n") if not y.startswith(">")]]
-            if level and plain and earlier:
-                votes[level][max(earlier)] += 1
-        reply = max((n, t) for t, n in votes[min(votes)].items())[1] if votes else None
-        out[conv, turn] = reply, sum(sum(v.values()) for v in votes.values())
-    return out
-
-
-@pytest.mark.parametrize("block", [4096, 3])
-def test_nested_quotes_are_linked(spark, tmp_path, monkeypatch, block):
-    monkeypatch.setattr(chat, "BLOCK", block)
-    rng = random.Random(4)
-    # The second conversation's turn 3 quotes nested text only; its turn 4's level 1 original is in no message.
-    messages = [(8, 1, "user", "alpha"), (8, 2, "user", "beta"), (8, 3, "user", "> > alpha\nyes"), (8, 4, "user", "> gone\n>> beta\n>> beta\n> > > alpha"), (8, 5, "user", "> alpha\n>> beta\n>> beta")]
-    for turn in range(12):
-        marks = [rng.choice(["", "> ", ">> ", "> > > "]) for _ in range(4)]
-        messages.append((9, turn, "user", "\n".join(f"{m}line {rng.randint(0, 15)}" for m in marks)))
-    spark.createDataFrame(messages, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    rows = llm.op5_quotation_linking(spark, str(tmp_path)).collect()
-    found = {(r.conv_id, r.turn): (r.reply_to, r.n_linked) for r in rows}
-    assert found == _links(messages)
-    assert [found[8, k][0] for k in (3, 4, 5)] == [1, 2, 1]
-    assert {r.turn: r.thread for r in rows if r.conv_id == 8} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 1}
-
-
 def _places():
     """Event ids, users, seconds, longitudes and latitudes of all events, as the queries place them."""
     e = pd.read_parquet(f"{SF}/events.parquet").sort_values("event_id")
@@ -95,11 +53,10 @@ def test_all_events_are_tracked(spark):
     groups = _groups(event.tolist(), pairs)
     rank = {g: k for k, g in enumerate(sorted(set(groups.values())))}
     assert user.max() >= 12 and len(rank) < len(event)
-    assert {r.event: r.label for r in QUERIES["event_track_events_whole"](spark, SF).collect()} == {e: rank[g] for e, g in groups.items()}
+    assert {r.event: r.label for r in QUERIES["event_track_events"](spark, SF).collect()} == {e: rank[g] for e, g in groups.items()}
 
 
 def test_all_cyclones_are_linked(spark, tmp_path):
-    # 40 and more are users that the queries with SQL leave out.
     rows = [(60 * u + k, 1704067200 + 3600 * (6 * k + u), u, float(10 * (k % 3))) for u in (1, 2, 41, 46, 97) for k in range(30)]
     frame = spark.createDataFrame(rows, "event_id long, s long, user_id long, value double")
     frame.selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "'x' AS event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
@@ -115,16 +72,24 @@ def test_all_cyclones_are_linked(spark, tmp_path):
     both = [(a, b) for a, b in ends if a < b and (b, a) in ends]
     want = {(a, b): (way[a, b] + way[b, a] >= 3) + 2 * (sum(ends[x][1][0] - ends[x][0][0] for x in ((a, b), (b, a))) >= 2 * 48 * 3600) for a, b in both}
     want = {ab: link for ab, link in want.items() if link}
-    assert {(r.a, r.b): r.link for r in QUERIES["cyc_connect_cyclones_whole"](spark, str(tmp_path)).collect()} == want
+    assert {(r.a, r.b): r.link for r in QUERIES["cyc_connect_cyclones"](spark, str(tmp_path)).collect()} == want
     assert any(b >= 40 for _, b in want)
     clusters = _groups(sorted(set(user.tolist())), [ab for ab, link in want.items() if link in (1, 3)])
-    assert {r.id: r.cluster for r in QUERIES["cyc_cyclone_clusters_whole"](spark, str(tmp_path)).collect()} == clusters
+    assert {r.id: r.cluster for r in QUERIES["cyc_cyclone_clusters"](spark, str(tmp_path)).collect()} == clusters
+
+
+def test_tiles_miss_no_near_pair(spark):
+    """Near the poles, the date line and anywhere else."""
+    from pyspark.sql import functions as F
 
+    from gridskein.functions.sphere_geometry import haversine, tile_of, tiles_near
 
-def test_boilerplate_is_counted_in_pages(spark):
-    notice = "please note that this shop is closed on all public holidays"
-    pages = [(k, f"http://a.example/{k}", f"<p>first text {k} of this page with its own words</p>{f'<p>{notice}</p>' if k < 4 else ''}<p>last text {k} of this page with its own words</p>") for k in range(40)]
-    pages += [(100 + k, f"http://b.example/{k}", f"<p>text {k} of this page</p><p>{notice}</p>") for k in range(2)]
-    found = html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
-    assert {r.page_id for r in found if notice in r.main_text} == {100, 101}
-    assert all(f"first text {r.page_id} of" in r.main_text and f"last text {r.page_id} of" in r.main_text for r in found if r.page_id < 100)
+    rng = np.random.default_rng(0)
+    lat = np.r_[rng.uniform(-90, 90, 300), 90, -90, 89.9, -89.95, rng.uniform(88, 90, 60), rng.uniform(-2, 2, 200)]
+    lon = np.r_[rng.uniform(-180, 360, 564 - 200), rng.uniform(-3, 3, 200)]
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(lat)), "lat": lat, "lon": lon}))
+    for km in (60.0, 300.0, 2500.0):
+        a = points.select(F.col("id").alias("a"), F.col("lat").alias("y"), F.col("lon").alias("x"), tile_of("lon", "lat", km).alias("k"))
+        b = points.select(F.col("id").alias("b"), F.col("lat").alias("y2"), F.col("lon").alias("x2"), F.explode(tiles_near("lon", "lat", km)).alias("k"))
+        found = {(r.a, r.b) for r in a.join(b, "k").filter(haversine("x", "y", "x2", "y2") < km).select("a", "b").collect()}
+        assert found == {(k, int(n)) for k in range(len(lat)) for n in np.flatnonzero(_km(lat[k], lon[k], lat, lon) < km)}
