@@ -13,7 +13,7 @@ from .decontamination import find_contamination
 from .html_extract import extract_main_text
 from .language_id import fit_language_model, identify_languages
 from .lm_scoring import count_words, encode_documents, score_encoded, train_on_encoded
-from .media import image_features, sniff_media, store_texts
+from .media import media_features, sniff_media, store_texts
 from .packing import pack_documents
 from .simhash_dedup import fingerprint_hex, simhash_components
 from .suffix_dedup import suffix_dedup
@@ -52,12 +52,21 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts of ``documents`` stored as images of undeclared type, recognised, read back and described."""
+    """All texts of ``documents`` stored as images or sound, some in envelopes and all declared alike, recognised or carved, read back and described."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
-    stored = store_texts(docs).drop("text")
-    found = sniff_media(stored).withColumn("media", F.when(F.col("sniffed_type") == "image/png", F.col("media"))).drop("carved", "type_ok")
-    read = image_features(found)
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "sniffed_type")
+    found = sniff_media(store_texts(docs, mixed=True).drop("text"), declared_col="declared_type")
+    whole = F.col("sniffed_type") != "application/octet-stream"
+    first = F.col("carved")[0]
+    found = found.select(
+        "doc_id",
+        "n_bytes",
+        F.when(whole, F.col("media")).otherwise(first["content"]).alias("media"),
+        F.when(whole, F.col("sniffed_type")).otherwise(first["type"]).alias("sniffed_type"),
+        "type_ok",
+        F.when(whole, F.lit(0)).otherwise(first["start"]).cast("long").alias("media_start"),
+    )
+    read = media_features(found)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "sniffed_type", "type_ok", "media_start")
 
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

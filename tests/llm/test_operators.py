@@ -190,7 +190,7 @@ def test_find_media():
 def test_media_round_trip(spark):
     texts = [None, "", "é" * 400, "x" * 576, "x" * 577, "plain"]
     stored = media.store_texts(_docs(spark, texts))
-    rows = {r.spans: r for r in media.image_features(media.sniff_media(stored).drop("carved")).collect()}
+    rows = {r.spans: r for r in media.media_features(media.sniff_media(stored).drop("carved")).collect()}
     for k, t in enumerate(texts):
         b = (t or "").encode()
         b += b"\xff" * (-len(b) % 576 or (0 if b else 576))
@@ -198,6 +198,57 @@ def test_media_round_trip(spark):
     assert rows[0].media_sha256 == rows[1].media_sha256
 
 
+def _described(text):
+    """Columns of op4 for a text, one step after the other in plain Python."""
+    b = (text or "").encode()
+    payload = b + b"\xff" * (-len(b) % 576 or (0 if b else 576))
+    place, form = divmod(zlib.crc32(payload), 3)
+    rows = len(payload) // 576
+    if form == 0:
+        raw = b"".join(b"\0" + payload[k : k + 576] for k in range(0, len(payload), 576))
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        stored = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 576, rows, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b"")
+        what = f"image/png 576x{rows} grey8"
+    elif form == 1:
+        stored = b"BM" + struct.pack("<IHHI", 1078 + len(payload), 0, 0, 1078) + struct.pack("<IiiHHIIiiII", 40, 576, -rows, 1, 8, 0, len(payload), 2835, 2835, 256, 0)
+        stored += b"".join(bytes((k, k, k, 0)) for k in range(256)) + payload
+        what = f"image/bmp 576x{rows} grey8"
+    else:
+        stored = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+        what = "audio/wav 8000 Hz mono8"
+    shares = [n / len(payload) for n in collections.Counter(payload).values()]
+    feature = f"{what} mean={sum(payload) / len(payload):.4f} entropy={-sum(s * math.log2(s) for s in shares) + 0:.4f}"
+    inside = place % 4 == 0
+    return len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, what.split()[0], form == 0 and not inside, len(media.ENVELOPE) * inside
+
+
+def test_media_query_by_plain_steps(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(-1, None), (-2, ""), (None, "BM" * 900), (None, "BM" * 900), (-3, "RIFF\x1f \ufeffGIF89a" * 50)], docs.schema)
+    docs.unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter(tuple(r) for r in queries.op4_media_sniffing(spark, str(tmp_path)).collect())
+    texts = docs.unionByName(more).collect()
+    assert got == collections.Counter((r.doc_id, *_described(r.text)) for r in texts)
+    assert len({k[8] for k in got}) == 3 and {k[9] for k in got} == {True, False} and len({k[10] for k in got}) == 2
+
+
+def test_media_odd_tables(spark):
+    """Empty tables, clashing names, foreign and broken media."""
+    frame = spark.createDataFrame([("a", bytearray(b"\x89PNG\r\n\x1a\n"), "x", "y"), ("b", None, "x", "y"), ("c", bytearray(gzip.compress(b"z")), "x", "y")], "text string, media binary, feature string, type_ok string")
+    found = {r.text: r for r in media.media_features(frame).collect()}
+    assert found["a"].media_bytes == 8 and found["a"].payload_bytes is None and found["b"].media_sha256 is None and found["c"].feature is None
+    assert found["a"].type_ok == "y"
+    assert {r.type_ok for r in media.sniff_media(frame).collect()} == {None}
+    stored = media.store_texts(frame, mixed=True)
+    assert stored.columns == ["text", "feature", "type_ok", "media", "declared_type"] and stored.count() == 3
+    empty = frame.limit(0)
+    assert media.media_features(media.sniff_media(media.store_texts(empty))).count() == 0
+    inner = media.encode_png(b"\2" * 576)
+    outer = b"RIFF" + struct.pack("<I", 12 + len(inner)) + b"WAVEdata" + struct.pack("<I", len(inner)) + inner
+    parts = media.sniff_media(spark.createDataFrame([(bytearray(b"--" + outer),)], "media binary")).first().carved
+    assert [(p.type, p.start, p.length, p.content is None) for p in parts] == [("audio/wav", 2, len(outer), False), ("image/png", 22, len(inner), True)]
+
+
 def test_declared_types(spark):
     png = media.encode_png(b"\1" * 576)
     frame = spark.createDataFrame([(None, "a"), (bytearray(png), "image/jpeg"), (bytearray(b"zz" + png), None), (bytearray(), "x")], "media binary, declared string")
