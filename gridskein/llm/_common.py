@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_dir
 
-__all__ = ["keyed", "materialise", "shared_dir", "table"]
+__all__ = ["groups_of", "keyed", "materialise", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,3 +25,15 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.withColumns(
         {"__id": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), "__th": F.xxhash64(F.col(f"`{text_col}`"))}
     )
+
+
+def groups_of(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of consecutive items with no more than ``limit`` in all, or of one item that has more."""
+    first, have, k = 0, 0, -1
+    for k, size in enumerate(sizes):
+        if k > first and have + size > limit:
+            yield first, k
+            first, have = k, 0
+        have += size
+    if k >= first:
+        yield first, k + 1

@@ -6,7 +6,8 @@ trigrams; Viterbi over a text's words with a penalty for each switch labels
 spans.  A text's language is the one whose spans hold most letters.
 
 Scale: the trigram model is fitted on a bounded sample of labelled rows
-(``bound`` documents, spread by hash over the whole table) and has a fixed size;
+(``bound`` documents of a language, spread by hash over the whole table) and has
+a fixed size for each language;
 labelling is one scan without a shuffle, in numpy, many texts at a time.
 """
 
@@ -17,14 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Trigram buckets (a power of two), documents to fit on, cost of a switch in nats, texts and letters at a time.
+from ._common import groups_of
+
+#: Trigram buckets (a power of two), documents to fit on (of a language), cost of a switch in nats, bytes labelled side by side (a longer text is taken alone) and code points scored at a time.
 BUCKETS = 1 << 16
 BOUND = 20_000
 PENALTY = 10.0
-TEXTS = 2500
+LABELLED = 3 << 20
 CODE_POINTS = 1 << 18
 
 #: First and last code point of scripts (Unicode block ranges); 0 is every other one.
@@ -131,15 +135,18 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = BOUND) -> LanguageModel:
-    """Fit on about ``bound`` of the rows with text and language, chosen by a hash of id and text (all rows if they are fewer).
+    """Fit on about ``bound`` rows of each language, chosen by a hash of id and text (all of a language's rows if they are fewer).
 
-    The counts that reach the driver are bounded by the number of languages and buckets.
+    Rows without text or language teach nothing.  The counts that reach the driver
+    are bounded by the number of languages and buckets.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
-    share = min(1.0, bound / max(1, rows.count()))
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > bound)
+    shares = {r["lang"]: int(bound / r["m"] * (1 << 30)) for r in sizes.collect()}  # languages, not rows
+    if shares:
+        limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("lang")), F.lit(1 << 30))
+        rows = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < limit)
     counted = rows.select("text", "lang").mapInArrow(_count_rows, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(counted["lang"]))
     table = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(languages)))
@@ -236,14 +243,16 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     names = docs.columns
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
+    column = text_col if docs.schema[text_col].dataType.simpleString() == "string" else "__t"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for s in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(s, TEXTS)
-                found, shares, spans = label_texts(batch["__t"].to_pylist(), model, penalty)
+            sizes = pc.fill_null(pc.binary_length(whole[column]), 0).to_numpy(zero_copy_only=False)
+            for a, b in groups_of(sizes + 1, LABELLED):
+                batch = whole.slice(a, b - a)
+                found, shares, spans = label_texts(batch[column].to_pylist(), model, penalty)
                 columns = [batch.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, span)], [*names, "lang_pred", "lang_score", "lang_spans"])
 
-    texts = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias("__t"))
+    texts = docs if column == text_col else docs.withColumn("__t", F.col(f"`{text_col}`").cast("string"))
     return texts.mapInArrow(rows, ", ".join([*kinds, "lang_pred string, lang_score double, lang_spans array<struct<start:int,stop:int,lang:string>>"]))

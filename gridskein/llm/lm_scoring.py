@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _gru
-from ._common import materialise
+from ._common import groups_of, materialise
 
 #: Most frequent words that all tasks hold.
 TOP = 100_000
@@ -61,18 +61,6 @@ def words_of(text: bytes | None) -> list[bytes]:
     return words
 
 
-def _in_groups(sizes: Iterator[int], limit: int) -> Iterator[tuple[int, int]]:
-    """Runs [a, b) of items with no more than ``limit`` in all, or one item."""
-    first, have, k = 0, 0, 0
-    for k, size in enumerate(sizes):
-        if have and have + size > limit:
-            yield first, k
-            first, have = k, 0
-        have += size
-    if have:
-        yield first, k + 1
-
-
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -184,7 +172,7 @@ def _score_rows(names: list[str], weights: np.ndarray):
         model = _gru.unflat(weights)
         for batch in batches:
             sizes = batch["__n"].to_numpy()
-            for a, b in _in_groups(sizes, SIDE):
+            for a, b in groups_of(sizes, SIDE):
                 value = _gru.score(model, np.concatenate(_ids_of(batch["__ids"].slice(a, b - a))), sizes[a:b]) / np.log(10)
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in names), pa.array(value)], [*names, "__score"])
 

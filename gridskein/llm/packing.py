@@ -108,6 +108,7 @@ def _piece_rows(path: str, ranks: str | None, capacity: int):
                     [part["id"].take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)],
                     ["id", "piece", "start", "length", "ids_crc32"],
                 )
+        own.known.clear()  # the worker may run other stages next
 
     return rows
 

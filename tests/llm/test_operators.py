@@ -418,6 +418,18 @@ def test_language_id_edges(spark):
     assert {r.lang_pred for r in language_id.identify_languages(teach, nothing).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    """The bound holds for each language: one with few rows among many is learned, and repeated ids do no harm."""
+    rows = [(None if k % 2 else 7, f"the cat and the dog number {'x' * (k % 30)} run", "en") for k in range(400)] + [(9, "собака и кошка", "ru")]
+    teach = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_language_model(teach, bound=20)
+    assert model.languages == ["en", "ru"]
+    empty = language_id.identify_languages(teach.limit(0), model)
+    assert empty.count() == 0 and empty.columns[-3:] == ["lang_pred", "lang_score", "lang_spans"]
+    numbers = teach.selectExpr("doc_id", "12345 AS text", "text AS lang_pred")
+    assert {r.lang_pred for r in language_id.identify_languages(numbers, model).collect()} == {"und"}
+
+
 # 8 SimHash
 
 
