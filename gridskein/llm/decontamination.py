@@ -1,15 +1,18 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts become token sequences (runs of word characters, lower case).  A window of
-``window`` tokens of a document matches one of a benchmark item if they differ
-in at most two places.  The places of a window make four classes (by place mod
-4); each of six fixed masks keeps two classes and ignores the rest.  Two
-substitutions touch two classes at most, so one mask sees equal tokens and the
-hashes join: no match is missed.  Windows that join are compared token by token
-and verified ones are merged to overlaps.
-
-Scale: benchmark items are taken in blocks of bounded size, each a read-only
-table of hashes beside one scan of the documents; nothing is shuffled.
+Texts become token sequences (runs of word characters in lower case; single
+characters in scripts without spaces).  A window of ``window`` tokens of a
+document matches one of a benchmark item if they differ in at most two places.
+The places of a window make four classes (by place mod 4); each of six fixed
+masks keeps two classes and ignores the rest.  Two substitutions touch two
+classes at most, so one mask sees equal tokens and the hashes join: no match is
+missed.  Windows that join are compared token by token.
+
+Scale: masked hashes of documents and items meet in a shuffle join.  Before it, a
+document's hashes pass a filter with the items' hashes, a bit array whose size
+doesn't depend on the benchmark's; a larger benchmark lets more of them through,
+and the join takes what comes.  Windows that several items share are joined and
+compared once; their places are counted after that.
 """
 
 from __future__ import annotations
@@ -24,13 +27,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a window, substitutions allowed, fewest tokens of an item that is looked for.
-WINDOW, ERRORS, LEAST = 13, 2, 5
-#: Bytes of benchmark text in a block, about; tokens of documents handled at a time; token hashes remembered.
-BLOCK, TOKENS, CACHE = 8 << 20, 1 << 18, 300_000
+from ._common import groups_of, keyed, materialise
 
-_WORD = re.compile(r"\w+")
-_FILTER_BITS = 22
+#: Tokens of a window, substitutions allowed, and tokens to one substitution in items shorter than a window.
+WINDOW, ERRORS, TO_ONE = 13, 2, 6
+#: Bytes of documents handled at a time, token hashes that a worker remembers, rows of keys that may be broadcast.
+BYTES, CACHE, BROADCAST_ROWS = 2 << 20, 200_000, 200_000
+#: Bits of a place in the filter.
+FILTER_BITS = 25
+
+#: Code points of scripts that don't put spaces between words (Thai to Burmese, Khmer, kana, Han).
+_UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+_TOKEN = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
 _RNG = np.random.default_rng(97)
 _FACTORS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -48,150 +56,179 @@ _HASHES = _Hashes()
 
 def tokens(text: str | None) -> np.ndarray:
     """The hashes of a text's tokens."""
-    return np.array(list(map(_HASHES.__getitem__, _WORD.findall((text or "").lower()))), np.uint64)
+    return np.array(list(map(_HASHES.__getitem__, _TOKEN.findall((text or "").lower()))), np.uint64)
+
+
+def errors_of(window: int, full: int = WINDOW, errors: int = ERRORS) -> int:
+    """Substitutions allowed in a window: all of them in a full one, one for TO_ONE tokens in a shorter item."""
+    return errors if window == full else min(errors, window // TO_ONE)
+
 
+def masks(errors: int) -> list[tuple[int, ...]]:
+    """Classes of places that each mask keeps: whichever ``errors`` (two at most) classes are touched, a mask leaves them out."""
+    if errors > 2:
+        raise ValueError("two substitutions at most")
+    return [(0, 1, 2, 3)] if not errors else [(0, 1), (2, 3)] if errors == 1 else list(combinations(range(4), 2))
 
-def masked_hashes(ids: np.ndarray, window: int) -> np.ndarray:
-    """Hashes of all windows of a token sequence under the six masks, a row for each mask."""
+
+def masked_hashes(ids: np.ndarray, window: int, errors: int) -> np.ndarray:
+    """Hashes of all windows of a token sequence, a row for each mask."""
     n = len(ids) - window + 1
     parts = np.zeros((4, n), np.uint64)
     for k in range(window):
         parts[k % 4] += ids[k : k + n] * _FACTORS[k]
     parts ^= parts >> np.uint64(31)
-    return np.stack([parts[a] * _FACTORS[60] + parts[b] * _FACTORS[61] + _FACTORS[50 + k] for k, (a, b) in enumerate(combinations(range(4), 2))])
-
-
-class Index:
-    """Windows of benchmark items of one window length by masked hash.
-
-    Equal windows of several items are kept once, with all their places.
-    """
-
-    def __init__(self, sequences: list[tuple[int, np.ndarray]], window: int, errors: int):
-        self.window, self.errors = window, errors
-        rows, items, places = [], [], []
-        for item, ids in sequences:
-            rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
-            items.append(np.full(len(rows[-1]), item))
-            places.append(np.arange(len(rows[-1])))
-        self.tokens, inverse = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-        order = np.argsort(inverse.ravel(), kind="stable")
-        self.items, self.places = np.concatenate(items)[order], np.concatenate(places)[order]
-        self.begin = np.searchsorted(inverse.ravel()[order], np.arange(len(self.tokens) + 1))
-        hashes = np.concatenate([masked_hashes(row, window)[:, 0] for row in self.tokens])
-        which = np.repeat(np.arange(len(self.tokens)), 6)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.which = hashes[order], which[order]
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-
-    def matches(self, ids: np.ndarray, ends: np.ndarray):
-        """(place in ids, distinct window) of all windows within one text that match."""
-        none = np.zeros(0, np.int64)
-        if len(ids) < self.window:
-            return none, none
-        found, windows = [], []
-        for row in masked_hashes(ids, self.window):
-            at = np.flatnonzero(self.filter[(row >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-            first, last = np.searchsorted(self.hashes, row[at], "left"), np.searchsorted(self.hashes, row[at], "right")
-            n = last - first
-            found.append(np.repeat(at, n))
-            windows.append(self.which[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        pairs = np.unique(np.stack([np.concatenate(found), np.concatenate(windows)], axis=1), axis=0)
-        at, which = pairs[:, 0], pairs[:, 1]
-        inside = at + self.window <= ends[np.minimum(np.searchsorted(ends, at, side="right"), len(ends) - 1)]
-        at, which = at[inside], which[inside]
-        good = [
-            (ids[at[s : s + 4096, None] + np.arange(self.window)] != self.tokens[which[s : s + 4096]]).sum(axis=1) <= self.errors
-            for s in range(0, len(at), 4096)
-        ]
-        good = np.concatenate(good) if good else np.zeros(0, bool)
-        return at[good], which[good]
-
-
-def _indexes(texts: list[str | None], window: int, errors: int) -> tuple[list[Index], np.ndarray]:
-    by_size: dict[int, list] = {}
-    sizes = np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        ids = tokens(text)
-        sizes[k] = len(ids)
-        if len(ids) >= LEAST:
-            by_size.setdefault(min(window, len(ids)), []).append((k, ids))
-    return [Index(s, w, errors if w == window else min(errors, w // 6)) for w, s in sorted(by_size.items())], sizes
-
-
-def _overlaps(texts: list[str | None], indexes: list[Index], sizes: np.ndarray) -> list[dict[int, tuple]]:
-    """For each text, item -> (windows, tokens of the item covered, first and last token of the text covered)."""
-    out: list[dict[int, tuple]] = [{} for _ in texts]
-    done = 0
-    while done < len(texts):
-        group, n = [], 0
-        while done + len(group) < len(texts) and (n < TOKENS or not group):
-            group.append(tokens(texts[done + len(group)]))
-            n += len(group[-1])
-        ids, ends = np.concatenate(group), np.cumsum([len(g) for g in group])
-        for index in indexes:
-            at, which = index.matches(ids, ends)
-            n_places = index.begin[which + 1] - index.begin[which]
-            at = np.repeat(at, n_places)
-            place = np.repeat(index.begin[which] - np.cumsum(n_places) + n_places, n_places) + np.arange(n_places.sum())
-            items, places = index.items[place], index.places[place]
-            text = np.searchsorted(ends, at, side="right")
-            order = np.lexsort((places, items, text))
-            at, items, places, text = at[order], items[order], places[order], text[order]
-            cuts = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (items[1:] != items[:-1]), True]) if len(at) else np.zeros(1, np.int64)
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                p = np.unique(places[a:b])
-                covered = int(np.minimum(np.diff(p), index.window).sum()) + index.window
-                begin = ends[text[a]] - len(group[text[a]])
-                out[done + text[a]][int(items[a])] = (b - a, covered, int(at[a:b].min() - begin), int(at[a:b].max() - begin) + index.window)
-        done += len(group)
-    return out
+    return np.stack([sum(parts[c] * _FACTORS[60 + i] for i, c in enumerate(kept)) + _FACTORS[50 + m] + np.uint64(window) for m, kept in enumerate(masks(errors))])
+
+
+def _places(h: np.ndarray, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash's two places in the filter."""
+    return (h >> np.uint64(64 - filter_bits)).astype(np.int64), (h >> np.uint64(64 - 2 * filter_bits)).astype(np.int64) & ((1 << filter_bits) - 1)
+
+
+def _windows(ids: np.ndarray, at: np.ndarray, window: int) -> pa.Array:
+    """Windows at some places as binary values."""
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ids, window)[at])
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * (8 * window)), pa.py_buffer(rows)])
+
+
+def _item_rows(window: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch["text"].to_pylist()):
+                ids = tokens(text)
+                if not len(ids):
+                    continue
+                w = min(window, len(ids))
+                at = np.arange(len(ids) - w + 1)
+                which = pa.array(np.full(len(at), k))
+                columns = [batch["item"].take(which), batch["ikey"].take(which), pa.array(np.full(len(at), len(ids))), pa.array(np.full(len(at), w)), pa.array(at), _windows(ids, at, w)]
+                yield pa.RecordBatch.from_arrays(columns, ["item", "ikey", "size", "w", "place", "win"])
+
+    return rows
+
+
+def _hash_rows(window: int, errors: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for win in batch["win"]:
+                ids = np.frombuffer(win.as_buffer(), np.uint64)
+                h = masked_hashes(ids, len(ids), errors_of(len(ids), window, errors))[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([win.as_py()] * len(h), pa.binary())], ["h", "win"])
+
+    return rows
+
+
+def _seed_rows(lengths: list[int], window: int, errors: int, bits: np.ndarray, filter_bits: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            column = whole["__t"]
+            for a, b in groups_of((len(t.as_buffer()) + 1 if t.is_valid else 1 for t in column), BYTES):
+                texts = [tokens(t.as_py()) for t in column.slice(a, b - a)]
+                ids, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+                for w in lengths:
+                    if len(ids) < w:
+                        continue
+                    for h in masked_hashes(ids, w, errors_of(w, window, errors)):
+                        first, second = _places(h, filter_bits)
+                        at = np.flatnonzero(bits[first >> 3] >> (first & 7).astype(np.uint8) & 1)
+                        second = second[at]
+                        at = at[(bits[second >> 3] >> (second & 7).astype(np.uint8) & 1).astype(bool)]
+                        text = np.searchsorted(ends, at, side="right")
+                        inside = at + w <= ends[text]
+                        at, text = at[inside], text[inside]
+                        if len(at):
+                            which = pa.array(text + a)
+                            columns = [whole["__id"].take(which), whole["__th"].take(which), pa.array(at - np.r_[0, ends[:-1]][text]), pa.array(h[at].view(np.int64)), _windows(ids, at, w)]
+                            yield pa.RecordBatch.from_arrays(columns, ["__id", "__th", "at", "h", "got"])
+        _HASHES.clear()  # the worker may run other stages next
+
+    return rows
+
+
+def _verified_rows(window: int, errors: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for k, (got, win) in enumerate(zip(batch["got"], batch["win"], strict=True)):
+                a, b = np.frombuffer(got.as_buffer(), np.uint64), np.frombuffer(win.as_buffer(), np.uint64)
+                if len(a) == len(b) and np.count_nonzero(a != b) <= errors_of(len(a), window, errors):
+                    good.append(k)
+            names = ["__id", "__th", "at", "win"]
+            yield pa.RecordBatch.from_arrays([batch[c].take(pa.array(good, pa.int64())) for c in names], names)
+
+    return rows
+
+
+def find_overlaps(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, errors: int = ERRORS, filter_bits: int = FILTER_BITS
+) -> DataFrame:
+    """(__id, __th, item, windows, covered, share, start, stop) for each document, keyed as ``keyed`` does, and item that overlap; see ``find_contamination``."""
+    items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")).withColumn("ikey", F.xxhash64(F.col("item").cast("string"), "text")).dropDuplicates(["ikey"])
+    kind = items.schema["item"].dataType.simpleString()
+    places = materialise(items.mapInArrow(_item_rows(window), f"item {kind}, ikey long, size long, w long, place long, win binary"), "items")
+    hashes = materialise(places.select("win").distinct().mapInArrow(_hash_rows(window, errors), "h long, win binary"), "seeds")
+    lengths = [r["w"] for r in places.select("w").distinct().collect()]  # as many as a window has tokens, at most
+    # The filter's bits, 32 to a row: its size is fixed.
+    low = lambda shift: F.shiftrightunsigned("h", shift).bitwiseAND(F.lit((1 << filter_bits) - 1))
+    spots = hashes.select(F.explode(F.array(low(64 - filter_bits), low(64 - 2 * filter_bits))).alias("p"))
+    words = spots.groupBy(F.shiftright("p", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 31 AS INT))")).alias("bits")).toArrow()
+    filled = np.zeros(1 << (filter_bits - 5), "<u4")
+    filled[words["word"].to_numpy()] = words["bits"].to_numpy().astype("<u4")
+    texts = keyed(docs, id_col, text_col).select("__id", "__th", F.col(f"`{text_col}`").cast("string").alias("__t"))
+    seeds = texts.mapInArrow(_seed_rows(sorted(lengths), window, errors, filled.view(np.uint8), filter_bits), "__id string, __th long, at long, h long, got binary")
+    matches = seeds.join(hashes, "h").select("__id", "__th", "at", "got", "win").mapInArrow(_verified_rows(window, errors), "__id string, __th long, at long, win binary").distinct()
+    found = matches.join(places, "win").groupBy("__id", "__th", "ikey").agg(
+        F.first("item").alias("item"), F.first("size").alias("size"), F.first("w").alias("w"), F.count(F.lit(1)).alias("windows"),
+        F.sort_array(F.collect_set("place")).alias("p"), F.min("at").alias("start"), F.max("at").alias("last"),
+    )
+    steps = F.transform(F.col("p"), lambda p, k: F.when(k > 0, F.least(p - F.element_at("p", k.cast("int")), F.col("w"))).otherwise(F.col("w")))
+    covered = F.aggregate(steps, F.lit(0).cast("long"), lambda a, b: a + b)
+    return materialise(
+        found.select("__id", "__th", "item", "windows", covered.alias("covered"), (covered / F.col("size")).alias("share"), "start", (F.col("last") + F.col("w")).alias("stop")),
+        "overlaps",
+    )
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, errors: int = ERRORS
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, errors: int = ERRORS, filter_bits: int = FILTER_BITS
 ) -> DataFrame:
-    """All columns of ``docs``, and ``overlaps``: array of (item, windows, covered, share, start, stop), one element for each item found.
+    """All columns of ``docs``, and ``overlaps``: array of (item, windows, covered, share, start, stop), one element for each item found, by item.
 
     ``windows`` counts the matching pairs of windows; ``covered`` and ``share``
     say how many of the item's tokens lie in them; [start, stop) is the part of
     the document's tokens from the first to the last of them.  Items shorter than
     ``window`` are one window with one substitution for each six tokens, two at
-    most; those of under LEAST tokens (empty and null too) are not looked for, as
-    any text would hold them.  Null and empty documents have no overlap.  Repeated
-    items are found alike and repeated documents get equal rows.  An input column
-    ``overlaps`` is replaced.  Empty tables: no rows, or no overlaps.
+    most; so those of under six tokens match exactly or not.  Items without tokens
+    (empty and null too) match nothing; null and empty documents have no overlap.
+    Items equal in id and text count once; repeated documents get equal rows.  An
+    input column ``overlaps`` is replaced.  Empty tables: no rows, or no overlaps.
     """
     docs = docs.drop("overlaps")
-    names = docs.columns
-    items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
-    item_kind = items.schema["item"].dataType.simpleString()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    element = f"array<struct<item:{item_kind},windows:long,covered:long,share:double,start:long,stop:long>>"
-    frame = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias("__t"))
-    frame = frame.withColumn("overlaps", F.array().cast(element))
-    for block in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        found = own.toArrow()
-        indexes, sizes = _indexes(found["text"].to_pylist(), window, errors)
-        ids = found["item"].combine_chunks()
-
-        def rows(batches: Iterator[pa.RecordBatch], indexes=indexes, sizes=sizes, ids=ids) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                flat: list[tuple] = []
-                counts = []
-                for hits in _overlaps(batch["__t"].to_pylist(), indexes, sizes):
-                    counts.append(len(hits))
-                    flat += [(k, n, c, c / sizes[k], a, b) for k, (n, c, a, b) in sorted(hits.items())]
-                columns = list(zip(*flat, strict=True)) if flat else [[]] * 6
-                fields = [ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, kind) for c, kind in zip(columns[1:], [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True))]
-                new = pa.StructArray.from_arrays(fields, ["item", "windows", "covered", "share", "start", "stop"])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), new)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names) + 2)), lists], [*names, "__t", "overlaps", "__new"])
-
-        frame = frame.mapInArrow(rows, ", ".join([*kinds, "__t string", f"overlaps {element}", f"__new {element}"]))
-        frame = frame.withColumn("overlaps", F.concat("overlaps", "__new")).drop("__new")
-    return frame.drop("__t")
+    found = find_overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col, window, errors, filter_bits)
+    element = F.struct("item", "windows", "covered", "share", "start", "stop")
+    lists = found.groupBy("__id", "__th").agg(F.sort_array(F.collect_list(element)).alias("overlaps"))
+    joined = keyed(docs, id_col, text_col).join(lists, ["__id", "__th"], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("overlaps", F.array().cast(lists.schema["overlaps"].dataType)).alias("overlaps"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 5, **more) -> DataFrame:
+    """The rows of ``docs`` without an overlap that covers ``least`` tokens of an item or a whole document, with their columns.
+
+    An item of a word or two is in many texts, so it condemns only one that has
+    nothing else.  Null and empty texts stay; repeated rows stay or go together.
+    The keys of what goes are broadcast if they are no more than BROADCAST_ROWS,
+    else joined by a shuffle.
+    """
+    found = find_overlaps(docs, benchmark, id_col, text_col, **more)
+    gone = found.filter(F.col("covered") >= least).select("__id", "__th").distinct()
+    short = found.filter((F.col("covered") < least) & (F.col("start") == 0)).select("__id", "__th", "stop")
+    rows = keyed(docs, id_col, text_col)
+    if not short.isEmpty():
+        # A document that is nothing but a short item has no word character after it.
+        text = F.col(f"`{text_col}`").cast("string")
+        whole = rows.join(short, ["__id", "__th"]).filter(F.size(F.regexp_extract_all(F.lower(text), F.lit(f"([{_UNSPACED}]|[\\p{{L}}\\p{{N}}_&&[^{_UNSPACED}]]+)"))) == F.col("stop"))
+        gone = gone.unionByName(whole.select("__id", "__th")).distinct()
+    gone = materialise(gone, "contaminated")
+    small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.join(small, ["__id", "__th"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import keyed, table
 from .chat import link_quotations
-from .decontamination import find_contamination
+from .decontamination import find_overlaps
 from .html_extract import extract_main_text
 from .language_id import fit_language_model, identify_languages
 from .lm_scoring import count_words, encode_documents, score_encoded, train_on_encoded
@@ -101,9 +101,9 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of ``documents`` with ``benchmark`` items; documents without any have no row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    found = found.select("doc_id", F.explode("overlaps").alias("o"))
-    return found.select("doc_id", F.col("o.item").alias("item_id"), *[f"o.{c}" for c in ("windows", "covered", "share", "start", "stop")])
+    found = find_overlaps(docs, table(spark, sf_dir, "benchmark"))
+    ids = keyed(docs, "doc_id", "text").select("doc_id", "__id", "__th").join(found, ["__id", "__th"])
+    return ids.select("doc_id", F.col("item").alias("item_id"), "windows", "covered", "share", "start", "stop")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -491,9 +491,9 @@ def test_fingerprint(spark):
 # 9 decontamination
 
 
-@pytest.mark.parametrize("block", [8 << 20, 100])
-def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BLOCK", block)
+@pytest.mark.parametrize("bits", [25, 9])
+def test_decontamination(spark, bits):
+    """A filter that lets nearly all through changes nothing."""
     rng = random.Random(0)
     some = lambda n: [f"w{rng.randint(0, 5)}" for _ in range(n)]
     items = [" ".join(some(n)) for n in (3, 6, 12, 13, 20, 30, 13)] + [None, ""]
@@ -511,14 +511,29 @@ def test_decontamination(spark, monkeypatch, block):
             y = (t or "").split()
             w = min(13, len(y))
             e = 2 if w == 13 else min(2, w // 6)
-            hits = [j for i in range(len(x) - w + 1) for j in range(len(y) - w + 1) if sum(p != q for p, q in zip(x[i : i + w], y[j : j + w], strict=True)) <= e] if len(y) >= 5 else []
+            hits = [j for i in range(len(x) - w + 1) for j in range(len(y) - w + 1) if sum(p != q for p, q in zip(x[i : i + w], y[j : j + w], strict=True)) <= e] if y else []
             if hits:
                 want[a, b] = (len(hits), len({j + k for j in hits for k in range(w)}))
     frame = spark.createDataFrame([(k, d, 0) for k, d in enumerate(docs)], "doc_id long, text string, overlaps int")
-    found = decontamination.find_contamination(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    found = decontamination.find_contamination(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), filter_bits=bits)
     assert {(r.doc_id, o["item"]): (o.windows, o.covered) for r in found.collect() for o in r.overlaps} == want
     empty = spark.createDataFrame([], "item_id long, text string")
     assert {len(r.overlaps) for r in decontamination.find_contamination(frame, empty).collect()} == {0}
+    assert decontamination.find_contamination(frame.limit(0), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).count() == 0
+
+
+def test_decontamination_unspaced_scripts_and_shared_prompts(spark):
+    prompt = " ".join(f"p{k}" for k in range(20))
+    items = [(k, f"{prompt} question {k}") for k in range(300)] + [(1000, "这是一个很长的问题请回答它的意思"), (1001, "はい"), (1002, "yes"), (1002, "yes")]
+    docs = [(1, f"x {prompt} y"), (2, "前面的话这是一个很长的问题请回答它的意思后面的话"), (3, "Yes!"), (4, "yes and no"), (5, None), (6, "nothing of the kind " * 5000), (7, "はい。"), (8, "はいと言った")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: r.overlaps for r in decontamination.find_contamination(frame, bench).collect()}
+    assert len(found[1]) == 300 and {o.start for o in found[1]} <= {0, 1}
+    assert [o["item"] for o in found[2]] == [1000] and [o["item"] for o in found[3]] == [1002] and [o["item"] for o in found[4]] == [1002]
+    assert not found[5] and not found[6]
+    kept = {r.doc_id for r in decontamination.without_contaminated(frame, bench).collect()}
+    assert kept == {4, 5, 6, 8}
+    assert decontamination.without_contaminated(frame.limit(0), bench).count() == 0
 
 
 # 10 WARC
