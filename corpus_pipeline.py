@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridskein.llm._common import keyed, materialise, table
-from gridskein.llm.decontamination import find_contamination
+from gridskein.llm.decontamination import without_contaminated
 from gridskein.llm.language_id import fit_language_model, identify_languages
 from gridskein.llm.packing import pack_documents
 from gridskein.llm.queries import tokenizer_path
@@ -76,9 +76,9 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go; null and empty texts stay."""
+    """Documents that overlap with a benchmark item in five tokens or more, or are nothing but a shorter one, go; null and empty texts stay."""
     docs, back = _apart(docs)
-    return back(find_contamination(docs, table(spark, sf_dir, "benchmark")).filter(F.size("overlaps") == 0))
+    return back(without_contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
