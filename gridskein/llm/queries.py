@@ -109,7 +109,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``pages`` written to WARC archives and read back through their merged index."""
     found = archive_captures(table(spark, sf_dir, "pages"))
-    return found.select(F.col("capture").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select(F.col("capture").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "warc_date", "position")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -145,12 +145,16 @@ ORACLE_SQL: dict[str, str] = {
                regexp_replace(array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)), '^(?:[ \t\r]*\n)+|(?:\n[ \t\r]*)+$', '', 'g') AS text
         FROM m LEFT JOIN rep USING (conv_id, turn) LEFT JOIN top USING (conv_id, turn) LEFT JOIN cnt USING (conv_id, turn)""",
     "op10_warc": """
-        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d,
+                          regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS query FROM pages),
+        k AS (SELECT page_id, array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE path WHEN '' THEN '/' ELSE path END || CASE query WHEN '' THEN '' ELSE '?' || query END AS url_key,
+                     strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS warc_date FROM p),
+        h AS (SELECT *, row_number() OVER (ORDER BY url_key, warc_date, page_id) - 1 AS position FROM k),
         o AS (SELECT d, max(page_id) AS owner FROM p GROUP BY d)
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
                array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    CAST((CAST('0x' || substr(d, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) // CAST(pow(32, 3 - i % 4) AS BIGINT)) % 32 AS BIGINT) + 1, 1)), '') AS payload_digest,
                CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id <> owner THEN owner END AS refers_to
-        FROM p JOIN o USING (d)""",
+               CASE WHEN page_id <> owner THEN owner END AS refers_to, url_key, warc_date, position
+        FROM p JOIN o USING (d) JOIN h USING (page_id)""",
 }

@@ -25,13 +25,14 @@ from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import shared_dir
+from ._common import materialise, shared_dir
 
-#: Captures in an archive at most.
-PER_FILE = 5_000
+#: Captures in an archive at most, and bytes of payloads in one on average.
+PER_FILE, FILE_BYTES = 5_000, 32 << 20
 #: When a capture has no time of its own, this plus its id in seconds.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 _END = b"\r\n\r\n"
@@ -58,7 +59,7 @@ def warc_date(capture: int | None) -> str:
     return (EPOCH + timedelta(seconds=(capture or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def record(capture, url: str | None, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
+def record(capture, url: str | None, payload: bytes, refers_to=None, revisit: bool = False, date: str | None = None) -> bytes:
     """A WARC/1.1 record (without the two line ends after it): a response, or a revisit without the payload."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -67,7 +68,7 @@ def record(capture, url: str | None, payload: bytes, refers_to=None, revisit: bo
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:capture:{'' if capture is None else capture}>",
-        f"WARC-Date: {warc_date(capture)}",
+        f"WARC-Date: {date or warc_date(capture)}",
         f"WARC-Target-URI: {_one_line(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -157,6 +158,7 @@ _INDEX = pa.schema(
     [("url_key", pa.string()), ("warc_date", pa.string()), ("capture", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
     + [("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("record_offset", pa.int64()), ("record_bytes", pa.int64()), ("place", pa.int64())]
 )
+_MERGED = "range int, place_in_range long"
 _DDL = "url_key string, warc_date string, capture long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long, record_bytes long, place long"
 
 
@@ -164,7 +166,7 @@ def _record_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in range(0, batch.num_rows, 500):
             rows = batch.slice(s, 500).to_pylist()
-            made = [record(r["capture"], r["url"], r["payload"] or b"", r["owner"], r["revisit"]) for r in rows]
+            made = [record(r["capture"], r["url"], r["payload"] or b"", r["owner"], r["revisit"], r["date"]) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
 
 
@@ -190,47 +192,65 @@ def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # A shuffle may bring a run's rows out of turn; their places in the run restore it.
     sorted_runs = [[entry for _, entry in sorted(runs[a])] for a in sorted(runs)]
     order = [entry[-1] for entry in LoserTree(sorted_runs)]
-    yield from rows.take(pa.array(order, pa.int64())).combine_chunks().to_batches(max_chunksize=10_000)
+    rows = rows.take(pa.array(order, pa.int64()))
+    rows = rows.append_column("range", pa.array([TaskContext.get().partitionId()] * len(order), pa.int32()))
+    yield from rows.append_column("place_in_range", pa.array(range(len(order)), pa.int64())).combine_chunks().to_batches(max_chunksize=10_000)
 
 
-def write_archives(captures: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", per_file: int = PER_FILE) -> None:
+def write_archives(captures: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, per_file: int | None = None) -> None:
     """Write each row as a WARC record into gzip-compressed archives under ``path``.
 
     Payloads are the column's bytes (null: empty).  Of rows with equal payloads
     the one with the largest id is the response and the rest revisit it; rows that
-    repeat id and payload have the same type.  Null ids count as the least.
+    repeat id and payload have the same type.  Null ids count as the least.  The
+    date is that of ``time_col`` (a timestamp), if there is one and it isn't null,
+    else EPOCH and the id in seconds.  An archive has ``per_file`` records at most;
+    None: as many as make FILE_BYTES of payload on average, PER_FILE at most.
     """
+    time = F.date_format(F.to_utc_timestamp(F.col(f"`{time_col}`").cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if time_col else F.lit(None).cast("string")
     rows = captures.select(
         F.col(f"`{id_col}`").cast("long").alias("capture"),
         F.col(f"`{url_col}`").cast("string").alias("url"),
+        time.alias("date"),
         F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b"")).alias("payload"),
-    ).withColumn("sha", F.sha1("payload"))
+    )
+    if per_file is None:
+        n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()
+        per_file = max(1, min(PER_FILE, FILE_BYTES * n // max(1, size)))
+    rows = rows.withColumn("sha", F.sha1("payload"))
     owners = rows.groupBy("sha").agg(F.max("capture").alias("owner"))
     rows = rows.join(owners, "sha").withColumn("revisit", ~F.col("capture").eqNullSafe(F.col("owner")))
-    made = rows.select("capture", "url", "payload", "owner", "revisit").mapInArrow(_record_rows, "record binary").select(F.col("record").cast("string").alias("value"))
+    made = rows.select("capture", "url", "date", "payload", "owner", "revisit").mapInArrow(_record_rows, "record binary").select(F.col("record").cast("string").alias("value"))
     made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def capture_history(archives: DataFrame, ranges: int | None = None) -> DataFrame:
     """The globally ordered index of archives (a frame with path and content, as the binaryFile source reads).
 
-    Sorted by url_key, warc_date and capture within and across the partitions.
+    Sorted by url_key, warc_date and capture within and across the partitions;
+    ``position`` counts in that order from 0, however the ranges were cut.
     """
     runs = archives.select("path", "content").mapInArrow(_run_rows, _DDL)
     keys = ["url_key", "warc_date", "capture", "archive", "place"]
     spread = runs.repartitionByRange(ranges, *keys) if ranges else runs.repartitionByRange(*keys)
-    return spread.mapInArrow(_merge_rows, _DDL)
+    merged = materialise(spread.mapInArrow(_merge_rows, f"{_DDL}, {_MERGED}"), "history")
+    sizes = merged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = F.broadcast(sizes.select("range", before.alias("begin")))
+    return merged.join(begins, "range").withColumn("position", F.col("begin") + F.col("place_in_range")).drop("range", "place_in_range", "begin")
 
 
-def archive_captures(captures: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", path: str | None = None) -> DataFrame:
+def archive_captures(captures: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, path: str | None = None) -> DataFrame:
     """Write ``captures`` to archives (a new folder of the shared one, unless ``path`` names another), read them back and merge their indexes.
 
     One row per capture: url_key, warc_date, capture (the id), url, payload_bytes
     and payload_digest (base32 SHA-1; of the full payload, for revisits too),
-    record_type, refers_to, archive, record_offset, record_bytes, place.  Null
-    URLs are empty.  Further columns are ignored; an empty table gives no rows.
+    record_type, refers_to, archive, record_offset and record_bytes (in the
+    unpacked archive), place (in the archive's own order) and position (in the
+    order of all).  Null URLs are empty.  Further columns are ignored; an empty
+    table gives no rows.
     """
     spark = captures.sparkSession
     path = path or f"{shared_dir(spark)}/gridskein/warc-{uuid.uuid4().hex}"
-    write_archives(captures, path, id_col, url_col, payload_col)
+    write_archives(captures, path, id_col, url_col, payload_col, time_col)
     return capture_history(spark.read.format("binaryFile").load(path))

@@ -564,6 +564,24 @@ def test_archives_edges(spark):
     assert warc.archive_captures(frame.limit(0)).count() == 0
 
 
+def test_captures_with_times_in_several_ranges(spark, tmp_path):
+    """The order is global, offsets find the records, and times are the captures' own."""
+    rng = random.Random(6)
+    rows = [(k, f"http://{rng.choice('ab')}.org/{rng.choice(['x', 'y?q=1', ''])}", f"text {rng.randint(0, 40)}", 1700000000 + rng.randint(0, 9)) for k in range(300)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, s long").selectExpr("*", "timestamp_seconds(s) AS seen").repartition(5)
+    path = f"file://{tmp_path}/archives"
+    warc.write_archives(frame, path, time_col="seen", per_file=17)
+    found = warc.capture_history(spark.read.format("binaryFile").load(path), ranges=4).collect()
+    want = sorted((warc.url_key(u), f"2023-11-14T22:13:{20 + s - 1700000000:02d}Z", k) for k, u, _, s in rows)
+    assert [r.position for r in sorted(found, key=lambda r: (r.url_key, r.warc_date, r.capture))] == list(range(300))
+    assert [(r.url_key, r.warc_date, r.capture) for r in sorted(found, key=lambda r: r.position)] == want
+    opened = {a: gzip.decompress(open(a.removeprefix("file:"), "rb").read()) for a in {r.archive for r in found}}
+    assert len(opened) >= 300 / 17
+    for r in found:
+        one = list(warc.parse(opened[r.archive][r.record_offset : r.record_offset + r.record_bytes]))
+        assert [(x["capture"], x["payload_digest"]) for x in one] == [(r.capture, r.payload_digest)]
+
+
 # Pipeline
 
 
