@@ -13,8 +13,8 @@ The TOP most frequent words, a fixed number, go to all tasks; scoring needs a
 shuffle for the remaining words only, which aren't frequent, so no key is hot.
 Texts are encoded once, two bytes a token; training and scoring read that.  The
 recurrent weights are trained on the whole texts of all training documents, in
-shards of about ``SHARD`` tokens dealt and ordered by content (the weights don't
-depend on how files are split), and averaged; they have a fixed size.
+shards of about ``SHARD`` tokens dealt and ordered by a hash of their rows (the
+weights don't depend on how files are split), and averaged; they have a fixed size.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from ._common import groups_of, materialise
 #: Most frequent words that all tasks hold.
 TOP = 100_000
 #: Different words a task counts before it passes them on, and words a worker remembers.
-FLUSH, REMEMBER = 200_000, 200_000
+FLUSH, REMEMBER = 400_000, 400_000
 #: Tokens encoded or trained on at a time, tokens scored side by side (a longer document is taken alone), and tokens of a training shard.
 TOKENS, SIDE, SHARD = 1_000_000, 4_000_000, 4_000_000
 #: Added to every count.
@@ -45,13 +45,26 @@ ADD = 0.1
 _END = b" "  # no word has a space
 
 
+def _signed(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of words as tables hold them."""
+    return hashes.view(np.int64) ^ np.int64(-(1 << 63))
+
+
 def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-def _rare_class(word: bytes) -> int:
-    """Class of a word that isn't frequent: by its last three bytes."""
-    return xxhash.xxh32_intdigest(word[-3:], 1) % _gru.RARE
+class _RareClasses(dict):
+    """Classes of words that aren't frequent, by their last three bytes."""
+
+    def __missing__(self, ending: bytes) -> int:
+        if len(self) > REMEMBER:
+            self.clear()
+        self[ending] = found = xxhash.xxh32_intdigest(ending, 1) % _gru.RARE
+        return found
+
+
+_RARE = _RareClasses()
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -65,9 +78,11 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        words, n = list(counts), list(counts.values())
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts))
+        rare = np.fromiter((_RARE[w[-3:]] for w in counts), np.int32, len(counts))
+        n = np.fromiter(counts.values(), np.int64, len(counts))
         counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(map(_hash, words)), pa.int64()), pa.array(list(map(_rare_class, words)), pa.int32()), pa.array(n, pa.int64())], ["h", "rare", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(_signed(hashes)), pa.array(rare), pa.array(n)], ["h", "rare", "n"])
 
     for batch in batches:
         for text in batch["__t"]:
@@ -83,20 +98,18 @@ class _Coder(dict):
 
     def __init__(self, top: np.ndarray, counts: np.ndarray):
         super().__init__()
-        self.top = {h: k for k, h in enumerate(top.tolist())}  # in order of count
-        self.counts = counts.tolist()
+        self.rank = np.argsort(top)  # the top words come in order of count
+        self.top, self.count_of = top[self.rank], counts[self.rank]
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.hashes, self.ids, self.known = array("q"), array("h"), array("q")
+        self._hashes, self._rare = array("Q"), array("h")
+        self.hashes, self.ids, self.known = np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        h = _hash(word)
-        rank = self.top.get(h, -1)
-        self.hashes.append(h)
-        self.ids.append(rank if 0 <= rank < _gru.VOCABULARY else _gru.VOCABULARY + _rare_class(word))
-        self.known.append(self.counts[rank] if rank >= 0 else -1)
+        self._hashes.append(xxhash.xxh64_intdigest(word))
+        self._rare.append(_RARE[word[-3:]])
         self[word] = code = len(self)
         return code
 
@@ -104,6 +117,17 @@ class _Coder(dict):
         words = words_of(text)
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
+    def look_up(self) -> None:
+        """Hashes, ids and counts of the codes given out since the last time."""
+        hashes, rare = _signed(np.array(self._hashes, np.uint64)), np.array(self._rare, np.int16)
+        self._hashes, self._rare = array("Q"), array("h")
+        at = np.minimum(np.searchsorted(self.top, hashes), len(self.top) - 1)
+        found = self.top[at] == hashes
+        rank = np.where(found, self.rank[at], _gru.VOCABULARY)
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.ids = np.concatenate([self.ids, np.where(rank < _gru.VOCABULARY, rank, _gru.VOCABULARY + rare).astype(np.int16)])
+        self.known = np.concatenate([self.known, np.where(found, self.count_of[at], -1)])
+
 
 def _encode_rows(names: list[str], top: np.ndarray, counts: np.ndarray, rare_norms: np.ndarray):
     tail_kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
@@ -114,9 +138,10 @@ def _encode_rows(names: list[str], top: np.ndarray, counts: np.ndarray, rare_nor
         def encoded(batch: pa.RecordBatch, codes: list[np.ndarray]) -> pa.RecordBatch:
             sizes = np.array([len(c) for c in codes], np.int64)
             n, doc, codes = len(sizes), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.concatenate(codes)
-            known_of = np.array(coder.known, np.int64)
+            coder.look_up()
+            known_of = coder.known
             log_of = np.where(known_of >= 0, np.log10(np.maximum(known_of, 0) + ADD), 0)
-            ids_of = np.array(coder.ids, np.int16)
+            ids_of = coder.ids
             # A rare word's own share of its class: its count now or, for the tail, after the join.
             rare_of = np.where(ids_of >= _gru.VOCABULARY, log_of - rare_norms[np.maximum(ids_of - _gru.VOCABULARY, 0)], 0)
             base, own = np.bincount(doc, log_of[codes], minlength=n), np.bincount(doc, rare_of[codes], minlength=n)
@@ -124,7 +149,7 @@ def _encode_rows(names: list[str], top: np.ndarray, counts: np.ndarray, rare_nor
             tail = np.flatnonzero((known_of < 0)[codes])
             pair, times = np.unique(doc[tail] * np.int64(len(known_of)) + codes[tail], return_counts=True)
             at, code = np.divmod(pair, len(known_of))
-            parts = pa.StructArray.from_arrays([pa.array(np.array(coder.hashes, np.int64)[code]), pa.array(times)], ["h", "n"])
+            parts = pa.StructArray.from_arrays([pa.array(coder.hashes[code]), pa.array(times)], ["h", "n"])
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(n + 1)), pa.int32()), parts).cast(tail_kind)
             offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64) * 2
             ids = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids_of[codes])]).cast(pa.binary())
@@ -250,8 +275,9 @@ def train_on_encoded(encoded: DataFrame, words: Vocabulary) -> LanguageModel:
     """Train the recurrent weights on all of the encoded documents."""
     start = _gru.flat(_gru.initial(words.frequent, words.rare))
     shards = max(1, -(-words.tokens // SHARD))
-    content = F.xxhash64("__ids")
-    dealt = encoded.select("__ids", content.alias("__h")).repartition(shards, "__h").sortWithinPartitions("__h").select("__ids")
+    # Rows equal in text differ in other columns, such as an id: copies are spread over the shards.
+    own = [F.col(f"`{c}`").cast("string") for c in encoded.columns if not c.startswith("__")]
+    dealt = encoded.select("__ids", F.xxhash64("__ids", *own).alias("__h")).repartition(shards, "__h").sortWithinPartitions("__h").select("__ids")
     trained = dealt.mapInArrow(_train_rows(start), "k long, w double")
     summed = trained.groupBy("k").agg(F.sum("w").alias("w")).toPandas().sort_values("k")["w"].to_numpy()
     if not len(summed):
@@ -286,7 +312,8 @@ def score_encoded(encoded: DataFrame, model: LanguageModel) -> DataFrame:
 def train_language_model(docs: DataFrame, text_col: str = "text", top: int = TOP) -> LanguageModel:
     """A model of ``docs`` (null texts: empty): counts and recurrent weights come from all of them."""
     words = count_words(docs, text_col, top)
-    return train_on_encoded(encode_documents(docs, words, text_col, []), words)
+    others = [c for c in docs.columns if c != text_col]
+    return train_on_encoded(encode_documents(docs, words, text_col, others), words)
 
 
 def score_documents(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
