@@ -28,13 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import groups_of, keyed, materialise
+from ._filter import FILTER_BITS, hash_filter, may_hold
 
 #: Tokens of a window, substitutions allowed, and tokens to one substitution in items shorter than a window.
 WINDOW, ERRORS, TO_ONE = 13, 2, 6
 #: Bytes of documents handled at a time, token hashes that a worker remembers, rows of keys that may be broadcast.
 BYTES, CACHE, BROADCAST_ROWS = 2 << 20, 200_000, 200_000
-#: Bits of a place in the filter.
-FILTER_BITS = 25
 
 #: Code points of scripts that don't put spaces between words (Thai to Burmese, Khmer, kana, Han).
 _UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
@@ -81,11 +80,6 @@ def masked_hashes(ids: np.ndarray, window: int, errors: int) -> np.ndarray:
     return np.stack([sum(parts[c] * _FACTORS[60 + i] for i, c in enumerate(kept)) + _FACTORS[50 + m] + np.uint64(window) for m, kept in enumerate(masks(errors))])
 
 
-def _places(h: np.ndarray, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash's two places in the filter."""
-    return (h >> np.uint64(64 - filter_bits)).astype(np.int64), (h >> np.uint64(64 - 2 * filter_bits)).astype(np.int64) & ((1 << filter_bits) - 1)
-
-
 def _windows(ids: np.ndarray, at: np.ndarray, window: int) -> pa.Array:
     """Windows at some places as binary values."""
     rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ids, window)[at])
@@ -130,10 +124,7 @@ def _seed_rows(lengths: list[int], window: int, errors: int, bits: np.ndarray, f
                     if len(ids) < w:
                         continue
                     for h in masked_hashes(ids, w, errors_of(w, window, errors)):
-                        first, second = _places(h, filter_bits)
-                        at = np.flatnonzero(bits[first >> 3] >> (first & 7).astype(np.uint8) & 1)
-                        second = second[at]
-                        at = at[(bits[second >> 3] >> (second & 7).astype(np.uint8) & 1).astype(bool)]
+                        at = may_hold(bits, h, filter_bits)
                         text = np.searchsorted(ends, at, side="right")
                         inside = at + w <= ends[text]
                         at, text = at[inside], text[inside]
@@ -169,14 +160,8 @@ def find_overlaps(
     places = materialise(items.mapInArrow(_item_rows(window), f"item {kind}, ikey long, size long, w long, place long, win binary"), "items")
     hashes = materialise(places.select("win").distinct().mapInArrow(_hash_rows(window, errors), "h long, win binary"), "seeds")
     lengths = [r["w"] for r in places.select("w").distinct().collect()]  # as many as a window has tokens, at most
-    # The filter's bits, 32 to a row: its size is fixed.
-    low = lambda shift: F.shiftrightunsigned("h", shift).bitwiseAND(F.lit((1 << filter_bits) - 1))
-    spots = hashes.select(F.explode(F.array(low(64 - filter_bits), low(64 - 2 * filter_bits))).alias("p"))
-    words = spots.groupBy(F.shiftright("p", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 31 AS INT))")).alias("bits")).toArrow()
-    filled = np.zeros(1 << (filter_bits - 5), "<u4")
-    filled[words["word"].to_numpy()] = words["bits"].to_numpy().astype("<u4")
     texts = keyed(docs, id_col, text_col).select("__id", "__th", F.col(f"`{text_col}`").cast("string").alias("__t"))
-    seeds = texts.mapInArrow(_seed_rows(sorted(lengths), window, errors, filled.view(np.uint8), filter_bits), "__id string, __th long, at long, h long, got binary")
+    seeds = texts.mapInArrow(_seed_rows(sorted(lengths), window, errors, hash_filter(hashes, "h", filter_bits), filter_bits), "__id string, __th long, at long, h long, got binary")
     matches = seeds.join(hashes, "h").select("__id", "__th", "at", "got", "win").mapInArrow(_verified_rows(window, errors), "__id string, __th long, at long, win binary").distinct()
     found = matches.join(places, "win").groupBy("__id", "__th", "ikey").agg(
         F.first("item").alias("item"), F.first("size").alias("size"), F.first("w").alias("w"), F.count(F.lit(1)).alias("windows"),

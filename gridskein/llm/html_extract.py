@@ -1,45 +1,51 @@
-"""Main text of HTML pages by structure and hashes of block runs that a host repeats.
-
-A page's token stream is its blocks (paragraphs, list items, headings) in page
-order.  Every suffix of a stream is hashed on its first blocks, as many as have
-``words`` words, so suffixes of a host that begin with the same long substring
-meet; suffixes with fewer words aren't looked at.  What enough of the host's
-distinct pages (PAGES at least) repeat is boilerplate where the markup leaves it
-open:
-
-* on pages with an article (``article`` or ``main``), the article's blocks stay,
-  unless a substring covers them that half of the host's pages have outside
-  their articles (a notice that some templates put into the article);
-* on pages without one, all blocks stay but those that a substring covers which
-  PAGES of the host's pages have, however many pages the host has.
-
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments go by their markup in any case.  Pages with equal streams are
-one page here, so copies don't make an article boilerplate.
-
-Scale: one scan yields a hash for each block; only those are shuffled, keyed by
-host and substring, so a host with a third of all pages is spread by its
-substrings and counted with map-side combination.  The pages themselves are
-joined with what was found for them, broadcast if that is no more than
-``BROADCAST_ROWS`` rows, else by a shuffle.
+"""Main text of HTML pages by their structure and a suffix array of each host.
+
+A page's token stream is the words of its blocks (paragraphs, list items,
+headings) in page order.  The suffix array of a host has the suffixes of what its
+pages have outside their articles (``article`` or ``main``): suffixes get bucket
+identifiers by prefix doubling (of 1, 2, 4 and ``words`` tokens, begun with the
+host's name) and are sorted on them, so suffixes with a long common prefix are
+neighbours, and a run of neighbours gives the number of distinct pages that
+repeat a substring.  Repeated substrings overlap to longer ones.  Boilerplate is
+
+* on pages without an article: what PAGES distinct pages of the host repeat,
+  however many the host has;
+* in articles: what half of the host's distinct pages have outside theirs (a
+  notice that some templates put into the article).
+
+Covered tokens go where they make up a whole block or ``INSIDE`` tokens of one;
+what is left of a block stays.  Menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments go by their markup in any
+case, as text of its own on each page can't be told by repeats.  Pages with equal
+streams are one page here, so copies don't make an article boilerplate.
+
+Scale: suffixes are dealt by ranges of host, bucket and page, so a host or a
+substring with a third of all pages spans many tasks; a task passes on one row
+for each run of neighbours.  Articles, most of the text, aren't shuffled: their
+windows pass a filter of fixed size with the boilerplate's identifiers, and only
+those that it may hold are joined.  The pages themselves are joined with what was
+found for them, broadcast if that is no more than ``BROADCAST_ROWS`` rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
+from itertools import groupby
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import keyed, materialise
+from ._filter import hash_filter, may_hold
 
-#: Words of a long substring, pages that make it boilerplate, rows that may be broadcast.
-WORDS, PAGES, BROADCAST_ROWS = 8, 3, 50_000
+#: Words of a long substring (a power of two), words that go from inside a block, pages that make boilerplate, rows that may be broadcast.
+WORDS, INSIDE, PAGES, BROADCAST_ROWS = 8, 20, 3, 50_000
 #: Share of a host's distinct pages that have a substring outside articles.
 OUTSIDE_SHARE = 0.5
 
@@ -158,50 +164,156 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _long_prefixes(blocks: list[tuple[str, int]], words: int) -> list[tuple[int, int, int]]:
-    """(start, stop, hash) of the shortest prefix of each suffix of the stream that has ``words`` words."""
-    sizes = [t.count(" ") + 1 for t, _ in blocks]
-    hashes = [xxhash.xxh64_digest(t.encode("utf-8", "surrogatepass")) for t, _ in blocks]
-    found, stop, have = [], 0, 0
-    for start in range(len(blocks)):
-        while stop < len(blocks) and have < words:
-            have += sizes[stop]
-            stop += 1
-        if have < words:
-            break
-        found.append((start, stop, xxhash.xxh64_intdigest(b"".join(hashes[start:stop])) - (1 << 63)))
-        have -= sizes[start]
-    return found
+_MUL = np.random.default_rng(11).integers(1, 2**63, 32, dtype=np.uint64) | np.uint64(1)
+_ARTICLE = 2
 
 
-def _stream_rows(words: int):
+def suffix_buckets(tokens: np.ndarray, words: int) -> np.ndarray:
+    """Bucket identifiers of the first ``words`` tokens of all suffixes that have as many, by prefix doubling."""
+    ids, size, level = tokens, 1, 0
+    while size < words:
+        ids = ids[:-size] * _MUL[2 * level] + ids[size:]
+        ids ^= ids >> np.uint64(29)
+        ids *= _MUL[2 * level + 1]
+        ids ^= ids >> np.uint64(32)
+        size, level = size * 2, level + 1
+    return ids
+
+
+def _suffixes(blocks: list[tuple[str, int]], host: str, words: int, article: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first tokens, buckets, zones) of the suffixes of each stretch of a page's stream in or outside its article; tokens count through the page."""
+    seed = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
+    at = 0
+    for inside, stretch in groupby(blocks, lambda b: b[1] == _ARTICLE):
+        texts = list(stretch)
+        tokens = [w for t, _ in texts for w in t.split(" ")]
+        if inside == article and len(tokens) >= words:
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in tokens), np.uint64, len(tokens))
+            zones = np.repeat([z for _, z in texts], [t.count(" ") + 1 for t, _ in texts])
+            zones = np.lib.stride_tricks.sliding_window_view(zones, words).max(axis=1)
+            yield at + np.arange(len(zones)), suffix_buckets(hashes, words), zones
+        at += len(tokens)
+
+
+def _suffix_rows(words: int):
+    """Pages to the suffixes outside articles, and a row without a bucket for each page."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 500):
+                batch = whole.slice(s, 500)
+                of, hosts, streams, first, buckets, zones = ([] for _ in range(6))
+                for k, (url, html) in enumerate(zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)):
+                    host, blocks = host_of(url), page_blocks(html or "")
+                    hosts.append(host)
+                    streams.append(xxhash.xxh64_intdigest("\n".join(f"{z}{t}" for t, z in blocks).encode("utf-8", "surrogatepass")) - (1 << 63))
+                    for a, b, z in _suffixes(blocks, host, words, article=False):
+                        of.append(np.full(len(a), k))
+                        first.append(a)
+                        buckets.append(b)
+                        zones.append(z)
+                n = batch.num_rows
+                of = np.concatenate([np.arange(n), *of])
+                none = np.arange(len(of)) < n
+                at = pa.array(of)
+                columns = [batch["__id"].take(at), batch["__th"].take(at), pa.array(hosts, pa.string()).take(at), pa.array(streams, pa.int64()).take(at)]
+                columns += [pa.array(np.concatenate([np.zeros(n, np.int64), *first]).astype(np.int32)), pa.array(np.concatenate([np.zeros(n, np.int64), *zones]).astype(np.int32))]
+                columns += [pa.array(np.concatenate([np.zeros(n, np.uint64), *buckets]).view(np.int64), mask=none)]
+                yield pa.RecordBatch.from_arrays(columns, ["__id", "__th", "host", "stream", "first", "zone", "bucket"])
+
+    return rows
+
+
+def _run_rows(min_pages: int):
+    """Sorted suffixes (host, bucket, stream, zone) to runs of neighbours in a bucket: distinct pages, and those that have it outside the main text."""
+
+    def runs(table: pa.Table) -> pa.RecordBatch:
+        host = table["host"].combine_chunks().dictionary_encode()
+        h, b, s, z = host.indices.to_numpy(), *(table[c].to_numpy() for c in ("bucket", "stream", "zone"))
+        new = np.r_[True, (h[1:] != h[:-1]) | (b[1:] != b[:-1])]
+        page = np.flatnonzero(new | np.r_[True, s[1:] != s[:-1]])
+        out = np.maximum.reduceat((z == 0).astype(np.int64), page)
+        first = np.flatnonzero(new[page])
+        n, out = np.diff(np.r_[first, len(page)]), np.add.reduceat(out, first)
+        keep = n >= min_pages
+        keep[[0, -1]] = True  # the neighbours before and after may go on
+        rows = pa.array(page[first][keep])
+        return pa.RecordBatch.from_arrays([table["host"].combine_chunks().take(rows), table["bucket"].combine_chunks().take(rows), pa.array(n[keep]), pa.array(out[keep])], ["host", "bucket", "n", "out"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("gram", pa.int64()), ("zone", pa.int32())]))
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            hosts, streams, lists = [], [], []
-            for url, html in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
-                blocks = page_blocks(html or "")
-                hosts.append(host_of(url))
-                streams.append(xxhash.xxh64_intdigest("\n".join(f"{z}{t}" for t, z in blocks).encode("utf-8", "surrogatepass")) - (1 << 63))
-                lists.append([{"a": a, "b": b, "gram": g, "zone": max(z for _, z in blocks[a:b])} for a, b, g in _long_prefixes(blocks, words)])
-            yield pa.RecordBatch.from_arrays([batch["__id"], batch["__th"], pa.array(hosts), pa.array(streams, pa.int64()), pa.array(lists, grams)], ["__id", "__th", "host", "stream", "grams"])
+            if not batch.num_rows:
+                continue
+            # A page's rows in a bucket stay together: those at the end wait for the next batch.
+            h, b, s = (batch[c] for c in ("host", "bucket", "stream"))
+            last = batch.num_rows - 1
+            cut = last
+            while cut > 0 and s[cut - 1] == s[last] and b[cut - 1] == b[last] and h[cut - 1] == h[last]:
+                cut -= 1
+            if cut:
+                yield runs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield runs(pa.Table.from_batches(held))
+
+    return rows
+
+
+def _article_rows(words: int, filled: np.ndarray):
+    """Pages to the windows of their articles that the filter may hold."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (url, html) in enumerate(zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)):
+                host = host_of(url)
+                for first, buckets, _ in _suffixes(page_blocks(html or ""), host, words, article=True):
+                    at = may_hold(filled, buckets)
+                    if len(at):
+                        which = pa.array(np.full(len(at), k))
+                        columns = [batch["__id"].take(which), batch["__th"].take(which), pa.array([host] * len(at), pa.string()), pa.array(first[at].astype(np.int32)), pa.array(buckets[at].view(np.int64))]
+                        yield pa.RecordBatch.from_arrays(columns, ["__id", "__th", "host", "first", "bucket"])
 
     return rows
 
 
-def _text_rows(names: list[str]):
+def without_runs(blocks: list[tuple[str, int]], first: Iterable[int], words: int, inside: int) -> list[str]:
+    """Texts of a page's main blocks without the tokens that windows cover which begin at ``first``, where those are a whole block or ``inside`` tokens of one."""
+    covered = {at + k for at in first for k in range(words)}
+    texts, at = [], 0
+    for text, zone in blocks:
+        tokens = text.split(" ")
+        gone = [at + k in covered for k in range(len(tokens))]
+        at += len(tokens)
+        if not zone or all(gone):
+            continue
+        if any(gone):
+            kept: list[str] = []
+            for is_gone, run in groupby(zip(tokens, gone, strict=True), lambda x: x[1]):
+                own = [w for w, _ in run]
+                if not is_gone or len(own) < inside:
+                    kept += own
+            text = " ".join(kept)
+        texts.append(text)
+    return texts
+
+
+def _text_rows(names: list[str], words: int, inside: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, runs in zip(batch["__html"].to_pylist(), batch["__runs"].to_pylist(), strict=True):
-                gone = {k for r in runs or () for k in range(r["a"], r["b"])}
-                texts.append("\n".join(t for k, (t, z) in enumerate(page_blocks(html or "")) if z and k not in gone))
+            for html, first in zip(batch["__html"].to_pylist(), batch["__first"].to_pylist(), strict=True):
+                blocks = page_blocks(html or "")
+                texts.append("\n".join(without_runs(blocks, first, words, inside) if first else [t for t, z in blocks if z]))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(texts, pa.string())], [*names, "main_text"])
 
     return rows
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", words: int = WORDS, min_pages: int = PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def extract_main_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", words: int = WORDS, inside: int = INSIDE, min_pages: int = PAGES, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """All columns of ``pages``, and ``main_text``: the main blocks, joined by line ends.
 
     Character references are decoded, white space inside a block (line breaks too)
@@ -211,25 +323,28 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     equal texts.  An input column ``main_text`` is replaced; an empty table gives
     an empty one.
     """
+    if words & (words - 1):
+        raise ValueError("words must be a power of two")
     pages = pages.drop("main_text")
     names = pages.columns
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema]
     html, url = F.col(f"`{html_col}`").cast("string"), F.col(f"`{url_col}`").cast("string")
     rows = keyed(pages, id_col, html_col).withColumn("__th", F.xxhash64("__th", url))
-    streams = rows.select("__id", "__th", url.alias("url"), html.alias("html")).mapInArrow(
-        _stream_rows(words), "__id string, __th long, host string, stream long, grams array<struct<a:int,b:int,gram:long,zone:int>>"
-    )
-    streams = materialise(streams, "streams")
-    distinct = streams.dropDuplicates(["host", "stream"])
-    # A page may hold a substring more than once; inside and outside its article it counts once each.
-    once = distinct.select("host", F.explode(F.array_distinct(F.transform("grams", lambda g: F.struct(g["gram"].alias("gram"), (g["zone"] == 0).alias("out"))))).alias("g"))
-    counts = once.groupBy("host", "g.gram").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("g.out").cast("long")).alias("out")).filter(F.col("n") >= min_pages)
-    sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    sources = rows.select("__id", "__th", url.alias("url"), html.alias("html"))
+    suffixes = materialise(sources.mapInArrow(_suffix_rows(words), "__id string, __th long, host string, stream long, first int, zone int, bucket long"), "suffixes")
+    # The suffix array: its runs of neighbours, put together where ranges and batches cut them.
+    order = ["host", "bucket", "stream"]
+    array = suffixes.filter("bucket IS NOT NULL").select(*order, "zone").repartitionByRange(*order).sortWithinPartitions(*order)
+    runs = array.mapInArrow(_run_rows(min_pages), "host string, bucket long, n long, out long").groupBy("host", "bucket").agg(F.sum("n").alias("n"), F.sum("out").alias("out"))
+    sizes = suffixes.filter("bucket IS NULL").select("host", "stream").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
     least = F.greatest(F.lit(min_pages), OUTSIDE_SHARE * F.col("size"))
-    repeated = counts.join(sizes, "host").select("host", "gram", (F.col("out") >= least).alias("template"))
-    open_ = streams.select("__id", "__th", "host", F.explode("grams").alias("g")).filter("g.zone > 0").select("__id", "__th", "host", "g.*")
-    found = open_.join(repeated, ["host", "gram"]).filter("template OR zone = 1")
-    found = materialise(found.groupBy("__id", "__th").agg(F.collect_set(F.struct("a", "b")).alias("__runs")), "boilerplate")
+    repeated = materialise(runs.filter(F.col("n") >= min_pages).join(sizes, "host").select("host", "bucket", (F.col("out") >= least).alias("template")), "repeated")
+    found = suffixes.filter("zone = 1 AND bucket IS NOT NULL").join(repeated, ["host", "bucket"]).select("__id", "__th", "first")
+    templates = repeated.filter("template")
+    if not templates.isEmpty():
+        windows = sources.mapInArrow(_article_rows(words, hash_filter(templates, "bucket")), "__id string, __th long, host string, first int, bucket long")
+        found = found.unionByName(windows.join(templates, ["host", "bucket"]).select("__id", "__th", "first"))
+    found = materialise(found.groupBy("__id", "__th").agg(F.collect_set("first").alias("__first")), "boilerplate")
     small = F.broadcast(found) if found.count() <= broadcast_rows else found
-    joined = rows.join(small, ["__id", "__th"], "left").select(*[F.col(f"`{c}`") for c in names], html.alias("__html"), "__runs")
-    return joined.mapInArrow(_text_rows(names), ", ".join([*kinds, "main_text string"]))
+    joined = rows.join(small, ["__id", "__th"], "left").select(*[F.col(f"`{c}`") for c in names], html.alias("__html"), "__first")
+    return joined.mapInArrow(_text_rows(names, words, inside), ", ".join([*kinds, "main_text string"]))

@@ -152,6 +152,69 @@ def test_host_boilerplate(spark, limit):
     assert html_extract.extract_main_text(frame.limit(0)).count() == 0
 
 
+def _main_texts(pages, words=8, inside=20, least=3):
+    """Texts of (id, url, html) by brute force: every window of each page's stream, counted by host."""
+    blocks, hosts, streams = {}, {}, collections.defaultdict(dict)
+    for k, url, page in pages:
+        blocks[k], hosts[k] = html_extract.page_blocks(page or ""), html_extract.host_of(url)
+        streams[hosts[k]][repr(blocks[k])] = k
+
+    def windows(k, article):
+        at = 0
+        for own, part in itertools.groupby(blocks[k], lambda b: b[1] == 2):
+            tokens = [(w, z) for t, z in part for w in t.split(" ")]
+            if own == article:
+                for i in range(len(tokens) - words + 1):
+                    yield at + i, tuple(w for w, _ in tokens[i : i + words]), max(z for _, z in tokens[i : i + words])
+            at += len(tokens)
+
+    out = {}
+    for k in blocks:
+        pages_of = streams[hosts[k]].values()
+        seen, outside = collections.defaultdict(set), collections.defaultdict(set)
+        for other in pages_of:
+            for _, gram, zone in windows(other, False):
+                seen[gram].add(other)
+                if zone == 0:
+                    outside[gram].add(other)
+        gone = {i + j for i, gram, zone in windows(k, False) if zone == 1 and len(seen[gram]) >= least for j in range(words)}
+        gone |= {i + j for i, gram, _ in windows(k, True) if len(seen[gram]) >= least and len(outside[gram]) >= max(least, len(pages_of) / 2) for j in range(words)}
+        texts, at = [], 0
+        for text, zone in blocks[k]:
+            tokens = text.split(" ")
+            marks = [at + i in gone for i in range(len(tokens))]
+            at += len(tokens)
+            if zone and not all(marks):
+                spans = [list(g) for _, g in itertools.groupby(range(len(tokens)), lambda i: marks[i])]
+                texts.append(" ".join(tokens[i] for span in spans if not marks[span[0]] or len(span) < inside for i in span))
+        out[k] = "\n".join(texts)
+    return out
+
+
+def test_host_suffix_array_by_brute_force(spark):
+    """Boilerplate inside blocks and inside articles, without telling names; hosts apart; copies count once."""
+    rng = random.Random(12)
+    word = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+    notice, motto, quote = word(25), word(9), word(30)
+    pages = []
+    for k in range(120):
+        host, own = rng.choice(["a.org", "b.org", "www.c.org"]), word(rng.randint(5, 40))
+        if rng.random() < 0.5:
+            body = f"<p>{own} {notice} {word(4)}</p>" + (f"<p>{motto}</p>" if rng.random() < 0.7 else "") + f"<p>{word(30)}</p>"
+        else:
+            body = f"<footer>{notice}</footer><article><p>{own}</p><p>{notice if rng.random() < 0.6 else quote}</p><p>{word(3)} {notice}</p></article><footer>{motto} {notice}</footer>"
+        pages.append((k, f"http://{host}/{k}", body))
+    pages += [(200 + k, "http://d.org/x", pages[0][2]) for k in range(5)] + [(300, None, None), (301, "http://a.org", "")]
+    want = _main_texts(pages)
+    for parts in (3, 1):
+        frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(parts)
+        assert {r.page_id: r.main_text for r in html_extract.extract_main_text(frame).collect()} == want
+    plain = {k: "\n".join(t for t, z in html_extract.page_blocks(h or "") if z) for k, _, h in pages}
+    changed = [k for k in want if want[k] != plain[k]]
+    assert any("<article>" in pages[k][2] for k in changed if k < 120) and any("<article>" not in pages[k][2] for k in changed if k < 120)
+    assert want[200] == plain[200]
+
+
 def test_articles_of_pages(spark):
     import pandas as pd
 
