@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import discard, materialise
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         left = first.select(F.col("node").alias("a"), F.col("next").alias("x"))
         right = first.select(F.col("node").alias("b"), F.col("next").alias("y"))
         moved = links.join(left, "a").join(right, "b").filter("x <> y")
-        links = materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        before, links = links, materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        discard(before)
         k += 1
     if not renames:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))

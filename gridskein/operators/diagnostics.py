@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS, Config
 from ..constants import G, RL
 from ..functions.sphere_geometry import coriolis
+from ..functions.thermodyn import rho_from_t_p, theta_from_temp
 from ..grid import Grid, ratio
 from .derivatives import ddx, ddy, ddz, ddz_on_q, lap2
 
@@ -245,6 +247,28 @@ def isentropic_slope(g: Grid, cube: DataFrame, z: str, th: str, dzdth_max: float
     return cube.withColumns({"dzdx": F.col("__x"), "dzdy": F.col("__y"), out: F.when(fine, slope)}).drop("__x", "__y")
 
 
+def pressure_slope(g: Grid, cube: DataFrame, z: str, th: str, dp: str = "dz", config: Config = DEFAULTS, out: str = "slope") -> DataFrame:
+    """Adds the slope of isentropes from levels of pressure, and dzdx, dzdy (along isentropes), dzdp, dthdx_p, dthdy_p, dthdp, dzdth.
+
+    ``dp`` is the distance between the levels next to one.  dzdth and what needs it
+    are NULL where theta rises by less than ``dzdth_min`` a metre, the slope also
+    where it is outside its limits.
+    """
+    dzdth = ddz_on_q(g, z, th)
+    gx, gy = ddx(g, z), ddy(g, z)
+    tx, ty = ddx(g, th), ddy(g, th)
+    cube = cube.withColumns({"dzdth": F.when(ratio(F.lit(1.0), dzdth) >= config.dzdth_min, dzdth), "__zx": gx, "__zy": gy, "dzdp": ddz(g, z, dp), "dthdx_p": tx, "dthdy_p": ty, "dthdp": ddz(g, th, dp)})
+    cube = cube.withColumns({"dzdx": F.col("__zx") - F.col("dthdx_p") * F.col("dzdth"), "dzdy": F.col("__zy") - F.col("dthdy_p") * F.col("dzdth")}).drop("__zx", "__zy")
+    slope = F.sqrt(F.col("dzdx") * F.col("dzdx") + F.col("dzdy") * F.col("dzdy"))
+    return cube.withColumn(out, F.when(slope.between(config.slope_min, config.slope_max), slope))
+
+
+def prepare_pressure_slope(g: Grid, cube: DataFrame, z: str, temp: str, pres: str, omega: str, dp: str = "dz", config: Config = DEFAULTS) -> DataFrame:
+    """Adds th, rho and w of air on levels of pressure, and all that ``pressure_slope`` does."""
+    cube = cube.withColumns({"th": theta_from_temp(temp, pres), "rho": rho_from_t_p(temp, pres)})
+    return pressure_slope(g, cube.withColumn("w", omega_to_w(omega, "rho")), z, "th", dp, config)
+
+
 def omega_to_w(omega: str, rho: str) -> Column:
     """Vertical wind from omega."""
     return ratio(-F.col(omega), G * F.col(rho))

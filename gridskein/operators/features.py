@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Config
+from ..constants import G
 from ..functions.sphere_geometry import dist_sphere
 from ..grid import Grid, ratio
 from . import kernels
 from .derivatives import ddx, ddx2, ddxy, ddy, ddy2, ddz
-from .filters import smooth_xy
+from .filters import filter_xy, gauss_weights, smooth_xy
 
 
 def per_slice(g: Grid, cube: DataFrame, kernel: Callable[[dict[str, np.ndarray]], pd.DataFrame], schema: str, by: tuple[str, ...] = ("t",)) -> DataFrame:
@@ -106,6 +107,16 @@ def fill_nan(g: Grid, cube: DataFrame, v: str) -> DataFrame:
     return per_slice(g, cube.select("t", "j", "i", v), kernel, f"j int, i int, {v} double")
 
 
+def smooth_xy_missing(g: Grid, cube: DataFrame, v: str, passes: int, out: str | None = None) -> DataFrame:
+    """Smoothing of a field with missing cells: they are filled from around, as deviations from the mean of their row and all times, and are missing again in the end."""
+    rows = cube.groupBy("t", "j").agg(F.avg(v).alias("m")).groupBy("j").agg(F.avg("m").alias("__mean"))
+    rows = F.broadcast(rows)  # the grid's rows
+    filled = fill_nan(g, cube.join(rows, "j").withColumn("__d", F.col(v) - F.col("__mean")), "__d")
+    whole = g.slices(cube.join(filled, ["t", "j", "i"]).join(rows, "j").withColumn("__d", F.col("__d") + F.col("__mean")))
+    smooth = smooth_xy(g, whole, "__d", passes)
+    return smooth.withColumn(out or v, F.when(F.col(v).isNotNull() & ~F.isnan(v), F.col("__d"))).drop("__d", "__mean")
+
+
 # Lines.
 
 
@@ -190,6 +201,40 @@ def normalize_lines(g: Grid, lines: DataFrame, cells: DataFrame) -> DataFrame:
     return halves.groupBy("t", "j", "i").agg(F.sum(length / (F.col("dx") * F.abs("dy") / 4)).alias("density"))
 
 
+def mask_lines_with_data(g: Grid, lines: DataFrame, cube: DataFrame | None = None, v: str = "payload") -> DataFrame:
+    """(t, j, i, value) of the cells nearest to line points: a field's value there or, without ``cube``, what the last of the points carries."""
+    cell = [F.round("y").cast("int").alias("j"), F.pmod(F.round("x").cast("int"), F.lit(g.nx)).alias("i")]
+    if cube is not None:
+        return mask_lines(g, lines).join(cube.select("t", "j", "i", F.col(v).alias("value")), ["t", "j", "i"])
+    return lines.select("t", *cell, F.struct("line_id", "pt").alias("o"), v).groupBy("t", "j", "i").agg(F.max_by(v, "o").alias("value"))
+
+
+def smear_lines(g: Grid, lines: DataFrame, cells: DataFrame, reach: int = 5, stddev: float = 1.0) -> DataFrame:
+    """(t, j, i, density): length of lines over area in all cells, smoothed by a Gaussian along y and x; NULL where that reaches beyond an edge."""
+    every = lines.select("t").distinct().crossJoin(F.broadcast(cells.select("j", "i")))  # the grid at each time
+    dense = every.join(normalize_lines(g, lines, cells), ["t", "j", "i"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
+    return filter_xy(g, g.slices(dense), "density", gauss_weights(reach, stddev))
+
+
+def long_lines(lines: DataFrame, least: int) -> DataFrame:
+    """Lines of at least so many points."""
+    return lines.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("t", "line_id"))).filter(F.col("__n") >= least).drop("__n")
+
+
+def lines_to_coordinates(g: Grid, lines: DataFrame, cells: DataFrame, x: str = "lon", y: str = "lat", turn: float = 360.0) -> DataFrame:
+    """Lines with the coordinates of their points in place of grid indices, linear between cells; ``turn`` is what x gains in a round of a cyclic grid."""
+    near = g.neighbours(cells.withColumn("t", F.lit(0)).select("t", "j", "i", x, y), x, y)
+    ahead = F.when(F.col("i") == g.nx - 1, turn).otherwise(0.0) if g.cyclic else F.lit(0.0)
+    near = near.select("j", "i", *[F.col(f"{c}{d}").alias(f"__{n}{d}") for n, c in (("x", x), ("y", y)) for d in ("", "_n")], *[(F.col(f"{c}{d}") + (ahead if n == "x" else 0.0)).alias(f"__{n}{d}") for n, c in (("x", x), ("y", y)) for d in ("_e", "_ne")])
+    places = lines.withColumns({"i": F.pmod(F.floor("x"), F.lit(g.nx)).cast("int") if g.cyclic else F.floor("x").cast("int"), "j": F.floor("y").cast("int"), "__fx": F.col("x") - F.floor("x"), "__fy": F.col("y") - F.floor("y")})
+    fx, fy = F.col("__fx"), F.col("__fy")
+    between = lambda a, b, f: F.when(f == 0, a).otherwise(a + f * (b - a))
+    at = lambda n: between(between(F.col(f"__{n}"), F.col(f"__{n}_e"), fx), between(F.col(f"__{n}_n"), F.col(f"__{n}_ne"), fx), fy)
+    rounds = F.floor(F.col("x") / g.nx) * turn if g.cyclic else F.lit(0.0)
+    joined = places.join(F.broadcast(near), ["j", "i"], "left")  # the grid's cells
+    return joined.select(*[c for c in lines.columns if c not in ("x", "y")], (at("x") + rounds).alias("x"), at("y").alias("y"))
+
+
 # Contours.
 
 
@@ -220,6 +265,29 @@ def calculate_contours(g: Grid, cube: DataFrame, v: str, levels: list[float], dl
     return per_slice(g, cube.select("t", "j", "i", F.col(v).alias("v")), kernel, schema)
 
 
+def polygons_to_coordinates(g: Grid, polygons: DataFrame, lats: list[float], lons: list[float]) -> DataFrame:
+    """Polygons (geometry in cell indices) in degrees; one that passes the last meridian becomes two parts, without the strip between the last column and the first.
+
+    Adds ``part``, from 0.  A part of less than three points has no row.
+    """
+    lat, lon = np.asarray(lats, float), np.asarray(lons, float)
+
+    def apply(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_dict("records"):
+                points = np.array([[p["x"], p["y"]] for p in r["geometry"]], float).reshape(-1, 2)
+                whole = (points[:, 0] < g.nx).all()
+                parts = [points] if whole else [kernels.clipped(points, g.nx - 1, False), kernels.clipped(points, g.nx, True)]
+                for n, part in enumerate(p for p in parts if len(p) >= 3):
+                    x, y = part[:, 0].astype(int) % g.nx, np.clip(part[:, 1].astype(int), 0, g.ny - 1)
+                    rows.append({**r, "part": n, "geometry": [{"x": float(a), "y": float(c)} for a, c in zip(lon[x], lat[y], strict=True)]})
+            yield pd.DataFrame(rows, columns=[*b.columns, "part"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in polygons.schema)
+    return polygons.mapInPandas(apply, f"{kinds}, part int")
+
+
 def calculate_cutoffs(contours: DataFrame, min_exp: float = 5.0) -> DataFrame:
     """Closed contours of at least ``min_exp`` degrees that don't span as much as the widest."""
     widest = F.broadcast(contours.agg(F.max("exp_lon").alias("widest")))  # one row
@@ -469,17 +537,37 @@ def spectral_regrid(g: Grid, cube: DataFrame, v: str, lats: list[float], degree:
     return per_slice(g, cube.select("t", "j", "i", v), kernel, f"j int, i int, {v} double")
 
 
-def def_3d(g: Grid, cube: DataFrame, u: str, v: str, w: str) -> DataFrame:
-    """(t, k, j, i, max, mid, min): eigenvalues of the symmetric velocity gradient without its divergence (uses dz)."""
-    names = {f"{c}{d}": f(g, n) for c, n in (("u", u), ("v", v), ("w", w)) for d, f in (("x", ddx), ("y", ddy), ("z", ddz))}
-    rows = cube.select("t", "k", "j", "i", *[c.alias(f"__{n}") for n, c in names.items()]).dropna()
+def def_3d(g: Grid, cube: DataFrame, u: str, v: str, w: str, rho: str | None = None, part: str = "all", natural: bool = False, vectors: bool = False) -> DataFrame:
+    """(t, k, j, i, e_max, e_mid, e_min): eigenvalues of the symmetric velocity gradient without its divergence (uses dz).
+
+    ``part`` may be "stretch" (the diagonal alone) or "shear" (the rest alone).
+    ``natural`` turns the gradient's rows into coordinates that follow the flow
+    first.  With ``rho``, w and dz are in pressure and are turned into metres by
+    the published factor -rho g.  ``vectors`` adds v_max, v_mid, v_min (x, y, z; of
+    length one, the largest component positive).  Cells whose gradient isn't whole
+    have no row.
+    """
+    if part not in ("all", "stretch", "shear"):
+        raise ValueError(f"not a part of deformation: {part}")
+    up = "dz"
+    if rho:
+        cube, up = cube.withColumns({"__wm": -F.col(w) * F.col(rho) * G, "__dzm": -F.col("dz") * F.col(rho) * G}), "__dzm"
+    names = {}
+    for c, n in (("u", u), ("v", v), ("w", "__wm" if rho else w)):
+        names |= {f"{c}x": ddx(g, n), f"{c}y": ddy(g, n), f"{c}z": ddz(g, n, up)}
+    rows = cube.select("t", "k", "j", "i", *[c.alias(f"__{n}") for n, c in names.items()], *[F.col(c).cast("double").alias(f"__{n}") for n, c in (("u", u), ("v", v), ("w", w))]).dropna()
+    if natural:
+        rows = rows.filter("__u <> 0 OR __v <> 0")  # calm cells have no direction
 
     def kernel(batches):
         for b in batches:
             a = np.stack([b[f"__{r}{c}"].to_numpy() for r in "uvw" for c in "xyz"], axis=1).reshape(-1, 3, 3)
-            s = (a + a.transpose(0, 2, 1)) / 2
-            s -= np.trace(s, axis1=1, axis2=2)[:, None, None] / 3 * np.eye(3)
-            e = np.linalg.eigvalsh(s)[:, ::-1] if len(s) else np.zeros((0, 3))
-            yield pd.DataFrame({"t": b["t"], "k": b["k"], "j": b["j"], "i": b["i"], "e_max": e[:, 0], "e_mid": e[:, 1], "e_min": e[:, 2]})
-
-    return rows.mapInPandas(kernel, "t int, k int, j int, i int, e_max double, e_mid double, e_min double")
+            turn = kernels.flow_axes(*(b[f"__{c}"].to_numpy() for c in "uvw")) if natural else None
+            e, x = kernels.deformation_axes(a, part, turn)
+            out = {"t": b["t"], "k": b["k"], "j": b["j"], "i": b["i"], "e_max": e[:, 0], "e_mid": e[:, 1], "e_min": e[:, 2]}
+            if vectors:
+                out |= {f"v_{n}": list(x[:, m]) for m, n in enumerate(("max", "mid", "min"))}
+            yield pd.DataFrame(out)
+
+    more = ", v_max array<double>, v_mid array<double>, v_min array<double>" if vectors else ""
+    return rows.mapInPandas(kernel, f"t int, k int, j int, i int, e_max double, e_mid double, e_min double{more}")

@@ -459,3 +459,44 @@ def multigrid(operator, b: np.ndarray, cycles: int = 20, before: int = 2, after:
         if float(((b - operator(x, 0)) ** 2).sum()) <= tolerance:
             break
     return x, float(((b - operator(x, 0)) ** 2).sum())
+
+
+def flow_axes(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Matrices (n, 3, 3) that turn vectors into coordinates along the flow, level to its left, and across both."""
+    level, speed = np.hypot(u, v), np.sqrt(u * u + v * v + w * w)
+    zero = np.zeros_like(u)
+    rows = [[u / speed, v / speed, w / speed], [-v / level, u / level, zero], [-u * w / (level * speed), -v * w / (level * speed), level / speed]]
+    return np.stack([np.stack(r, axis=-1) for r in rows], axis=-2)
+
+
+def deformation_axes(gradient: np.ndarray, part: str, turn: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues (n, 3), greatest first, and eigenvectors (n, 3, 3; by row) of velocity gradients' deformation."""
+    if not len(gradient):
+        return np.zeros((0, 3)), np.zeros((0, 3, 3))
+    if turn is not None:
+        gradient = turn @ gradient
+    s = (gradient + gradient.transpose(0, 2, 1)) / 2
+    s = s - np.trace(s, axis1=1, axis2=2)[:, None, None] / 3 * np.eye(3)
+    if part != "all":
+        s = s * (np.eye(3) if part == "stretch" else 1 - np.eye(3))
+    e, x = np.linalg.eigh(s)
+    x = x[:, :, ::-1].transpose(0, 2, 1)
+    if turn is not None:
+        x = x @ turn  # the inverse of a rotation is its transpose
+    largest = np.take_along_axis(x, np.abs(x).argmax(axis=2)[:, :, None], axis=2)
+    return e[:, ::-1], x * np.where(largest < 0, -1.0, 1.0)
+
+
+def clipped(points: np.ndarray, x: float, right: bool) -> np.ndarray:
+    """A polygon's part on one side of a meridian; its edges are cut there."""
+    if (points[0] == points[-1]).all():
+        points = points[:-1]
+    side = points[:, 0] >= x if right else points[:, 0] <= x
+    out = []
+    for k in range(len(points)):
+        a, b = points[k - 1], points[k]
+        if side[k - 1] != side[k]:
+            out.append(a + (b - a) * ((x - a[0]) / (b[0] - a[0])))
+        if side[k]:
+            out.append(b)
+    return np.array(out + out[:1]).reshape(-1, 2)

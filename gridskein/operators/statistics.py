@@ -6,6 +6,9 @@ the key columns (by default the cell).
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,9 +116,63 @@ def kernel_average(points: DataFrame, cells: DataFrame, lx: float, ly: float, z:
     return sums.crossJoin(F.broadcast(top)).select(*keys, F.when(kept, F.col("density")).alias("density"), F.when(kept, F.col("wz") / F.col("density")).alias("average"))
 
 
+def values_at_ranks(rows: DataFrame, v: str, ranks: Callable[[int], list[int]]) -> list[float]:
+    """The values at ranks (from 0) of the sorted values that aren't missing; ``ranks`` gets their number.  Empty if there are none.
+
+    A histogram of 1024 bins around a rank is counted, then one of the bin that
+    holds it, until that has one value: a few passes, each of which brings as many
+    counts to the driver, whatever the number of rows.
+    """
+    rows = rows.select(F.col(v).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    found = []
+    for rank in ranks(n) if n else []:
+        lo, hi, below = low, high, 0
+        while lo < hi:
+            place = F.least(F.floor((F.col("v") - lo) / ((hi - lo) / 1024)), F.lit(1023))
+            bins = rows.filter(F.col("v").between(lo, hi)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+            for b in bins:
+                if below + b["n"] > rank:
+                    lo, hi = b["lo"], b["hi"]
+                    break
+                below += b["n"]
+        found.append(lo)
+    return found
+
+
 def percentile_thresholds(rows: DataFrame, v: str, low: float, high: float) -> DataFrame:
-    """(lower, upper): the values at given shares of the sorted values, exact."""
-    return rows.filter(F.col(v).isNotNull()).agg(F.expr(f"percentile_disc({low}) WITHIN GROUP (ORDER BY `{v}`)").alias("lower"), F.expr(f"percentile_disc({high}) WITHIN GROUP (ORDER BY `{v}`)").alias("upper"))
+    """(lower, upper): the values at given shares of the sorted values, exact; NULL without any."""
+    at = lambda share, n: max(0, math.ceil(round(share * n, 9)) - 1)
+    found = values_at_ranks(rows, v, lambda n: [at(low, n), at(high, n)]) or [None, None]
+    return rows.sparkSession.createDataFrame([tuple(found)], "lower double, upper double")
+
+
+def scale_limits(rows: DataFrame, v: str, extend: str = "neither", shares: tuple[float, float] = (0.02, 0.98), symmetric: bool = False) -> tuple[float, float]:
+    """Limits of a colour scale: least and greatest value or, where ``extend`` (neither, min, max, both) lets values lie outside, those at given shares."""
+    ends = values_at_ranks(rows, v, lambda n: [0, n - 1])
+    if not ends:
+        return -0.5, 0.5
+    if ends[0] == ends[1]:
+        return ends[0] - 0.5, ends[0] + 0.5
+    inner = values_at_ranks(rows, v, lambda n: [math.floor(shares[0] * n), min(n - 1, math.floor(shares[1] * n))])
+    lo, hi = inner[0] if extend in ("min", "both") else ends[0], inner[1] if extend in ("max", "both") else ends[1]
+    if lo == hi:
+        lo, hi = ends
+    if symmetric:
+        hi = max(abs(lo), abs(hi))
+        lo = -hi
+    return lo, hi
+
+
+def scale_ticks(limits: tuple[float, float], steps: int = 7, symmetric: bool = False, intervals: tuple[float, ...] = (1, 2, 3, 5, 10)) -> list[float]:
+    """Ticks of a colour scale: multiples of the allowed interval (times a power of ten) that comes nearest to so many steps; halves of it if symmetric."""
+    lo, hi = limits
+    size = math.log10((hi - lo) / steps)
+    power = math.floor(size)
+    width = min(intervals, key=lambda k: abs(math.log10(k) - (size - power))) * 10.0**power
+    half = 0.5 if symmetric else 0.0
+    first, last = math.floor(lo / width - half) + half, math.ceil(hi / width + half) - half
+    return [round(first + k, 6) * width for k in range(round(last - first) + 1)]
 
 
 def mask_insignificant(value: Column, mean: Column, sigma: Column, n: float) -> Column:

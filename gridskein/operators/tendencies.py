@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sphere_geometry import coriolis
 from ..grid import Grid, ratio
-from .derivatives import ddx, ddx2, ddxy, ddy, ddy2, ddz, ddz_on_q
+from .derivatives import ddx, ddx2, ddx_on_q, ddxy, ddy, ddy2, ddy_on_q, ddz, ddz_on_q
 from .diagnostics import def_shear, def_stretch, vor
 
 _HELPERS = ("__sh", "__st", "__d2")
@@ -94,13 +94,23 @@ def slope_adv(g: Grid, cube: DataFrame, u: str, v: str, slope: str = "slope", ou
     return cube.withColumn(out, -(F.col(u) * ddx(g, slope) + F.col(v) * ddy(g, slope)))
 
 
+def slope_iadv(g: Grid, cube: DataFrame, u: str, v: str, th: str, slope: str = "slope", out: str = "r") -> DataFrame:
+    """Adds the wind along the gradient of the slope on surfaces of ``th``, from levels that aren't such surfaces."""
+    return cube.withColumn(out, F.col(u) * ddx_on_q(g, slope, th) + F.col(v) * ddy_on_q(g, slope, th))
+
+
+def cross_isentropic_wind(u: str, v: str, w: str) -> Column:
+    """The vertical wind less what flows along the isentropes, from dzdx and dzdy of ``isentropic_slope`` or ``pressure_slope``."""
+    return F.col(w) - F.col(u) * F.col("dzdx") - F.col(v) * F.col("dzdy")
+
+
 def slope_terms(g: Grid, cube: DataFrame, u: str, v: str, w: str, th: str, heating: str) -> DataFrame:
     """Adds the slope's tendencies by deformation (slope_def), tilting (slope_tilt), tilting by what crosses isentropes (slope_cross) and heating (slope_diab).
 
     The cube needs dzdx, dzdy, dzdth and slope of ``isentropic_slope``.
     """
     x, y, s = F.col("dzdx"), F.col("dzdy"), F.col("slope")
-    cube = cube.withColumns({"w_ci": F.col(w) - F.col(u) * x - F.col(v) * y, "__heat": F.col("dzdth") * F.col(heating)})
+    cube = cube.withColumns({"w_ci": cross_isentropic_wind(u, v, w), "__heat": F.col("dzdth") * F.col(heating)})
     ux, uy, vx, vy = ddx(g, u), ddy(g, u), ddx(g, v), ddy(g, v)
     tilt = lambda c: ratio(x * (ddx(g, c) - ddz_on_q(g, c, th) * ddx(g, th)) + y * (ddy(g, c) - ddz_on_q(g, c, th) * ddy(g, th)), s)
     return cube.withColumns(

@@ -12,7 +12,6 @@ from ..config import Config
 from ..grid import latlon_cells, local_north, unrotated
 from ..operators import diagnostics as dg
 from ..operators import features as ft
-from ..operators import tendencies as tn
 from ..operators import tracking as tk
 from ..operators import wave_breaking as wb
 from ..operators.filters import smooth_xy
@@ -129,7 +128,7 @@ for _kind, _name in (("convergence", "convline"), ("vorticity", "vorline"), ("de
 
 
 def _contours(s, d):
-    return ft.calculate_contours(GRID, _smooth(s, d), "u", [0.0, 1.0], DLON)
+    return materialise(ft.calculate_contours(GRID, _smooth(s, d), "u", [0.0, 1.0], DLON), "contours")  # what follows reads them twice
 
 
 _add("contour_calculate_contours", _contours)
@@ -227,10 +226,6 @@ _add("sphere_helmholtz_wind", lambda s, d: rounded(ft.helmholtz_wind(GRID, cube(
 _add("sphere_regrid", lambda s, d: rounded(ft.spectral_regrid(GRID, cube(s, d).select("t", "j", "i", "u"), "u", LATS, 12, [-60.0 + 5 * k for k in range(25)], 72), {"u": 1}))
 _add("sphere_irot_wind", lambda s, d: rounded(ft.irrotational_wind(GRID, GRID.slices(cube(s, d)), "u", "v", LATS, 12), {"u_irr": 1, "v_irr": 1}))
 _add("filter_fill_nan", lambda s, d: rounded(ft.fill_nan(GRID, cube(s, d).withColumn("u", F.when(F.col("v").between(-1, 1), None).otherwise(F.col("u"))), "u"), {"u": 1}))
-_add("diag_def_3d", lambda s, d: rounded(ft.def_3d(GRID_Z, GRID_Z.slices(cube_z(s, d)), "u", "v", "w"), {"e_max": 1e6, "e_mid": 1e6, "e_min": 1e6}, ("t", "k", "j", "i")))
-_add("tend_rotation_strain_ratio", lambda s, d: rounded(tn.rotation_strain_ratio(GRID, GRID.slices(cube(s, d)), "u", "v", "s"), {"ratio": 1e-3}))
-_add("tend_def_adv3d", lambda s, d: rounded(tn.def_adv3d(GRID_Z, GRID_Z.slices(cube_z(s, d)), "u", "v", "w"), {"tend_abs": 1e6, "tend_ang": 1e6}, ("t", "k", "j", "i")))
-_add("tend_slope_terms", lambda s, d: rounded(tn.slope_terms(GRID_Z, dg.isentropic_slope(GRID_Z, GRID_Z.slices(cube_z(s, d)), "z", "th"), "u", "v", "w", "th", "w"), {"slope_def": 1e9, "slope_tilt": 1e9, "slope_cross": 1e9, "slope_diab": 1e9}, ("t", "k", "j", "i")))
 _HY = f"""WITH {CUBE_SQL.replace("s0 AS (", "sx AS (")}, s0 AS (SELECT t, CAST(j % 5 AS INTEGER) AS k, CAST(j // 5 AS INTEGER) AS j, i, temp, 20000.0::DOUBLE + 18000.0::DOUBLE * (j % 5) AS pr FROM sx),
     a AS (SELECT *, 287.04::DOUBLE * temp * ln(coalesce((lag(pr) OVER w + pr) / 2, 101000) / pr) AS lo, 287.04::DOUBLE * temp * ln(pr / coalesce((lead(pr) OVER w + pr) / 2, pr)) AS hi FROM s0 WINDOW w AS (PARTITION BY t, j, i ORDER BY k DESC)),
     b AS (SELECT *, 10 + coalesce(sum(lo + hi) OVER (PARTITION BY t, j, i ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + lo AS phi FROM a)
@@ -271,11 +266,12 @@ def _levels(nation):
 # Streams: each reads the files of a table as a stream and runs until they are read.
 
 
-def _run(stream, mode: str = "append"):
-    name = f"gridskein_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def _run(stream):
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/gridskein/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def _event_stream(s, d):

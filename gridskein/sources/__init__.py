@@ -12,9 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .netcdf import netcdf_axes, read_netcdf
+from ..grid import latlon_cells
+from .netcdf import netcdf_axes, netcdf_files, read_netcdf, rows_of_netcdf, save_netcdf
+
+__all__ = ["Catalogue", "Variable", "format_level", "instantaneous", "level_kind", "level_value", "netcdf_axes", "netcdf_files", "parse_level", "parse_time_unit", "read_arrays", "read_netcdf", "rows_of_netcdf", "save_composites", "save_fields", "save_netcdf", "static_cells", "time_numbers", "vertical_axis"]
 
-__all__ = ["Catalogue", "Variable", "format_level", "instantaneous", "level_kind", "level_value", "netcdf_axes", "parse_level", "parse_time_unit", "read_arrays", "read_netcdf", "save_composites", "save_fields"]
 
 @dataclass(frozen=True)
 class Variable:
@@ -149,3 +151,30 @@ def parse_time_unit(value: Column, unit: str) -> Column:
         raise ValueError(f"not a time unit: {unit}")
     width = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[m[1]]
     return F.timestamp_seconds(F.unix_timestamp(F.lit(m[2]).cast("timestamp")) + value * width)
+
+
+def time_numbers(value: Column, unit: str) -> Column:
+    """The inverse of ``parse_time_unit``: the numbers that a new time axis gives to timestamps."""
+    m = re.fullmatch(r"(second|minute|hour|day)s? since (.+)", unit.strip())
+    if not m:
+        raise ValueError(f"not a time unit: {unit}")
+    width = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[m[1]]
+    return (F.unix_timestamp(value) - F.unix_timestamp(F.lit(m[2]).cast("timestamp"))) / width
+
+
+def vertical_axis(level: str | None) -> dict:
+    """Name, unit and values of the vertical axis of a field on a level; without one, an empty axis."""
+    if level is None:
+        return {"name": "", "unit": "", "values": []}
+    kind, value = parse_level(level)
+    if kind == "surface":
+        return {"name": None, "unit": None, "values": None}
+    return {"name": "lev", "unit": {"isentropic": "K", "pv": "PVU", "height": "m", "pressure": "Pa"}[kind], "values": [value]}
+
+
+def static_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of the grid whose axes ``lat`` and ``lon`` an .npz file has (as ``latlon_cells``)."""
+    axes = {r["variable"]: r["values"] for r in read_arrays(spark, path, ("n",)).filter("variable IN ('lat', 'lon')").groupBy("variable").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]).alias("values")).collect()}  # two axes
+    if set(axes) != {"lat", "lon"}:
+        raise ValueError(f"a grid needs lat and lon; {path} has {sorted(axes)}")
+    return latlon_cells(spark, axes["lat"], axes["lon"])

@@ -1,4 +1,4 @@
-"""Files in the classic netCDF formats (CDF-1, -2 and -5), read without a library.
+"""Files in the classic netCDF formats (CDF-1, -2 and -5), read and written without a library.
 
 Each file is one task; its header says where the values lie, and rows leave in
 parts of fixed size.  Spark's ``binaryFile`` hands over files of up to 2 GB.
@@ -6,7 +6,9 @@ parts of fixed size.  Spark's ``binaryFile`` hands over files of up to 2 GB.
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..grid import Grid
+from ..storage import materialise
+
 #: External types of the format by number.
 TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 #: Values in a batch of rows.
@@ -109,13 +114,96 @@ class ClassicFile:
             yield k, out
 
 
-def read_netcdf(spark: SparkSession, path: str, dims: tuple[str, ...] = ("time", "latitude", "longitude"), columns: tuple[str, ...] = ("t", "j", "i"), variables: tuple[str, ...] | None = None) -> DataFrame:
-    """(file, variable, indices, value): all values of numeric variables that have exactly these dimensions, in order.
-
-    ``columns`` names the indices.  Packed values are scaled and shifted; fill
-    values are NULL.  Variables with other dimensions give no rows.  An HDF5-based
-    or foreign file is an error.
+def _field(name: str) -> bytes:
+    raw = name.encode()
+    return struct.pack(">i", len(raw)) + raw + b"\0" * (-len(raw) % 4)
+
+
+def _attribute_list(attributes: dict) -> bytes:
+    if not attributes:
+        return struct.pack(">ii", 0, 0)
+    parts = [struct.pack(">ii", 12, len(attributes))]
+    for name, value in attributes.items():
+        if isinstance(value, str):
+            kind, n, raw = 2, len(value.encode()), value.encode()
+        else:
+            value = np.atleast_1d(value)
+            kind = {"h": 3, "i": 4, "f": 5, "d": 6}[value.dtype.char]
+            n, raw = len(value), value.astype(TYPES[kind]).tobytes()
+        parts.append(_field(name) + struct.pack(">ii", kind, n) + raw + b"\0" * (-len(raw) % 4))
+    return b"".join(parts)
+
+
+def classic_bytes(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, dict]], attributes: dict | None = None) -> bytes:
+    """A file in the format CDF-2: dimensions, and variables (dimensions, values, attributes) of shorts, ints, floats or doubles; none grows."""
+    names = list(dims)
+    head = b"CDF\x02" + struct.pack(">i", 0)
+    head += struct.pack(">ii", 10, len(dims)) + b"".join(_field(d) + struct.pack(">i", n) for d, n in dims.items())
+    head += _attribute_list(attributes or {})
+    entries, data = [], []
+    for name, (own, values, more) in variables.items():
+        kind = {"h": 3, "i": 4, "f": 5, "d": 6}[values.dtype.char]
+        raw = values.astype(TYPES[kind]).tobytes()
+        raw += b"\0" * (-len(raw) % 4)
+        entry = _field(name) + struct.pack(">i", len(own)) + b"".join(struct.pack(">i", names.index(d)) for d in own) + _attribute_list(more) + struct.pack(">ii", kind, len(raw))
+        entries.append(entry)
+        data.append(raw)
+    head += struct.pack(">ii", 11, len(entries))
+    at = len(head) + sum(len(e) + 8 for e in entries)
+    for entry, raw in zip(entries, data, strict=True):
+        head += entry + struct.pack(">q", at)
+        at += len(raw)
+    return head + b"".join(data)
+
+
+def netcdf_files(g: Grid, cube: DataFrame, variables: list[str], lats: list[float], lons: list[float], packing: dict[str, tuple[float, float]] | None = None, attributes: dict[str, dict] | None = None) -> DataFrame:
+    """(t, content): a classic netCDF file for each horizontal slice, with its coordinates.
+
+    Values are doubles or, for variables in ``packing`` (scale, offset), shorts;
+    missing ones are the fill value.  ``attributes`` are the variables' own.  Each
+    file is made in the task that has the slice; ``save_netcdf`` writes them.
     """
+    lat, lon = np.asarray(lats, float), np.asarray(lons, float)
+    dims = {"time": 1, "latitude": g.ny, "longitude": g.nx}
+
+    def make(key, rows: pd.DataFrame) -> pd.DataFrame:
+        found = {"latitude": (("latitude",), lat, {"units": "degrees_north"}), "longitude": (("longitude",), lon, {"units": "degrees_east"})}
+        for name in variables:
+            values = np.full((1, g.ny, g.nx), np.nan)
+            values[0, rows["j"], rows["i"]] = rows[name].to_numpy(float, na_value=np.nan)
+            more = dict((attributes or {}).get(name, {}))
+            if name in (packing or {}):
+                scale, offset = packing[name]
+                whole = np.rint((values - offset) / scale)
+                values = np.where(np.abs(whole) <= 32767, whole, -32768).astype(np.int16)  # NaN too
+                more |= {"scale_factor": np.float64(scale), "add_offset": np.float64(offset), "_FillValue": np.int16(-32768)}
+            found[name] = (("time", "latitude", "longitude"), values, more)
+        return pd.DataFrame({"t": [key[0]], "content": [classic_bytes(dims, found)]})
+
+    kind = cube.schema["t"].dataType.simpleString()
+    return cube.select("t", "j", "i", *variables).groupBy("t").applyInPandas(make, f"t {kind}, content binary")
+
+
+def save_netcdf(files: DataFrame, folder: str) -> DataFrame:
+    """Write the files of ``netcdf_files`` as <t>.nc into a folder that all executors have mounted; returns (t, path, size)."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            paths = []
+            for t, content in zip(batch["t"], batch["content"], strict=True):
+                paths.append(f"{folder}/{t}.nc")
+                part = f"{paths[-1]}.{uuid.uuid4().hex}"  # a task that runs twice leaves whole files
+                with open(part, "wb") as out:
+                    out.write(content)
+                os.replace(part, paths[-1])
+            yield pd.DataFrame({"t": batch["t"], "path": paths, "size": batch["content"].map(len)})
+
+    kind = files.schema["t"].dataType.simpleString()
+    return materialise(files.mapInPandas(write, f"t {kind}, path string, size long"), "netcdf")
+
+
+def rows_of_netcdf(files: DataFrame, dims: tuple[str, ...] = ("time", "latitude", "longitude"), columns: tuple[str, ...] = ("t", "j", "i"), variables: tuple[str, ...] | None = None) -> DataFrame:
+    """As ``read_netcdf``, from a frame with two columns: what names a file, and its content."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
@@ -131,10 +219,21 @@ def read_netcdf(spark: SparkSession, path: str, dims: tuple[str, ...] = ("time",
                             index = {c: (p + (first if k == 0 else 0)).astype("int32") for k, (c, p) in enumerate(zip(columns, places, strict=True))}
                             yield pd.DataFrame({"file": file, "variable": name, **index, "value": flat[part]})
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, f"file string, variable string, {', '.join(f'{c} int' for c in columns)}, value double")
+    named = files.select(F.col(files.columns[0]).cast("string").alias("path"), F.col(files.columns[1]).alias("content"))
+    found = named.mapInPandas(rows, f"file string, variable string, {', '.join(f'{c} int' for c in columns)}, value double")
     return found.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
+def read_netcdf(spark: SparkSession, path: str, dims: tuple[str, ...] = ("time", "latitude", "longitude"), columns: tuple[str, ...] = ("t", "j", "i"), variables: tuple[str, ...] | None = None) -> DataFrame:
+    """(file, variable, indices, value): all values of numeric variables that have exactly these dimensions, in order.
+
+    ``columns`` names the indices.  Packed values are scaled and shifted; fill
+    values are NULL.  Variables with other dimensions give no rows.  An HDF5-based
+    or foreign file is an error.
+    """
+    return rows_of_netcdf(spark.read.format("binaryFile").load(path).select("path", "content"), dims, columns, variables)
+
+
 def netcdf_axes(spark: SparkSession, path: str) -> DataFrame:
     """(file, variable, dim, n, value, units) of variables with one dimension: coordinates of the indices."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -45,4 +45,13 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/gridskein/{what}-{uuid.uuid4().hex}"
     with _setting(spark, _CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._gridskein_path = path
+    return stored
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` has written for these frames; nothing that is still to run may read them."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame._gridskein_path)
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
