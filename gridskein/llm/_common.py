@@ -7,9 +7,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise, shared_dir
+from ..storage import discard, materialise, shared_dir
 
-__all__ = ["groups_of", "keyed", "materialise", "shared_dir", "table"]
+__all__ = ["discard", "groups_of", "keyed", "materialise", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

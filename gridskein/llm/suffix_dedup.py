@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, materialise
+from ._common import discard, keyed, materialise
 from ._repeat_kernel import Q, anchors, bucket_at, half_ids, qgram_buckets
 
 #: Bytes of text handled at a time (the arrays then fit a processor's cache).
@@ -235,12 +235,15 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     contexts = found.groupBy("h", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__id", "__th", "x", "lo", "hi", "a", "b")).alias("r"))
     contexts = materialise(contexts.select("h", "f", (F.col("n") > 1).alias("settled"), "r.*"), "contexts")
     whole = found.join(contexts.filter("settled").select("h", "f"), ["h", "f"]).select("__id", "__th", F.col("lo").alias("s"), F.col("hi").alias("e"))
+    whole = materialise(whole, "whole")
+    discard(found)
     middle = F.col("x") - (length - Q) // 2
     left = F.struct(F.col("a").alias("core"), F.col("lo").alias("s"), F.least("hi", middle).alias("e"))
     right = F.struct(F.col("b").alias("core"), F.greatest(F.col("lo"), middle + 1).alias("s"), F.col("hi").alias("e"))
     halves = contexts.select("__id", "__th", "x", "settled", F.explode(F.array(left, right)).alias("half")).select("__id", "__th", "x", "settled", "half.*").filter("core IS NOT NULL")
     open_ = halves.join(_shared(halves, "core"), "core").groupBy("__id", "__th").agg(F.collect_list(F.struct("x", "s", "e", "settled")).alias("runs"))
     bodies = materialise(texts.join(open_, ["__id", "__th"]).mapInArrow(_body_rows(length), _BODY), "bodies")
+    discard(contexts)
 
     # Level 2: parts of halves.
     parts = materialise(bodies.mapInArrow(_split_rows(length, single=False), f"{_PART}, core long, u long, v long"), "parts")
@@ -256,7 +259,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     windows = materialise(open_.mapInArrow(_split_rows(length, single=True), f"{_PART}, u long, v long"), "windows")
     several = windows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u", "v")
     single = windows.filter("NOT settled").join(several, ["u", "v"]).select(place)
-    return whole.unionByName(partly).unionByName(single).withColumn("e", F.col("e") + length)
+    runs = materialise(whole.unionByName(partly).unionByName(single).withColumn("e", F.col("e") + length), "runs")
+    discard(whole, bodies, parts, kinds, windows)
+    return runs
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
@@ -274,8 +279,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.drop("kept", "removed")
     names = docs.columns
-    runs = repeated_runs(docs, id_col, text_col, length).distinct()
-    spans = materialise(runs.groupBy("__id", "__th").agg(F.collect_list(F.struct("s", "e")).alias("__spans")), "spans")
+    runs = repeated_runs(docs, id_col, text_col, length)
+    spans = materialise(runs.distinct().groupBy("__id", "__th").agg(F.collect_list(F.struct("s", "e")).alias("__spans")), "spans")
+    discard(runs)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     joined = keyed(docs, id_col, text_col).join(spans, ["__id", "__th"], "left")
     joined = joined.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").cast("binary").alias("__t"), "__spans")
