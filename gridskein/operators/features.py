@@ -428,19 +428,18 @@ def atmospheric_river(g: Grid, cube: DataFrame, u: str, v: str, threshold: float
     ivt = F.hypot(u, v)
     labels = label_connected_2d(g, cube.withColumn("__m", ivt > threshold), "__m")
     cells = labels.join(cube.select("t", "j", "i", "lat", "lon", F.col(v).alias("__v")), ["t", "j", "i"])
-    found = cells.groupBy("t", "label").agg(F.min("lat").alias("lo"), F.max("lat").alias("hi"), F.avg("__v").alias("mean_v"), F.collect_list(F.struct("lat", "lon")).alias("points"))
-    one_side = (F.col("lo") > 0) | (F.col("hi") < 0)
-    spread = F.aggregate("points", F.lit(0.0), lambda a, p: F.greatest(a, F.aggregate("points", F.lit(0.0), lambda b, q: F.greatest(b, _km(p, q)))))
-    good = one_side & ((F.col("hi") - F.col("lo")) * 111 > min_length) | one_side & (spread > min_length)
+    found = cells.groupBy("t", "label").agg(F.min("lat").alias("lo"), F.max("lat").alias("hi"), F.avg("__v").alias("mean_v"))
+    found = found.filter((F.col("lo") > 0) | (F.col("hi") < 0))
     if min_poleward is not None:
-        good &= F.abs("mean_v") >= min_poleward
-    return cells.join(found.filter(good).select("t", "label"), ["t", "label"], "left_semi").select("t", "label", "j", "i")
+        found = found.filter(F.abs("mean_v") >= min_poleward)
 
+    def long_ones(key, rows: pd.DataFrame) -> pd.DataFrame:
+        lat = rows["lat"]
+        far = (lat.max() - lat.min()) * 111 > min_length or kernels.spread_km(*(rows[c].to_numpy() for c in ("j", "i", "lat", "lon")), g.nx, g.cyclic) > min_length
+        return rows[["t", "label", "j", "i"]] if far else rows[["t", "label", "j", "i"]].iloc[:0]
 
-def _km(p, q):
-    a, b = F.radians(p["lat"]), F.radians(q["lat"])
-    x = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(q["lon"] - p["lon"]))
-    return 6371 * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in ("t", "label", "j", "i"))
+    return cells.join(found.select("t", "label"), ["t", "label"], "left_semi").groupBy("t", "label").applyInPandas(long_ones, kinds)
 
 
 def _steep(g: Grid, v: str, threshold: float):
@@ -473,14 +472,21 @@ def frontal_volume_small(
 def dist_from_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
     """(t, j, i, distance in m) from each cell (j, i, lat, lon) to the nearest of a mask (t, j, i) in the same slice.
 
-    Rows are as far apart as their latitudes at least, so for each row of the mask
-    only its cell nearest in longitude matters to a cell.
+    Cells at one latitude are a row.  For each row of the mask only its cell nearest
+    in longitude matters to a cell, so a slice costs its cells times the mask's rows.
     """
-    marked = mask.join(cells.select("j", "i", "lat", "lon"), ["j", "i"]).groupBy("t", F.col("lat").alias("mlat")).agg(F.array_sort(F.collect_set("lon")).alias("lons"))
-    both = cells.select("j", "i", "lat", "lon").join(marked, F.lit(True))  # a slice's cells by its rows: a grid's fixed size for each t
-    apart = F.array_min(F.transform("lons", lambda x: F.abs(F.pmod(x - F.col("lon") + 180, F.lit(360.0)) - 180)))
-    both = both.withColumn("apart", apart)
-    return both.groupBy("t", "j", "i").agg(F.min(dist_sphere(F.lit(0.0), "lat", F.col("apart"), "mlat")).alias("distance"))
+    every = cells.select("j", "i", "lat", "lon").toPandas()  # the grid's cells
+    place = {(j, i): k for k, (j, i) in enumerate(zip(every["j"], every["i"], strict=True))}
+    lat, lon = every["lat"].to_numpy(), every["lon"].to_numpy()
+
+    def apply(key, rows: pd.DataFrame) -> pd.DataFrame:
+        marked = [place[c] for c in zip(rows["j"], rows["i"], strict=True) if c in place]
+        out = every[["j", "i"]].assign(distance=kernels.distance_from(lat, lon, lat[marked], lon[marked]))
+        out.insert(0, "t", key[0])
+        return out if marked else out.iloc[:0]
+
+    kinds = ", ".join(f"{c} {mask.schema[c].dataType.simpleString()}" for c in ("t", "j", "i"))
+    return mask.select("t", "j", "i").groupBy("t").applyInPandas(apply, f"{kinds}, distance double")
 
 
 def spectral_truncation(g: Grid, cube: DataFrame, v: str, lats: list[float], degree: int, inverse_laplace: bool = False) -> DataFrame:

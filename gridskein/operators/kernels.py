@@ -500,3 +500,30 @@ def clipped(points: np.ndarray, x: float, right: bool) -> np.ndarray:
         if side[k]:
             out.append(b)
     return np.array(out + out[:1]).reshape(-1, 2)
+
+
+def spread_km(j: np.ndarray, i: np.ndarray, lat: np.ndarray, lon: np.ndarray, nx: int, cyclic: bool) -> float:
+    """The greatest distance between two cells of an object that lies on one side of the equator; only its rim can have it."""
+    own = set(zip(j.tolist(), i.tolist(), strict=True))
+    at = (lambda c: c % nx) if cyclic else (lambda c: c)
+    rim = [k for k, (b, a) in enumerate(zip(j.tolist(), i.tolist(), strict=True)) if not {(b + 1, a), (b - 1, a), (b, at(a + 1)), (b, at(a - 1))} <= own]
+    y, x = np.radians(lat[rim]), np.radians(lon[rim])
+    most = 1.0
+    for s in range(0, len(rim), 256):
+        part = slice(s, s + 256)
+        cosine = np.sin(y[part, None]) * np.sin(y) + np.cos(y[part, None]) * np.cos(y) * np.cos(x - x[part, None])
+        most = min(most, float(cosine.min()))
+    return 6371 * float(np.arccos(max(-1.0, most)))
+
+
+def distance_from(lat: np.ndarray, lon: np.ndarray, mask_lat: np.ndarray, mask_lon: np.ndarray, r: float = 6.37e6) -> np.ndarray:
+    """Distance (m) from each point to the nearest marked one; degrees."""
+    y, best = np.radians(lat), np.full(len(lat), -1.0)
+    around = np.mod(lon, 360)
+    for row in np.unique(mask_lat):
+        lons = np.unique(np.mod(mask_lon[mask_lat == row], 360))
+        after = np.searchsorted(lons, around)
+        apart = np.minimum(*(np.abs(np.mod(lons[k % len(lons)] - around + 180, 360) - 180) for k in (after, after - 1)))
+        m = np.radians(row)
+        best = np.maximum(best, np.sin(y) * np.sin(m) + np.cos(y) * np.cos(m) * np.cos(np.radians(apart)))
+    return r * np.arccos(np.clip(best, -1, 1))

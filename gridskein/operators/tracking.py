@@ -307,14 +307,28 @@ def block_by_grad_rev(g: Grid, indicator: DataFrame, v: str = "block", band: tup
     """(block, t, j, i, lat, lon): local maxima of a blocking indicator, linked in time and long enough.
 
     A maximum continues the nearest block of the step before that moved no more
-    than ``local`` (degrees of latitude and longitude) since, and ``total`` since its onset.
+    than ``local`` (degrees of latitude and longitude) since, and ``total`` since its
+    onset, whose cell numbers the block.  Maxima that such steps can connect at all
+    are one task's work; others don't matter to each other.
     """
     near = g.neighbours(indicator, v)
     sides = [F.coalesce(F.col(f"{v}_{d}"), F.lit(float("-inf"))) for d in ("e", "w", "n", "s", "ne", "nw", "se", "sw")]
     peaks = near.filter((F.col(v) > 0) & (F.col(v) >= F.greatest(*sides)) & (F.col("lat") > band[0]) & (F.col("lat") < band[1])).select("t", "j", "i", "lat", "lon")
+    peaks = materialise(peaks.withColumn("id", (F.col("t").cast("long") * g.ny + F.col("j")) * g.nx + F.col("i")), "peaks")
+    # Pairs of one step: by tiles of the way that a block may go.
+    around = max(1, int(360 // local[1]))
+    tile = lambda c: F.floor(F.pmod("lon", F.lit(360.0)) / (360.0 / around)) + c
+    band_of = F.floor(F.col("lat") / local[0])
+    first = peaks.select("t", band_of.alias("y"), F.pmod(tile(0), F.lit(around)).alias("x"), F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    tiles = F.array_distinct(F.array(*[F.struct((band_of + b).alias("y"), F.pmod(tile(c), F.lit(around)).alias("x")) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
+    second = peaks.select((F.col("t") - 1).alias("t"), F.explode(tiles).alias("k"), F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).select("t", "k.*", "b", "lat2", "lon2")
+    turned = F.abs(F.pmod(F.col("lon1") - F.col("lon2") + 180, F.lit(360.0)) - 180)
+    links = first.join(second, ["t", "y", "x"]).filter((F.abs(F.col("lat1") - F.col("lat2")) <= local[0]) & (turned <= local[1]))
+    roots = connected_components(links.select("a", "b"))
+    grouped = peaks.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
     def apply(rows):
-        out, active, n = [], [], 0
+        out, active = [], []
         apart = lambda a, b: abs((a - b + 180) % 360 - 180)
         last = None
         for t, part in rows.sort_values(["t", "j", "i"]).groupby("t"):
@@ -324,16 +338,16 @@ def block_by_grad_rev(g: Grid, indicator: DataFrame, v: str = "block", band: tup
             for r in part.itertuples():
                 fits = [(math.hypot(r.lat - b["lat"], apart(r.lon, b["lon"])), b["id"], b) for b in active if abs(r.lat - b["lat"]) <= local[0] and apart(r.lon, b["lon"]) <= local[1] and abs(r.lat - b["lat0"]) <= total[0] and apart(r.lon, b["lon0"]) <= total[1]]
                 if fits:
-                    b = min(fits)[2]
+                    b = min(fits, key=lambda f: f[:2])[2]
                     new = {**b, "lat": r.lat, "lon": r.lon}
                 else:
-                    new, n = {"id": n, "lat": r.lat, "lon": r.lon, "lat0": r.lat, "lon0": r.lon}, n + 1
+                    new = {"id": r.id, "lat": r.lat, "lon": r.lon, "lat0": r.lat, "lon0": r.lon}
                 now.append(new)
                 out.append((new["id"], t, r.j, r.i, r.lat, r.lon))
             active, last = now, t
         return pd.DataFrame(out, columns=["block", "t", "j", "i", "lat", "lon"])
 
     kind = peaks.schema["t"].dataType.simpleString()
-    linked = peaks.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(apply, f"block long, t {kind}, j int, i int, lat double, lon double")  # the peaks only, in order of time
+    linked = grouped.groupBy("root").applyInPandas(apply, f"block long, t {kind}, j int, i int, lat double, lon double")
     steps = linked.groupBy("block").agg(F.countDistinct("t").alias("n")).filter(F.col("n") >= min_steps)
     return linked.join(steps.select("block"), "block", "left_semi").select("block", "t", "j", "i", "lat", "lon")

@@ -6,7 +6,7 @@ import pytest
 
 from gridskein import sources
 from gridskein.grid import Grid
-from gridskein.operators import features, kernels, statistics
+from gridskein.operators import features, kernels, statistics, tracking
 from gridskein.queries import QUERIES
 from gridskein.queries._cube import GRID, LATS, LONS, cube, cube_z
 
@@ -122,3 +122,65 @@ def test_axes_of_grids(spark, tmp_path):
     row = spark.range(1).select(sources.time_numbers(stamp, unit).alias("n"), stamp.alias("t")).withColumn("back", sources.parse_time_unit(F.col("n"), unit)).first()
     assert row.n == 30.5 and row.back == row.t
     assert [sources.vertical_axis(x)["values"] for x in (None, "sfc", "pv2000", "pt330", "850")] == [[], None, [2.0], [330.0], [85000.0]]
+
+
+def test_spread_of_objects():
+    """The rim gives the greatest distance of all cells."""
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        j, i = np.nonzero(rng.random((12, 30)) < 0.7)
+        lat, lon = 5.0 + 6 * j, 12.0 * i
+        y, x = np.radians(lat), np.radians(lon)
+        every = 6371 * np.arccos(np.clip(np.sin(y)[:, None] * np.sin(y) + np.cos(y)[:, None] * np.cos(y) * np.cos(x[:, None] - x), -1, 1))
+        assert np.isclose(kernels.spread_km(j, i, lat, lon, 30, True), every.max())
+
+
+def test_rivers_by_brute_force(spark):
+    """Labels on one side of the equator whose cells are far apart, from all pairs of cells."""
+    c = cube(spark, SF).toPandas()
+    rivers = QUERIES["conn_atmospheric_river"](spark, SF).toPandas()
+    strong = cube(spark, SF).selectExpr("t", "j", "i", "hypot(u, v) > 3 AS m")
+    own = features.label_connected_2d(GRID, strong, "m").toPandas().merge(c[["t", "j", "i", "lat", "lon"]], on=["t", "j", "i"])
+    want = set()
+    for (t, label), part in own.groupby(["t", "label"]):
+        y, x = np.radians(part["lat"].to_numpy()), np.radians(part["lon"].to_numpy())
+        far = 6371 * np.arccos(np.clip((np.sin(y)[:, None] * np.sin(y) + np.cos(y)[:, None] * np.cos(y) * np.cos(x[:, None] - x)).min(), -1, 1))
+        if (part["lat"].min() > 0 or part["lat"].max() < 0) and (far > 1000 or (part["lat"].max() - part["lat"].min()) * 111 > 1000):
+            want |= {(t, label, j, i) for j, i in zip(part["j"], part["i"], strict=True)}
+    assert set(rivers[["t", "label", "j", "i"]].itertuples(index=False, name=None)) == want and want
+
+
+def test_blocks_step_by_step(spark):
+    """Blocks of all maxima in one loop over time."""
+    g = Grid(36, 19)
+    rng = np.random.default_rng(9)
+    lat, lon = [-90.0 + 10 * j for j in range(19)], [10.0 * i for i in range(36)]
+    rows, peaks = [], []
+    for t in range(40):
+        field = np.zeros((19, 36))
+        for _ in range(int(rng.integers(0, 5))):
+            field[rng.integers(12, 17), rng.integers(0, 36)] = rng.random() + 0.5
+        for j in range(19):
+            for i in range(36):
+                rows.append((t, j, i, lat[j], lon[i], float(field[j, i])))
+                around = [field[j + b, (i + a) % 36] for b in (-1, 0, 1) for a in (-1, 0, 1) if (a or b) and 0 <= j + b < 19]
+                if field[j, i] > 0 and field[j, i] >= max(around) and 30 < lat[j] < 70:
+                    peaks.append((t, j, i))
+    apart = lambda a, b: abs((a - b + 180) % 360 - 180)
+    blocks, before = {}, {}
+    for t in range(40):
+        now = {}
+        for _, j, i in sorted(p for p in peaks if p[0] == t):
+            fits = []
+            for (j1, i1), (onset, name) in before.items():
+                close = abs(lat[j] - lat[j1]) <= 27 and apart(lon[i], lon[i1]) <= 36 and abs(lat[j] - lat[onset[0]]) <= 40 and apart(lon[i], lon[onset[1]]) <= 54
+                if close:
+                    fits.append((np.hypot(lat[j] - lat[j1], apart(lon[i], lon[i1])), name, onset))
+            name, onset = (min(fits)[1], min(fits)[2]) if fits else ((t * 19 + j) * 36 + i, (j, i))
+            now[j, i] = onset, name
+            blocks.setdefault(name, set()).add((t, j, i))
+        before = now
+    want = {(name, *p) for name, own in blocks.items() for p in own if len({t for t, _, _ in own}) >= 3}
+    frame = spark.createDataFrame(rows, "t int, j int, i int, lat double, lon double, block double")
+    got = {(r.block, r.t, r.j, r.i) for r in tracking.block_by_grad_rev(g, frame, min_steps=3).collect()}
+    assert got == want and want
