@@ -85,7 +85,10 @@ _add("conn_label_connected_3d", lambda s, d: ft.label_connected_3d(GRID_Z, cube_
 _add("conn_frontalvolume_smallscale", lambda s, d: ft.frontal_volume_small(GRID_Z, GRID_Z.slices(cube_z(s, d)), "u", large=2e-6, small=1.2e-5, min_size=4e10),
      _labels_3d_sql([{"u1": _SMOOTHED.format("u"), "g": _SLOPE.format("u")}, {"u2": _SMOOTHED.format("u1")}, {"g2": _SLOPE.format("u2")}], "g > 1.2e-5 AND g2 > 2e-6") + "SELECT t, label, k, j, i FROM l3 WHERE (t, label) IN (SELECT t, label FROM l3 GROUP BY t, label HAVING sum(area) >= 2e11)")
 _add("conn_frontalvolume", lambda s, d: ft.frontal_volume(GRID_Z, GRID_Z.slices(cube_z(s, d)), "u", 1e-6, 1e10))
-_add("conn_atmospheric_river", lambda s, d: ft.atmospheric_river(GRID, cube(s, d), "u", "v", 3.0, 1000.0))
+_ARC_KM = "6371 * acos(greatest(-1, least(1, sin(radians(a.lat)) * sin(radians(b.lat)) + cos(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon - a.lon)))))"
+_add("conn_atmospheric_river", lambda s, d: ft.atmospheric_river(GRID, cube(s, d), "u", "v", 3.0, 1000.0), BASE + _LABELS.replace("u > 3.5", "sqrt(u * u + v * v) > 3") + f""", pt AS (SELECT l.*, s0.lat, s0.lon FROM l JOIN s0 USING (t, j, i)), sd AS (SELECT t, label FROM pt GROUP BY ALL HAVING min(lat) > 0 OR max(lat) < 0),
+    fr AS (SELECT t, label FROM (SELECT a.t, a.label, max({_ARC_KM}) AS far, max(a.lat) - min(a.lat) AS high FROM pt a JOIN pt b ON b.t = a.t AND b.label = a.label WHERE (a.t, a.label) IN (SELECT (t, label) FROM sd) GROUP BY ALL) WHERE far > 1000 OR high * 111 > 1000)
+    SELECT t, label, j, i FROM l WHERE (t, label) IN (SELECT (t, label) FROM fr)""")
 _add("conn_dist_from_mask", lambda s, d: rounded(ft.dist_from_mask(_cells(s), cube(s, d).filter("u > 6").select("t", "j", "i")), {"distance": 1e-6}),
      f"WITH {CUBE_SQL}, c AS (SELECT j, i, lat, lon FROM s0 WHERE t = 0), k AS (SELECT t, lat AS la, lon AS lo FROM s0 WHERE u > 6)\n" + rounded_sql({"distance": 1e-6}, "(SELECT t, j, i, min(6370000 * acos(greatest(-1, least(1, sin(radians(lat)) * sin(radians(la)) + cos(radians(lat)) * cos(radians(la)) * cos(radians(abs((lo - lon + 180 + 720) % 360 - 180))))))) AS distance FROM c, k GROUP BY ALL)"))
 
