@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -15,12 +16,15 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests) a temporary one is set.
+    Only where the session names none and runs in one process (as in tests) a
+    temporary one is set; a cluster without one is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = spark.sparkContext.getCheckpointDir()
     if not conf:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="gridskein-")
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
