@@ -75,8 +75,9 @@ def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log10 probability of each of ``documents``, by a model that nine in ten of them (by id) teach."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 10 == 0).alias("held_out"), "text")
+    """Log10 probability of each of ``documents``, by a model that nine in ten of them (by id) teach; null ids aren't held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
     words = count_words(docs.filter("NOT held_out"))
     encoded = encode_documents(docs, words, columns=["doc_id", "held_out"])
     scored = score_encoded(encoded, train_on_encoded(encoded.filter("NOT held_out"), words)).withColumn("train_tokens", F.lit(words.tokens).cast("long"))
@@ -84,9 +85,9 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of each of ``documents``, by a model that three in four of them (by id) teach."""
+    """Language of each of ``documents``, by a model that three in four of them (by id) teach; null ids aren't held out."""
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = fit_language_model(docs.filter(~held_out))
     texts = docs.select("doc_id", held_out.alias("held_out"), "text")
     return identify_languages(texts, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))

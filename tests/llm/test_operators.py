@@ -16,7 +16,7 @@ import numpy as np
 import pytest
 
 from gridskein.llm import _gru, chat, decontamination, html_extract, language_id, lm_scoring, media, packing, queries, simhash_dedup, suffix_dedup, warc
-from gridskein.llm.components import connected_components
+from gridskein.operators.components import connected_components
 
 from ..oracle import DATA, compare, connect
 
@@ -493,6 +493,28 @@ def test_rare_languages_are_learned(spark):
     assert {r.lang_pred for r in language_id.identify_languages(numbers, model).collect()} == {"und"}
 
 
+def test_language_query_end_to_end(spark, tmp_path):
+    """Held-out accuracy, and mixed texts labelled as a plain search over all labellings would."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    found = queries.op7_language_id(spark, f"{DATA}/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL").collect()
+    assert len(found) > 200 and sum(r.lang_pred == r.lang for r in found) >= 0.98 * len(found)
+    assert all(0 <= r.score <= 1 for r in found)
+    model = language_id.fit_language_model(docs)
+    words = "the and with from der und nicht eine que los para".split()
+    rng = random.Random(1)
+    for _ in range(20):
+        text = " ".join(rng.choices(words, k=5))
+        one = language_id.label_texts([text], model, 3.0)
+        _, first, last, script, buckets = language_id._words([text])
+        cuts = np.cumsum(last - first) - (last - first)
+        scores = np.add.reduceat(model.weights[buckets], cuts, axis=0)
+        best = max(itertools.product(range(len(model.languages)), repeat=5), key=lambda s: sum(scores[k, x] for k, x in enumerate(s)) - 3.0 * sum(a != b for a, b in itertools.pairwise(s)))
+        letters = collections.Counter()
+        for k, x in enumerate(best):
+            letters[model.languages[x]] += int(last[k] - first[k])
+        assert letters[one[0][0]] == max(letters.values())
+
+
 # 8 SimHash
 
 
