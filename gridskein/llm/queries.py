@@ -132,11 +132,11 @@ ORACLE_SQL: dict[str, str] = {
         q AS (SELECT conv_id, turn, length(regexp_replace(regexp_extract(x, '^[ \t]*(?:>[ \t]?)+'), '[^>]', '', 'g')) AS level,
                      trim(regexp_replace(lower(regexp_replace(x, '^[ \t]*(?:>[ \t]?)+', '')), '[ \t\r\x0B\f]+', ' ', 'g')) AS line FROM l),
         own AS (SELECT DISTINCT conv_id, turn, line FROM q WHERE level = 0 AND line <> ''),
-        quo AS (SELECT conv_id, turn, line, count(*) AS n FROM q WHERE level = 1 AND line <> '' GROUP BY ALL),
-        hit AS (SELECT quo.conv_id, quo.turn, quo.line, any_value(quo.n) AS n, max(own.turn) AS original
+        quo AS (SELECT conv_id, turn, level, line, count(*) AS n FROM q WHERE level > 0 AND line <> '' GROUP BY ALL),
+        hit AS (SELECT quo.conv_id, quo.turn, quo.level, quo.line, any_value(quo.n) AS n, max(own.turn) AS original
                 FROM quo JOIN own ON own.conv_id = quo.conv_id AND own.line = quo.line AND own.turn < quo.turn GROUP BY ALL),
-        per AS (SELECT conv_id, turn, original, sum(n) AS n FROM hit GROUP BY ALL),
-        rep AS (SELECT conv_id, turn, CAST(arg_max(original, (n, original)) AS BIGINT) AS reply_to, CAST(sum(n) AS BIGINT) AS n_linked FROM per GROUP BY ALL),
+        per AS (SELECT conv_id, turn, level, original, sum(n) AS n FROM hit GROUP BY ALL),
+        rep AS (SELECT conv_id, turn, CAST(arg_max(original, (-level, n, original)) AS BIGINT) AS reply_to, CAST(sum(n) AS BIGINT) AS n_linked FROM per GROUP BY ALL),
         up AS (SELECT conv_id, turn, reply_to AS root FROM rep
                UNION SELECT up.conv_id, up.turn, rep.reply_to FROM up JOIN rep ON rep.conv_id = up.conv_id AND rep.turn = up.root),
         top AS (SELECT conv_id, turn, min(root) AS thread FROM up GROUP BY ALL),

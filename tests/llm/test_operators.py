@@ -339,10 +339,14 @@ def test_quotation_linking_equals_sql(spark, monkeypatch, block):
     con = connect("/nowhere")
     con.register("t", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
     con.execute("CREATE VIEW conversations AS SELECT * FROM t")
-    found = chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    frame = found.select("conv_id", "thread", "turn", "role", "reply_to", "n_quoted", "n_linked", "text").toPandas()
-    assert frame["reply_to"].notna().sum() > 20
-    assert compare(con, frame, queries.ORACLE_SQL["op5_quotation_linking"]) == ""
+    sql = queries.ORACLE_SQL["op5_quotation_linking"]
+    first = "WHERE level = 1 AND line <> '' GROUP"
+    for nested, own in ((True, sql), (False, sql.replace("WHERE level > 0 AND line <> '' GROUP", first))):
+        assert nested or first in own
+        found = chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), nested=nested)
+        frame = found.select("conv_id", "thread", "turn", "role", "reply_to", "n_quoted", "n_linked", "text").toPandas()
+        assert frame["reply_to"].notna().sum() > 20
+        assert compare(con, frame, own) == ""
 
 
 def test_quotation_linking_edges(spark):

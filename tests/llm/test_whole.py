@@ -8,6 +8,8 @@ import pytest
 from gridskein.llm import chat, html_extract, lm_scoring
 from gridskein.llm import queries as llm
 
+from ..oracle import compare, connect
+
 
 def test_all_training_documents_train_the_weights(spark):
     docs = spark.createDataFrame([(k, f"a b{k % 7} c {k}") for k in range(200)], "doc_id long, text string").repartition(3)
@@ -44,6 +46,7 @@ def test_nested_quotes_are_linked(spark, tmp_path, monkeypatch, block):
     rows = llm.op5_quotation_linking(spark, str(tmp_path)).collect()
     found = {(r.conv_id, r.turn): (r.reply_to, r.n_linked) for r in rows}
     assert found == _links(messages)
+    assert compare(connect(str(tmp_path)), llm.op5_quotation_linking(spark, str(tmp_path)).toPandas(), llm.ORACLE_SQL["op5_quotation_linking"]) == ""
     assert [found[8, k][0] for k in (3, 4, 5)] == [1, 2, 1]
     assert {r.turn: r.thread for r in rows if r.conv_id == 8} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 1}
 
