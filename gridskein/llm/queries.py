@@ -33,15 +33,17 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of ``documents`` that strings of 400 bytes found elsewhere cover are removed."""
+    """Bytes of ``documents`` that strings of 400 bytes found elsewhere cover are removed; n_repeated counts those that strings of 200 cover."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    return suffix_dedup(docs, length=400).select(
+    covered = F.aggregate("repeated", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+    return suffix_dedup(docs, length=400, report=200).select(
         "doc_id",
         size.alias("n_bytes"),
         (size - F.octet_length("kept")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        covered.alias("n_repeated"),
     )
 
 

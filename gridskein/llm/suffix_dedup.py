@@ -191,29 +191,39 @@ def _split_rows(length: int, single: bool):
     return rows
 
 
-def _keep(names: list[str]):
+def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of overlapping or touching ones."""
+    order = np.argsort(starts, kind="stable")
+    s, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.r_[True, s[1:] > reach[:-1]]
+    return s[new], reach[np.r_[new[1:], True]]
+
+
+def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flat, sizes = batch["runs"].flatten(), batch["runs"].value_lengths().to_numpy()
+        offsets = np.r_[0, np.cumsum(sizes)]
+        starts, ends = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("s", "e"))
+        found = [_merged(starts[a:b], ends[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        at = pa.array(np.r_[0, np.cumsum([len(s) for s, _ in found])], pa.int32())
+        parts = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (list(x) for x in zip(*found, strict=True))] if found else [pa.array([], pa.int64())] * 2
+        lists = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(parts, ["start", "stop"]))
+        yield pa.RecordBatch.from_arrays([batch["__id"], batch["__th"], lists], ["__id", "__th", "runs"])
+
+
+def _kept_rows(names: list[str]):
+    """Joined rows (text, removed runs) to the bytes that are left."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, removed = [], []
-            lists = batch["__spans"]
+            kept, lists = [], batch["removed"]
             flat, offsets = lists.flatten(), np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]
-            starts, ends = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("s", "e"))
+            starts, stops = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
             for k, v in enumerate(_views(batch["__t"])):
                 a, b = offsets[k], offsets[k + 1]
-                if a == b:
-                    kept.append(v.tobytes())
-                    removed.append([])
-                    continue
-                order = np.argsort(starts[a:b], kind="stable")
-                s, reach = starts[a:b][order], np.maximum.accumulate(ends[a:b][order])
-                new = np.r_[True, s[1:] > reach[:-1]]
-                first, final = s[new], reach[np.r_[new[1:], True]]
-                gaps = zip([0, *final], [*first, len(v)], strict=True)
-                kept.append(b"".join(v[i:j].tobytes() for i, j in gaps))
-                removed.append([{"start": int(i), "stop": int(j)} for i, j in zip(first, final, strict=True)])
-            columns = [batch.column(i) for i in range(len(names))]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(removed, kind)], [*names, "kept", "removed"])
+                gaps = zip([0, *stops[a:b]], [*starts[a:b], len(v)], strict=True)
+                kept.append(v.tobytes() if a == b else b"".join(v[i:j].tobytes() for i, j in gaps))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(kept, pa.binary())], [*names, "kept"])
 
     return rows
 
@@ -223,11 +233,10 @@ def _shared(runs: DataFrame, key: str) -> DataFrame:
     return runs.groupBy(key).agg(F.count(F.lit(1)).alias("m"), F.bool_and("settled").alias("done")).filter("m > 1 AND NOT done").select(key)
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """Byte runs [s, e) of the documents, keyed as ``keyed`` does, whose windows of ``length`` bytes occur elsewhere."""
+def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
+    """Byte runs [s, e) of texts (__id, __th, __t) whose windows of ``length`` bytes occur elsewhere too."""
     if length < 2 * Q:
         raise ValueError(f"length must be at least {2 * Q}")
-    texts = keyed(docs, id_col, text_col).select("__id", "__th", F.col(f"`{text_col}`").cast("string").cast("binary").alias("__t"))
     found = materialise(texts.filter(F.octet_length("__t") >= length).mapInArrow(_anchor_rows(length), _ANCHOR), "anchors")
     place = ["__id", "__th", "s", "e"]
 
@@ -264,25 +273,54 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return runs
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def _maximal(runs: DataFrame) -> DataFrame:
+    """(__id, __th, runs): each text's maximal runs, in order; what ``runs`` was stored in goes."""
+    gathered = runs.distinct().groupBy("__id", "__th").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    merged = materialise(gathered.mapInArrow(_merge_rows, "__id string, __th long, runs array<struct<start:long,stop:long>>"), "spans")
+    discard(runs)
+    return merged
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, report: int | None = None) -> DataFrame:
     """All columns of ``docs``, and ``kept`` (binary: the text's bytes without the removed ones) and ``removed`` (array of byte runs).
 
     A byte is removed if a string of ``length`` bytes that covers it also starts
     anywhere else: in another row or at another place of the same one.  Matches
-    never cross rows and are judged on the input.
+    never cross rows and are judged on the input.  With ``report``, a shorter
+    length, there is also ``repeated``: the runs covered by strings of that length
+    that occur elsewhere, which stay; only runs of it that have ``length`` bytes are
+    searched for the longer strings then.
 
     Null texts count as empty: kept is empty, removed too; so for texts shorter
     than ``length``.  Rows equal in id and text are occurrences of their own and
     lose what they share.  Ids may be null or repeated.  Any further columns
-    pass through; an input column called kept or removed is replaced.  An empty
-    table gives an empty one.
+    pass through; an input column called kept, removed or repeated is replaced.  An
+    empty table gives an empty one.
     """
-    docs = docs.drop("kept", "removed")
+    docs = docs.drop("kept", "removed", "repeated")
     names = docs.columns
-    runs = repeated_runs(docs, id_col, text_col, length)
-    spans = materialise(runs.distinct().groupBy("__id", "__th").agg(F.collect_list(F.struct("s", "e")).alias("__spans")), "spans")
-    discard(runs)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    joined = keyed(docs, id_col, text_col).join(spans, ["__id", "__th"], "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").cast("binary").alias("__t"), "__spans")
-    return joined.mapInArrow(_keep(names), ", ".join([*kinds, "kept binary", "removed array<struct<start:long,stop:long>>"]))
+    rows = keyed(docs, id_col, text_col).withColumn("__t", F.col(f"`{text_col}`").cast("string").cast("binary"))
+    texts, outs = rows.select("__id", "__th", "__t"), ["removed"]
+    if report is None:
+        spans = _maximal(repeated_runs(texts, length)).withColumnRenamed("runs", "removed")
+    else:
+        if report > length:
+            raise ValueError("the length to report is the shorter one")
+        outs.append("repeated")
+        shorter = _maximal(repeated_runs(texts, report))
+        # Parts long enough, as texts of their own: keyed by document and place.
+        long_runs = shorter.select("__id", "__th", F.filter("runs", lambda r: r["stop"] - r["start"] >= length).alias("long")).filter(F.size("long") > 0)
+        parts = texts.join(long_runs, ["__id", "__th"]).select("__id", "__th", "__t", F.explode("long").alias("r"))
+        parts = parts.select(F.concat_ws("\0", "__id", F.col("r.start").cast("string")).alias("__id"), "__th", F.substr("__t", F.col("r.start") + 1, F.col("r.stop") - F.col("r.start")).alias("__t"))
+        found = repeated_runs(parts, length)
+        begin = F.substring_index("__id", "\0", -1)
+        moved = found.select(F.expr("substr(__id, 1, length(__id) - length(substring_index(__id, char(0), -1)) - 1)").alias("__id"), "__th", (F.col("s") + begin.cast("long")).alias("s"), (F.col("e") + begin.cast("long")).alias("e"))
+        moved = materialise(moved, "moved")
+        discard(found)
+        spans = shorter.withColumnRenamed("runs", "repeated").join(_maximal(moved).withColumnRenamed("runs", "removed"), ["__id", "__th"], "left")
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    joined = rows.join(spans, ["__id", "__th"], "left").select(*[F.col(f"`{c}`") for c in names], *[F.coalesce(c, none).alias(c) for c in outs], "__t")
+    keep = [*names, *outs]
+    ddl = ", ".join([*kinds, *[f"{c} array<struct<start:long,stop:long>>" for c in outs], "kept binary"])
+    return joined.mapInArrow(_kept_rows(keep), ddl)

@@ -99,6 +99,20 @@ def test_suffix_dedup(spark, length):
     assert [(bytes(rows[k].kept), len(rows[k].removed)) for k in range(len(texts))] == _removed(texts, length)
 
 
+@pytest.mark.parametrize(("report", "length"), [(64, 64), (64, 90), (70, 150)])
+def test_suffix_dedup_reports_shorter_repeats(spark, report, length):
+    """What is removed doesn't change, and what is reported is what the shorter length would remove."""
+    rng = random.Random(report + length)
+    word = lambda n: "".join(rng.choice("abcdeé\0 ") for _ in range(n))
+    shared = [word(n) for n in (60, 75, 120, 200, 300)]
+    texts = [None, "", "ab" * 200] + [word(rng.randint(0, 90)) + rng.choice(shared)[rng.randint(0, 20) :] + word(30) + rng.choice(shared) for _ in range(60)]
+    texts += texts[3:6]
+    rows = {r.spans: r for r in suffix_dedup.suffix_dedup(_docs(spark, texts), length=length, report=report).collect()}
+    assert [(bytes(rows[k].kept), len(rows[k].removed)) for k in range(len(texts))] == _removed(texts, length)
+    for k, (kept, n) in enumerate(_removed(texts, report)):
+        assert len(rows[k].repeated) == n and sum(r.stop - r.start for r in rows[k].repeated) == len((texts[k] or "").encode()) - len(kept)
+
+
 def test_suffix_dedup_one_bucket(spark):
     """Contexts that share one q-gram, or all but a byte, in one bucket."""
     rng = random.Random(2)
