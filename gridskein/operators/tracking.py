@@ -241,13 +241,18 @@ def connect_cyclones(points: DataFrame, hours: float = 36.0, distance: float = 1
     """(a, b, link): tracks of a hemisphere with points near each other in time and within Rossby radii; link 1: far along, 2: long in time, 3: both.
 
     ``points`` has id, hemis, ts (timestamp), lat, lon. Points meet by blocks of
-    the time limit, not all with all.
+    the time limit and, where none is near the equator, by tiles of the largest
+    radius that any two of them can have, not all with all.
     """
     width = int(hours * 3600)
     p = points.withColumn("s", F.unix_timestamp("ts")).withColumn("__b", F.floor(F.col("s") / width))
-    a = p.select("hemis", "__b", F.struct("id", "s", "lat", "lon").alias("a"))
-    b = p.select("hemis", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1)).alias("__b"), F.struct("id", "s", "lat", "lon").alias("b"))
-    near = a.join(b, ["hemis", "__b"]).filter((F.col("a.id") != F.col("b.id")) & (F.abs(F.col("a.s") - F.col("b.s")) <= width))
+    least, mixed = points.groupBy("hemis").agg(F.min(F.abs("lat")).alias("l"), (F.min("lat") * F.max("lat") < 0).alias("m")).agg(F.min("l"), F.max("m")).first()  # a row for each hemisphere
+    km = distance * 0.13 / (2 * 7.29e-5 * math.sin(math.radians(least))) if least and not mixed else math.inf
+    tiled = km < 5000
+    own, around = (tile_of("lon", "lat", km), tiles_near("lon", "lat", km)) if tiled else (F.lit(0), F.array(F.lit(0)))
+    a = p.select("hemis", "__b", own.alias("__k"), F.struct("id", "s", "lat", "lon").alias("a"))
+    b = p.select("hemis", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1)).alias("__b"), around.alias("__ks"), F.struct("id", "s", "lat", "lon").alias("b"))
+    near = a.join(b.withColumn("__k", F.explode("__ks")).drop("__ks"), ["hemis", "__b", "__k"]).filter((F.col("a.id") != F.col("b.id")) & (F.abs(F.col("a.s") - F.col("b.s")) <= width))
     radii = ratio(haversine("a.lon", "a.lat", "b.lon", "b.lat"), rossby_radius((F.col("a.lat") + F.col("b.lat")) / 2))
     touched = near.filter(radii <= distance).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.s").alias("s"), F.col("a.lat").alias("lat"), F.col("a.lon").alias("lon")).distinct()
     ends = touched.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("s", "lat", "lon"), "s").alias("first"), F.max_by(F.struct("s", "lat", "lon"), "s").alias("last"))

@@ -204,11 +204,11 @@ _add("cyc_trackinfo", lambda s, d: rounded(tk.filter_tracks(tk.aggregate_trackin
 
 
 def _storms(s, d):
-    return _points(s, d).select(F.col("user_id").alias("id"), F.lit("N").alias("hemis"), F.col("date").alias("ts"), F.pmod("lon", F.lit(40.0)).alias("lon"), (F.lit(40.0) + F.col("lat") / 4).alias("lat"))
+    return _points(s, d).select(F.col("user_id").alias("id"), F.lit("N").alias("hemis"), F.col("date").alias("ts"), "lon", (F.lit(40.0) + F.col("lat") / 4).alias("lat"))
 
 
 _ROSS = "(0.13::DOUBLE / (2 * 7.29e-5 * sin(radians(abs({0})))))"
-_CL = _PT + f""", q AS (SELECT user_id AS id, s, lon % 40 AS lon, 40 + lat / 4 AS lat FROM p),
+_CL = _PT + f""", q AS (SELECT user_id AS id, s, lon, 40 + lat / 4 AS lat FROM p),
     n AS (SELECT DISTINCT a.id AS a, b.id AS b, a.s, a.lat, a.lon FROM q a JOIN q b ON a.id <> b.id AND abs(a.s - b.s) <= 129600 AND {_HAV.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} / {_ROSS.format('((a.lat + b.lat) / 2)')} <= 1),
     g AS (SELECT a, b, count(*) AS n, min(s) AS s0, max(s) AS s1, arg_min(lat, s) AS la0, arg_min(lon, s) AS lo0, arg_max(lat, s) AS la1, arg_max(lon, s) AS lo1 FROM n GROUP BY a, b HAVING count(*) >= 2),
     o AS (SELECT a, b, {_HAV.format('la0', 'lo0', 'la1', 'lo1')} / {_ROSS.format('((la0 + la1) / 2)')} AS way, (s1 - s0) / 3600 AS tm FROM g),

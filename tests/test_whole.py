@@ -57,11 +57,11 @@ def test_all_events_are_tracked(spark):
 
 
 def test_all_cyclones_are_linked(spark, tmp_path):
-    rows = [(60 * u + k, 1704067200 + 3600 * (6 * k + u), u, float(10 * (k % 3))) for u in (1, 2, 41, 46, 97) for k in range(30)]
+    rows = [(60 * u + k, 1704067200 + 3600 * (6 * k + u), u, float(10 * (k % 3))) for u in (1, 2, 41, 53, 104) for k in range(30)]
     frame = spark.createDataFrame(rows, "event_id long, s long, user_id long, value double")
     frame.selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "'x' AS event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
     event, s, user, value = map(np.array, zip(*rows, strict=True))
-    lon, lat = (user * 7.0 + s / 86400) % 360 % 40, 40 + (user % 60 + value / 100) / 4
+    lon, lat = (user * 7.0 + s / 86400) % 360, 40 + (user % 60 + value / 100) / 4
     radius = lambda x: 0.13 / (2 * 7.29e-5 * np.sin(np.radians(np.abs(x))))
     near = collections.defaultdict(set)
     for k in range(len(rows)):
