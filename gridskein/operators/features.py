@@ -489,6 +489,22 @@ def dist_from_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
     return mask.select("t", "j", "i").groupBy("t").applyInPandas(apply, f"{kinds}, distance double")
 
 
+def solve_helmholtz(g: Grid, cube: DataFrame, v: str, coef: float, method: str = "multigrid", tolerance: float = 1e-22) -> DataFrame:
+    """(t, j, i, x): for each slice the solution of x - coef (sum of the four neighbours - 4 x) = v on a doubly periodic grid, by multigrid, cg or bicgstab."""
+    solver = {"multigrid": kernels.multigrid, "cg": kernels.conjugate_gradient, "bicgstab": kernels.bicgstab}[method]
+
+    def operator(x, level: int = 0):
+        near = sum(np.roll(x, s, (0, 1)) for s in kernels.NEAR4)
+        return x - coef / 4**level * (near - 4 * x)
+
+    def kernel(a):
+        out, _ = solver(operator, a[v], tolerance=tolerance)
+        j, i = np.indices(out.shape)
+        return pd.DataFrame({"j": j.ravel().astype("int32"), "i": i.ravel().astype("int32"), "x": out.ravel()})
+
+    return per_slice(g, cube.select("t", "j", "i", v), kernel, "j int, i int, x double")
+
+
 def spectral_truncation(g: Grid, cube: DataFrame, v: str, lats: list[float], degree: int, inverse_laplace: bool = False) -> DataFrame:
     """(t, j, i, v): the field's harmonics up to a degree, or the inverse Laplacian of that."""
     lat = np.asarray(lats, float)

@@ -163,6 +163,19 @@ def _with_gaps(s, d):
 _add("filter_smooth_xy_nan", lambda s, d: rounded(ft.smooth_xy_missing(GRID, _with_gaps(s, d), "u", 2), {"u": 1}))
 _add("contour_to_coordinates", lambda s, d: ft.polygons_to_coordinates(GRID, objects._contours(s, d).filter("closed"), LATS, LONS).select("t", "level", "contour_id", "part", F.size("geometry").alias("n"), "geometry"))
 
+# Solvers: what the operator makes of a field gives the field back.
+
+
+def _applied(s, d):
+    """u - 1.5 (its four neighbours - 4 u), periodic in both directions."""
+    c = cube(s, d).select("t", "j", "i", "u")
+    near = c.select("t", F.explode(F.array(*[F.struct(F.pmod(F.col("j") + b, F.lit(50)).alias("j"), F.pmod(F.col("i") + a, F.lit(64)).alias("i")) for b, a in ((0, 1), (0, -1), (1, 0), (-1, 0))])).alias("c"), "u")
+    return c.join(near.groupBy("t", "c.j", "c.i").agg(F.sum("u").alias("near")), ["t", "j", "i"]).withColumn("b", F.col("u") - 1.5 * (F.col("near") - 4 * F.col("u")))
+
+
+for _method in ("multigrid", "cg", "bicgstab"):
+    _add(f"solve_{_method}", lambda s, d, m=_method: rounded(ft.solve_helmholtz(GRID, _applied(s, d), "b", 1.5, m), {"x": 1e-2}), f"WITH {CUBE_SQL}\n" + rounded_sql({"x": 1e-2}, "(SELECT t, j, i, u AS x FROM s0)"))
+
 # Scales and files.
 
 
