@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Config
 from ..constants import G
-from ..functions.sphere_geometry import dist_sphere
 from ..grid import Grid, ratio
 from . import kernels
 from .derivatives import ddx, ddx2, ddxy, ddy, ddy2, ddz

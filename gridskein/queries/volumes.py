@@ -15,7 +15,7 @@ from ..operators import statistics as st
 from ..operators import tendencies as tn
 from . import objects
 from ._cube import CUBE_SQL, GRID, GRID_Z, LATS, LONS, cube, cube_z, rounded, rounded_sql, stages_sql
-from .fields import D1, DEF, F_SQL, ONQ, Q1, S1, SLOPE
+from .fields import D1, DEF, F_SQL, ONQ, Q1, SLOPE
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
