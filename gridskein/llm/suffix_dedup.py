@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import discard, keyed, materialise
-from ._repeat_kernel import Q, anchors, bucket_at, half_ids, qgram_buckets
+from ._repeat_kernel import Q, anchors, half_ids, qgram_buckets
 
 #: Bytes of text handled at a time (the arrays then fit a processor's cache).
 CHUNK = 1 << 16
