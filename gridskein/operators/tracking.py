@@ -15,7 +15,7 @@ from ..grid import Grid, ratio
 from ..storage import materialise
 from .components import connected_components
 from .derivatives import ddx, ddy, lap2
-from .kernels import distance_km
+from .kernels import distance_km, points_near
 
 
 @dataclass(frozen=True)
@@ -240,22 +240,36 @@ def filter_tracks(info: DataFrame, last_step: int, min_hours: float = 24.0, min_
 def connect_cyclones(points: DataFrame, hours: float = 36.0, distance: float = 1.0, min_distance: float = 1.5, min_hours: float = 48.0) -> DataFrame:
     """(a, b, link): tracks of a hemisphere with points near each other in time and within Rossby radii; link 1: far along, 2: long in time, 3: both.
 
-    ``points`` has id, hemis, ts (timestamp), lat, lon. Points meet by blocks of
-    the time limit and, where none is near the equator, by tiles of the largest
-    radius that any two of them can have, not all with all.
+    ``points`` has id, hemis, ts (timestamp), lat, lon. Tracks meet if they are in
+    the same or a neighbouring block of the time limit and, where no point is near
+    the equator, in neighbouring tiles of the largest radius that two of them can
+    have; then the two tracks' points are compared, so no pairs of points are shuffled.
     """
     width = int(hours * 3600)
     p = points.withColumn("s", F.unix_timestamp("ts")).withColumn("__b", F.floor(F.col("s") / width))
     least, mixed = points.groupBy("hemis").agg(F.min(F.abs("lat")).alias("l"), (F.min("lat") * F.max("lat") < 0).alias("m")).agg(F.min("l"), F.max("m")).first()  # a row for each hemisphere
     km = distance * 0.13 / (2 * 7.29e-5 * math.sin(math.radians(least))) if least and not mixed else math.inf
-    tiled = km < 5000
-    own, around = (tile_of("lon", "lat", km), tiles_near("lon", "lat", km)) if tiled else (F.lit(0), F.array(F.lit(0)))
-    a = p.select("hemis", "__b", own.alias("__k"), F.struct("id", "s", "lat", "lon").alias("a"))
-    b = p.select("hemis", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1)).alias("__b"), around.alias("__ks"), F.struct("id", "s", "lat", "lon").alias("b"))
-    near = a.join(b.withColumn("__k", F.explode("__ks")).drop("__ks"), ["hemis", "__b", "__k"]).filter((F.col("a.id") != F.col("b.id")) & (F.abs(F.col("a.s") - F.col("b.s")) <= width))
-    radii = ratio(haversine("a.lon", "a.lat", "b.lon", "b.lat"), rossby_radius((F.col("a.lat") + F.col("b.lat")) / 2))
-    touched = near.filter(radii <= distance).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.s").alias("s"), F.col("a.lat").alias("lat"), F.col("a.lon").alias("lon")).distinct()
-    ends = touched.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("s", "lat", "lon"), "s").alias("first"), F.max_by(F.struct("s", "lat", "lon"), "s").alias("last"))
+    own, around = (tile_of("lon", "lat", km), tiles_near("lon", "lat", km)) if km < 5000 else (F.lit(0), F.array(F.lit(0)))
+    a = p.select("hemis", "__b", own.alias("__k"), F.col("id").alias("a")).distinct()
+    b = p.select("hemis", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1)).alias("__b"), around.alias("__ks"), F.col("id").alias("b"))
+    b = b.withColumn("__k", F.explode("__ks")).drop("__ks").distinct()
+    pairs = a.join(b, ["hemis", "__b", "__k"]).filter("a <> b").select("hemis", "a", "b").distinct()
+    tracks = p.groupBy("hemis", "id").agg(F.sort_array(F.collect_set(F.struct("s", "lat", "lon"))).alias("p"))
+    of = lambda n: tracks.select("hemis", F.col("id").alias(n), *[F.transform("p", lambda x: x[c]).alias(f"{n}_{c}") for c in ("s", "lat", "lon")])  # noqa: B023, E731
+    both = pairs.join(of("a"), ["hemis", "a"]).join(of("b"), ["hemis", "b"]).drop("hemis")
+
+    def touch(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                near = points_near(r.a_s, r.a_lat, r.a_lon, r.b_s, r.b_lat, r.b_lon, width, distance)
+                if len(near):
+                    ends = [{"s": int(r.a_s[k]), "lat": float(r.a_lat[k]), "lon": float(r.a_lon[k])} for k in (near[0], near[-1])]
+                    out.append((r.a, r.b, len(near), *ends))
+            yield pd.DataFrame(out, columns=["a", "b", "n", "first", "last"])
+
+    kind, end = points.schema["id"].dataType.simpleString(), "struct<s:bigint,lat:double,lon:double>"
+    ends = both.mapInPandas(touch, f"a {kind}, b {kind}, n long, first {end}, last {end}")
     way = ratio(haversine("first.lon", "first.lat", "last.lon", "last.lat"), rossby_radius((F.col("first.lat") + F.col("last.lat")) / 2))
     own = ends.filter("n >= 2").select("a", "b", way.alias("way"), ((F.col("last.s") - F.col("first.s")) / 3600).alias("time"))
     both = own.filter("a < b").alias("x").join(own.filter("a > b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("way").alias("way2"), F.col("time").alias("time2")), ["a", "b"])
