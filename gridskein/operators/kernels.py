@@ -527,18 +527,3 @@ def distance_from(lat: np.ndarray, lon: np.ndarray, mask_lat: np.ndarray, mask_l
         m = np.radians(row)
         best = np.maximum(best, np.sin(y) * np.sin(m) + np.cos(y) * np.cos(m) * np.cos(np.radians(apart)))
     return r * np.arccos(np.clip(best, -1, 1))
-
-
-def points_near(s, lat, lon, s2, lat2, lon2, width: float, radii: float) -> np.ndarray:
-    """Places of a track's points (sorted by time) that a point of another one is near: in time, and within so many Rossby radii of their mean latitude."""
-    first, last = np.searchsorted(s2, s - width, "left"), np.searchsorted(s2, s + width, "right")
-    n = last - first
-    at = np.repeat(np.arange(len(s)), n)
-    other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + first[at]
-    a, b = np.radians(lat[at]), np.radians(lat2[other])
-    x, y = np.sin((b - a) / 2), np.sin(np.radians(lon2[other] - lon[at]) / 2)
-    km = 2 * 6371.0 * np.arcsin(np.clip(np.sqrt(x * x + np.cos(a) * np.cos(b) * y * y), -1, 1))
-    turn = 2 * 7.29e-5 * np.sin(np.radians(np.abs((lat[at] + lat2[other]) / 2)))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        close = (turn != 0) & (km / (0.13 / turn) <= radii)
-    return np.unique(at[close])

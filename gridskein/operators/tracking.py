@@ -15,7 +15,9 @@ from ..grid import Grid, ratio
 from ..storage import materialise
 from .components import connected_components
 from .derivatives import ddx, ddy, lap2
-from .kernels import distance_km, points_near
+from .kernels import distance_km
+from .ranks import ranked
+from .segments import in_segments
 
 
 @dataclass(frozen=True)
@@ -132,66 +134,57 @@ def polar_latlon(x, y, hemis: str, radius: float = 6.37e6):
     return sign * np.degrees(np.pi / 2 - 2 * np.arctan2(np.hypot(x, y), 2 * radius)), np.degrees(np.arctan2(y, x)) % 360
 
 
-class Tracker:
-    """Continues tracks of one hemisphere step by step; its state is the last step's lows and the next number."""
+#: Lows of a step that can be told apart in the key of a track.
+_BORN = 1 << 20
+TRACK_SCHEMA = "track_id long, hemis string, t long, lat double, lon double, msl double, lap double, prominence double, closed boolean, x_filter array<double>, px_filter array<double>, y_filter array<double>, py_filter array<double>, place int"
 
-    def __init__(self, hemis: str, config: TrackConfig = TRACKING, first: int = 0):
-        self.hemis, self.config, self.next, self.last, self.step = hemis, config, first, [], None
 
-    def advance(self, step: int, lows: list[dict]) -> list[dict]:
-        """Lows of a step with track and filter states; steps that follow each other may be linked."""
-        c = self.config
-        before = self.last if self.step is not None and step == self.step + 1 else []
-        pairs = []
-        for m, low in enumerate(lows):
-            low["x"], low["y"] = map(float, polar_xy(low["lat"], low["lon"], self.hemis))
-            for n, old in enumerate(before):
-                px, py = old["fx"][0] + old["fx"][1] * c.step_seconds, old["fy"][0] + old["fy"][1] * c.step_seconds
-                lat, lon = polar_latlon(px, py, self.hemis)
-                d = 1000 * float(distance_km(lat, lon, low["lat"], low["lon"]))
-                if d < c.track_distance:
-                    pairs.append((math.hypot(d, (low["msl"] - old["msl"]) / c.dp_per_dist), n, m))
-        nearest_old, nearest_new = {}, {}
-        for d, n, m in sorted(pairs):
-            nearest_old.setdefault(n, m)
-            nearest_new.setdefault(m, n)
-        for m, low in enumerate(lows):
-            n = nearest_new.get(m)
-            if n is not None and nearest_old[n] == m:
-                old = before[n]
-                low["track_id"] = old["track_id"]
-                states = {a: (old[f"f{a}"], old[f"p{a}"]) for a in "xy"}
-            else:
-                low["track_id"], self.next = self.next, self.next + 1
-                states = {a: (np.array([low[a], 0.0]), np.diag(c.first_variance)) for a in "xy"}
-            for a in "xy":
-                low[f"f{a}"], low[f"p{a}"] = kalman_step(*states[a], low[a], c)
-        self.last, self.step = lows, step
-        return lows
-
-
-TRACK_SCHEMA = "track_id long, hemis string, t long, lat double, lon double, msl double, lap double, prominence double, closed boolean, x_filter array<double>, px_filter array<double>, y_filter array<double>, py_filter array<double>"
-
-
-def _track_rows(hemis: str, t: int, lows: list[dict]) -> list[tuple]:
-    return [(low["track_id"], hemis, t, low["lat"], low["lon"], low["msl"], low["lap"], low["prominence"], low["kind"] == "closed", low["fx"].tolist(), low["px"].ravel().tolist(), low["fy"].tolist(), low["py"].ravel().tolist()) for low in lows]
+def link_lows(hemis: str, t: int, lows: list[dict], before: list[dict], config: TrackConfig = TRACKING) -> list[dict]:
+    """The lows of a step in rows of TRACK_SCHEMA, linked to those of the step ``before``.
 
-
-def track_cyclones(lows: DataFrame, config: TrackConfig = TRACKING) -> DataFrame:
-    """Tracks of located lows: linking goes through time, so each hemisphere is one group that is read in order.
-
-    What a group holds is its table of lows (a few dozen a step), not the fields;
-    ``streaming`` has the form that keeps no more than the last step.
+    A low and a track that are each other's nearest (by place and pressure, from
+    where the filter expects the track) belong together; other lows begin tracks,
+    whose id is the step and the low's place in it.
     """
-    names = [n.split()[0] for n in TRACK_SCHEMA.split(", ")]
-
-    def apply(key, rows):
-        tracker, out = Tracker(key[0], config), []
-        for t, part in rows.sort_values(["t", "j", "i"]).groupby("t"):
-            out += _track_rows(key[0], int(t), tracker.advance(int(t), part[["kind", "lat", "lon", "msl", "lap", "prominence"]].to_dict("records")))
-        return pd.DataFrame(out, columns=names)
-
-    return lows.groupBy("hemis").applyInPandas(apply, TRACK_SCHEMA)
+    c, pairs = config, []
+    xy = [tuple(map(float, polar_xy(low["lat"], low["lon"], hemis))) for low in lows]
+    for n, old in enumerate(before):
+        px, py = (old[f"{a}_filter"][0] + old[f"{a}_filter"][1] * c.step_seconds for a in "xy")
+        lat, lon = polar_latlon(px, py, hemis)
+        for m, low in enumerate(lows):
+            d = 1000 * float(distance_km(lat, lon, low["lat"], low["lon"]))
+            if d < c.track_distance:
+                pairs.append((math.hypot(d, (low["msl"] - old["msl"]) / c.dp_per_dist), n, m))
+    nearest_old, nearest_new = {}, {}
+    for _, n, m in sorted(pairs):
+        nearest_old.setdefault(n, m)
+        nearest_new.setdefault(m, n)
+    out = []
+    for m, low in enumerate(lows):
+        n = nearest_new.get(m)
+        old = before[n] if n is not None and nearest_old[n] == m else None
+        row = {"track_id": old["track_id"] if old else t * _BORN + m, "hemis": hemis, "t": t, "closed": low["kind"] == "closed", "place": m}
+        row |= {k: low[k] for k in ("lat", "lon", "msl", "lap", "prominence")}
+        for a, z in zip("xy", xy[m], strict=True):
+            start = (np.array(old[f"{a}_filter"]), np.array(old[f"p{a}_filter"]).reshape(2, 2)) if old else (np.array([z, 0.0]), np.diag(c.first_variance))
+            x, p = kalman_step(*start, z, c)
+            row |= {f"{a}_filter": x.tolist(), f"p{a}_filter": p.ravel().tolist()}
+        out.append(row)
+    return out
+
+
+def track_cyclones(lows: DataFrame, config: TrackConfig = TRACKING, segment: int = 64) -> DataFrame:
+    """Tracks of located lows, in rows of TRACK_SCHEMA; tracks of a hemisphere are numbered in order of their first lows.
+
+    Linking goes through time.  Segments of ``segment`` steps are linked side by
+    side and again from the seams until they agree (``in_segments``), so tasks grow
+    in number with the time, not in size; the result is that of one run.
+    """
+    sorted_before = lambda rows: sorted(rows, key=lambda r: r["place"])
+    linked = in_segments(lows, "hemis", "t", segment, lambda hemis, t, part, old: link_lows(hemis, t, part, sorted_before(old), config), TRACK_SCHEMA, ("j", "i"))
+    born = linked.filter((F.col("t") == F.floor(F.col("track_id") / _BORN)) & (F.col("place") == F.pmod("track_id", F.lit(_BORN)))).select("hemis", "track_id")
+    numbers = ranked(born, "track_id", within=("hemis",), name="number")
+    return linked.join(numbers, ["hemis", "track_id"]).withColumn("track_id", F.col("number")).select(*[c.split()[0] for c in TRACK_SCHEMA.split(", ")])
 
 
 def smooth_tracks(tracks: DataFrame, config: TrackConfig = TRACKING) -> DataFrame:
@@ -237,44 +230,64 @@ def filter_tracks(info: DataFrame, last_step: int, min_hours: float = 24.0, min_
     return info.withColumns({"keep": good, "unfinished": F.col("date_lysis") == last_step})
 
 
+#: Degrees of latitude of a band in which tracks meet.
+_BAND = 10
+
+
+def _meeting_bands(spark, distance: float) -> DataFrame:
+    """(la, lb, n): bands of latitude that points near each other can lie in, and into how many tiles of longitude the pair of bands is cut.
+
+    The radius of two points depends on their mean latitude alone, so a pair of
+    bands bounds it; only bands on either side of the equator, at the same
+    distance, have no bound and aren't cut.  324 pairs at most, of any data.
+    """
+    rows, per_degree = [], 6371.0 * math.pi / 180
+    edges = [(k * _BAND - 90, (k + 1) * _BAND - 90) for k in range(180 // _BAND)]
+    for la, (a0, a1) in enumerate(edges):
+        for lb, (b0, b1) in enumerate(edges):
+            lo, hi = (a0 + b0) / 2, (a1 + b1) / 2
+            mean = max(0.0, lo, -hi)
+            km = distance * 0.13 / (2 * 7.29e-5 * math.sin(math.radians(mean))) if mean else math.inf
+            if km * (1 + 1e-9) < max(0, b0 - a1, a0 - b1) * per_degree:
+                continue
+            least = math.sqrt(math.prod(math.cos(math.radians(max(abs(x), abs(y)))) for x, y in (edges[la], edges[lb])))
+            chord = math.sin(min(math.pi, km / 6371.0) / 2)
+            reach = 360.0 if km >= 6371.0 * math.pi or chord >= least else math.degrees(2 * math.asin(chord / least))
+            rows.append((la, lb, max(1, int(360 / (reach * (1 + 1e-9))))))
+    return spark.createDataFrame(rows, "la int, lb int, n int")
+
+
 def connect_cyclones(points: DataFrame, hours: float = 36.0, distance: float = 1.0, min_distance: float = 1.5, min_hours: float = 48.0) -> DataFrame:
     """(a, b, link): tracks of a hemisphere with points near each other in time and within Rossby radii; link 1: far along, 2: long in time, 3: both.
 
-    ``points`` has id, hemis, ts (timestamp), lat, lon. Tracks meet if they are in
-    the same or a neighbouring block of the time limit and, where no point is near
-    the equator, in neighbouring tiles of the largest radius that two of them can
-    have; then the two tracks' points are compared, so no pairs of points are shuffled.
+    ``points`` has id, hemis, ts (timestamp), lat, lon. Points meet by blocks of the
+    time limit and by tiles of the largest radius that two points of their bands of
+    latitude can have. Of all points of a track near another one only the first and
+    the last are kept, in partial sums before the shuffle. Rows without a time, a
+    place or an id meet none; tracks that meet at one point only have no link.
     """
     width = int(hours * 3600)
-    p = points.withColumn("s", F.unix_timestamp("ts")).withColumn("__b", F.floor(F.col("s") / width))
-    least, mixed = points.groupBy("hemis").agg(F.min(F.abs("lat")).alias("l"), (F.min("lat") * F.max("lat") < 0).alias("m")).agg(F.min("l"), F.max("m")).first()  # a row for each hemisphere
-    km = distance * 0.13 / (2 * 7.29e-5 * math.sin(math.radians(least))) if least and not mixed else math.inf
-    own, around = (tile_of("lon", "lat", km), tiles_near("lon", "lat", km)) if km < 5000 else (F.lit(0), F.array(F.lit(0)))
-    a = p.select("hemis", "__b", own.alias("__k"), F.col("id").alias("a")).distinct()
-    b = p.select("hemis", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1)).alias("__b"), around.alias("__ks"), F.col("id").alias("b"))
-    b = b.withColumn("__k", F.explode("__ks")).drop("__ks").distinct()
-    pairs = a.join(b, ["hemis", "__b", "__k"]).filter("a <> b").select("hemis", "a", "b").distinct()
-    tracks = p.groupBy("hemis", "id").agg(F.sort_array(F.collect_set(F.struct("s", "lat", "lon"))).alias("p"))
-    of = lambda n: tracks.select("hemis", F.col("id").alias(n), *[F.transform("p", lambda x: x[c]).alias(f"{n}_{c}") for c in ("s", "lat", "lon")])  # noqa: B023, E731
-    both = pairs.join(of("a"), ["hemis", "a"]).join(of("b"), ["hemis", "b"]).drop("hemis")
-
-    def touch(batches):
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                near = points_near(r.a_s, r.a_lat, r.a_lon, r.b_s, r.b_lat, r.b_lon, width, distance)
-                if len(near):
-                    ends = [{"s": int(r.a_s[k]), "lat": float(r.a_lat[k]), "lon": float(r.a_lon[k])} for k in (near[0], near[-1])]
-                    out.append((r.a, r.b, len(near), *ends))
-            yield pd.DataFrame(out, columns=["a", "b", "n", "first", "last"])
-
-    kind, end = points.schema["id"].dataType.simpleString(), "struct<s:bigint,lat:double,lon:double>"
-    ends = both.mapInPandas(touch, f"a {kind}, b {kind}, n long, first {end}, last {end}")
-    way = ratio(haversine("first.lon", "first.lat", "last.lon", "last.lat"), rossby_radius((F.col("first.lat") + F.col("last.lat")) / 2))
-    own = ends.filter("n >= 2").select("a", "b", way.alias("way"), ((F.col("last.s") - F.col("first.s")) / 3600).alias("time"))
-    both = own.filter("a < b").alias("x").join(own.filter("a > b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("way").alias("way2"), F.col("time").alias("time2")), ["a", "b"])
-    link = F.when((F.col("way") + F.col("way2")) / 2 >= min_distance, 1).otherwise(0) + F.when((F.col("time") + F.col("time2")) / 2 >= min_hours, 2).otherwise(0)
-    return both.select("a", "b", link.alias("link")).filter("link > 0")
+    p = points.select("hemis", "id", F.unix_timestamp("ts").alias("s"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).dropna().distinct()
+    p = p.withColumn("k", F.row_number().over(Window.partitionBy("hemis", "id").orderBy("s", "lat", "lon")))
+    p = materialise(p.withColumns({"block": F.floor(F.col("s") / width), "band": F.least(F.floor((F.col("lat") + 90) / _BAND), F.lit(180 // _BAND - 1)).cast("int")}), "points")
+    bands = F.broadcast(_meeting_bands(points.sparkSession, distance))
+    at = F.floor(F.pmod("lon", F.lit(360.0)) / 360 * F.col("n")).cast("int")
+    meet = ["hemis", "block", "la", "lb", "tile"]
+    of = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("s", "lat", "lon")]
+    a = p.join(bands, p["band"] == bands["la"]).select("hemis", "block", "la", "lb", at.alias("tile"), F.col("id").alias("a"), "k", *of("a"))
+    around = F.array_distinct(F.array(*[F.pmod(at + d, F.col("n")) for d in (-1, 0, 1)]))
+    b = p.join(bands, p["band"] == bands["lb"]).select("hemis", F.explode(F.array(*[F.col("block") + d for d in (-1, 0, 1)])).alias("block"), "la", "lb", around.alias("tiles"), F.col("id").alias("b"), F.col("k").alias("m"), *of("b"))
+    b = b.withColumn("tile", F.explode("tiles")).drop("tiles")
+    mean = (F.col("lat_a") + F.col("lat_b")) / 2
+    close = (F.col("a") < F.col("b")) & (F.abs(F.col("s_a") - F.col("s_b")) <= width) & (ratio(haversine("lon_a", "lat_a", "lon_b", "lat_b"), rossby_radius(mean)) <= distance)
+    ends = a.join(b, meet).filter(close).groupBy("hemis", "a", "b").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("m").alias("m0"), F.max("m").alias("m1")).filter("k0 < k1 AND m0 < m1")
+    ends = ends.select("hemis", F.col("a").alias("x"), F.col("b").alias("y"), F.explode(F.array(F.struct(F.col("a"), F.col("k0").alias("first"), F.col("k1").alias("last")), F.struct(F.col("b").alias("a"), F.col("m0").alias("first"), F.col("m1").alias("last")))).alias("e")).select("hemis", "x", "y", "e.*")
+    place = lambda n: p.select("hemis", F.col("id").alias("a"), F.col("k").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("s", "lat", "lon")])
+    ends = ends.join(place("first"), ["hemis", "a", "first"]).join(place("last"), ["hemis", "a", "last"])
+    way = ratio(haversine("first_lon", "first_lat", "last_lon", "last_lat"), rossby_radius((F.col("first_lat") + F.col("last_lat")) / 2))
+    both = ends.groupBy("hemis", "x", "y").agg(F.when(F.count(way) == 2, F.sum(way) / 2).alias("way"), (F.sum((F.col("last_s") - F.col("first_s")) / 3600) / 2).alias("time"))
+    link = F.when(F.col("way") >= min_distance, 1).otherwise(0) + F.when(F.col("time") >= min_hours, 2).otherwise(0)
+    return both.select(F.col("x").alias("a"), F.col("y").alias("b"), link.alias("link")).filter("link > 0")
 
 
 def cyclone_clusters(points: DataFrame, links: DataFrame, kinds: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -322,51 +335,36 @@ def track_events(events: DataFrame, cells: DataFrame | None = None, hours: float
     return joined.join(dense, "root").select("event", "date", "label")
 
 
-def block_by_grad_rev(g: Grid, indicator: DataFrame, v: str = "block", band: tuple[float, float] = (30.0, 70.0), local: tuple[float, float] = (27.0, 36.0), total: tuple[float, float] = (40.0, 54.0), min_steps: int = 21) -> DataFrame:
+def _continue_blocks(t: int, peaks: list[dict], before: list[dict], local: tuple[float, float], total: tuple[float, float]) -> list[dict]:
+    """The maxima of a step as blocks: each continues the nearest of the step before that is near enough, or begins one."""
+    apart = lambda a, b: abs((a - b + 180) % 360 - 180)
+    out = []
+    for r in peaks:
+        fits = [
+            (math.hypot(r["lat"] - b["lat"], apart(r["lon"], b["lon"])), b["block"], b["j"], b["i"], k)
+            for k, b in enumerate(before)
+            if abs(r["lat"] - b["lat"]) <= local[0] and apart(r["lon"], b["lon"]) <= local[1] and abs(r["lat"] - b["lat0"]) <= total[0] and apart(r["lon"], b["lon0"]) <= total[1]
+        ]
+        onset = before[min(fits)[-1]] if fits else {"block": r["id"], "lat0": r["lat"], "lon0": r["lon"]}
+        out.append({"all": "all", "block": onset["block"], "t": t, "j": r["j"], "i": r["i"], "lat": r["lat"], "lon": r["lon"], "lat0": onset["lat0"], "lon0": onset["lon0"]})
+    return out
+
+
+def block_by_grad_rev(g: Grid, indicator: DataFrame, v: str = "block", band: tuple[float, float] = (30.0, 70.0), local: tuple[float, float] = (27.0, 36.0), total: tuple[float, float] = (40.0, 54.0), min_steps: int = 21, segment: int = 64) -> DataFrame:
     """(block, t, j, i, lat, lon): local maxima of a blocking indicator, linked in time and long enough.
 
     A maximum continues the nearest block of the step before that moved no more
     than ``local`` (degrees of latitude and longitude) since, and ``total`` since its
-    onset, whose cell numbers the block.  Maxima that such steps can connect at all
-    are one task's work; others don't matter to each other.
+    onset, whose cell numbers the block.  Segments of time are linked side by side
+    (``in_segments``).
     """
     near = g.neighbours(indicator, v)
     sides = [F.coalesce(F.col(f"{v}_{d}"), F.lit(float("-inf"))) for d in ("e", "w", "n", "s", "ne", "nw", "se", "sw")]
     peaks = near.filter((F.col(v) > 0) & (F.col(v) >= F.greatest(*sides)) & (F.col("lat") > band[0]) & (F.col("lat") < band[1])).select("t", "j", "i", "lat", "lon")
     peaks = materialise(peaks.withColumn("id", (F.col("t").cast("long") * g.ny + F.col("j")) * g.nx + F.col("i")), "peaks")
-    # Pairs of one step: by tiles of the way that a block may go.
-    around = max(1, int(360 // local[1]))
-    tile = lambda c: F.floor(F.pmod("lon", F.lit(360.0)) / (360.0 / around)) + c
-    band_of = F.floor(F.col("lat") / local[0])
-    first = peaks.select("t", band_of.alias("y"), F.pmod(tile(0), F.lit(around)).alias("x"), F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    tiles = F.array_distinct(F.array(*[F.struct((band_of + b).alias("y"), F.pmod(tile(c), F.lit(around)).alias("x")) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
-    second = peaks.select((F.col("t") - 1).alias("t"), F.explode(tiles).alias("k"), F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).select("t", "k.*", "b", "lat2", "lon2")
-    turned = F.abs(F.pmod(F.col("lon1") - F.col("lon2") + 180, F.lit(360.0)) - 180)
-    links = first.join(second, ["t", "y", "x"]).filter((F.abs(F.col("lat1") - F.col("lat2")) <= local[0]) & (turned <= local[1]))
-    roots = connected_components(links.select("a", "b"))
-    grouped = peaks.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    def apply(rows):
-        out, active = [], []
-        apart = lambda a, b: abs((a - b + 180) % 360 - 180)
-        last = None
-        for t, part in rows.sort_values(["t", "j", "i"]).groupby("t"):
-            if last is not None and t != last + 1:
-                active = []
-            now = []
-            for r in part.itertuples():
-                fits = [(math.hypot(r.lat - b["lat"], apart(r.lon, b["lon"])), b["id"], b) for b in active if abs(r.lat - b["lat"]) <= local[0] and apart(r.lon, b["lon"]) <= local[1] and abs(r.lat - b["lat0"]) <= total[0] and apart(r.lon, b["lon0"]) <= total[1]]
-                if fits:
-                    b = min(fits, key=lambda f: f[:2])[2]
-                    new = {**b, "lat": r.lat, "lon": r.lon}
-                else:
-                    new = {"id": r.id, "lat": r.lat, "lon": r.lon, "lat0": r.lat, "lon0": r.lon}
-                now.append(new)
-                out.append((new["id"], t, r.j, r.i, r.lat, r.lon))
-            active, last = now, t
-        return pd.DataFrame(out, columns=["block", "t", "j", "i", "lat", "lon"])
-
-    kind = peaks.schema["t"].dataType.simpleString()
-    linked = grouped.groupBy("root").applyInPandas(apply, f"block long, t {kind}, j int, i int, lat double, lon double")
+    rows = peaks.withColumn("all", F.lit("all"))
+    schema = "all string, block long, t long, j int, i int, lat double, lon double, lat0 double, lon0 double"
+    linked = in_segments(rows, "all", "t", segment, lambda _, t, part, before: _continue_blocks(t, part, before, local, total), schema, ("j", "i"))
+    linked = materialise(linked.withColumn("t", F.col("t").cast(peaks.schema["t"].dataType)), "blocks")
     steps = linked.groupBy("block").agg(F.countDistinct("t").alias("n")).filter(F.col("n") >= min_steps)
     return linked.join(steps.select("block"), "block", "left_semi").select("block", "t", "j", "i", "lat", "lon")

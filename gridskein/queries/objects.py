@@ -15,8 +15,8 @@ from ..operators import features as ft
 from ..operators import tracking as tk
 from ..operators import wave_breaking as wb
 from ..operators.filters import smooth_xy
-from ..storage import materialise, shared_dir
-from ..streaming import session_aggregate, track_stream, windowed_aggregate
+from ..storage import materialise, shared_dir, setting
+from ..streaming import ROCKSDB, session_aggregate, track_stream, windowed_aggregate
 from ._cube import CUBE_SQL, GRID, GRID_Z, LATS, LONS, cube, cube_z, rounded, rounded_sql, stages_sql, table
 from .series import _events
 
@@ -300,7 +300,9 @@ def _stream_tracks(s, d):
     lows = tk.locate_cyclones(GRID, _smooth(s, d), "msl", "oro", _LOOSE)
     path = f"{shared_dir(s)}/gridskein/lows-{uuid.uuid4().hex}"
     materialise(lows, "lows").write.parquet(path)
-    return _run(track_stream(s.readStream.schema(lows.schema).parquet(path), _LOOSE)).select("track_id", "hemis", "t", "lat", "lon", "closed")
+    with setting(s, *ROCKSDB):
+        tracks = _run(track_stream(s.readStream.schema(lows.schema).parquet(path), _LOOSE))
+    return tracks.select("track_id", "hemis", "t", "lat", "lon", "closed")
 
 
 _add("stream_track_cyclones", _stream_tracks)

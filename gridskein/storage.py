@@ -31,7 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session that holds inside the block."""
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
@@ -47,7 +48,7 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridskein/{what}-{uuid.uuid4().hex}"
-    with _setting(spark, _CLEANUP, "true"):
+    with setting(spark, _CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._gridskein_path = path
