@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..operators import features as ft
 from ..operators import filters as fl
 from ..operators import statistics as st
 from ..operators import tendencies as tn
+from ..storage import shared_dir
 from . import objects
 from ._cube import CUBE_SQL, GRID, GRID_Z, LATS, LONS, cube, cube_z, rounded, rounded_sql, stages_sql
 from .fields import D1, DEF, F_SQL, ONQ, Q1, SLOPE
@@ -198,3 +200,29 @@ def _files(s, d):
 
 _add("src_netcdf_files", _files, f"""WITH {CUBE_SQL}, p AS (SELECT t, j, i, 'u' AS variable, round_even((u - 1) / 0.001::DOUBLE, 0) * 0.001::DOUBLE + 1 AS x FROM s0 UNION ALL SELECT t, j, i, 'v', v FROM s0)
     SELECT CAST(t AS VARCHAR) AS file, variable, count(*) AS n, round(sum(x * (j + 1) * (i + 1)) / 1000, 2) AS total FROM p GROUP BY ALL""")
+
+
+def _stored(s, d):
+    """The cube written to netCDF files by the data source, a file for each time; the folder."""
+    sources.register_netcdf(s)
+    path = f"{shared_dir(s)}/gridskein/netcdf-{uuid.uuid4().hex}"
+    sources.netcdf_files(GRID, cube(s, d), ["u", "v"], LATS, LONS, {"u": (0.001, 1.0)}).write.format("netcdf").mode("append").save(path)
+    return path
+
+
+def _from_source(s, d):
+    rows = s.read.format("netcdf").load(_stored(s, d)).filter("variable = 'u'")
+    t = F.regexp_extract("file", r"(\d+)\.nc$", 1).cast("int").alias("t")
+    return rows.groupBy(t).agg(F.count("value").alias("n"), F.round(F.sum(F.col("value") * (F.col("j") + 1) * (F.col("i") + 1)) / 1000, 2).alias("total"))
+
+
+def _by_latitude(s, d):
+    """Means of a variable by the coordinate that the files themselves give."""
+    path = _stored(s, d)
+    lat = s.read.format("netcdf").option("axes", "true").load(path).filter("variable = 'latitude'").select("file", F.col("n").cast("int").alias("j"), F.col("value").alias("lat"))
+    rows = s.read.format("netcdf").load(path).filter("variable = 'v'").join(lat, ["file", "j"])
+    return rows.groupBy("lat").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+_add("src_netcdf_source", _from_source, f"""WITH {CUBE_SQL} SELECT t, count(*) AS n, round(sum((round_even((u - 1) / 0.001::DOUBLE, 0) * 0.001::DOUBLE + 1) * (j + 1) * (i + 1)) / 1000, 2) AS total FROM s0 GROUP BY t""")
+_add("src_netcdf_axes", _by_latitude, f"""WITH {CUBE_SQL} SELECT lat, count(*) AS n, round(avg(v), 6) AS mean FROM s0 GROUP BY lat""")

@@ -40,9 +40,19 @@ class Variable:
 
 
 class ClassicFile:
-    """Header of a file's content; ``values`` yields arrays."""
+    """Header of a file's content; ``values`` yields arrays.
 
-    def __init__(self, content: bytes):
+    ``size`` is that of the file where ``content`` is only its beginning; a header
+    that isn't all there is an EOFError.
+    """
+
+    def __init__(self, content: bytes, size: int | None = None):
+        try:
+            self._parse(content, len(content) if size is None else size)
+        except struct.error as error:
+            raise EOFError("the header is longer than what was read") from error
+
+    def _parse(self, content: bytes, size_of_file: int) -> None:
         if content[:3] != b"CDF" or content[3:4] not in (b"\x01", b"\x02", b"\x05"):
             kind = "netCDF-4 (HDF5)" if content[:4] == b"\x89HDF" else "unknown"
             raise ValueError(f"not a classic netCDF file but {kind}; convert it with a netCDF tool, or to Parquet or .npz")
@@ -66,8 +76,8 @@ class ClassicFile:
         growing = [n for n, v in self.variables.items() if v.grows]
         self.stride = sizes[growing[0]] if len(growing) == 1 else sum(-(-sizes[n] // 4) * 4 for n in growing)
         if self.records < 0:  # a stream: as many as the file holds
-            first = min((self.variables[n].begin for n in growing), default=len(content))
-            self.records = (len(content) - first) // self.stride if self.stride else 0
+            first = min((self.variables[n].begin for n in growing), default=size_of_file)
+            self.records = (size_of_file - first) // self.stride if self.stride else 0
 
     def _number(self, code: str) -> int:
         value = struct.unpack_from(code, self.content, self.at)[0]
@@ -80,6 +90,8 @@ class ClassicFile:
 
     def _bytes(self, size: int) -> bytes:
         value = self.content[self.at : self.at + size]
+        if len(value) < size:
+            raise EOFError("the header is longer than what was read")
         self.at += -(-size // 4) * 4
         return value
 
@@ -105,13 +117,17 @@ class ClassicFile:
 
     def unpacked(self, name: str) -> Iterator[tuple[int, np.ndarray]]:
         """As ``values``, as doubles: scaled, shifted, NaN where they are missing."""
-        a = self.variables[name].attributes
-        number = lambda key, default: float(np.asarray(a.get(key, default)).ravel()[0])
-        gone = [x for key in ("_FillValue", "missing_value") if key in a and not isinstance(a[key], str) for x in np.ravel(a[key]).tolist()]
         for k, raw in self.values(name):
-            out = raw.astype(float) * number("scale_factor", 1.0) + number("add_offset", 0.0)
-            out[np.isin(raw, gone)] = np.nan
-            yield k, out
+            yield k, unpacked(raw, self.variables[name].attributes)
+
+
+def unpacked(raw: np.ndarray, attributes: dict) -> np.ndarray:
+    """Stored values as doubles: scaled and shifted as the variable's attributes say, NaN where they are missing."""
+    number = lambda key, default: float(np.asarray(attributes.get(key, default)).ravel()[0])
+    gone = [x for key in ("_FillValue", "missing_value") if key in attributes and not isinstance(attributes[key], str) for x in np.ravel(attributes[key]).tolist()]
+    out = raw.astype(float) * number("scale_factor", 1.0) + number("add_offset", 0.0)
+    out[np.isin(raw, gone)] = np.nan
+    return out
 
 
 def _field(name: str) -> bytes:
