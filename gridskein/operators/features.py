@@ -10,12 +10,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Config
 from ..constants import G
 from ..grid import Grid, ratio
+from ..storage import materialise
 from . import kernels
 from .derivatives import ddx, ddx2, ddxy, ddy, ddy2, ddz
 from .filters import filter_xy, gauss_weights, smooth_xy
@@ -361,19 +362,47 @@ def calculate_streamers(g: Grid, contours: DataFrame, lats: list[float], dlon: f
     return _widest(contours).mapInPandas(lambda batches: map(kernel, batches), schema)
 
 
+def _between(low: Column, high: Column) -> Column:
+    """The whole numbers from ``low`` to ``high``, one row each; none if there are none."""
+    first, last = F.ceil(low).cast("int"), F.floor(high).cast("int")
+    return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
+
+
+def polygon_edges(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x1, y1, x2, y2): the edges of polygons (geometry: array of x, y), the one that closes it included; null and empty ones have none."""
+    n = F.size("geometry")
+    before = F.concat(F.slice("geometry", n, F.lit(1)), F.slice("geometry", F.lit(1), n - 1))
+    edge = F.explode(F.arrays_zip(before.alias("p"), F.col("geometry").alias("q"))).alias("e")
+    return polygons.filter(n > 0).select(*keys, edge).select(*keys, F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2"))
+
+
 def rasterize(g: Grid, events: DataFrame, radius: float = 0.5) -> DataFrame:
-    """(t, event, j, i): cells in the polygons of events (t, event, geometry in cell indices), grown by ``radius``."""
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in rows.itertuples():
-            x, y = np.array([p["x"] for p in r.geometry]), np.array([p["y"] for p in r.geometry])
-            ci, cj = np.meshgrid(np.arange(int(x.min()) - 1, int(x.max()) + 2), np.arange(max(0, int(y.min()) - 1), min(g.ny, int(y.max()) + 2)))
-            hit = kernels.near_polygon(ci, cj, x, y, radius)
-            out += [(r.t, r.event, j, i) for j, i in sorted({(int(j), int(i) % g.nx) for j, i in zip(cj[hit], ci[hit], strict=True)})]
-        return pd.DataFrame(out, columns=["t", "event", "j", "i"])
+    """(t, event, j, i): cells in the polygons of events (t, event, geometry in cell indices), or nearer than ``radius`` to an edge.
 
-    kind = events.schema["t"].dataType.simpleString()
-    return events.select("t", "event", "geometry").mapInPandas(lambda batches: map(kernel, batches), f"t {kind}, event long, j int, i int")
+    Each edge meets the rows of cells that it passes; its crossings with them,
+    sorted along a row, bound what lies inside.  Cells near an edge are looked for
+    where the edge passes a row, so both grow with the edges' lengths and the
+    cells found.  Columns past the last meridian go round; rows outside the grid
+    have none.  Parts of one event may overlap; each cell comes once.
+    """
+    edges = materialise(polygon_edges(events, ["t", "event"]), "edges")
+    clipped = lambda low, high: _between(F.greatest(low, F.lit(0.0)), F.least(high, F.lit(g.ny - 1.0)))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.filter("y1 <> y2").select("*", clipped(low, F.ceil(high) - 1.0).alias("j"))
+    crossings = rows.select("t", "event", "j", ((F.col("x1") - F.col("x2")) * (F.col("j") - F.col("y2")) / (F.col("y1") - F.col("y2")) + F.col("x2")).alias("x"))
+    along = Window.partitionBy("t", "event", "j").orderBy("x")
+    spans = crossings.select("*", F.row_number().over(along).alias("n"), F.lead("x").over(along).alias("to")).filter("n % 2 = 1")
+    inside = spans.select("t", "event", "j", _between(F.col("x"), F.ceil("to") - 1.0).alias("i"))
+    # The part of an edge within the radius of a row, and the cells as near to that.
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    share = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    rows = edges.select("*", clipped(low - radius, high + radius).alias("j"))
+    at = lambda d: F.col("x1") + F.when(dy == 0, F.lit(0.0 if d < 0 else 1.0)).otherwise(share((F.col("j") + d - F.col("y1")) / F.nullif(dy, F.lit(0.0)))) * dx
+    near = rows.select("*", _between(F.least(at(-radius), at(radius)) - radius, F.greatest(at(-radius), at(radius)) + radius).alias("i"))
+    f = share(((F.col("i") - F.col("x1")) * dx + (F.col("j") - F.col("y1")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-12)))
+    off = F.hypot(F.col("i") - F.col("x1") - f * dx, F.col("j") - F.col("y1") - f * dy)
+    near = near.filter(off < radius).select("t", "event", "j", "i")
+    return inside.unionByName(near).select("t", "event", "j", F.pmod("i", F.lit(g.nx)).alias("i")).distinct()
 
 
 def event_properties(cells: DataFrame, cube: DataFrame, v: str) -> DataFrame:

@@ -265,27 +265,6 @@ def contour_lines(values: np.ndarray, level: float) -> list[np.ndarray]:
     return out
 
 
-def inside_polygon(px, py, x, y) -> np.ndarray:
-    """Are points inside a polygon (even-odd rule)?"""
-    out = np.zeros(np.shape(px), bool)
-    for k in range(len(x)):
-        x0, y0, x1, y1 = x[k - 1], y[k - 1], x[k], y[k]
-        if y0 != y1:
-            crosses = ((y0 > py) != (y1 > py)) & (px < (x1 - x0) * (py - y0) / (y1 - y0) + x0)
-            out ^= crosses
-    return out
-
-
-def near_polygon(px, py, x, y, radius: float) -> np.ndarray:
-    """Are points inside a polygon or nearer to it than ``radius``?"""
-    out = inside_polygon(px, py, x, y)
-    for k in range(len(x)):
-        x0, y0, dx, dy = x[k - 1], y[k - 1], x[k] - x[k - 1], y[k] - y[k - 1]
-        f = np.clip(((px - x0) * dx + (py - y0) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
-        out |= np.hypot(px - x0 - f * dx, py - y0 - f * dy) < radius
-    return out
-
-
 def conjugate_gradient(op, b: np.ndarray, x0: np.ndarray | None = None, steps: int = 100, tolerance: float = 1e-12) -> tuple[np.ndarray, float]:
     """Solution of op(x) = b for a symmetric positive operator, and the squared residual."""
     x = np.zeros_like(b) if x0 is None else x0.copy()

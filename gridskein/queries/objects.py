@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -148,6 +149,27 @@ _add("event_to_grid", lambda s, d: ft.rasterize(GRID, _polygons(s, d)))
 _add("event_properties", lambda s, d: ft.event_properties(ft.rasterize(GRID, _polygons(s, d)), cube(s, d).withColumn("area", F.col("dx") * F.col("dy") / 4e6), "u"))
 
 
+def _stars(s, d):
+    """A polygon of 16 corners for each vector, as far from its middle as the components say."""
+    e = table(s, d, "embeddings").select((F.col("vec_id") / 50).cast("int").alias("t"), F.col("vec_id").alias("event"), "embedding")
+    turn = lambda k: k * (math.pi / 8) + 0.1
+    far = lambda k: 3.0 + 12.0 * F.abs(F.get("embedding", k).cast("double"))
+    corner = lambda k: F.struct((F.col("event") % 64 + far(k) * F.cos(turn(k))).alias("x"), (F.col("event") * 7 % 50 + far(k) * F.sin(turn(k))).alias("y"))
+    return e.select("t", "event", F.transform(F.sequence(F.lit(0), F.lit(15)), corner).alias("geometry"))
+
+
+_STARS = """WITH k AS (SELECT unnest(range(16)) AS k), c AS (SELECT vec_id, vec_id // 50 AS t, k, vec_id % 64 AS cx, vec_id * 7 % 50 AS cy, 3 + 12 * abs(CAST(embedding[k + 1] AS DOUBLE)) AS r, k * (pi() / 8) + 0.1::DOUBLE AS a FROM embeddings, k),
+    q AS (SELECT *, cx + r * cos(a) AS x, cy + r * sin(a) AS y FROM c), e AS (SELECT a.vec_id, a.t, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, b.x - a.x AS dx, b.y - a.y AS dy FROM q a JOIN q b ON a.vec_id = b.vec_id AND b.k = (a.k + 1) % 16),
+    w AS (SELECT vec_id, min(x) AS lo, max(x) AS hi FROM q GROUP BY vec_id), g AS (SELECT vec_id, j, unnest(range(CAST(floor(lo) - 1 AS BIGINT), CAST(ceil(hi) + 2 AS BIGINT))) AS i FROM w, (SELECT unnest(range(50)) AS j)),
+    h AS (SELECT g.vec_id, t, j, i, sum(CASE WHEN (y1 > j) <> (y2 > j) AND i < (x1 - x2) * (j - y2) / (y1 - y2) + x2 THEN 1 ELSE 0 END) % 2 = 1 AS inside,
+          min(sqrt(pow(i - x1 - greatest(0, least(1, ((i - x1) * dx + (j - y1) * dy) / (dx * dx + dy * dy))) * dx, 2) + pow(j - y1 - greatest(0, least(1, ((i - x1) * dx + (j - y1) * dy) / (dx * dx + dy * dy))) * dy, 2))) AS far FROM g JOIN e USING (vec_id) GROUP BY ALL),
+    p AS (SELECT DISTINCT t, vec_id AS event, j, (i % 64 + 64) % 64 AS i FROM h WHERE inside OR far < 0.5)"""
+_add("event_polygon_cells", lambda s, d: ft.rasterize(GRID, _stars(s, d)), _STARS + " SELECT * FROM p")
+_add("event_polygon_properties", lambda s, d: ft.event_properties(ft.rasterize(GRID, _stars(s, d)), cube(s, d).withColumn("area", F.col("dx") * F.col("dy") / 4e6), "u"), f"""
+    WITH x AS ({_STARS} SELECT * FROM p), {CUBE_SQL}, m AS (SELECT *, dx * dy / 4e6 AS area FROM s0)
+    SELECT t, event, round(sum(area * u) / sum(area), 2) AS mean_var, round(sum(area * lon) / sum(area), 2) AS com_lon, round(sum(area * lat) / sum(area), 2) AS com_lat, round(sum(area), 2) AS event_area FROM x JOIN m USING (t, j, i) GROUP BY t, event""")
+
+
 def _points(s, d):
     """Events as places: one row for each, moving slowly for each user."""
     e = _events(s, d)

@@ -85,12 +85,6 @@ def test_blobs_join_near_peaks():
     assert len(k.blobs(rain, lat, lon, ones, 250)[1]) == 2
 
 
-def test_polygons():
-    x, y = np.array([0.0, 4, 4, 0]), np.array([0.0, 0, 4, 4])
-    assert k.inside_polygon(np.array([2.0, 5]), np.array([2.0, 2]), x, y).tolist() == [True, False]
-    assert k.near_polygon(np.array([4.3, 5]), np.array([2.0, 2]), x, y, 0.5).tolist() == [True, False]
-
-
 def test_solvers():
     rng = np.random.default_rng(0)
     a = rng.normal(size=(12, 12))
