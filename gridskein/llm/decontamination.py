@@ -8,11 +8,15 @@ masks keeps two classes and ignores the rest.  Two substitutions touch two
 classes at most, so one mask sees equal tokens and the hashes join: no match is
 missed.  Windows that join are compared token by token.
 
-Scale: masked hashes of documents and items meet in a shuffle join.  Before it, a
-document's hashes pass a filter with the items' hashes, a bit array whose size
+Scale: masked hashes of documents meet those of items in a semi-join.  Before it,
+a document's hashes pass a filter with the items' hashes, a bit array whose size
 doesn't depend on the benchmark's; a larger benchmark lets more of them through,
-and the join takes what comes.  Windows that several items share are joined and
-compared once; their places are counted after that.
+and the join takes what comes.  To learn whether a document matches at all, its
+distinct windows that hit are looked up as they are, and those that no item has
+so under the narrow masks, one for each pair of places: windows that share a
+narrow mask's hash do match, so one item's window stands for all of them and no
+pairs of windows are made, also where many documents and items fill one template.
+``find_contamination`` lists the pairs of documents and items.
 """
 
 from __future__ import annotations
@@ -113,6 +117,39 @@ def _hash_rows(window: int, errors: int):
     return rows
 
 
+def narrow_hashes(ids: np.ndarray, errors: int) -> np.ndarray:
+    """Hashes of one window, each without another set of ``errors`` places; windows of one length match if they share one."""
+    terms = ids * _FACTORS[: len(ids)]
+    terms ^= terms >> np.uint64(29)
+    left_out = list(combinations(range(len(ids)), errors))
+    sums = terms.sum() - terms[np.array(left_out, int).reshape(-1, errors)].sum(axis=1) if errors else terms.sum(keepdims=True)
+    mark = np.array([sum((p + 1) * 64**k for k, p in enumerate(places)) + len(ids) * 64**3 for places in left_out], np.uint64)
+    h = (sums + mark) * _FACTORS[40]
+    return h ^ (h >> np.uint64(32))
+
+
+def _narrow_rows(column: str, window: int, errors: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for win in batch[column]:
+                ids = np.frombuffer(win.as_buffer(), np.uint64)
+                h = narrow_hashes(ids, errors_of(len(ids), window, errors))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([win.as_py()] * len(h), pa.binary())], ["narrow", column])
+
+    return rows
+
+
+def _agreeing_rows(window: int, errors: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch["got"], batch["win"], strict=True)
+            ids = [(np.frombuffer(got.as_buffer(), np.uint64), np.frombuffer(win.as_buffer(), np.uint64)) for got, win in pairs]
+            good = [k for k, (a, b) in enumerate(ids) if len(a) == len(b) and np.count_nonzero(a != b) <= errors_of(len(a), window, errors)]
+            yield pa.RecordBatch.from_arrays([batch[c].take(pa.array(good, pa.int64())) for c in ("got", "win")], ["got", "win"])
+
+    return rows
+
+
 def _seed_rows(lengths: list[int], window: int, errors: int, bits: np.ndarray, filter_bits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,8 +167,9 @@ def _seed_rows(lengths: list[int], window: int, errors: int, bits: np.ndarray, f
                         at, text = at[inside], text[inside]
                         if len(at):
                             which = pa.array(text + a)
-                            columns = [whole["__id"].take(which), whole["__th"].take(which), pa.array(at - np.r_[0, ends[:-1]][text]), pa.array(h[at].view(np.int64)), _windows(ids, at, w)]
-                            yield pa.RecordBatch.from_arrays(columns, ["__id", "__th", "at", "h", "got"])
+                            begins = np.r_[0, ends[:-1]]
+                            columns = [whole["__id"].take(which), whole["__th"].take(which), pa.array((ends - begins)[text]), pa.array(at - begins[text]), pa.array(h[at].view(np.int64)), _windows(ids, at, w)]
+                            yield pa.RecordBatch.from_arrays(columns, ["__id", "__th", "n", "at", "h", "got"])
         _HASHES.clear()  # the worker may run other stages next
 
     return rows
@@ -151,17 +189,66 @@ def _verified_rows(window: int, errors: int):
     return rows
 
 
-def find_overlaps(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, errors: int = ERRORS, filter_bits: int = FILTER_BITS
-) -> DataFrame:
-    """(__id, __th, item, windows, covered, share, start, stop) for each document, keyed as ``keyed`` does, and item that overlap; see ``find_contamination``."""
+def _seeds(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, errors: int, filter_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Places of the items' windows, their masked hashes, and the documents' windows that may have one of these."""
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")).withColumn("ikey", F.xxhash64(F.col("item").cast("string"), "text")).dropDuplicates(["ikey"])
     kind = items.schema["item"].dataType.simpleString()
     places = materialise(items.mapInArrow(_item_rows(window), f"item {kind}, ikey long, size long, w long, place long, win binary"), "items")
     hashes = materialise(places.select("win").distinct().mapInArrow(_hash_rows(window, errors), "h long, win binary"), "seeds")
     lengths = [r["w"] for r in places.select("w").distinct().collect()]  # as many as a window has tokens, at most
     texts = keyed(docs, id_col, text_col).select("__id", "__th", F.col(f"`{text_col}`").cast("string").alias("__t"))
-    seeds = texts.mapInArrow(_seed_rows(sorted(lengths), window, errors, hash_filter(hashes, "h", filter_bits), filter_bits), "__id string, __th long, at long, h long, got binary")
+    seeds = texts.mapInArrow(_seed_rows(sorted(lengths), window, errors, hash_filter(hashes, "h", filter_bits), filter_bits), "__id string, __th long, n long, at long, h long, got binary")
+    return places, hashes, seeds
+
+
+def matching_windows(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, errors: int = ERRORS, filter_bits: int = FILTER_BITS
+) -> DataFrame:
+    """(__id, __th, n, at, w, item): every window of a document, keyed as ``keyed`` does, that matches one of an item.
+
+    ``n`` is the document's number of tokens, ``at`` and ``w`` the window's place and
+    length, ``item`` the least item that has the window's match (or one of its
+    matches: of those under one narrow mask a single window is looked at).
+    """
+    places, hashes, seeds = _seeds(docs, benchmark, id_col, text_col, item_col, item_text_col, window, errors, filter_bits)
+    hits = materialise(seeds.join(hashes.select("h").distinct(), "h", "left_semi"), "hits")
+    windows = hits.select("got").distinct()
+    wins = hashes.select("win").distinct()
+    same = windows.join(wins, F.col("got") == F.col("win"))
+    others = materialise(windows.join(wins, F.col("got") == F.col("win"), "left_anti"), "others")
+    # Of the items' windows only those that the others hit are hashed narrowly.
+    hit = hits.join(others, "got", "left_semi").select("h").distinct()
+    narrow = hashes.join(hit, "h", "left_semi").select("win").distinct().mapInArrow(_narrow_rows("win", window, errors), "narrow long, win binary")
+    narrow = narrow.groupBy("narrow").agg(F.min("win").alias("win"))
+    near = others.mapInArrow(_narrow_rows("got", window, errors), "narrow long, got binary").join(narrow, "narrow").groupBy("got").agg(F.min("win").alias("win"))
+    matched = same.unionByName(near.mapInArrow(_agreeing_rows(window, errors), "got binary, win binary"))
+    named = matched.join(places.groupBy("win").agg(F.min("item").alias("item")), "win").select("got", "item")
+    found = hits.select("__id", "__th", "n", "at", "got").distinct().join(named, "got")
+    return found.select("__id", "__th", "n", "at", (F.octet_length("got") / 8).cast("long").alias("w"), "item")
+
+
+def contaminated_documents(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
+    """(__id, __th, item, windows, covered, share, start, stop), one row for each document that overlaps with an item.
+
+    ``windows`` of its windows match one of an item, ``covered`` of its tokens
+    (``share`` of all) lie in them, from ``start`` up to ``stop``; ``item`` is the least
+    of those that ``matching_windows`` names.  Parameters are those of that function.
+    """
+    found = matching_windows(docs, benchmark, **more).groupBy("__id", "__th").agg(
+        F.min("item").alias("item"), F.first("n").alias("n"), F.count(F.lit(1)).alias("windows"), F.min("at").alias("start"), F.max(F.col("at") + F.col("w")).alias("stop"), F.sort_array(F.collect_list(F.struct("at", "w"))).alias("p")
+    )
+    # Sorted by place, a window adds what reaches beyond those before it.
+    grown = lambda s, p: F.struct((s["covered"] + F.greatest(F.lit(0), p["at"] + p["w"] - F.greatest(s["end"], p["at"]))).alias("covered"), F.greatest(s["end"], p["at"] + p["w"]).alias("end"))
+    zero = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(0).cast("long").alias("end"))
+    covered = F.aggregate("p", zero, grown, lambda s: s["covered"])
+    return found.select("__id", "__th", "item", "windows", covered.alias("covered"), (covered / F.col("n")).alias("share"), "start", "stop")
+
+
+def find_overlaps(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, errors: int = ERRORS, filter_bits: int = FILTER_BITS
+) -> DataFrame:
+    """(__id, __th, item, windows, covered, share, start, stop) for each document, keyed as ``keyed`` does, and item that overlap; see ``find_contamination``."""
+    places, hashes, seeds = _seeds(docs, benchmark, id_col, text_col, item_col, item_text_col, window, errors, filter_bits)
     matches = seeds.join(hashes, "h").select("__id", "__th", "at", "got", "win").mapInArrow(_verified_rows(window, errors), "__id string, __th long, at long, win binary").distinct()
     found = matches.join(places, "win").groupBy("__id", "__th", "ikey").agg(
         F.first("item").alias("item"), F.first("size").alias("size"), F.first("w").alias("w"), F.count(F.lit(1)).alias("windows"),
@@ -198,22 +285,16 @@ def find_contamination(
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 5, **more) -> DataFrame:
-    """The rows of ``docs`` without an overlap that covers ``least`` tokens of an item or a whole document, with their columns.
+    """The rows of ``docs`` without an overlap of ``least`` tokens with an item and that aren't nothing but a shorter item, with their columns.
 
     An item of a word or two is in many texts, so it condemns only one that has
-    nothing else.  Null and empty texts stay; repeated rows stay or go together.
-    The keys of what goes are broadcast if they are no more than BROADCAST_ROWS,
-    else joined by a shuffle.
+    nothing else.  Null and empty texts stay; repeated rows stay or go together;
+    equal texts under different ids have one fate; an empty benchmark condemns
+    none, an empty table gives an empty one.  The keys of what goes are broadcast
+    if they are no more than BROADCAST_ROWS, else joined by a shuffle.
     """
-    found = find_overlaps(docs, benchmark, id_col, text_col, **more)
-    gone = found.filter(F.col("covered") >= least).select("__id", "__th").distinct()
-    short = found.filter((F.col("covered") < least) & (F.col("start") == 0)).select("__id", "__th", "stop")
-    rows = keyed(docs, id_col, text_col)
-    if not short.isEmpty():
-        # A document that is nothing but a short item has no word character after it.
-        text = F.col(f"`{text_col}`").cast("string")
-        whole = rows.join(short, ["__id", "__th"]).filter(F.size(F.regexp_extract_all(F.lower(text), F.lit(f"([{_UNSPACED}]|[\\p{{L}}\\p{{N}}_&&[^{_UNSPACED}]]+)"))) == F.col("stop"))
-        gone = gone.unionByName(whole.select("__id", "__th")).distinct()
+    found = matching_windows(docs, benchmark, id_col=id_col, text_col=text_col, **more)
+    gone = found.filter((F.col("w") >= least) | (F.col("w") == F.col("n"))).select("__id", "__th").distinct()
     gone = materialise(gone, "contaminated")
     small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return rows.join(small, ["__id", "__th"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed(docs, id_col, text_col).join(small, ["__id", "__th"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ._common import keyed, table
 from .centroids import cluster_vectors
 from .chat import link_quotations
-from .decontamination import find_overlaps
+from .decontamination import contaminated_documents
 from .html_extract import extract_main_text
 from .language_id import fit_language_model, identify_languages
 from .lm_scoring import count_words, encode_documents, score_encoded, train_on_encoded
@@ -105,9 +105,9 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps of ``documents`` with ``benchmark`` items; documents without any have no row."""
+    """Those of ``documents`` that overlap with ``benchmark`` items, how much of each does and where."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_overlaps(docs, table(spark, sf_dir, "benchmark"))
+    found = contaminated_documents(docs, table(spark, sf_dir, "benchmark"))
     ids = keyed(docs, "doc_id", "text").select("doc_id", "__id", "__th").join(found, ["__id", "__th"])
     return ids.select("doc_id", F.col("item").alias("item_id"), "windows", "covered", "share", "start", "stop")
 

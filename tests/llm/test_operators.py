@@ -607,7 +607,7 @@ def test_decontamination(spark, bits):
             words[rng.randrange(len(words))] = some(1)[0]
         docs.append(" ".join(some(rng.randint(0, 30)) + words + some(5)))
     docs += [None, "", docs[0]]
-    want = {}
+    want, places = {}, collections.defaultdict(set)
     for a, d in enumerate(docs):
         x = (d or "").split()
         for b, t in enumerate(items):
@@ -617,14 +617,45 @@ def test_decontamination(spark, bits):
             hits = [j for i in range(len(x) - w + 1) for j in range(len(y) - w + 1) if sum(p != q for p, q in zip(x[i : i + w], y[j : j + w], strict=True)) <= e] if y else []
             if hits:
                 want[a, b] = (len(hits), len({j + k for j in hits for k in range(w)}))
+                places[a] |= {(i, w) for i in range(len(x) - w + 1) for j in range(len(y) - w + 1) if sum(p != q for p, q in zip(x[i : i + w], y[j : j + w], strict=True)) <= e}
     frame = spark.createDataFrame([(k, d, 0) for k, d in enumerate(docs)], "doc_id long, text string, overlaps int")
     found = decontamination.find_contamination(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), filter_bits=bits)
     assert {(r.doc_id, o["item"]): (o.windows, o.covered) for r in found.collect() for o in r.overlaps} == want
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    digests = {int(r["__id"]): r for r in decontamination.contaminated_documents(frame, bench, filter_bits=bits).collect()}
+    for a, windows in places.items():
+        inside = {k for i, w in windows for k in range(i, i + w)}
+        r = digests[a]
+        assert (r.windows, r.covered, r.start, r.stop) == (len(windows), len(inside), min(inside), max(inside) + 1) and r.share == pytest.approx(len(inside) / len(docs[a].split()))
+        assert (a, r["item"]) in want
+    assert digests.keys() == places.keys()
     empty = spark.createDataFrame([], "item_id long, text string")
     assert {len(r.overlaps) for r in decontamination.find_contamination(frame, empty).collect()} == {0}
     assert decontamination.find_contamination(frame.limit(0), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).count() == 0
 
 
+def test_narrow_masks_tell_matches():
+    rng = np.random.default_rng(1)
+    for window, errors in ((13, 2), (8, 1), (4, 0), (1, 0)):
+        for _ in range(60):
+            a = rng.integers(0, 3, window).astype(np.uint64)
+            b = a.copy()
+            b[rng.integers(0, window, rng.integers(0, 5))] += np.uint64(1)
+            shared = set(decontamination.narrow_hashes(a, errors).tolist()) & set(decontamination.narrow_hashes(b, errors).tolist())
+            assert bool(shared) == (np.count_nonzero(a != b) <= errors)
+
+
+def test_documents_and_items_of_one_template(spark):
+    """Rows stay in proportion where every document matches every item."""
+    n = 1500
+    fill = lambda k, v: " ".join(f"{v}{k}" if p in (3, 7) else f"t{p}" for p in range(13))
+    docs = spark.createDataFrame([(k, f"a b {fill(k, 'x')} c") for k in range(n)] + [(n, "a b c")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, fill(k, "y")) for k in range(n)], "item_id long, text string")
+    found = decontamination.contaminated_documents(docs, bench).collect()
+    assert len(found) == n and {(r.windows, r.covered, r.start, r.stop) for r in found} == {(1, 13, 2, 15)}
+    assert [r.doc_id for r in decontamination.without_contaminated(docs, bench).collect()] == [n]
+
+
 def test_decontamination_unspaced_scripts_and_shared_prompts(spark):
     prompt = " ".join(f"p{k}" for k in range(20))
     items = [(k, f"{prompt} question {k}") for k in range(300)] + [(1000, "这是一个很长的问题请回答它的意思"), (1001, "はい"), (1002, "yes"), (1002, "yes")]
