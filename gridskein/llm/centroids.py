@@ -1,10 +1,11 @@
 """Clustering of vectors round centroids in whole numbers, screened by the norms of blocks.
 
-Vectors are turned into integers and stored with the Euclidean norm of each of
-their segments of ``BLOCK`` components: the compressed vector.  By Cauchy and
-Schwarz the distance of two vectors is at least that of their compressed ones,
-so a centroid whose bound is above the least distance found so far can't be the
-nearest; only the others get an exact integer distance.
+Vectors are turned into integers and stored with norms of their segments of
+``BLOCK`` components: of each segment's part along the diagonal (with its sign) and
+of what is left, at a right angle to it.  By Cauchy and Schwarz the distance of two
+vectors is at least that of these compressed ones, so a centroid whose bound is
+above the least distance found so far can't be the nearest; only the others get
+an exact integer distance.
 
 Scale: a round reads the stored vectors once, sums in each task (a row for each
 centroid and task leaves it) and shuffles those sums alone.  What goes to the
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ._common import discard, materialise
 
 #: Components in a segment.
-BLOCK = 8
+BLOCK = 2
 #: Whole components are at most this large: distances of 64 such components fit a long.
 LARGEST = 2**27
 #: By which share of themselves norms and bounds may be off; far more than doubles round.
@@ -44,15 +45,21 @@ def usable(vector: Column, dims: int, scale: float) -> Column:
 
 
 def segment_norms(vectors: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """(n, segments): the norm of each segment of ``block`` components; the last may be shorter."""
+    """(n, 2 x segments): signed norms of the segments' parts along the diagonal, then the norms of the rest; the last segment may be shorter."""
     starts = np.arange(0, vectors.shape[1], block)
-    return np.sqrt(np.add.reduceat(vectors.astype(np.int64) ** 2, starts, axis=1).astype(np.float64))
+    size = np.diff(np.r_[starts, vectors.shape[1]])
+    sums = np.add.reduceat(vectors.astype(np.int64), starts, axis=1)
+    rest = size * np.add.reduceat(vectors.astype(np.int64) ** 2, starts, axis=1) - sums**2  # exact, so never negative
+    return np.hstack([sums / np.sqrt(size), np.sqrt(rest / size)])
 
 
 def lower_bounds(norms: np.ndarray, others: np.ndarray) -> np.ndarray:
     """(n, m): no squared distance of vectors with these segment norms is less."""
-    gap = np.abs(norms[:, None, :] - others[None]) - SLACK * (norms[:, None, :] + others[None])
-    return (np.maximum(gap, 0) ** 2).sum(axis=2) * (1 - SLACK)
+    size, bounds = np.abs(norms), np.empty((len(norms), len(others)))
+    for k, other in enumerate(others):  # a centroid at a time, for less memory
+        gap = np.abs(norms - other) - SLACK * (size + np.abs(other))
+        bounds[:, k] = (np.maximum(gap, 0) ** 2).sum(axis=1) * (1 - SLACK)
+    return bounds
 
 
 def nearest_centroids(vectors: np.ndarray, norms: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +95,7 @@ def _compress(dims: int) -> Callable:
 
 
 def _read(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    return _matrix(batch.column("vector"), dims, np.int64), _matrix(batch.column("norms"), -(-dims // BLOCK), np.float64)
+    return _matrix(batch.column("vector"), dims, np.int64), _matrix(batch.column("norms"), 2 * -(-dims // BLOCK), np.float64)
 
 
 def _sums(centroids: np.ndarray) -> Callable:
