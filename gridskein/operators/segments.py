@@ -30,7 +30,7 @@ def in_segments(rows: DataFrame, by: str, t: str, length: int, advance: Callable
     rows = materialise(rows.withColumn(_SEGMENT, F.floor(F.col(t) / length).cast("long")), "steps")
     spark, full = rows.sparkSession, f"{schema}, {_SEGMENT} long"
 
-    def run(key, mine: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+    def run(key, mine, starts):
         out, before, last = [], starts[names].to_dict("records"), int(key[1]) * length - 1
         for step, part in mine.sort_values([t, *order]).groupby(t, sort=True):
             before = advance(key[0], int(step), part.to_dict("records"), before if int(step) == last + 1 else [])

@@ -331,7 +331,7 @@ def track_events(events: DataFrame, cells: DataFrame | None = None, hours: float
     roots = connected_components(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
     joined = events.join(roots.withColumnRenamed("node", "event"), "event", "left").withColumn("root", F.coalesce("root", F.col("event").cast("long")))
     least = joined.groupBy("root").agg(F.min("event").alias("first"))
-    dense = least.select("root", (F.dense_rank().over(Window.orderBy("first")) - 1).alias("label"))  # one short row per group
+    dense = ranked(least, "first", "root", name="label").select("root", F.col("label").cast("int").alias("label"))
     return joined.join(dense, "root").select("event", "date", "label")
 
 

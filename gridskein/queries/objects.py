@@ -16,6 +16,7 @@ from ..operators import features as ft
 from ..operators import tracking as tk
 from ..operators import wave_breaking as wb
 from ..operators.filters import smooth_xy
+from ..operators.tiled_labels import label_tiles
 from ..storage import materialise, shared_dir, setting
 from ..streaming import ROCKSDB, session_aggregate, track_stream, windowed_aggregate
 from ._cube import CUBE_SQL, GRID, GRID_Z, LATS, LONS, cube, cube_z, rounded, rounded_sql, stages_sql, table
@@ -62,6 +63,7 @@ def _labels(s, d):
 
 
 _add("conn_label_connected_2d", _labels, BASE + _LABELS + "SELECT t, j, i, label FROM l")
+_add("conn_label_tiles", lambda s, d: label_tiles(GRID, cube(s, d).withColumn("m", F.col("u") > 3.5), "m", (16, 20)), BASE + _LABELS + "SELECT t, j, i, label FROM l")
 _add("conn_label_extents", lambda s, d: ft.label_extents(_labels(s, d)), BASE + _LABELS + "SELECT t, label, count(*)::DOUBLE AS size, min(j) AS j_min, max(j) AS j_max, min(i) AS i_min, max(i) AS i_max FROM l GROUP BY ALL")
 _add("conn_connect_4d_from_3d", lambda s, d: ft.connect_in_time(_labels(s, d)), BASE + _LABELS + """, x AS (SELECT DISTINCT a.t, a.label, b.label AS next FROM l a JOIN l b ON b.t = a.t + 1 AND b.j = a.j AND b.i = a.i), y AS (SELECT DISTINCT t, label FROM l), z AS (SELECT min(t) AS lo, max(t) AS hi FROM l)
     SELECT 'life' AS kind, t, label, next FROM x UNION ALL SELECT 'birth', t, label, NULL FROM y, z WHERE t > lo AND NOT EXISTS (SELECT 1 FROM x WHERE x.t + 1 = y.t AND x.next = y.label)

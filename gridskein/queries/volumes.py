@@ -154,8 +154,8 @@ _add("line_smear_lines", lambda s, d: rounded(ft.smear_lines(GRID, _lines(s, d),
 _add("line_to_coordinates", lambda s, d: rounded(ft.lines_to_coordinates(GRID, _lines(s, d), objects._cells(s)), {"x": 1, "y": 1}, ("t", "line_id", "pt")), _D + rounded_sql({"x": 1, "y": 1}, "(SELECT t, line_id, pt, 5.625 * x AS x, -73.5 + 3 * y AS y FROM d)", ("t", "line_id", "pt")))
 _add("line_long_lines", lambda s, d: rounded(ft.long_lines(_lines(s, d).filter(F.col("y") > F.col("line_id")), 32), {"x": 1}, ("t", "line_id", "pt")),
      _D + ", e AS (SELECT * FROM d WHERE y > line_id)\n" + rounded_sql({"x": 1}, "(SELECT * FROM e WHERE (t, line_id) IN (SELECT (t, line_id) FROM e GROUP BY t, line_id HAVING count(*) >= 32))", ("t", "line_id", "pt")))
-_add("filter_concat1lonlat", lambda s, d: rounded(fl.append_first_column(GRID, objects._cells(s).select("j", "i", "lon", "lat"), "lon"), {"lon": 1, "lat": 1}, ("j", "i")),
-     f"WITH {CUBE_SQL}, c AS (SELECT DISTINCT j, i, lat, lon FROM s0)\n" + rounded_sql({"lon": 1, "lat": 1}, "(SELECT j, i, lon, lat FROM c UNION ALL SELECT j, 64, lon + 360, lat FROM c WHERE i = 0)", ("j", "i")))
+_add("filter_concat1lonlat", lambda s, d: rounded(fl.append_first_column(GRID, cube(s, d).select("t", "j", "i", "lon", "lat", "u"), "lon"), {"lon": 1, "lat": 1, "u": 1}),
+     f"WITH {CUBE_SQL}\n" + rounded_sql({"lon": 1, "lat": 1, "u": 1}, "(SELECT t, j, i, lon, lat, u FROM s0 UNION ALL SELECT t, j, 64, lon + 360, lat, u FROM s0 WHERE i = 0)"))
 
 
 def _with_gaps(s, d):

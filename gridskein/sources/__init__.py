@@ -104,10 +104,10 @@ def save_composites(composites: DataFrame, path: str, overwrite: bool = False) -
     composites.write.mode("overwrite" if overwrite else "error").partitionBy("composite").parquet(path)
 
 
-def instantaneous(spark: SparkSession, path: str, variables: list[str], start: str, end: str, levels: list[str] | None = None, time: str = "t", limit: float = 16e9) -> DataFrame:
+def instantaneous(spark: SparkSession, path: str, variables: list[str], start: str, end: str, levels: list[str] | None = None, time: str = "t", limit: float | None = None) -> DataFrame:
     """Fields of [start, end): only the months, columns and row groups that are asked for are read.
 
-    A request for more than ``limit`` values is refused, from the number of rows.
+    With ``limit`` a request for more values is refused, after counting its rows.
     """
     df = spark.read.parquet(path)
     begin, stop = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
@@ -119,7 +119,7 @@ def instantaneous(spark: SparkSession, path: str, variables: list[str], start: s
         df = df.filter(F.col("plev").isin(*levels))
     keys = [c for c in (time, "plev", "k", "j", "i") if c in df.columns]
     df = df.select(*keys, *variables)
-    if (n := df.count() * len(variables)) > limit:
+    if limit is not None and (n := df.count() * len(variables)) > limit:
         raise ValueError(f"{n} values are more than the limit of {limit:g}")
     return df
 

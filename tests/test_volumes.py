@@ -184,3 +184,26 @@ def test_blocks_step_by_step(spark):
     frame = spark.createDataFrame(rows, "t int, j int, i int, lat double, lon double, block double")
     got = {(r.block, r.t, r.j, r.i) for r in tracking.block_by_grad_rev(g, frame, min_steps=3).collect()}
     assert got == want and want
+
+
+@pytest.mark.parametrize("tile", [(3, 4), (7, 50), (1, 1)])
+def test_labels_are_the_same_in_tiles_of_any_size(spark, tile):
+    from gridskein.operators import kernels
+    from gridskein.operators.tiled_labels import label_tiles
+
+    rng = np.random.default_rng(6)
+    mask = rng.random((4, 11, 13)) < 0.5
+    rows = [(int(t), int(j), int(i), bool(mask[t, j, i]) if rng.random() < 0.9 or mask[t, j, i] else None) for t, j, i in np.ndindex(mask.shape)]
+    cube = spark.createDataFrame(rows, "t int, j int, i int, m boolean")
+    for cyclic, diagonal, over_time in ((True, False, False), (False, True, False), (True, False, True)):
+        found = {(r.t, r.j, r.i): r.label for r in label_tiles(Grid(13, 11, cyclic=cyclic), cube, "m", tile, diagonal, over_time).collect()}
+        groups: dict = {}
+        for cell, n in found.items():
+            groups.setdefault((0 if over_time else cell[0], n), set()).add(cell)
+        whole = kernels.label(mask, cyclic, diagonal) if over_time else np.stack([kernels.label(m, cyclic, diagonal) for m in mask])
+        want: dict = {}
+        for cell in zip(*map(np.ndarray.tolist, np.nonzero(whole)), strict=True):
+            want.setdefault((0 if over_time else cell[0], int(whole[cell])), set()).add(cell)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+        if not over_time:
+            assert groups == want
