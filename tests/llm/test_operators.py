@@ -777,3 +777,16 @@ def test_stages_with_odd_tables(spark, stage):
         assert [r.text for r in found if r.doc_id in (1, 2)] == [None, ""] or [r.text for r in found if r.doc_id in (1, 2)] == ["", None]
         assert all(len(r.text) < len(long) for r in found if r.doc_id is None)
     assert run(spark, docs.limit(0), f"{DATA}/sf0.001").count() == 0
+
+
+def test_packing_stage_with_odd_tables(spark):
+    """Nulls, repeated rows and columns named like the results; each row's pieces are packed, whatever its id."""
+    import corpus_pipeline
+
+    rows = [(1, None, "a", 1), (2, "", "b", 2), (None, "Some words.", "c", 3), (None, "Some words.", "c", 3), (3, "word " * 5000, "d", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string, piece long")
+    name, pack = corpus_pipeline.STAGES[-1]
+    got = pack(spark, docs, "").collect()
+    pieces = collections.Counter(r.doc_id for r in got)
+    assert name == "best_fit_packing" and pieces[1] == pieces[2] == 1 and pieces[None] == 2 and pieces[3] > 1
+    assert all(0 < r.length <= 2048 for r in got) and pack(spark, docs.limit(0), "").count() == 0
