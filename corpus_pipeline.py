@@ -40,7 +40,10 @@ def _apart(docs: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any language (``und``: null texts, texts without letters) go; repeated rows stay or go together."""
+    """Documents without any language (``und``: null texts, texts without letters) go; repeated rows stay or go together.
+
+    Of languages with equal scores the one that comes first by name is taken, which decides no row's fate.
+    """
     docs, back = _apart(docs)
     return back(identify_languages(docs, fit_language_model(docs)).filter("lang_pred <> 'und'"))
 
@@ -76,13 +79,22 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item in five tokens or more, or are nothing but a shorter one, go; null and empty texts stay."""
+    """Documents that overlap with a benchmark item in five tokens or more, or are nothing but a shorter one, go; null and empty texts stay.
+
+    Rows that repeat id and text stay or go together, and so do equal texts under other ids.
+    """
     docs, back = _apart(docs)
     return back(without_contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, in sequences of at most 2048 tokens."""
+    """What is left, in sequences of at most 2048 tokens: a row for each piece.
+
+    Null and empty texts are one piece of the closing id; every row is packed,
+    repeated ones and those without an id too.  Pieces of equal length are
+    interchangeable, so which of them share a sequence is left open.  Columns
+    other than id and text are ignored; an empty table gives no rows.
+    """
     return pack_documents(docs, tokenizer_path(), capacity=2048, ranks=tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
