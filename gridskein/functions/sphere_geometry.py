@@ -94,3 +94,28 @@ def tiles_near(lon, lat, km: float) -> Column:
     """Keys of a point's tile and those beside it (nine at most, poles and date line included), to be exploded."""
     band = F.floor((_c(lat) + 90) / math.degrees(km / 6371.0))
     return F.array_distinct(F.array(*[_tile(_c(lon), band + b, km, k) for b in (-1, 0, 1) for k in (-1, 0, 1)]))
+
+
+def geographic_position(rlon, rlat, pole_lon, pole_lat) -> tuple[Column, Column]:
+    """(lon, lat) of a place given in coordinates about a rotated north pole, which lies at (pole_lon, pole_lat); lon is in [-180, 180)."""
+    a, b, p = F.radians(_c(rlon)), F.radians(_c(rlat)), F.radians(_c(pole_lat))
+    x = F.cos(p) * F.sin(b) - F.sin(p) * F.cos(a) * F.cos(b)
+    z = F.sin(p) * F.sin(b) + F.cos(p) * F.cos(a) * F.cos(b)
+    lon = _c(pole_lon) + F.degrees(F.atan2(-F.sin(a) * F.cos(b), x))
+    return F.pmod(lon + 180, F.lit(360.0)) - 180, F.degrees(F.asin(_clipped(z)))
+
+
+def rotated_position(lon, lat, pole_lon, pole_lat) -> tuple[Column, Column]:
+    """(rlon, rlat) about a rotated north pole: the inverse of ``geographic_position``."""
+    a, b, p = F.radians(_c(lon) - _c(pole_lon)), F.radians(_c(lat)), F.radians(_c(pole_lat))
+    x = F.cos(p) * F.sin(b) - F.sin(p) * F.cos(a) * F.cos(b)
+    z = F.sin(p) * F.sin(b) + F.cos(p) * F.cos(a) * F.cos(b)
+    return F.degrees(F.atan2(-F.sin(a) * F.cos(b), x)), F.degrees(F.asin(_clipped(z)))
+
+
+def north_of_rotated(rlon, rlat, pole_lat) -> tuple[Column, Column]:
+    """True north at a place in coordinates about a rotated pole, as a unit vector along their axes; NULL at the true poles."""
+    a, b, p = F.radians(_c(rlon)), F.radians(_c(rlat)), F.radians(_c(pole_lat))
+    x, y = -F.cos(p) * F.sin(a), F.sin(p) * F.cos(b) - F.cos(p) * F.sin(b) * F.cos(a)
+    r = F.hypot(x, y)
+    return F.when(r > 1e-12, x / r), F.when(r > 1e-12, y / r)

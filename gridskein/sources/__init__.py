@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import latlon_cells
-from .netcdf import netcdf_axes, netcdf_files, read_netcdf, rows_of_netcdf, save_netcdf
+from .netcdf import netcdf_axes, netcdf_cells, netcdf_files, netcdf_rotations, read_netcdf, rows_of_netcdf, save_netcdf
 from .netcdf_source import register_netcdf
 
-__all__ = ["Catalogue", "Variable", "format_level", "instantaneous", "level_kind", "level_value", "netcdf_axes", "netcdf_files", "parse_level", "parse_time_unit", "read_arrays", "read_netcdf", "register_netcdf", "rows_of_netcdf", "save_composites", "save_fields", "save_netcdf", "static_cells", "time_numbers", "vertical_axis"]
+__all__ = ["Catalogue", "Variable", "format_level", "instantaneous", "level_kind", "level_value", "netcdf_axes", "netcdf_cells", "netcdf_files", "netcdf_rotations", "parse_level", "parse_time_unit", "read_arrays", "read_netcdf", "register_netcdf", "rows_of_netcdf", "save_composites", "save_fields", "save_netcdf", "static_cells", "time_numbers", "vertical_axis"]
 
 
 @dataclass(frozen=True)

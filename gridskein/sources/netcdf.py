@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import Grid
+from ..operators.curvilinear import rotated_cells
 from ..storage import materialise
 
 #: External types of the format by number.
@@ -262,3 +263,41 @@ def netcdf_axes(spark: SparkSession, path: str) -> DataFrame:
                             yield pd.DataFrame({"file": file, "variable": name, "dim": v.dims[0], "n": np.arange(len(values)) + first, "value": values, "units": str(v.attributes.get("units", ""))})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "file string, variable string, dim string, n long, value double, units string")
+
+
+def netcdf_rotations(spark: SparkSession, path: str) -> DataFrame:
+    """(file, variable, pole_lat, pole_lon) of grid mappings about a rotated pole."""
+    names = ("grid_north_pole_latitude", "grid_north_pole_longitude")  # fixed names of the CF conventions
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"], strict=True):
+                for name, v in ClassicFile(content).variables.items():
+                    if all(a in v.attributes for a in names):
+                        lat, lon = (float(v.attributes[a][0]) for a in names)
+                        yield pd.DataFrame({"file": [file], "variable": [name], "pole_lat": [lat], "pole_lon": [lon]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "file string, variable string, pole_lat double, pole_lon double")
+
+
+def netcdf_cells(spark: SparkSession, path: str, dims: tuple[str, str] = ("rlat", "rlon"), names: tuple[str, str] = ("latitude", "longitude"), cyclic: bool = False) -> DataFrame:
+    """Cells of the grid of one file, whose rows and columns are ``dims``.
+
+    With a rotated pole in the file: ``rotated_cells``.  Else (j, i, lat, lon) of a
+    curvilinear grid, from the variables ``names`` with both dimensions.  A file
+    with several different poles, or with neither a pole nor those variables, is an error.
+    """
+    poles = netcdf_rotations(spark, path).select("pole_lat", "pole_lon").distinct().limit(2).collect()
+    if len(poles) > 1:
+        raise ValueError(f"{path} has more than one rotated pole")
+    if poles:
+        axes = netcdf_axes(spark, path).filter(F.col("dim").isin(*dims) & (F.col("variable") == F.col("dim"))).select("dim", "n", "value").distinct()
+        found = {d: [r["value"] for r in axes.filter(F.col("dim") == d).orderBy("n").collect()] for d in dims}  # two axes
+        if not all(found.values()):
+            raise ValueError(f"{path} has no coordinates {dims}")
+        return rotated_cells(spark, found[dims[0]], found[dims[1]], poles[0]["pole_lat"], poles[0]["pole_lon"], cyclic)
+    both = read_netcdf(spark, path, dims, ("j", "i"), names).groupBy("j", "i")
+    cells = both.agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(c) for n, c in zip(names, ("lat", "lon"), strict=True)])
+    if cells.isEmpty():
+        raise ValueError(f"{path} has neither a rotated pole nor {names} with dimensions {dims}")
+    return cells
