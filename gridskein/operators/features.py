@@ -533,60 +533,6 @@ def solve_helmholtz(g: Grid, cube: DataFrame, v: str, coef: float, method: str =
     return per_slice(g, cube.select("t", "j", "i", v), kernel, "j int, i int, x double")
 
 
-def spectral_truncation(g: Grid, cube: DataFrame, v: str, lats: list[float], degree: int, inverse_laplace: bool = False) -> DataFrame:
-    """(t, j, i, v): the field's harmonics up to a degree, or the inverse Laplacian of that."""
-    lat = np.asarray(lats, float)
-
-    def kernel(a):
-        c = kernels.harmonics(a[v], lat, degree)
-        out = kernels.synthesis(kernels.inverse_laplacian(c) if inverse_laplace else c, lat, g.nx)
-        j, i = np.indices(out.shape)
-        return pd.DataFrame({"j": j.ravel().astype("int32"), "i": i.ravel().astype("int32"), v: out.ravel()})
-
-    return per_slice(g, cube.select("t", "j", "i", v), kernel, f"j int, i int, {v} double")
-
-
-def irrotational_wind(g: Grid, cube: DataFrame, u: str, v: str, lats: list[float], degree: int) -> DataFrame:
-    """Adds u_irr, v_irr: the gradient of the inverse Laplacian of the divergence."""
-    divergence = cube.withColumn("chi", F.coalesce(ddx(g, u) + ddy(g, v), F.lit(0.0)))
-    chi = spectral_truncation(g, divergence.select("t", "j", "i", "chi"), "chi", lats, degree, True)
-    joined = g.slices(cube.join(chi, ["t", "j", "i"]))
-    return joined.withColumns({"u_irr": ddx(g, "chi"), "v_irr": ddy(g, "chi")}).drop("chi")
-
-
-def helmholtz_wind(g: Grid, cube: DataFrame, u: str, v: str, lats: list[float], degree: int) -> DataFrame:
-    """(t, j, i, vor, div, psi, chi, u_rot, v_rot, u_irr, v_irr): vorticity and divergence by harmonics up to a degree, stream function and velocity potential, and the two winds that they make."""
-    lat = np.asarray(lats, float)
-
-    def kernel(a):
-        fields = dict(zip(("vor", "div"), kernels.vorticity_divergence(a["u"], a["v"], lat, degree), strict=True))
-        for kind, source, x, y, turn in (("psi", "vor", "v_rot", "u_rot", -1.0), ("chi", "div", "u_irr", "v_irr", 1.0)):
-            c = kernels.inverse_laplacian(kernels.harmonics(fields[source], lat, degree))
-            fields[kind] = kernels.synthesis(c, lat, g.nx)
-            fields[x], along_y = kernels.gradient(c, lat, g.nx)
-            fields[y] = turn * along_y
-        j, i = np.indices(fields["vor"].shape)
-        names = ("vor", "div", "psi", "chi", "u_rot", "v_rot", "u_irr", "v_irr")
-        return pd.DataFrame({"j": j.ravel().astype("int32"), "i": i.ravel().astype("int32"), **{n: fields[n].ravel() for n in names}})
-
-    schema = "j int, i int, vor double, div double, psi double, chi double, u_rot double, v_rot double, u_irr double, v_irr double"
-    return per_slice(g, cube.select("t", "j", "i", F.col(u).alias("u"), F.col(v).alias("v")), kernel, schema)
-
-
-def spectral_regrid(g: Grid, cube: DataFrame, v: str, lats: list[float], degree: int, new_lats: list[float], new_nx: int, shift: float = 0.0) -> DataFrame:
-    """(t, j, i, v) on another grid around the globe, by harmonics up to a degree; ``shift`` moves its columns east, in its own cells (0.5: half-way between)."""
-    lat, new = np.asarray(lats, float), np.asarray(new_lats, float)
-
-    def kernel(a):
-        c = kernels.harmonics(a[v], lat, degree)
-        c = c * np.exp(2j * np.pi * np.arange(degree + 1) * shift / new_nx)[:, None]
-        out = kernels.synthesis(c, new, new_nx)
-        j, i = np.indices(out.shape)
-        return pd.DataFrame({"j": j.ravel().astype("int32"), "i": i.ravel().astype("int32"), v: out.ravel()})
-
-    return per_slice(g, cube.select("t", "j", "i", v), kernel, f"j int, i int, {v} double")
-
-
 def def_3d(g: Grid, cube: DataFrame, u: str, v: str, w: str, rho: str | None = None, part: str = "all", natural: bool = False, vectors: bool = False) -> DataFrame:
     """(t, k, j, i, e_max, e_mid, e_min): eigenvalues of the symmetric velocity gradient without its divergence (uses dz).
 

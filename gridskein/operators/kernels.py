@@ -320,18 +320,22 @@ def varimax(loadings: np.ndarray, gamma: float = 1.0, steps: int = 100, toleranc
     return loadings @ turn
 
 
+def legendre_order(m: int, degree: int, sin_lat: np.ndarray) -> np.ndarray:
+    """Normalised associated Legendre functions P[n - m, lat] of one order, n from m to a degree (integral of the square over sin(lat): 1)."""
+    p = np.zeros((degree + 1 - m, len(sin_lat)))
+    p[0] = np.sqrt(0.5) * np.prod([np.sqrt((2 * k + 1) / (2 * k)) for k in range(1, m + 1)]) * np.sqrt(1 - sin_lat**2) ** m
+    for n in range(m + 1, degree + 1):
+        a = np.sqrt((4 * n * n - 1) / (n * n - m * m))
+        b = np.sqrt(((n - 1) ** 2 - m * m) / (4 * (n - 1) ** 2 - 1)) if n > m + 1 else 0.0
+        p[n - m] = a * (sin_lat * p[n - m - 1] - b * (p[n - m - 2] if n > m + 1 else 0))
+    return p
+
+
 def legendre(degree: int, sin_lat: np.ndarray) -> np.ndarray:
-    """Normalised associated Legendre functions P[m, n, lat] up to a degree (integral of the square over sin(lat): 1)."""
-    cos = np.sqrt(1 - sin_lat**2)
+    """Normalised associated Legendre functions P[m, n, lat] up to a degree."""
     p = np.zeros((degree + 1, degree + 1, len(sin_lat)))
-    p[0, 0] = np.sqrt(0.5)
-    for m in range(1, degree + 1):
-        p[m, m] = np.sqrt((2 * m + 1) / (2 * m)) * cos * p[m - 1, m - 1]
     for m in range(degree + 1):
-        for n in range(m + 1, degree + 1):
-            a = np.sqrt((4 * n * n - 1) / (n * n - m * m))
-            b = np.sqrt(((n - 1) ** 2 - m * m) / (4 * (n - 1) ** 2 - 1)) if n > m + 1 else 0.0
-            p[m, n] = a * (sin_lat * p[m, n - 1] - b * (p[m, n - 2] if n > m + 1 else 0))
+        p[m, m:] = legendre_order(m, degree, sin_lat)
     return p
 
 
@@ -388,14 +392,6 @@ def gradient(c: np.ndarray, lats: np.ndarray, nx: int, radius: float = 6.37e6) -
     return synthesis(1j * m * c, lats, nx) * inverse[:, None] / radius, north * inverse[:, None] / radius
 
 
-def vorticity_divergence(u: np.ndarray, v: np.ndarray, lats: np.ndarray, degree: int, radius: float = 6.37e6) -> tuple[np.ndarray, np.ndarray]:
-    """Vorticity and divergence of a wind whose components times cos(lat) have harmonics up to a degree; missing wind is none."""
-    cos = np.cos(np.radians(lats))[:, None]
-    inverse = np.where(np.abs(cos) > 1e-9, 1 / np.where(cos == 0, 1, cos), 0.0)
-    (ux, uy), (vx, vy) = (gradient(harmonics(np.nan_to_num(w) * cos, lats, degree + 1), lats, u.shape[1], radius) for w in (u, v))
-    return (vx - uy) * inverse, (ux + vy) * inverse
-
-
 def gaussian_latitudes(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Latitudes in degrees, from south to north, and weights of Gaussian quadrature."""
     x, w = np.polynomial.legendre.leggauss(n)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..grid import unrotated
 from ..operators import curvilinear as cv
-from ._cube import CUBE_SQL, GRID, LATS, LONS, cube, rounded, rounded_sql
+from ..operators import harmonics as hm
+from ..operators.kernels import gaussian_latitudes
+from ._cube import CUBE_SQL, GRID, LATS, LONS, cube, rounded, rounded_sql, stages_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -82,3 +86,67 @@ def _map_sql() -> str:
 
 _add("grid_rotated_to_map", _on_map, _map_sql())
 _add("grid_nearest_cells", _nearest, _NEAREST_SQL)
+
+
+_DEGREE = 12
+_MAP_LATS, _MAP_NX = [-60.0 + 5 * k for k in range(25)], 72
+
+
+def _polynomials(family: str, weight: str) -> list[str]:
+    """CTEs that end in <family> (m, k, j, b): for each wave m functions cos(lat)^m times polynomials of degree k, orthonormal under a weight of the points.
+
+    Each comes from the two before it by the recurrence of orthogonal polynomials, so the SQL knows no Legendre function.
+    """
+    parts = [f"{family}0 AS (SELECT m, j, x, {weight} AS w, c ** m AS b, 0.0::DOUBLE AS before, 1.0::DOUBLE AS norm FROM points, (SELECT unnest(range({_DEGREE + 1})) AS m))"]
+    for k in range(_DEGREE):
+        parts.append(f"{family}{k + 1} AS (SELECT m, j, x, w, (x - sum(w * x * b * b) OVER v / sum(w * b * b) OVER v) * b - sum(w * b * b) OVER v / norm * before AS b, b AS before, sum(w * b * b) OVER v AS norm FROM {family}{k} WHERE m < {_DEGREE - k} WINDOW v AS (PARTITION BY m))")
+    every = " UNION ALL ".join(f"SELECT m, {k} AS k, j, w, b / sqrt(sum(w * b * b) OVER (PARTITION BY m)) AS b FROM {family}{k}" for k in range(_DEGREE + 1))
+    return [*parts, f"{family} AS ({every})"]
+
+
+def _harmonics_parts(v: str, nx: int = 64, first: int = 0, inverse: bool = False, source: str = "s0") -> list[str]:
+    """CTEs that end in o (t, j, i, v): the least squares of the rows by orthogonal polynomials; the inverse Laplacian by those of Gaussian quadrature.
+
+    Points are the rows (0 to 49), the nodes of the quadrature (from 100) and the rows of the other map (from 200); result rows begin with the point ``first``.
+    """
+    lats, weights = gaussian_latitudes(16)
+    nodes = ", ".join(f"({100 + n}, {math.sin(math.radians(b))!r}::DOUBLE, 0.0::DOUBLE, {float(w)!r}::DOUBLE)" for n, (b, w) in enumerate(zip(lats.tolist(), weights.tolist(), strict=True)))
+    parts = [f"points AS (SELECT j, x, sqrt(1 - x * x) AS c, CASE WHEN j < 100 THEN sqrt(1 - x * x) ELSE 0.0::DOUBLE END AS rowweight, g FROM (SELECT unnest(range(50)) AS j, sin(radians(-73.5::DOUBLE + 3 * unnest(range(50)))) AS x, 0.0::DOUBLE AS g UNION ALL SELECT j, x, g FROM (VALUES {nodes}) n(j, x, z, g) UNION ALL SELECT 200 + unnest(range(25)), sin(radians(-60.0::DOUBLE + 5 * unnest(range(25)))), 0.0::DOUBLE))"]
+    parts += _polynomials("a", "rowweight")
+    parts.append(f"f AS (SELECT t, j, m, sum({v} * cos(2 * pi() * m * i / 64)) / 64 AS re, -sum({v} * sin(2 * pi() * m * i / 64)) / 64 AS im FROM {source}, (SELECT unnest(range({_DEGREE + 1})) AS m) GROUP BY t, j, m)")
+    parts.append("d AS (SELECT t, m, k, sum(w * b * re) AS re, sum(w * b * im) AS im FROM f JOIN a USING (m, j) GROUP BY t, m, k)")
+    parts.append("e AS (SELECT t, m, j, sum(re * b) AS re, sum(im * b) AS im FROM d JOIN a USING (m, k) GROUP BY t, m, j)")
+    made = "e"
+    if inverse:
+        parts += _polynomials("l", "g")
+        parts.append("dl AS (SELECT t, m, k, sum(w * b * re) AS re, sum(w * b * im) AS im FROM e JOIN l USING (m, j) WHERE j BETWEEN 100 AND 199 GROUP BY t, m, k)")
+        parts.append("el AS (SELECT t, m, j, sum(re * b * f) AS re, sum(im * b * f) AS im FROM (SELECT *, CASE WHEN m + k > 0 THEN -(6370000.0::DOUBLE ** 2) / ((m + k) * (m + k + 1)) ELSE 0 END AS f FROM dl) JOIN l USING (m, k) GROUP BY t, m, j)")
+        made = "el"
+    parts.append(f"o AS (SELECT t, j - {first} AS j, i, sum(CASE WHEN m > 0 THEN 2 ELSE 1 END * (re * cos(2 * pi() * m * i / {nx}) - im * sin(2 * pi() * m * i / {nx}))) AS {v} FROM {made}, (SELECT unnest(range({nx})) AS i) WHERE j BETWEEN {first} AND {first + 99} GROUP BY t, j, i)")
+    return parts
+
+
+def _harmonics_sql(v: str, scale: float, *more, **options) -> str:
+    return "WITH " + ",\n".join([CUBE_SQL, *_harmonics_parts(v, *more, **options)]) + "\n" + rounded_sql({v: scale}, "o")
+
+
+def _irrotational_sql() -> str:
+    """Differences of the inverse Laplacian of the divergence."""
+    near = {"e": "n.j = o.j AND n.i = (o.i + 1) % 64", "w": "n.j = o.j AND n.i = (o.i + 63) % 64", "n": "n.j = o.j + 1 AND n.i = o.i", "s": "n.j = o.j - 1 AND n.i = o.i"}
+    joins = " ".join(f"LEFT JOIN o {d} ON {d}.t = o.t AND " + on.replace("n.j", f"{d}.j").replace("n.i", f"{d}.i") for d, on in near.items())
+    last = f"r AS (SELECT o.t, o.j, o.i, (e.chi - w.chi) / dx AS u_irr, (n.chi - s.chi) / dy AS v_irr FROM o JOIN s1 ON s1.t = o.t AND s1.j = o.j AND s1.i = o.i {joins})"
+    divergence = stages_sql([{"chi": "coalesce((u[e] - u[w]) / dx + (v[n] - v[s]) / dy, 0)"}]).replace("r AS (SELECT vec_id", "raw AS (SELECT vec_id", 1).replace("FROM r)", "FROM raw)")
+    return divergence + ",\n" + ",\n".join([*_harmonics_parts("chi", inverse=True, source="s1"), last]) + "\n" + rounded_sql({"u_irr": 1, "v_irr": 1}, "r")
+
+
+def _wind(s, d):
+    return cube(s, d).select("t", "j", "i", "u", "v")
+
+
+_add("sphere_trunc_triangular", lambda s, d: rounded(hm.spectral_truncation(GRID, _wind(s, d), "u", LATS, _DEGREE), {"u": 1}), _harmonics_sql("u", 1))
+_add("sphere_sh_synthesis_ilaplace", lambda s, d: rounded(hm.spectral_truncation(GRID, _wind(s, d), "u", LATS, _DEGREE, True), {"u": 1e-12}), _harmonics_sql("u", 1e-12, inverse=True))
+_add("sphere_regrid", lambda s, d: rounded(hm.spectral_regrid(GRID, _wind(s, d), "u", LATS, _DEGREE, _MAP_LATS, _MAP_NX), {"u": 1}), _harmonics_sql("u", 1, _MAP_NX, 200))
+_add("sphere_helmholtz_wind", lambda s, d: rounded(hm.helmholtz_wind(GRID, _wind(s, d), "u", "v", LATS, _DEGREE), {"vor": 1e5, "div": 1e5, "psi": 1e-6, "chi": 1e-6, "u_rot": 1, "v_rot": 1, "u_irr": 1, "v_irr": 1}))
+_add("sphere_irot_wind", lambda s, d: rounded(hm.irrotational_wind(GRID, GRID.slices(cube(s, d)), "u", "v", LATS, _DEGREE), {"u_irr": 1, "v_irr": 1}), _irrotational_sql())
+_add("sphere_vector_laplacian", lambda s, d: rounded(hm.vector_laplacian(GRID, _wind(s, d), "u", "v", LATS, _DEGREE), {"u_lap": 1e10, "v_lap": 1e10}))
+_add("sphere_theta_derivative", lambda s, d: rounded(hm.theta_derivative(GRID, _wind(s, d), "u", "v", LATS, _DEGREE), {"u_theta": 1, "v_theta": 1}))

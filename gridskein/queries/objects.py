@@ -247,11 +247,6 @@ _add("cyc_rwb_by_contour", lambda s, d: wb.rwb_by_contour(GRID, _smooth(s, d).wi
 _add("diag_block_indicator", lambda s, d: rounded(dg.block_indicator(GRID, GRID.slices(cube(s, d)), "u", 5, 2), {"block": 1}), stages_sql([_BI, {"block": "CASE WHEN j >= 5 AND j < 45 THEN coalesce((b[ww] + b[w] + b + b[e] + b[ee]) / 5, 0) ELSE 0 END"}]) + "\n" + rounded_sql({"block": 1}, "s2"))
 
 # Spectra, eigenvalues and the rest of the levels' operators.
-_add("sphere_trunc_triangular", lambda s, d: rounded(ft.spectral_truncation(GRID, cube(s, d).select("t", "j", "i", "u"), "u", LATS, 12), {"u": 1}))
-_add("sphere_sh_synthesis_ilaplace", lambda s, d: rounded(ft.spectral_truncation(GRID, cube(s, d).select("t", "j", "i", "u"), "u", LATS, 12, True), {"u": 1e-12}))
-_add("sphere_helmholtz_wind", lambda s, d: rounded(ft.helmholtz_wind(GRID, cube(s, d), "u", "v", LATS, 12), {"vor": 1e5, "div": 1e5, "psi": 1e-6, "chi": 1e-6, "u_rot": 1, "v_rot": 1, "u_irr": 1, "v_irr": 1}))
-_add("sphere_regrid", lambda s, d: rounded(ft.spectral_regrid(GRID, cube(s, d).select("t", "j", "i", "u"), "u", LATS, 12, [-60.0 + 5 * k for k in range(25)], 72), {"u": 1}))
-_add("sphere_irot_wind", lambda s, d: rounded(ft.irrotational_wind(GRID, GRID.slices(cube(s, d)), "u", "v", LATS, 12), {"u_irr": 1, "v_irr": 1}))
 _add("filter_fill_nan", lambda s, d: rounded(ft.fill_nan(GRID, cube(s, d).withColumn("u", F.when(F.col("v").between(-1, 1), None).otherwise(F.col("u"))), "u"), {"u": 1}))
 _HY = f"""WITH {CUBE_SQL.replace("s0 AS (", "sx AS (")}, s0 AS (SELECT t, CAST(j % 5 AS INTEGER) AS k, CAST(j // 5 AS INTEGER) AS j, i, temp, 20000.0::DOUBLE + 18000.0::DOUBLE * (j % 5) AS pr FROM sx),
     a AS (SELECT *, 287.04::DOUBLE * temp * ln(coalesce((lag(pr) OVER w + pr) / 2, 101000) / pr) AS lo, 287.04::DOUBLE * temp * ln(pr / coalesce((lead(pr) OVER w + pr) / 2, pr)) AS hi FROM s0 WINDOW w AS (PARTITION BY t, j, i ORDER BY k DESC)),

@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, con, name):
     assert compare(con, QUERIES[name](spark, SF).toPandas(), ORACLE_SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", ["contour_cutoffs", "contour_streamers", "cyc_cyclone_by_contour", "filter_fill_nan", "diag_def_3d", "cyc_rwb_by_contour", "sphere_helmholtz_wind", "sphere_regrid"])
+@pytest.mark.parametrize("name", ["contour_cutoffs", "contour_streamers", "cyc_cyclone_by_contour", "filter_fill_nan", "diag_def_3d", "cyc_rwb_by_contour", "sphere_helmholtz_wind"])
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 

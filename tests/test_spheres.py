@@ -4,9 +4,11 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridskein.grid import Grid
 from gridskein.operators import features as ft
+from gridskein.operators import harmonics as hm
 from gridskein.operators import kernels as k
 from gridskein.operators import wave_breaking as wb
 from gridskein.sources import netcdf_axes, read_netcdf
@@ -104,17 +106,99 @@ def test_helmholtz_parts_come_back(spark):
     (px, py), (cx, cy) = k.gradient(psi, lats, nx), k.gradient(chi, lats, nx)
     rows = [(0, j, i, float(cx[j, i] - py[j, i]), float(cy[j, i] + px[j, i])) for j in range(24) for i in range(nx)]
     cube = spark.createDataFrame(rows, "t int, j int, i int, u double, v double")
-    found = ft.helmholtz_wind(Grid(nx, 24), cube, "u", "v", lats.tolist(), 8).toPandas().sort_values(["j", "i"])
+    found = hm.helmholtz_wind(Grid(nx, 24), cube, "u", "v", lats.tolist(), 8).toPandas().sort_values(["j", "i"])
     for name, want in (("u_rot", -py), ("v_rot", px), ("u_irr", cx), ("v_irr", cy), ("psi", k.synthesis(psi, lats, nx)), ("chi", k.synthesis(chi, lats, nx))):
         assert np.allclose(found[name].to_numpy().reshape(24, nx), want, atol=1e-8 * np.abs(want).max())
 
 
+def _slice(spark, **fields):
+    """One slice (t = 0) of fields on rows and cells."""
+    names, (ny, nx) = list(fields), next(iter(fields.values())).shape
+    return spark.createDataFrame([(0, j, i, *(float(fields[n][j, i]) for n in names)) for j in range(ny) for i in range(nx)], "t int, j int, i int, " + ", ".join(f"{n} double" for n in names))
+
+
+def _fields(df, ny, nx, *names):
+    rows = df.toPandas().sort_values(["j", "i"])
+    return [rows[n].to_numpy().reshape(ny, nx) for n in names]
+
+
+def _by_potentials(lats, psi, chi, nx):
+    (px, py), (cx, cy) = k.gradient(psi, lats, nx), k.gradient(chi, lats, nx)
+    return cx - py, cy + px
+
+
+def test_vector_laplacian_and_its_inverse(spark):
+    lats, psi, chi = _wind()
+    n = np.arange(9)
+    factor = -n * (n + 1) / 6.37e6**2
+    u, v = _by_potentials(lats, psi, chi, 32)
+    lu, lv = _by_potentials(lats, psi * factor, chi * factor, 32)
+    g, rows = Grid(32, 24), lats.tolist()
+    for a, b in zip(_fields(hm.vector_laplacian(g, _slice(spark, u=u, v=v), "u", "v", rows, 8), 24, 32, "u_lap", "v_lap"), (lu, lv), strict=True):
+        assert np.allclose(a, b, atol=1e-8 * np.abs(b).max())
+    for a, b in zip(_fields(hm.inverse_vector_laplacian(g, _slice(spark, u=lu, v=lv), "u", "v", rows, 8), 24, 32, "u", "v"), (u, v), strict=True):
+        assert np.allclose(a, b, atol=1e-8 * np.abs(b).max())
+
+
+def test_winds_come_back_from_vorticity_and_divergence(spark):
+    lats, psi, chi = _wind()
+    g, rows = Grid(32, 24), lats.tolist()
+    u, v = _by_potentials(lats, psi, chi, 32)
+    fields = hm.vorticity_divergence(g, _slice(spark, u=u, v=v), "u", "v", rows, 8)
+    made = hm.wind_of(g, fields, "vor", "div", rows, 8, inverse=True).selectExpr("j", "i", "u_rot + u_irr AS u", "v_rot + v_irr AS v")
+    for a, b in zip(_fields(made, 24, 32, "u", "v"), (u, v), strict=True):
+        assert np.allclose(a, b, atol=1e-8 * np.abs(b).max())
+    made = hm.wind_of(g, _slice(spark, psi=k.synthesis(psi, lats, 32), chi=k.synthesis(chi, lats, 32)), "psi", "chi", rows, 8).selectExpr("j", "i", "u_rot + u_irr AS u")
+    assert np.allclose(_fields(made, 24, 32, "u")[0], u, atol=1e-8 * np.abs(u).max())
+
+
+def test_gradient_and_laplacian_have_inverses(spark):
+    lats, _, chi = _wind()
+    g, rows, field = Grid(32, 24), lats.tolist(), k.synthesis(chi, lats, 32)
+    east, north = k.gradient(chi, lats, 32)
+    found = _fields(hm.inverse_gradient(g, _slice(spark, x=east, y=north), "x", "y", rows, 8), 24, 32, "value")[0]
+    assert np.allclose(found, field, atol=1e-8 * np.abs(field).max())
+    c = hm.analysis(g, _slice(spark, v=field), ["v"], rows, 8)
+    back = hm.synthesis(hm.inverse_laplacian(hm.laplacian(c, ["v"]), ["v"]), ["v"], rows, 32, 8)
+    assert np.allclose(_fields(back, 24, 32, "v")[0], field, atol=1e-8 * np.abs(field).max())
+    found = {(r.m, r.n): complex(r.v_re, r.v_im) for r in c.collect()}
+    assert len(found) == 45 and all(abs(x - chi[key]) < 1e-8 * np.abs(chi).max() for key, x in found.items())
+
+
+def test_theta_derivative_by_differences(spark):
+    lats, psi, chi = _wind()
+    h = 1e-4
+    u, v = _by_potentials(lats, psi, chi, 32)
+    ahead, behind = _by_potentials(lats + h, psi, chi, 32), _by_potentials(lats - h, psi, chi, 32)
+    found = _fields(hm.theta_derivative(Grid(32, 24), _slice(spark, u=u, v=v), "u", "v", lats.tolist(), 8), 24, 32, "u_theta", "v_theta")
+    for a, x, y in zip(found, ahead, behind, strict=True):
+        want = -(x - y) / np.radians(2 * h)
+        assert np.allclose(a, want, atol=1e-6 * np.abs(want).max())
+
+
+def test_slices_that_are_not_whole_have_no_harmonics(spark):
+    rows = [(t, j, i, None if (t, j, i) == (1, 3, 4) else float(t + 1)) for t in range(4) for j in range(6) for i in range(8) if (t, j, i) != (2, 0, 0)]
+    cube = spark.createDataFrame(rows, "t int, j int, i int, v double")
+    lats = [-75.0 + 30 * j for j in range(6)]
+    found = hm.spectral_truncation(Grid(8, 6), cube, "v", lats, 2).groupBy("t").agg(F.count("v").alias("n"), F.max("v").alias("v"), F.count(F.lit(1)).alias("rows")).orderBy("t").collect()
+    assert [(r.n, r.rows) for r in found] == [(48, 48), (0, 48), (0, 48), (48, 48)] and abs(found[3].v - 4) < 1e-9
+    assert hm.spectral_truncation(Grid(8, 6), cube.limit(0), "v", lats, 2).count() == 0
+
+
+def test_sums_of_waves_need_no_further_shuffle(spark):
+    """Above the one that gathers the waves of a row there is none."""
+    g, lats = Grid(32, 24), [float(x) for x in np.linspace(-80, 80, 24)]
+    plan = hm.spectral_truncation(g, _slice(spark, v=np.zeros((24, 32))), "v", lats, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and plan.index("HashAggregate(keys=[t") < plan.index("REPARTITION_BY_COL")
+    assert "Exchange" not in plan[: plan.index("REPARTITION_BY_COL")].replace("+- Exchange", "", 1)
+
+
 def test_regridding_is_exact_for_few_harmonics(spark):
     lats, c, _ = _wind()
     field = k.synthesis(c, lats, 32)
     cube = spark.createDataFrame([(0, j, i, float(field[j, i])) for j in range(24) for i in range(32)], "t int, j int, i int, v double")
     new = np.linspace(-80, 80, 9)
-    found = ft.spectral_regrid(Grid(32, 24), cube, "v", lats.tolist(), 8, new.tolist(), 40, 0.5).toPandas().sort_values(["j", "i"])
+    found = hm.spectral_regrid(Grid(32, 24), cube, "v", lats.tolist(), 8, new.tolist(), 40, 0.5).toPandas().sort_values(["j", "i"])
     assert np.allclose(found["v"].to_numpy().reshape(9, 40), k.synthesis(c, new, 80)[:, 1::2])
 
 
