@@ -10,6 +10,7 @@ from ..grid import unrotated
 from ..operators import curvilinear as cv
 from ..operators import harmonics as hm
 from ..operators.kernels import gaussian_latitudes
+from ..plans.derived import default_derivations
 from ._cube import CUBE_SQL, GRID, LATS, LONS, cube, rounded, rounded_sql, stages_sql
 
 QUERIES: dict = {}
@@ -150,3 +151,14 @@ _add("sphere_helmholtz_wind", lambda s, d: rounded(hm.helmholtz_wind(GRID, _wind
 _add("sphere_irot_wind", lambda s, d: rounded(hm.irrotational_wind(GRID, GRID.slices(cube(s, d)), "u", "v", LATS, _DEGREE), {"u_irr": 1, "v_irr": 1}), _irrotational_sql())
 _add("sphere_vector_laplacian", lambda s, d: rounded(hm.vector_laplacian(GRID, _wind(s, d), "u", "v", LATS, _DEGREE), {"u_lap": 1e10, "v_lap": 1e10}))
 _add("sphere_theta_derivative", lambda s, d: rounded(hm.theta_derivative(GRID, _wind(s, d), "u", "v", LATS, _DEGREE), {"u_theta": 1, "v_theta": 1}))
+
+_DERIVED = {"vor": 1e6, "def_total": 1e6, "rho": 1, "theta_grad": 1e6, "okuboweiss": 1e11}
+_add(
+    "plan_derived_variables",
+    lambda s, d: rounded(default_derivations().derive(GRID, cube(s, d), *_DERIVED), _DERIVED),
+    stages_sql([
+        {"ux": "(u[e] - u[w]) / dx", "uy": "(u[n] - u[s]) / dy", "vx": "(v[e] - v[w]) / dx", "vy": "(v[n] - v[s]) / dy", "theta": "temp / ((p / 100000) ** (287.04::DOUBLE / 1004.0::DOUBLE))"},
+        {"vor": "vx - uy", "def_total": "sqrt((uy + vx) ** 2 + (ux - vy) ** 2)", "rho": "p / (287.04::DOUBLE * temp)", "theta_grad": "sqrt(((theta[e] - theta[w]) / dx) ** 2 + ((theta[n] - theta[s]) / dy) ** 2)"},
+        {"okuboweiss": "0.25::DOUBLE * (def_total * def_total - vor * vor)"},
+    ]) + "\n" + rounded_sql(_DERIVED, "s3"),
+)
