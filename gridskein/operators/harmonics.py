@@ -162,7 +162,7 @@ def vector_laplacian(g: Grid, cube: DataFrame, u: str, v: str, lats: Sequence[fl
 
 
 def inverse_vector_laplacian(g: Grid, cube: DataFrame, u: str, v: str, lats: Sequence[float], degree: int) -> DataFrame:
-    """(t, j, i, u, v): the wind, without solid rotation about other than its own harmonics, whose vector Laplacian is given."""
+    """(t, j, i, u, v): the wind whose vector Laplacian is given."""
     c = analysis(g, vorticity_divergence(g, cube, u, v, lats, degree), ["vor", "div"], lats, degree)
     twice = inverse_laplacian(inverse_laplacian(c, ["vor", "div"]), ["vor", "div"])
     found = with_gradients(twice, ["vor", "div"], lats, g.nx, degree)
