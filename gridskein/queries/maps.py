@@ -63,7 +63,7 @@ o AS (SELECT t, n.lat, n.lon, u, distance FROM n JOIN s0 USING (j, i))
 
 
 def _map_sql() -> str:
-    """Quads by the sides that places lie on, against all quads; coordinates in them by Newton's steps."""
+    """Quads by the sides that places lie on, against all quads; coordinates in them by Newton's steps; NULL where a cell that counts is missing or NULL."""
     corner = {"00": "j = k.j AND {n}.i = k.i", "01": "j = k.j AND {n}.i = (k.i + 1) % 64", "10": "j = k.j + 1 AND {n}.i = k.i", "11": "j = k.j + 1 AND {n}.i = (k.i + 1) % 64"}
     joins = " ".join(f"JOIN c c{n} ON c{n}." + on.format(n=f"c{n}") for n, on in corner.items())
     columns = ", ".join(f"c{n}.{c} AS {c}{n}" for n in corner for c in "xyz")
@@ -81,7 +81,7 @@ def _map_sql() -> str:
         parts.append(f"w{n + 1} AS (SELECT * EXCLUDE (ru, rv, au, av, bu, bv) REPLACE (a - (ru * bv - rv * bu) / (au * bv - av * bu) AS a, b - (au * rv - av * ru) / (au * bv - av * bu) AS b) FROM w{n}d)")
     parts.append("g AS (SELECT t, j, i, u * ny - v * nx AS east, u * nx + v * ny AS north FROM s0 JOIN c USING (j, i))")
     parts.append("h AS (SELECT lat, lon, j, i, (1 - a) * (1 - b) AS f FROM w8 UNION ALL SELECT lat, lon, j, (i + 1) % 64, a * (1 - b) FROM w8 UNION ALL SELECT lat, lon, j + 1, i, (1 - a) * b FROM w8 UNION ALL SELECT lat, lon, j + 1, (i + 1) % 64, a * b FROM w8)")
-    parts.append("o AS (SELECT t, lat, lon, sum(f * east) AS east, sum(f * north) AS north FROM g JOIN h USING (j, i) GROUP BY t, lat, lon)")
+    parts.append("o AS (SELECT t, lat, lon, CASE WHEN sum(CASE WHEN east IS NOT NULL THEN f END) > 1 - 1e-12 THEN sum(f * east) END AS east, CASE WHEN sum(CASE WHEN north IS NOT NULL THEN f END) > 1 - 1e-12 THEN sum(f * north) END AS north FROM g JOIN h USING (j, i) GROUP BY t, lat, lon)")
     return "WITH " + ",\n".join(parts) + "\n" + rounded_sql({"east": 1, "north": 1}, "o", ("t", "lat", "lon"))
 
 
