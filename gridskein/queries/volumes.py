@@ -148,7 +148,7 @@ _GAUSS = ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in zip(range(-5, 6), fl.gaus
 _DENSE = objects.ORACLE_SQL["line_normalize_lines"]
 _DENSE = _DENSE[: _DENSE.rindex("SELECT t, j, i, round(density")]
 _add("line_smear_lines", lambda s, d: rounded(ft.smear_lines(GRID, _lines(s, d), objects._cells(s)), {"density": 1e9}), _DENSE + f""", n AS (SELECT t, j, i, sum(sqrt(pow(dx * di / 2, 2) + pow(dy * dj / 2, 2)) / 2 / (dx * dy / 4)) AS density FROM h JOIN c ON c.j = cy AND c.i = CAST(cx AS INTEGER) % 64 GROUP BY ALL),
-    z AS (SELECT s0.t, s0.j, s0.i, coalesce(n.density, 0) AS a FROM s0 LEFT JOIN n USING (t, j, i)), w(o, f) AS (VALUES {_GAUSS}),
+    z AS (SELECT x.t, c.j, c.i, coalesce(n.density, 0) AS a FROM (SELECT DISTINCT t FROM d) x CROSS JOIN c LEFT JOIN n ON n.t = x.t AND n.j = c.j AND n.i = c.i), w(o, f) AS (VALUES {_GAUSS}),
     y1 AS (SELECT z.t, z.j - w.o AS j, z.i, sum(w.f * z.a) AS a, count(*) AS n FROM z, w GROUP BY ALL), x1 AS (SELECT t, j, (i - o + 64) % 64 AS i, sum(f * CASE WHEN n = 11 THEN a END) AS a, min(n) AS n FROM y1, w GROUP BY ALL)
     """ + rounded_sql({"density": 1e9}, "(SELECT t, j, i, CASE WHEN n = 11 THEN a END AS density FROM x1 WHERE j BETWEEN 0 AND 49)"))
 _add("line_to_coordinates", lambda s, d: rounded(ft.lines_to_coordinates(GRID, _lines(s, d), objects._cells(s)), {"x": 1, "y": 1}, ("t", "line_id", "pt")), _D + rounded_sql({"x": 1, "y": 1}, "(SELECT t, line_id, pt, 5.625 * x AS x, -73.5 + 3 * y AS y FROM d)", ("t", "line_id", "pt")))
