@@ -518,7 +518,10 @@ def dist_from_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def solve_helmholtz(g: Grid, cube: DataFrame, v: str, coef: float, method: str = "multigrid", tolerance: float = 1e-22) -> DataFrame:
-    """(t, j, i, x): for each slice the solution of x - coef (sum of the four neighbours - 4 x) = v on a doubly periodic grid, by multigrid, cg or bicgstab."""
+    """(t, j, i, x): for each slice the solution of x - coef (sum of the four neighbours - 4 x) = v on a doubly periodic grid, by multigrid, cg or bicgstab.
+
+    A slice with a NULL or without one of its cells has none: x is NULL in all its cells.
+    """
     solver = {"multigrid": kernels.multigrid, "cg": kernels.conjugate_gradient, "bicgstab": kernels.bicgstab}[method]
 
     def operator(x, level: int = 0):
@@ -526,9 +529,10 @@ def solve_helmholtz(g: Grid, cube: DataFrame, v: str, coef: float, method: str =
         return x - coef / 4**level * (near - 4 * x)
 
     def kernel(a):
-        out, _ = solver(operator, a[v], tolerance=tolerance)
+        whole = np.isfinite(a[v]).all()
+        out = solver(operator, a[v], tolerance=tolerance)[0] if whole else a[v]
         j, i = np.indices(out.shape)
-        return pd.DataFrame({"j": j.ravel().astype("int32"), "i": i.ravel().astype("int32"), "x": out.ravel()})
+        return pd.DataFrame({"j": j.ravel().astype("int32"), "i": i.ravel().astype("int32"), "x": out.ravel() if whole else pd.array([None] * out.size, "Float64")})
 
     return per_slice(g, cube.select("t", "j", "i", v), kernel, "j int, i int, x double")
 
