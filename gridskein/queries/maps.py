@@ -109,13 +109,14 @@ def _harmonics_parts(v: str, nx: int = 64, first: int = 0, inverse: bool = False
     """CTEs that end in o (t, j, i, v): the least squares of the rows by orthogonal polynomials; the inverse Laplacian by those of Gaussian quadrature.
 
     Points are the rows (0 to 49), the nodes of the quadrature (from 100) and the rows of the other map (from 200); result rows begin with the point ``first``.
+    A slice with a NULL or without one of its cells has NULLs.
     """
     lats, weights = gaussian_latitudes(16)
     nodes = ", ".join(f"({100 + n}, {math.sin(math.radians(b))!r}::DOUBLE, 0.0::DOUBLE, {float(w)!r}::DOUBLE)" for n, (b, w) in enumerate(zip(lats.tolist(), weights.tolist(), strict=True)))
     parts = [f"points AS (SELECT j, x, sqrt(1 - x * x) AS c, CASE WHEN j < 100 THEN sqrt(1 - x * x) ELSE 0.0::DOUBLE END AS rowweight, g FROM (SELECT unnest(range(50)) AS j, sin(radians(-73.5::DOUBLE + 3 * unnest(range(50)))) AS x, 0.0::DOUBLE AS g UNION ALL SELECT j, x, g FROM (VALUES {nodes}) n(j, x, z, g) UNION ALL SELECT 200 + unnest(range(25)), sin(radians(-60.0::DOUBLE + 5 * unnest(range(25)))), 0.0::DOUBLE))"]
     parts += _polynomials("a", "rowweight")
-    parts.append(f"f AS (SELECT t, j, m, sum({v} * cos(2 * pi() * m * i / 64)) / 64 AS re, -sum({v} * sin(2 * pi() * m * i / 64)) / 64 AS im FROM {source}, (SELECT unnest(range({_DEGREE + 1})) AS m) GROUP BY t, j, m)")
-    parts.append("d AS (SELECT t, m, k, sum(w * b * re) AS re, sum(w * b * im) AS im FROM f JOIN a USING (m, j) GROUP BY t, m, k)")
+    parts.append(f"f AS (SELECT t, j, m, CASE WHEN count({v}) = 64 THEN sum({v} * cos(2 * pi() * m * i / 64)) / 64 END AS re, CASE WHEN count({v}) = 64 THEN -sum({v} * sin(2 * pi() * m * i / 64)) / 64 END AS im FROM {source}, (SELECT unnest(range({_DEGREE + 1})) AS m) GROUP BY t, j, m)")
+    parts.append("d AS (SELECT t, m, k, CASE WHEN count(re) = 50 THEN sum(w * b * re) END AS re, CASE WHEN count(im) = 50 THEN sum(w * b * im) END AS im FROM f JOIN a USING (m, j) GROUP BY t, m, k)")
     parts.append("e AS (SELECT t, m, j, sum(re * b) AS re, sum(im * b) AS im FROM d JOIN a USING (m, k) GROUP BY t, m, j)")
     made = "e"
     if inverse:
