@@ -211,14 +211,19 @@ def smooth_tracks(tracks: DataFrame, config: TrackConfig = TRACKING) -> DataFram
 
 
 def aggregate_trackinfo(tracks: DataFrame, step_hours: float, by: tuple[str, ...] = ("hemis", "track_id")) -> DataFrame:
-    """Per track: lifetime (h), distances (m), whether ever closed, genesis, lysis, and where pressure was least and Laplacian and prominence greatest."""
-    w = Window.partitionBy(*by).orderBy("t")
+    """Per track: lifetime (h), distances (m), whether ever closed, genesis, lysis, and where pressure was least and Laplacian and prominence greatest.
+
+    Rows at the same time are taken in order of lat and lon.
+    """
+    w = Window.partitionBy(*by).orderBy("t", "lat", "lon")
+    timed = F.when(F.col("t").isNotNull(), F.struct("t", "lat", "lon"))
+    last = [-F.col(c) for c in ("t", "lat", "lon")]
     steps = tracks.withColumn("__d", dist_sphere(F.lag("lon").over(w), F.lag("lat").over(w), "lon", "lat"))
     at = lambda c, f, name: [f(x, c).alias(f"{x if x != 't' else 'date'}_{name}") for x in ("t", "lon", "lat")]
     found = steps.groupBy(*by).agg(
         ((F.max("t") - F.min("t")) * step_hours).cast("double").alias("lifetime"), F.sum("__d").alias("distance_traveled"), F.max("closed").alias("closed"),
-        *at("t", F.min_by, "genesis"), *at("t", F.max_by, "lysis"),
-        F.max("lap").alias("msl_maxlap"), *at(F.struct("lap", -F.col("t")), F.max_by, "maxlap"), F.min("msl").alias("msl_min"), *at(F.struct("msl", "t"), F.min_by, "mslmin"), F.max("prominence").alias("msl_maxprom"), *at(F.struct("prominence", -F.col("t")), F.max_by, "maxprom"),
+        *at(timed, F.min_by, "genesis"), *at(timed, F.max_by, "lysis"),
+        F.max("lap").alias("msl_maxlap"), *at(F.struct("lap", *last), F.max_by, "maxlap"), F.min("msl").alias("msl_min"), *at(F.struct("msl", "t", "lat", "lon"), F.min_by, "mslmin"), F.max("prominence").alias("msl_maxprom"), *at(F.struct("prominence", *last), F.max_by, "maxprom"),
     )
     first_last = dist_sphere("lon_genesis", "lat_genesis", "lon_lysis", "lat_lysis")
     return found.withColumns({"distance_traveled": F.coalesce("distance_traveled", F.lit(0.0)), "distance_firstlast": first_last})
