@@ -213,9 +213,10 @@ def front_maxgrad(g: Grid, cube: DataFrame, s: str, u: str, v: str) -> DataFrame
 
 
 def block_indicator(g: Grid, cube: DataFrame, v: str, dj: int = 30, di: int = 15, out: str = "block") -> DataFrame:
-    """Adds the difference of the means south and north of a cell, smoothed over 2 di + 1 columns; 0 near the edges."""
+    """Adds the difference of the means south and north of a cell, smoothed over 2 di + 1 columns; 0 near the edges and where one of the rows is missing or NULL."""
     w = g.along_y
-    south, north = F.sum(v).over(w.rowsBetween(-dj, -1)), F.sum(v).over(w.rowsBetween(1, dj))
+    sides = [w.rangeBetween(-dj, -1), w.rangeBetween(1, dj)]
+    south, north = (F.when(F.count(v).over(s) == dj, F.sum(v).over(s)) for s in sides)
     inside = (F.col("j") >= dj) & (F.col("j") < g.ny - dj)
     cube = cube.withColumn("__b", F.when(inside, (south - north) / dj))
     row = g.along_x.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
