@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from .constants import METRES_PER_DEGREE
 
 
+#: Rows of a partition of whole slices.
+_ROWS = 1 << 16
+
+
 def ratio(a, b) -> Column:
     """a / b, NULL where b is zero."""
     return a / F.nullif(b, F.lit(0.0))
@@ -35,9 +39,15 @@ class Grid:
     cyclic: bool = True
     slice_cols: tuple[str, ...] = ("t",)
 
-    def slices(self, cube: DataFrame) -> DataFrame:
-        """The cube partitioned by horizontal slice."""
-        return cube.repartition(*self.slice_cols)
+    def slices(self, cube: DataFrame, like: DataFrame | None = None) -> DataFrame:
+        """The cube partitioned by horizontal slice.
+
+        A stage of many windows sorts its partition many times, so partitions hold
+        about ``_ROWS`` rows (a slice at least), however many there are: rows are
+        counted first, which needs no column but those that rows depend on; a frame
+        ``like`` it, with as many rows, is counted in its place where that is cheaper.
+        """
+        return cube.repartition(max(1, -(-(cube if like is None else like).count() // _ROWS)), *self.slice_cols)
 
     @property
     def along_x(self):

@@ -112,7 +112,7 @@ def smooth_xy_missing(g: Grid, cube: DataFrame, v: str, passes: int, out: str |
     rows = cube.groupBy("t", "j").agg(F.avg(v).alias("m")).groupBy("j").agg(F.avg("m").alias("__mean"))
     rows = F.broadcast(rows)  # the grid's rows
     filled = fill_nan(g, cube.join(rows, "j").withColumn("__d", F.col(v) - F.col("__mean")), "__d")
-    whole = g.slices(cube.join(filled, ["t", "j", "i"]).join(rows, "j").withColumn("__d", F.col("__d") + F.col("__mean")))
+    whole = g.slices(cube.join(filled, ["t", "j", "i"]).join(rows, "j").withColumn("__d", F.col("__d") + F.col("__mean")), cube)
     smooth = smooth_xy(g, whole, "__d", passes)
     return smooth.withColumn(out or v, F.when(F.col(v).isNotNull() & ~F.isnan(v), F.col("__d"))).drop("__d", "__mean")
 
@@ -213,7 +213,7 @@ def smear_lines(g: Grid, lines: DataFrame, cells: DataFrame, reach: int = 5, std
     """(t, j, i, density): length of lines over area in all cells, smoothed by a Gaussian along y and x; NULL where that reaches beyond an edge."""
     every = lines.select("t").distinct().crossJoin(F.broadcast(cells.select("j", "i")))  # the grid at each time
     dense = every.join(normalize_lines(g, lines, cells), ["t", "j", "i"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
-    return filter_xy(g, g.slices(dense), "density", gauss_weights(reach, stddev))
+    return filter_xy(g, g.slices(dense, every), "density", gauss_weights(reach, stddev))
 
 
 def long_lines(lines: DataFrame, least: int) -> DataFrame:

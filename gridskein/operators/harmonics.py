@@ -198,5 +198,5 @@ def irrotational_wind(g: Grid, cube: DataFrame, u: str, v: str, lats: Sequence[f
     """Adds u_irr, v_irr: the gradient of the inverse Laplacian of the divergence."""
     divergence = cube.withColumn("chi", F.coalesce(ddx(g, u) + ddy(g, v), F.lit(0.0)))
     chi = spectral_truncation(g, divergence.select("t", "j", "i", "chi"), "chi", lats, degree, True)
-    joined = g.slices(cube.join(chi, ["t", "j", "i"]))
+    joined = g.slices(cube.join(chi, ["t", "j", "i"]), cube)
     return joined.withColumns({"u_irr": ddx(g, "chi"), "v_irr": ddy(g, "chi")}).drop("chi")

@@ -4,6 +4,7 @@ import pytest
 
 from gridskein.operators import components
 from gridskein.queries import ORACLE_SQL, QUERIES
+from gridskein.queries._cube import GRID
 
 from .oracle import DATA, compare, connect
 
@@ -40,3 +41,12 @@ def test_components_need_no_broadcast(spark):
     for r in roots.collect():
         found.setdefault(r.root, set()).add(r.node)
     assert sorted(map(sorted, found.values())) == [list(range(n, n + 100)) for n in range(0, 400, 100)]
+
+
+def test_partitions_of_slices_do_not_grow(spark):
+    from pyspark.sql import functions as F
+
+    cube = spark.range(3200 * 200).selectExpr("cast(id div 3200 as int) AS t", "cast(id % 3200 div 64 as int) AS j", "cast(id % 64 as int) AS i")
+    parts = GRID.slices(cube).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.collect_set("t").alias("ts")).collect()
+    assert max(r.n for r in parts) < 3 * 65536 and sum(r.n for r in parts) == 3200 * 200
+    assert sum(len(r.ts) for r in parts) == 200
