@@ -6,9 +6,10 @@ import collections
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from gridskein.operators import segments
+from gridskein.operators import meetings, segments
 from gridskein.operators import tracking as tk
 from gridskein.storage import setting
 from gridskein.streaming import ROCKSDB, track_stream
@@ -129,3 +130,38 @@ def test_links_across_the_equator(spark):
                 want[a, b] = link
     frame = spark.createDataFrame(points, "id long, hemis string, s long, lat double, lon double").selectExpr("id", "hemis", "timestamp_seconds(s) AS ts", "lat", "lon")
     assert {(r.a, r.b): r.link for r in tk.connect_cyclones(frame).collect()} == want and len(want) > 20
+
+
+def _wandering(tracks=60, points=40, seed=8):
+    rng, rows = np.random.default_rng(seed), []
+    for k in range(tracks):
+        lat, lon, s = rng.uniform(20, 70), rng.uniform(0, 120), 1704067200 + int(rng.integers(0, 40)) * 86400
+        for _ in range(points):
+            lat, lon, s = float(np.clip(lat + rng.uniform(-1, 1), -80, 80)), lon + rng.uniform(-1, 3), s + int(rng.integers(1, 6)) * 3600
+            rows.append((k, "NS"[k % 5 == 0], s, lat if k % 5 else -lat, lon % 360))
+    return rows
+
+
+def test_parts_of_any_size_give_the_same_links(spark, monkeypatch):
+    frame = spark.createDataFrame(_wandering(), "id long, hemis string, s long, lat double, lon double").selectExpr("id", "hemis", "timestamp_seconds(s) AS ts", "lat", "lon")
+    found = []
+    for tracks in (1000, 7, 1):
+        monkeypatch.setattr(tk, "_TRACKS", tracks)
+        monkeypatch.setattr(tk, "_PARTS", 1)
+        found.append(sorted(map(tuple, tk.connect_cyclones(frame).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 20
+    clusters = lambda links: sorted(map(tuple, tk.cyclone_clusters(frame, links, (1, 3)).collect()))
+    few = tk.connect_cyclones(frame, connecting=(1, 3))
+    assert set(map(tuple, few.collect())) <= set(found[0])
+    assert clusters(few) == clusters(spark.createDataFrame(found[0], "a long, b long, link int"))
+
+
+def test_tracks_that_stay_together_are_not_compared_point_by_point(monkeypatch):
+    """Work grows with the pairs of tracks, not with those of their points."""
+    s = np.arange(2000) * 3600
+    rows = pd.DataFrame({"id": np.arange(20), "s": [s] * 20, "lat": [np.full(2000, 45.0)] * 20, "lon": [s / 86400 * 0.5 + 0.1 * k for k in range(20)]})
+    compared, radii = [], meetings._radii
+    monkeypatch.setattr(meetings, "_radii", lambda a, k, b, m: compared.append(len(k)) or radii(a, k, b, m))
+    links = meetings.links_between(rows, rows, True, meetings.Limits(129600, 1.0), 1.5, 48.0, None)
+    assert len(links) == 190 and set(links["link"]) == {3} and sum(compared) < 10 * 190
+    assert len(meetings.links_between(rows, rows, True, meetings.Limits(129600, 1.0), 1.5, 48.0, (3,))) == 19
