@@ -453,21 +453,14 @@ def attribute_to_features(objects: DataFrame, masks: DataFrame, cube: DataFrame,
 
 def atmospheric_river(g: Grid, cube: DataFrame, u: str, v: str, threshold: float = 250.0, min_length: float = 2000.0, min_poleward: float | None = None) -> DataFrame:
     """(t, label, j, i): connected moisture transports above a threshold, long enough and on one side of the equator."""
-    ivt = F.hypot(u, v)
-    labels = label_connected_2d(g, cube.withColumn("__m", ivt > threshold), "__m")
-    cells = labels.join(cube.select("t", "j", "i", "lat", "lon", F.col(v).alias("__v")), ["t", "j", "i"])
-    found = cells.groupBy("t", "label").agg(F.min("lat").alias("lo"), F.max("lat").alias("hi"), F.avg("__v").alias("mean_v"))
-    found = found.filter((F.col("lo") > 0) | (F.col("hi") < 0))
-    if min_poleward is not None:
-        found = found.filter(F.abs("mean_v") >= min_poleward)
-
-    def long_ones(key, rows: pd.DataFrame) -> pd.DataFrame:
-        lat = rows["lat"]
-        far = (lat.max() - lat.min()) * 111 > min_length or kernels.spread_km(*(rows[c].to_numpy() for c in ("j", "i", "lat", "lon")), g.nx, g.cyclic) > min_length
-        return rows[["t", "label", "j", "i"]] if far else rows[["t", "label", "j", "i"]].iloc[:0]
-
-    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in ("t", "label", "j", "i"))
-    return cells.join(found.select("t", "label"), ["t", "label"], "left_semi").groupBy("t", "label").applyInPandas(long_ones, kinds)
+    def kernel(a):
+        label = kernels.label(a["m"] > 0, g.cyclic)
+        cells = _cells(label, lat=a["lat"], lon=a["lon"], v=a["v"]).sort_values("label", kind="stable", ignore_index=True)
+        keep = kernels.long_objects(*(cells[c].to_numpy() for c in ("label", "j", "i", "lat", "lon", "v")), g.nx, g.cyclic, min_length, min_poleward)
+        return cells.loc[keep, ["label", "j", "i"]]
+
+    strong = cube.select("t", "j", "i", (F.hypot(u, v) > threshold).cast("double").alias("m"), F.col(v).alias("v"), "lat", "lon")
+    return per_slice(g, strong, kernel, "label int, j int, i int")
 
 
 def _steep(g: Grid, v: str, threshold: float):

@@ -491,6 +491,31 @@ def spread_km(j: np.ndarray, i: np.ndarray, lat: np.ndarray, lon: np.ndarray, nx
     return 6371 * float(np.arccos(max(-1.0, most)))
 
 
+def long_objects(label, j, i, lat, lon, v, nx: int, cyclic: bool, min_length: float, min_poleward: float | None = None) -> np.ndarray:
+    """Which cells, sorted by label, belong to an object on one side of the equator that is longer than ``min_length`` (km), with a mean of ``v`` of that size if asked for.
+
+    Bounds of all objects at once leave few whose cells must be compared.
+    """
+    starts = np.flatnonzero(np.r_[True, label[1:] != label[:-1]]) if len(label) else np.zeros(0, int)
+    if not len(starts):
+        return np.zeros(0, bool)
+    ends = np.r_[starts[1:], len(label)]
+    low, high = np.fmin.reduceat(lat, starts), np.fmax.reduceat(lat, starts)
+    good = (low > 0) | (high < 0)
+    if min_poleward is not None:
+        some = ~np.isnan(v)
+        good &= ~(np.abs(np.add.reduceat(np.where(some, v, 0.0), starts) / np.maximum(np.add.reduceat(some.astype(int), starts), 1)) < min_poleward)
+    far = (high - low) * 111 > min_length
+    y, x = np.radians(lat), np.radians(lon)
+    around = np.stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)], axis=1)
+    widest = np.sqrt(((np.fmax.reduceat(around, starts) - np.fmin.reduceat(around, starts)) ** 2).sum(axis=1))
+    unsure = good & ~far & ~(2 * 6371 * np.arcsin(np.minimum(widest / 2, 1)) < min_length * (1 - 1e-9) - 1e-3)
+    for k in np.flatnonzero(unsure):
+        own = slice(starts[k], ends[k])
+        far[k] = spread_km(j[own], i[own], lat[own], lon[own], nx, cyclic) > min_length
+    return np.repeat(good & far, ends - starts)
+
+
 def distance_from(lat: np.ndarray, lon: np.ndarray, mask_lat: np.ndarray, mask_lon: np.ndarray, r: float = 6.37e6) -> np.ndarray:
     """Distance (m) from each point to the nearest marked one; degrees."""
     y, best = np.radians(lat), np.full(len(lat), -1.0)

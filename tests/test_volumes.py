@@ -207,3 +207,26 @@ def test_labels_are_the_same_in_tiles_of_any_size(spark, tile):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
         if not over_time:
             assert groups == want
+
+
+def test_rivers_are_found_slice_by_slice(spark, monkeypatch):
+    """One group a slice, not one an object; the same objects as by comparing all cells of each."""
+    plan = QUERIES["conn_atmospheric_river"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas [t") == 1 and "label" not in plan.split("FlatMapGroupsInPandas")[1].split("\n")[0].split("]")[0]
+    rng, compared, spread = np.random.default_rng(5), [], kernels.spread_km
+    monkeypatch.setattr(kernels, "spread_km", lambda *a: compared.append(1) or spread(*a))
+    mask = rng.random((20, 40)) < 0.5
+    label = kernels.label(mask, True)
+    j, i = np.nonzero(mask)
+    order = np.argsort(label[j, i], kind="stable")
+    j, i = j[order], i[order]
+    own, lat, lon, v = label[j, i], -40.0 + 5 * j, 9.0 * i, rng.normal(size=len(j))
+    for poleward in (None, 0.3):
+        kept = kernels.long_objects(own, j, i, lat, lon, v, 40, True, 900.0, poleward)
+        for k in np.unique(own):
+            at = own == k
+            side = lat[at].min() > 0 or lat[at].max() < 0
+            long = np.ptp(lat[at]) * 111 > 900 or spread(j[at], i[at], lat[at], lon[at], 40, True) > 900
+            assert kept[at].all() == kept[at].any() == (side and long and (poleward is None or abs(v[at].mean()) >= poleward))
+        assert 0 < kept.sum() < len(kept)
+    assert 0 < len(compared) < own.max()
