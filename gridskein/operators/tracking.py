@@ -113,6 +113,16 @@ def kalman_step(x: np.ndarray, p: np.ndarray, z: float, config: TrackConfig = TR
     return x + gain * (z - x[0]), p - np.outer(gain, p[0])
 
 
+def kalman_steps(x: np.ndarray, p: np.ndarray, z: np.ndarray, config: TrackConfig = TRACKING) -> tuple[np.ndarray, np.ndarray]:
+    """``kalman_step`` of many states (n, 2), covariances (n, 2, 2) and places at once."""
+    dt = config.step_seconds
+    a = np.array([[1.0, dt], [0.0, 1.0]])
+    x = np.stack([x[:, 0] + dt * x[:, 1], x[:, 1]], axis=1)
+    p = a @ p @ a.T + config.drift * np.array([[dt * dt, dt], [dt, 1.0]])
+    gain = p[:, :, 0] / (p[:, 0, 0] + config.noise)[:, None]
+    return x + gain * (z - x[:, 0])[:, None], p - gain[:, :, None] * p[:, :1, :]
+
+
 def rts_step(x, p, later_x, later_p, config: TrackConfig = TRACKING):
     """State and covariance smoothed with those of the step after."""
     dt = config.step_seconds
@@ -147,29 +157,37 @@ def link_lows(hemis: str, t: int, lows: list[dict], before: list[dict], config:
     where the filter expects the track) belong together; other lows begin tracks,
     whose id is the step and the low's place in it.
     """
-    c, pairs = config, []
-    xy = [tuple(map(float, polar_xy(low["lat"], low["lon"], hemis))) for low in lows]
-    for n, old in enumerate(before):
-        px, py = (old[f"{a}_filter"][0] + old[f"{a}_filter"][1] * c.step_seconds for a in "xy")
-        lat, lon = polar_latlon(px, py, hemis)
-        for m, low in enumerate(lows):
-            d = 1000 * float(distance_km(lat, lon, low["lat"], low["lon"]))
-            if d < c.track_distance:
-                pairs.append((math.hypot(d, (low["msl"] - old["msl"]) / c.dp_per_dist), n, m))
-    nearest_old, nearest_new = {}, {}
-    for _, n, m in sorted(pairs):
-        nearest_old.setdefault(n, m)
-        nearest_new.setdefault(m, n)
+    c = config
+    lat, lon, msl = (np.array([low[k] for low in lows], float) for k in ("lat", "lon", "msl"))
+    states = {}
+    for a, z in zip("xy", polar_xy(lat, lon, hemis), strict=True):
+        x, p = (np.array([old[f"{k}{a}_filter"] for old in before], float) for k in ("", "p"))
+        states[a] = z, x.reshape(-1, 2), p.reshape(-1, 2, 2)
+    ahead = [x[:, 0] + x[:, 1] * c.step_seconds for _, x, _ in states.values()]
+    old_lat, old_lon = polar_latlon(*ahead, hemis)
+    d = 1000 * distance_km(old_lat[:, None], old_lon[:, None], lat, lon)
+    pressure = (msl - np.array([old["msl"] for old in before], float)[:, None]) / c.dp_per_dist
+    n, m = np.nonzero(d < c.track_distance)
+    cost = np.hypot(d[n, m], pressure[n, m])
+    order = np.lexsort((m, n, cost))
+    n, m = n[order], m[order]
+    nearest_old, nearest_new = np.full(len(before), -1), np.full(len(lows), -1)
+    nearest_old[n[::-1]], nearest_new[m[::-1]] = m[::-1], n[::-1]  # the last one written is the nearest
+    mine = np.flatnonzero(nearest_new >= 0)
+    mine = mine[nearest_old[nearest_new[mine]] == mine]
+    kept = np.full(len(lows), -1)
+    kept[mine] = nearest_new[mine]
+    filters = {}
+    for a, (z, x, p) in states.items():
+        start_x, start_p = np.stack([z, np.zeros(len(z))], axis=1), np.tile(np.diag(c.first_variance), (len(z), 1, 1))
+        start_x[mine], start_p[mine] = x[kept[mine]], p[kept[mine]]
+        x, p = kalman_steps(start_x, start_p, z, c)
+        filters[a] = x.tolist(), p.reshape(-1, 4).tolist()
     out = []
-    for m, low in enumerate(lows):
-        n = nearest_new.get(m)
-        old = before[n] if n is not None and nearest_old[n] == m else None
-        row = {"track_id": old["track_id"] if old else t * _BORN + m, "hemis": hemis, "t": t, "closed": low["kind"] == "closed", "place": m}
-        row |= {k: low[k] for k in ("lat", "lon", "msl", "lap", "prominence")}
-        for a, z in zip("xy", xy[m], strict=True):
-            start = (np.array(old[f"{a}_filter"]), np.array(old[f"p{a}_filter"]).reshape(2, 2)) if old else (np.array([z, 0.0]), np.diag(c.first_variance))
-            x, p = kalman_step(*start, z, c)
-            row |= {f"{a}_filter": x.tolist(), f"p{a}_filter": p.ravel().tolist()}
+    for k, low in enumerate(lows):
+        row = {"track_id": before[kept[k]]["track_id"] if kept[k] >= 0 else t * _BORN + k, "hemis": hemis, "t": t, "closed": low["kind"] == "closed", "place": k}
+        row |= {c: low[c] for c in ("lat", "lon", "msl", "lap", "prominence")}
+        row |= {f"{p}{a}_filter": v[k] for a, own in filters.items() for p, v in zip(("", "p"), own, strict=True)}
         out.append(row)
     return out
 

@@ -165,3 +165,24 @@ def test_tracks_that_stay_together_are_not_compared_point_by_point(monkeypatch):
     links = meetings.links_between(rows, rows, True, meetings.Limits(129600, 1.0), 1.5, 48.0, None)
     assert len(links) == 190 and set(links["link"]) == {3} and sum(compared) < 10 * 190
     assert len(meetings.links_between(rows, rows, True, meetings.Limits(129600, 1.0), 1.5, 48.0, (3,))) == 19
+
+
+def test_lows_of_a_step_are_linked_at_once(monkeypatch):
+    """Distances of all lows and tracks in one call; states are those of one step of the filter after the other."""
+    calls, distance = [], tk.distance_km
+    monkeypatch.setattr(tk, "distance_km", lambda *a: calls.append(1) or distance(*a))
+    rng, before = np.random.default_rng(6), []
+    for t in range(4):
+        lows = [{"kind": "open", "lat": 30 + 4.0 * (k % 10) + rng.uniform(-1, 1), "lon": 20.0 * (k // 10) + rng.uniform(-1, 1), "msl": 99000 + rng.uniform(-200, 200), "prominence": 1.0, "lap": 1.0} for k in range(150)]
+        rows = tk.link_lows("N", t, lows, before)
+        assert len(calls) <= t + 1
+        by = {r["track_id"]: r for r in before}
+        for r, low in zip(rows, lows, strict=True):
+            old = by.get(r["track_id"])
+            for a, z in zip("xy", tk.polar_xy(low["lat"], low["lon"], "N"), strict=True):
+                start = (np.array(old[f"{a}_filter"]), np.array(old[f"p{a}_filter"]).reshape(2, 2)) if old else (np.array([z, 0.0]), np.diag(tk.TRACKING.first_variance))
+                x, p = tk.kalman_step(*start, z)
+                assert np.allclose(x, r[f"{a}_filter"], rtol=1e-12) and np.allclose(p.ravel(), r[f"p{a}_filter"], rtol=1e-12)
+        assert not t or len(by.keys() & {r["track_id"] for r in rows}) > 50
+        before = rows
+    assert tk.link_lows("N", 4, [], before) == [] and len(tk.link_lows("N", 4, lows, [])) == 150
