@@ -64,15 +64,15 @@ def _step(p, x, h):
     """Gates, candidate, its recurrent part and the next state; x has the inputs' part of all gates."""
     u = UNITS
     g = h @ p["wh"]
-    zr = _sigmoid(x[:, : 2 * u] + g[:, : 2 * u])
+    z, r = (_sigmoid(x[:, at] + g[:, at]) for at in (slice(u), slice(u, 2 * u)))
     inner = g[:, 2 * u :]
-    c = zr[:, u:] * inner
+    c = r * inner
     c += x[:, 2 * u :]
     np.tanh(c, out=c)
     new = h - c
-    new *= zr[:, :u]
+    new *= z
     new += c
-    return zr, c, inner, new
+    return z, r, c, inner, new
 
 
 def _with_ones(states: np.ndarray) -> np.ndarray:
@@ -199,8 +199,8 @@ class Trainer:
             if resets[t]:
                 h = np.where(fresh[t][:, None], kind.type(0), h)
             states[t] = h
-            zr, c, inner, new = _step(p, inputs[ids[t]], h)
-            cache.append((zr, c, inner))
+            *kept, new = _step(p, inputs[ids[t]], h)
+            cache.append(kept)
             h = new
         self.h = h
         every, used = states.reshape(-1, u), ids.ravel()
@@ -211,29 +211,36 @@ class Trainer:
         back[order] = add_gradients(p, every[order], sorted_ids, grads)
         back = back.reshape(steps, lanes, u)
         dh = np.zeros_like(h)
-        # Gradients of both gates, of the candidate, and of its recurrent part.
-        gates = np.empty((steps, lanes, 4 * u), kind)
+        # Gradients of both gates, of the candidate, and of its recurrent part, each in one piece of memory.
+        gates = np.empty((4, steps, lanes, u), kind)
+        turned = [p["wh"][:, k * u : (k + 1) * u].T.copy() for k in range(3)]
+        slope = np.empty_like(h)
         for t in range(steps - 1, -1, -1):
-            zr, c, inner = cache[t]
-            g = gates[t]
-            dzr, dc = g[:, : 2 * u], g[:, 2 * u : 3 * u]
-            np.multiply(dh, 1 - zr[:, :u], out=dc)
-            dc *= 1 - c * c
-            np.subtract(states[t], c, out=dzr[:, :u])
-            dzr[:, :u] *= dh
-            np.multiply(dc, inner, out=dzr[:, u:])
-            np.multiply(dc, zr[:, u:], out=g[:, 3 * u :])
-            dh *= zr[:, :u]
-            dzr *= zr - zr * zr
-            dh += dzr @ p["wh"][:, : 2 * u].T
-            dh += g[:, 3 * u :] @ p["wh"][:, 2 * u :].T
+            z, r, c, inner = cache[t]
+            dz, dr, dc, di = gates[:, t]
+            np.subtract(1, z, out=dc)
+            dc *= dh
+            np.multiply(c, c, out=slope)
+            np.subtract(1, slope, out=slope)
+            dc *= slope
+            np.subtract(states[t], c, out=dz)
+            dz *= dh
+            np.multiply(dc, inner, out=dr)
+            np.multiply(dc, r, out=di)
+            dh *= z
+            for gate, d in ((z, dz), (r, dr)):
+                np.multiply(gate, gate, out=slope)
+                np.subtract(gate, slope, out=slope)
+                d *= slope
+            for d, w in zip((dz, dr, di), turned, strict=True):
+                dh += d @ w
             dh += back[t]
             if resets[t]:
                 dh[fresh[t]] = 0
-        rows = gates.reshape(-1, 4 * u)
-        grads["wh"][:, : 2 * u] = every.T @ rows[:, : 2 * u]
-        grads["wh"][:, 2 * u :] = every.T @ rows[:, 3 * u :]
-        rows = rows[:, : 3 * u]
+        dz, dr, dc, di = gates.reshape(4, -1, u)
+        for k, d in enumerate((dz, dr, di)):
+            grads["wh"][:, k * u : (k + 1) * u] = every.T @ d
+        rows = np.concatenate([dz, dr, dc], axis=1)
         grads["b"][:] = rows.sum(axis=0)
         grads["wx"][:] = p["embed"][used].T @ rows
         first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
