@@ -9,6 +9,7 @@ An empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,17 @@ from gridskein.llm.packing import pack_documents
 from gridskein.llm.queries import tokenizer_path
 from gridskein.llm.simhash_dedup import simhash_components
 from gridskein.llm.suffix_dedup import suffix_dedup
+from gridskein.storage import setting
 
 
 #: Bytes of a repeated passage that is cut: 51 words of the documents have 245 or more in 99 of 100 places, and repetitive texts fewer.
 PASSAGE = 200
 
+#: Bytes of a batch that a stage hands to Python; Spark's own bound is 64 MB, twice a task's share of the texts.
+BATCH = 4 << 20
+
 _USED = ("doc_id", "text", "lang")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _apart(docs: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
@@ -39,6 +45,18 @@ def _apart(docs: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
     return docs.toDF(*own), back
 
 
+def _in_small_batches(stage: Stage) -> Stage:
+    """The stage, with batches of about ``BATCH`` bytes at most in all that it runs: a batch is held by the JVM and several times over by Python."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH)):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_in_small_batches
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any language (``und``: null texts, texts without letters) go; repeated rows stay or go together.
 
@@ -48,6 +66,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return back(identify_languages(docs, fit_language_model(docs)).filter("lang_pred <> 'und'"))
 
 
+@_in_small_batches
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the row with the least doc_id stays.
 
@@ -61,6 +80,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return back(kept.dropDuplicates(["__id", "__th"]))
 
 
+@_in_small_batches
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by strings of ``PASSAGE`` bytes that occur elsewhere go; no document goes.
 
@@ -78,6 +98,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return back(found, **new)
 
 
+@_in_small_batches
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item in five tokens or more, or are nothing but a shorter one, go; null and empty texts stay.
 
@@ -87,6 +108,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return back(without_contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
+@_in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, in sequences of at most 2048 tokens: a row for each piece.
 
@@ -113,6 +135,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each one's result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH)):
+        for name, stage in STAGES[:-1]:
+            docs = materialise(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

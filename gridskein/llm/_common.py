@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialise, shared_dir
 
-__all__ = ["discard", "groups_of", "keyed", "materialise", "shared_dir", "table"]
+__all__ = ["discard", "freeing", "groups_of", "keyed", "materialise", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +40,22 @@ def groups_of(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         have += size
     if k >= first:
         yield first, k + 1
+
+
+def freeing(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The kernel ``rows``; at its end the memory that its worker holds unused goes back to the system.
+
+    Workers live on for later tasks: what one kernel leaves would otherwise add to what the next one needs.
+    """
+
+    @wraps(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # Python's and numpy's; other C libraries than glibc have none
+            if trim:
+                trim(0)
+
+    return run

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import groups_of, keyed, materialise
+from ._common import freeing, groups_of, keyed, materialise
 from ._filter import FILTER_BITS, hash_filter, may_hold
 
 #: Tokens of a window, substitutions allowed, and tokens to one substitution in items shorter than a window.
@@ -197,7 +197,7 @@ def _seeds(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     hashes = materialise(places.select("win").distinct().mapInArrow(_hash_rows(window, errors), "h long, win binary"), "seeds")
     lengths = [r["w"] for r in places.select("w").distinct().collect()]  # as many as a window has tokens, at most
     texts = keyed(docs, id_col, text_col).select("__id", "__th", F.col(f"`{text_col}`").cast("string").alias("__t"))
-    seeds = texts.mapInArrow(_seed_rows(sorted(lengths), window, errors, hash_filter(hashes, "h", filter_bits), filter_bits), "__id string, __th long, n long, at long, h long, got binary")
+    seeds = texts.mapInArrow(freeing(_seed_rows(sorted(lengths), window, errors, hash_filter(hashes, "h", filter_bits), filter_bits)), "__id string, __th long, n long, at long, h long, got binary")
     return places, hashes, seeds
 
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import groups_of
+from ._common import freeing, groups_of
 
 #: Trigram buckets (a power of two), documents to fit on (of a language), cost of a switch in nats, bytes labelled side by side (a longer text is taken alone) and code points scored at a time.
 BUCKETS = 1 << 16
@@ -60,11 +60,11 @@ _TABLES: list = []
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: is it a letter, its lower case, its script."""
     if not _TABLES:
-        every = list(map(chr, range(0x110000)))
-        letter = np.fromiter((c.isalpha() for c in every), bool, len(every))
+        every = range(0x110000)
+        letter = np.fromiter((chr(k).isalpha() for k in every), bool, len(every))
         lower = np.arange(len(every), dtype=np.uint32)
         for k in np.flatnonzero(letter).tolist():
-            low = every[k].lower()
+            low = chr(k).lower()
             if len(low) == 1:
                 lower[k] = ord(low)
         script = np.zeros(len(every), np.uint8)
@@ -147,7 +147,7 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if shares:
         limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("lang")), F.lit(1 << 30))
         rows = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < limit)
-    counted = rows.select("text", "lang").mapInArrow(_count_rows, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.select("text", "lang").mapInArrow(freeing(_count_rows), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(counted["lang"]))
     table = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(languages)))
     for k, lang in enumerate(languages):
@@ -255,4 +255,4 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, span)], [*names, "lang_pred", "lang_score", "lang_spans"])
 
     texts = docs if column == text_col else docs.withColumn("__t", F.col(f"`{text_col}`").cast("string"))
-    return texts.mapInArrow(rows, ", ".join([*kinds, "lang_pred string, lang_score double, lang_spans array<struct<start:int,stop:int,lang:string>>"]))
+    return texts.mapInArrow(freeing(rows), ", ".join([*kinds, "lang_pred string, lang_score double, lang_spans array<struct<start:int,stop:int,lang:string>>"]))

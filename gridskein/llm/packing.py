@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import freeing, materialise
 
 #: Pieces that one task packs.
 POOL = 60_000
 #: Pre-tokens whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 100_000
 #: Texts of these characters only are split by the pattern below; in them it agrees with the tokenizer's own.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ɏ]*", re.ASCII)
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\\[-`{-~]+|\\s+(?!\\S)|\\s+")
@@ -173,7 +173,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = materialise(texts.mapInArrow(_piece_rows(tokenizer, ranks, capacity), schema), "pieces")
+    pieces = materialise(texts.mapInArrow(freeing(_piece_rows(tokenizer, ranks, capacity)), schema), "pieces")
     pools = -(-pieces.count() // pool)
-    packed = pieces.repartition(max(1, pools)).mapInArrow(_pack_rows(capacity), f"{schema}, sequence_id long, offset long")
+    packed = pieces.repartition(max(1, pools)).mapInArrow(freeing(_pack_rows(capacity)), f"{schema}, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

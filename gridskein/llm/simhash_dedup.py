@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, materialise
+from ._common import freeing, keyed, materialise
 from ..operators.components import connected_components
 
 #: Fingerprints under one key that are compared pairwise.
@@ -142,11 +142,11 @@ def fingerprint_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
 
     Under cold keys every such pair is a link; under hot ones the pairs are linked through the least of those that share a word.
     """
-    keys = prints.mapInArrow(_key_rows, "key long, fp long")
+    keys = prints.mapInArrow(freeing(_key_rows), "key long, fp long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     found = materialise(keys.join(shared, "key"), "keys")
     lists = found.filter(F.col("m") <= hot).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    cold = lists.mapInArrow(_link_rows(2), "a long, b long")
+    cold = lists.mapInArrow(freeing(_link_rows(2)), "a long, b long")
     words = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: F.when(i == 64, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     dense = found.filter(F.col("m") > hot).select("fp").distinct()
     around = dense.select("fp", F.explode(words).alias("word")).groupBy("word").agg(F.collect_list("fp").alias("fps"))
@@ -166,7 +166,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     texts = keyed(docs, id_col, text_col).select("__id", "__th", F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("__t"))
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
-    prints = materialise(texts.mapInArrow(_fingerprint_rows, f"__id string, __th long, id {kind}, fp long"), "fingerprints")
+    prints = materialise(texts.mapInArrow(freeing(_fingerprint_rows), f"__id string, __th long, id {kind}, fp long"), "fingerprints")
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("__id").alias("k"), F.col("__th").alias("h"))
     distinct = materialise(prints.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
     roots = connected_components(fingerprint_links(distinct.select("fp"), hot))

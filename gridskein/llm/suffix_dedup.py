@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, keyed, materialise
+from ._common import discard, freeing, keyed, materialise
 from ._repeat_kernel import Q, anchors, half_ids, qgram_buckets
 
 #: Bytes of text handled at a time (the arrays then fit a processor's cache).
@@ -237,7 +237,7 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
     """Byte runs [s, e) of texts (__id, __th, __t) whose windows of ``length`` bytes occur elsewhere too."""
     if length < 2 * Q:
         raise ValueError(f"length must be at least {2 * Q}")
-    found = materialise(texts.filter(F.octet_length("__t") >= length).mapInArrow(_anchor_rows(length), _ANCHOR), "anchors")
+    found = materialise(texts.filter(F.octet_length("__t") >= length).mapInArrow(freeing(_anchor_rows(length)), _ANCHOR), "anchors")
     place = ["__id", "__th", "s", "e"]
 
     # Level 1: whole contexts (equal ones are repeated), then their halves.
@@ -251,11 +251,11 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
     right = F.struct(F.col("b").alias("core"), F.greatest(F.col("lo"), middle + 1).alias("s"), F.col("hi").alias("e"))
     halves = contexts.select("__id", "__th", "x", "settled", F.explode(F.array(left, right)).alias("half")).select("__id", "__th", "x", "settled", "half.*").filter("core IS NOT NULL")
     open_ = halves.join(_shared(halves, "core"), "core").groupBy("__id", "__th").agg(F.collect_list(F.struct("x", "s", "e", "settled")).alias("runs"))
-    bodies = materialise(texts.join(open_, ["__id", "__th"]).mapInArrow(_body_rows(length), _BODY), "bodies")
+    bodies = materialise(texts.join(open_, ["__id", "__th"]).mapInArrow(freeing(_body_rows(length)), _BODY), "bodies")
     discard(contexts)
 
     # Level 2: parts of halves.
-    parts = materialise(bodies.mapInArrow(_split_rows(length, single=False), f"{_PART}, core long, u long, v long"), "parts")
+    parts = materialise(bodies.mapInArrow(freeing(_split_rows(length, single=False)), f"{_PART}, core long, u long, v long"), "parts")
     kinds = parts.groupBy("core", "u", "v").agg(F.count(F.lit(1)).alias("n"), F.bool_or("settled").alias("settled"), F.min(F.struct("__id", "__th", "x", "of", "s", "e")).alias("r"))
     kinds = materialise(kinds.select("core", "u", "v", (F.col("settled") | (F.col("n") > 1)).alias("settled"), "r.*"), "kinds")
     partly = parts.filter("NOT settled").join(kinds.filter("settled").select("u", "v"), ["u", "v"]).select(place)
@@ -265,7 +265,7 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
     open_ = open_.join(bodies.select("__id", "__th", F.col("s").alias("of"), "body"), ["__id", "__th", "of"])
     body = F.substr("body", F.col("ps") - F.col("of") + 1, F.col("pe") - F.col("ps") + length)
     open_ = open_.select("__id", "__th", "x", F.col("ps").alias("s"), F.col("pe").alias("e"), F.col("pt").alias("settled"), body.alias("body"))
-    windows = materialise(open_.mapInArrow(_split_rows(length, single=True), f"{_PART}, u long, v long"), "windows")
+    windows = materialise(open_.mapInArrow(freeing(_split_rows(length, single=True)), f"{_PART}, u long, v long"), "windows")
     several = windows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u", "v")
     single = windows.filter("NOT settled").join(several, ["u", "v"]).select(place)
     runs = materialise(whole.unionByName(partly).unionByName(single).withColumn("e", F.col("e") + length), "runs")
@@ -276,7 +276,7 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
 def _maximal(runs: DataFrame) -> DataFrame:
     """(__id, __th, runs): each text's maximal runs, in order; what ``runs`` was stored in goes."""
     gathered = runs.distinct().groupBy("__id", "__th").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
-    merged = materialise(gathered.mapInArrow(_merge_rows, "__id string, __th long, runs array<struct<start:long,stop:long>>"), "spans")
+    merged = materialise(gathered.mapInArrow(freeing(_merge_rows), "__id string, __th long, runs array<struct<start:long,stop:long>>"), "spans")
     discard(runs)
     return merged
 
@@ -323,4 +323,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = rows.join(spans, ["__id", "__th"], "left").select(*[F.col(f"`{c}`") for c in names], *[F.coalesce(c, none).alias(c) for c in outs], "__t")
     keep = [*names, *outs]
     ddl = ", ".join([*kinds, *[f"{c} array<struct<start:long,stop:long>>" for c in outs], "kept binary"])
-    return joined.mapInArrow(_kept_rows(keep), ddl)
+    return joined.mapInArrow(freeing(_kept_rows(keep)), ddl)

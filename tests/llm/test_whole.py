@@ -2,10 +2,14 @@
 
 import collections
 import random
+import tracemalloc
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
-from gridskein.llm import chat, html_extract, lm_scoring
+import corpus_pipeline
+from gridskein.llm import _common, chat, html_extract, language_id, lm_scoring
 from gridskein.llm import queries as llm
 
 from ..oracle import compare, connect
@@ -58,3 +62,44 @@ def test_boilerplate_is_counted_in_pages(spark):
     found = html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r.page_id for r in found if notice in r.main_text} == {100, 101}
     assert all(f"first text {r.page_id} of" in r.main_text and f"last text {r.page_id} of" in r.main_text for r in found if r.page_id < 100)
+
+
+def test_stages_hand_small_batches_to_python(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"]) for b in batches)
+    stage = corpus_pipeline._in_small_batches(lambda s, docs, d: docs.mapInArrow(sizes, "n long, size long").collect())
+    found = stage(spark, spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 5000) AS text"), "")
+    assert sum(r.n for r in found) == 4000 and max(r.size for r in found) < 1.2 * corpus_pipeline.BATCH
+    assert spark.conf.get(key) == before
+    assert all(f.__wrapped__ for _, f in corpus_pipeline.STAGES)
+
+
+def test_a_kernels_leftovers_go_back_to_the_system():
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    def rows(batches):
+        for batch in batches:
+            kept = [bytes(2000 + k % 100) for k in range(100_000)]
+            self_kept.append(kept[-1])  # holds the top of the heap
+            del kept
+            yield batch
+
+    self_kept = []
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], ["a"])
+    began = resident()
+    assert list(rows([batch])) == [batch]
+    left = resident() - began
+    assert list(_common.freeing(rows)([batch])) == [batch]
+    assert left > 150e6 and resident() - began < 100e6
+
+
+def test_tables_of_letters_are_made_without_a_list_of_all_characters(monkeypatch):
+    monkeypatch.setattr(language_id, "_TABLES", [])
+    tracemalloc.start()
+    letter, lower, script = language_id._tables()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert letter[ord("\u00e9")] and lower[ord("\u00c9")] == ord("\u00e9") and script[ord("a")] == 1
+    assert peak < 60e6
