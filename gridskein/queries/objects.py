@@ -314,12 +314,16 @@ _add("stream_session_aggregate", lambda s, d: _run(session_aggregate(_event_stre
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS t_start, count(value) AS valid, count(*) AS cnt FROM n GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 
 
+#: Partitions of the tracker's state, whose keys are two hemispheres: each one more opens a state store and a Python worker for nothing.
+_STATES = 8
+
+
 def _stream_tracks(s, d):
     """Located lows, written to files and tracked as a stream."""
     lows = tk.locate_cyclones(GRID, _smooth(s, d), "msl", "oro", _LOOSE)
     path = f"{shared_dir(s)}/gridskein/lows-{uuid.uuid4().hex}"
     materialise(lows, "lows").write.parquet(path)
-    with setting(s, *ROCKSDB):
+    with setting(s, *ROCKSDB), setting(s, "spark.sql.shuffle.partitions", str(_STATES)):
         tracks = _run(track_stream(s.readStream.schema(lows.schema).parquet(path), _LOOSE))
     return tracks.select("track_id", "hemis", "t", "lat", "lon", "closed")
 

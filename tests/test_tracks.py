@@ -11,6 +11,7 @@ import pytest
 
 from gridskein.operators import meetings, segments
 from gridskein.operators import tracking as tk
+from gridskein.queries import objects
 from gridskein.storage import setting
 from gridskein.streaming import ROCKSDB, track_stream
 
@@ -186,3 +187,12 @@ def test_lows_of_a_step_are_linked_at_once(monkeypatch):
         assert not t or len(by.keys() & {r["track_id"] for r in rows}) > 50
         before = rows
     assert tk.link_lows("N", 4, [], before) == [] and len(tk.link_lows("N", 4, lows, [])) == 150
+
+
+def test_the_streams_state_does_not_grow_with_the_shuffles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(objects, "shared_dir", lambda s: f"file://{tmp_path}")
+    with setting(spark, "spark.sql.shuffle.partitions", "24"):
+        rows = objects.QUERIES["stream_track_cyclones"](spark, "/root/testdata/sf0.01").count()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "24"
+    stores = [p for p in tmp_path.glob("gridskein/stream-*/state/state/0/*") if p.name.isdigit()]
+    assert rows and 1 < len(stores) <= 8
