@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sphere_geometry import direction_on_sphere, dist_sphere, haversine, rossby_radius, tile_of, tiles_near
+from ..functions.sphere_geometry import direction_on_sphere, dist_sphere, haversine, rossby_radius
 from ..grid import Grid
 from ..storage import materialise
 from .components import connected_components
@@ -325,40 +326,111 @@ def cyclone_clusters(points: DataFrame, links: DataFrame, kinds: tuple[int, ...]
     return joined.join(least, "root").select("id", "cluster")
 
 
+def _sphere(lon: str, lat: str) -> list[Column]:
+    """A place on the unit sphere."""
+    y, x = F.radians(lat), F.radians(lon)
+    return [F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)]
+
+
+def _chord(distance: float) -> float:
+    """The straight way, on the unit sphere, between places so many km apart."""
+    return 2 * math.sin(min(max(distance, 0.0) / 6371.0, math.pi) / 2)
+
+
+def _joined_by_boxes(places: DataFrame, width: int, distance: float) -> DataFrame:
+    """``places`` (event, s, lon, lat) with ``node``: the same for events that are linked in any number of steps inside boxes.
+
+    Boxes are cubes of space and spans of time so small that events in one are
+    linked unless they are at the same second: all of a box are connected if its
+    events have two times.  Every half box is in 16 of them, shifted by halves, so
+    boxes chain.  Nothing grows with the pairs of events.
+    """
+    axes = _sphere("lon", "lat")
+    half = 0.999 * _chord(distance) / math.sqrt(3) / 2
+    cells = [F.floor(v / half) if half > 0 else F.lit(None).cast("long") for v in axes] + [F.floor(F.col("s") / max(1, width // 2))]
+    names = ["c0", "c1", "c2", "c3"]
+    there = F.col("event").isNotNull() & F.col("s").isNotNull() & (F.abs(axes[0] + axes[1] + axes[2]) < math.inf)
+    boxed = places.withColumns({n: F.when(there, c) for n, c in zip(names, cells, strict=True)})
+    halves = boxed.dropna(subset=names).groupBy(*names).agg(F.min("event").alias("first"), F.min("s").alias("s0"), F.max("s").alias("s1"))
+    halves = materialise(halves, "halves")
+    shifted = [F.struct(F.lit(k).alias("k"), *[F.floor((F.col(n) + (k >> bit & 1)) / 2).alias(n) for bit, n in enumerate(names)]) for k in range(16)]
+    boxes = halves.select("first", "s0", "s1", F.explode(F.array(*shifted)).alias("box")).groupBy("box")
+    boxes = boxes.agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.collect_list("first").alias("firsts")).filter("s0 < s1")  # 16 halves at most
+    links = materialise(boxes.select(F.explode("firsts").alias("a"), F.array_min("firsts").alias("b")).distinct(), "boxes")
+    whole = links.select(F.col("a").alias("first")).distinct()
+    roots = connected_components(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    known = whole.join(roots.withColumnRenamed("node", "first").hint("merge"), "first", "left").select("first", F.coalesce("root", F.col("first").cast("long")).alias("node"))
+    known = halves.join(known.hint("merge"), "first").select(*names, "node")
+    own = F.coalesce("node", F.col("event").cast("long")).alias("node")
+    return boxed.join(known.hint("merge"), names, "left").select("event", "s", "lon", "lat", own)
+
+
+def _links_by_distance(e: DataFrame, width: int, distance: float) -> tuple[DataFrame, DataFrame]:
+    """(event, node) of events (event, s, lon, lat), and (a, b), links between nodes that connect what all links of events would.
+
+    Events are compared pair by pair only with those of another node in a cell
+    beside theirs (cubes of the distance, blocks of the time).
+    """
+    places = materialise(_joined_by_boxes(e, width, distance), "places")
+    side, names = _chord(distance) * (1 + 1e-6) + 1e-12, ["c0", "c1", "c2", "c3"]
+    cells = [F.floor(v / side) for v in _sphere("lon", "lat")] + [F.floor(F.col("s") / width)]
+    celled = places.dropna().filter((F.abs("lon") < math.inf) & (F.abs("lat") < math.inf)).withColumn("cell", F.struct(*[c.alias(n) for c, n in zip(cells, names, strict=True)]))
+    ends = [f(c).alias(f"{c}{n}") for c in ("s", "lat") for n, f in ((0, F.min), (1, F.max))]
+    parts = materialise(celled.groupBy("cell", "node").agg(*ends), "parts")
+    each = parts.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    beside = [F.struct(*[(F.col(f"cell.{n}") + k).alias(n) for n, k in zip(names, shift, strict=True)]) for shift in itertools.product((-1, 0, 1), (-1, 0, 1), (-1, 0, 1), (-1, 0))]
+    later = each.select(F.explode(F.array(*beside)).alias("cell"), F.col("cell").alias("later"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    meet = each.hint("merge").join(later, "cell").filter(F.least("low", "low2") < F.greatest("high", "high2")).select("cell", "later")
+    one = parts.select("cell", F.col("node").alias("a"), "s0", "s1", "lat0", "lat1")
+    two = parts.select(F.col("cell").alias("later"), F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("s0", "s1", "lat0", "lat1")])
+    far = math.degrees(distance / 6371.0) * (1 + 1e-6) + 1e-9
+    maybe = (F.col("a") != F.col("b")) & (F.col("s1_b") > F.col("s0")) & (F.col("s0_b") - F.col("s1") <= width)
+    maybe &= (F.col("lat0_b") - F.col("lat1") <= far) & (F.col("lat0") - F.col("lat1_b") <= far)
+    meet = materialise(meet.join(one.hint("merge"), "cell").join(two.hint("merge"), "later").filter(maybe).select("cell", "a", "later", "b"), "meetings")
+    left = celled.select("cell", F.col("node").alias("a"), F.col("s").alias("s1"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
+    right = celled.select(F.col("cell").alias("later"), F.col("node").alias("b"), F.col("s").alias("s2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    pairs = meet.join(left.hint("merge"), ["cell", "a"]).join(right.hint("merge"), ["later", "b"]).filter((F.col("s2") > F.col("s1")) & (F.col("s2") - F.col("s1") <= width))
+    links = pairs.filter(haversine("lon1", "lat1", "lon2", "lat2") < distance).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    nodes = places.select("event", "node").distinct()
+    # An event of several rows is one.
+    rows = nodes.groupBy("event").agg(F.min("node").alias("a"), F.collect_list("node").alias("b")).filter(F.size("b") > 1).select("a", F.explode("b").alias("b"))
+    return nodes, links.unionByName(rows)
+
+
+def _links_by_overlap(e: DataFrame, cells: DataFrame, width: int, overlap: float) -> DataFrame:
+    """(a, b): events that share a cell, at steps close in time, and enough of their area."""
+    keyed = e.select("event", "s", F.floor(F.col("s") / width).alias("__b")).hint("merge").join(cells.select("event", "j", "i"), "event")
+    a = keyed.select("__b", "j", "i", F.col("event").alias("a"), F.col("s").alias("s1"))
+    b = keyed.select(F.explode(F.array(F.col("__b") - 1, F.col("__b"))).alias("__b"), "j", "i", F.col("event").alias("b"), F.col("s").alias("s2"))
+    pairs = a.hint("merge").join(b, ["__b", "j", "i"]).filter((F.col("s2") > F.col("s1")) & (F.col("s2") - F.col("s1") <= width))
+    area = cells.groupBy("event").agg(F.sum("area").alias("size"))
+    first, second = cells.select(F.col("event").alias("a"), "j", "i", "area"), cells.select(F.col("event").alias("b"), "j", "i")
+    common = pairs.select("a", "b").distinct().join(first.hint("merge"), "a").join(second.hint("merge"), ["b", "j", "i"]).groupBy("a", "b").agg(F.sum("area").alias("both"))
+    sizes = common.join(area.select(F.col("event").alias("a"), F.col("size").alias("s1")).hint("merge"), "a").join(area.select(F.col("event").alias("b"), F.col("size").alias("s2")).hint("merge"), "b")
+    return sizes.filter(F.col("both") / (F.col("s1") + F.col("s2") - F.col("both")) > overlap).select("a", "b")
+
+
 def track_events(events: DataFrame, cells: DataFrame | None = None, hours: float = 24.0, overlap: float = 0.0, distance: float | None = None) -> DataFrame:
     """(event, date, label): events (event, date, lon, lat) linked in time, by overlap of their cells (event, j, i, area) or distance (km) of their centres.
 
-    Events meet by blocks of time and by tiles of the distance, or by shared cells. Labels are dense from 0 in order of a group's least event.
+    Events meet by shared cells, or by boxes in which all are linked and then, where
+    that leaves several groups, by blocks of time and cubes of the distance.  All
+    meetings are sorted joins: a broadcast of what a small file unfolds into would
+    be held by the driver.  Labels are dense from 0 in order of a group's least event.
     """
     width = int(hours * 3600)
-    e = events.withColumn("s", F.unix_timestamp("date")).withColumn("__b", F.floor(F.col("s") / width))
-    first = [F.col("event").alias("a"), F.col("s").alias("s1"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1")]
-    second = [F.col("event").alias("b"), F.col("s").alias("s2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2")]
-    blocks = F.array(F.col("__b") - 1, F.col("__b"))
-    if distance is not None:
-        a = e.select("__b", tile_of("lon", "lat", distance).alias("__tile"), *first)
-        b = e.select(F.explode(blocks).alias("__b"), tiles_near("lon", "lat", distance).alias("__tiles"), *second).withColumn("__tile", F.explode("__tiles")).drop("__tiles")
-        pairs = a.join(b, ["__b", "__tile"])
-    else:
-        # Events that share a cell, at steps close in time.
-        keyed = e.select("event", "s", "__b").join(cells.select("event", "j", "i"), "event")
-        a = keyed.select("__b", "j", "i", F.col("event").alias("a"), F.col("s").alias("s1"))
-        b = keyed.select(F.explode(blocks).alias("__b"), "j", "i", F.col("event").alias("b"), F.col("s").alias("s2"))
-        pairs = a.join(b, ["__b", "j", "i"])
-    pairs = pairs.filter((F.col("s2") > F.col("s1")) & (F.col("s2") - F.col("s1") <= width))
+    e = events.withColumn("s", F.unix_timestamp("date"))
     if distance is not None:
-        links = pairs.filter(haversine("lon1", "lat1", "lon2", "lat2") < distance).select("a", "b")
+        nodes, links = _links_by_distance(e.select("event", "s", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")), width, distance)
     else:
-        area = cells.groupBy("event").agg(F.sum("area").alias("size"))
-        first, second = cells.select(F.col("event").alias("a"), "j", "i", "area"), cells.select(F.col("event").alias("b"), "j", "i")
-        common = pairs.select("a", "b").distinct().join(first, "a").join(second, ["b", "j", "i"]).groupBy("a", "b").agg(F.sum("area").alias("both"))
-        sizes = common.join(area.select(F.col("event").alias("a"), F.col("size").alias("s1")), "a").join(area.select(F.col("event").alias("b"), F.col("size").alias("s2")), "b")
-        links = sizes.filter(F.col("both") / (F.col("s1") + F.col("s2") - F.col("both")) > overlap).select("a", "b")
+        nodes, links = events.select("event", F.col("event").cast("long").alias("node")).distinct(), _links_by_overlap(e, cells, width, overlap)
     roots = connected_components(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
-    joined = events.join(roots.withColumnRenamed("node", "event"), "event", "left").withColumn("root", F.coalesce("root", F.col("event").cast("long")))
-    least = joined.groupBy("root").agg(F.min("event").alias("first"))
+    rooted = nodes.join(roots.hint("merge"), "node", "left").select("event", F.coalesce("root", "node").alias("root")).distinct()
+    rooted = materialise(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("event").alias("first"))
     dense = ranked(least, "first", "root", name="label").select("root", F.col("label").cast("int").alias("label"))
-    return joined.join(dense, "root").select("event", "date", "label")
+    labels = rooted.join(dense.hint("merge"), "root").select("event", "label")
+    return events.join(labels.hint("merge"), "event").select("event", "date", "label")
 
 
 def _continue_blocks(t: int, peaks: list[dict], before: list[dict], local: tuple[float, float], total: tuple[float, float]) -> list[dict]:
