@@ -120,10 +120,15 @@ def smooth_xy_missing(g: Grid, cube: DataFrame, v: str, passes: int, out: str |
 # Lines.
 
 
+def _zero_step(v: str, near: Column) -> Column:
+    """How far towards its neighbour a field is zero; NULL: it isn't."""
+    return F.when(F.col(v) == 0, F.when(near == 0, 0.5).otherwise(0.0)).when(F.col(v) * near < 0, ratio(F.col(v), F.col(v) - near))
+
+
 def find_zeroloc(g: Grid, cube: DataFrame, v: str) -> DataFrame:
     """(t, x, y): places where a field is zero or changes sign between neighbours along x and along y, linear between them."""
     def scan(near, x: float, y: float):
-        step = F.when(F.col(v) == 0, F.when(near == 0, 0.5).otherwise(0.0)).when(F.col(v) * near < 0, ratio(F.col(v), F.col(v) - near))
+        step = _zero_step(v, near)
         return cube.select("t", (F.col("i") + step * x).alias("x"), (F.col("j") + step * y).alias("y")).filter("x IS NOT NULL")
 
     return scan(g.x(v, 1), 1.0, 0.0).unionByName(scan(g.y(v, 1), 0.0, 1.0)).distinct()
@@ -169,7 +174,7 @@ def join_lines(g: Grid, points: DataFrame, cells: DataFrame, config: Config = DE
 def with_payload(g: Grid, lines: DataFrame, cube: DataFrame, v: str) -> DataFrame:
     """Adds to line points the field's value at their cell."""
     places = lines.withColumns({"i": F.pmod(F.floor("x"), F.lit(g.nx)).cast("int"), "j": F.floor("y").cast("int")})
-    return places.join(cube.select("t", "j", "i", F.col(v).alias("payload")), ["t", "j", "i"], "left").drop("i", "j")
+    return places.join(cube.select("t", "j", "i", F.col(v).alias("payload")).hint("merge"), ["t", "j", "i"], "left").drop("i", "j")
 
 
 def zero_lines(g: Grid, cube: DataFrame, v: str, where, cells: DataFrame, config: Config = DEFAULTS) -> DataFrame:
@@ -178,6 +183,16 @@ def zero_lines(g: Grid, cube: DataFrame, v: str, where, cells: DataFrame, config
     return join_lines(g, find_zeroloc(g, masked, "__l"), cells, config)
 
 
+def zero_lines_of_kinds(g: Grid, cube: DataFrame, v: str, kinds: dict[str, Column], cells: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """``zero_lines`` for several conditions, whose names are in the column type, in one pass over the cube."""
+    names = {kind: f"__l{n}" for n, kind in enumerate(kinds)}
+    cube = cube.withColumns({names[kind]: F.when(where, F.col(v)) for kind, where in kinds.items()})
+    point = lambda kind, near, x, y: F.struct(F.lit(kind).alias("type"), (F.col("i") + _zero_step(names[kind], near) * x).alias("x"), (F.col("j") + _zero_step(names[kind], near) * y).alias("y"))
+    scans = [point(kind, near, x, y) for kind, n in names.items() for near, x, y in ((g.x(n, 1), 1.0, 0.0), (g.y(n, 1), 0.0, 1.0))]
+    points = cube.select("t", F.array(*scans).alias("p")).select("t", F.explode("p").alias("p")).select("t", "p.*").filter("x IS NOT NULL").distinct()
+    return join_lines(g, points, cells, config, ("t", "type"))
+
+
 def ridge_lines(g: Grid, cube: DataFrame, v: str, threshold: float, cells: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """Lines along which a field is greatest across, where it reaches a threshold."""
     return with_payload(g, join_lines(g, find_maxloc(g, cube, v, threshold, config.searchrad), cells, config), cube, v)

@@ -207,11 +207,14 @@ def join_line(x: np.ndarray, y: np.ndarray, dx: np.ndarray, dy: np.ndarray, nx:
         np.fill_diagonal(way, 0.0)
         step = np.broadcast_to(np.arange(len(at)), way.shape).copy()  # the next point on the way
         for k in range(len(at)):
-            through = way[:, k, None] + way[None, k]
-            shorter = through < way
+            to, on = np.flatnonzero(way[:, k] < np.inf), np.flatnonzero(way[k] < np.inf)  # at first few
+            some = np.ix_(to, on)
+            known = way[some]
+            through = way[to, k, None] + way[None, k, on]
+            shorter = through < known
             if shorter.any():
-                way[shorter] = through[shorter]
-                step = np.where(shorter, step[:, k, None], step)
+                way[some] = np.where(shorter, through, known)
+                step[some] = np.where(shorter, step[to, k, None], step[some])
         start, end = divmod(int(way.argmax()), len(at))
         path = [start]
         while path[-1] != end:

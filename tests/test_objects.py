@@ -161,3 +161,27 @@ def test_lows_by_plain_search(spark, smooth):
                     found.add((t, hemis, kind, *map(int, y)))
     got = {(r.t, r.hemis, r.kind, r.j, r.i) for r in QUERIES["cyc_locate_cyclones"](spark, SF).collect()}
     assert got == found and found
+
+
+def test_fronts_of_all_kinds_come_from_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from gridskein import plans
+    from gridskein.operators import diagnostics as dg
+    from gridskein.operators import features as ft
+    from gridskein.operators.filters import smooth_xy
+    from gridskein.queries import objects
+
+    folder, cells = "/root/testdata/sf0.001", objects._cells(spark)
+    lines = plans.front_lines(objects.GRID, objects._smooth(spark, folder), "th", "u", "v", cells, True, objects.COARSE)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Window ") <= 4  # those of the zero lines
+    cube = objects._smooth(spark, folder)
+    for c in ("th", "u", "v"):
+        cube = smooth_xy(objects.GRID, cube, c, objects.COARSE.nsmooth)
+    cube = dg.front_maxcurv(objects.GRID, cube, "th", "u", "v")
+    strong, speed, t = F.col("front_int") > objects.COARSE.frint_thres, F.col("front_spd"), objects.COARSE.frspd_thres
+    cold = ft.zero_lines(objects.GRID, cube, "front_loc", strong & (-speed > t), cells, objects.COARSE)
+    cold = ft.with_payload(objects.GRID, cold, cube, "front_int")
+    found = {tuple(r) for r in lines.filter("type = 'cold'").select(*cold.columns).collect()}
+    assert found == {tuple(r) for r in cold.collect()} and len(found) > 50
+    assert {r.type for r in lines.select("type").distinct().collect()} <= {"cold", "warm", "stationary"}
