@@ -157,6 +157,20 @@ def test_parts_of_any_size_give_the_same_links(spark, monkeypatch):
     assert clusters(few) == clusters(spark.createDataFrame(found[0], "a long, b long, link int"))
 
 
+def test_connected_parts_are_not_sent_again(spark, monkeypatch):
+    """Links found in rounds connect what all links do, and no more are found than that takes."""
+    monkeypatch.setattr(tk, "_TRACKS", 2)
+    monkeypatch.setattr(tk, "_PARTS", 1)
+    monkeypatch.setattr(tk, "_MEETINGS", 0, raising=False)
+    together = [(k, "N", 1704067200 + 21600 * t, 45.0, 0.3 * k + t * 0.8) for k in range(20) for t in range(40)]
+    apart = [(k + 20, "N", s, lat, lon + 180) for k, _, s, lat, lon in together[:120]]
+    frame = spark.createDataFrame(together + apart, "id long, hemis string, s long, lat double, lon double").selectExpr("id", "hemis", "timestamp_seconds(s) AS ts", "lat", "lon")
+    few = tk.connect_cyclones(frame, connecting=(1, 3)).persist()
+    assert few.count() == 19 + 2
+    clusters = {r.id: r.cluster for r in tk.cyclone_clusters(frame, few, (1, 3)).collect()}
+    assert clusters == {k: 0 if k < 20 else 20 for k in range(23)}
+
+
 def test_tracks_that_stay_together_are_not_compared_point_by_point(monkeypatch):
     """Work grows with the pairs of tracks, not with those of their points."""
     s = np.arange(2000) * 3600
